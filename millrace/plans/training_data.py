@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.keys import canonical_key_sql
 from millrace.operators.references import Child, broken_references, references_by_period
+from millrace.operators.units import foreign_units, weights_in_kilograms
 from millrace.session import table
 
 
@@ -29,7 +30,20 @@ def p1_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return references_by_period(_broken(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_by_period": p1_by_period}
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    return weights_in_kilograms(table(spark, sf, "loads"), table(spark, sf, "extractions"), table(spark, sf, "sft_records"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return foreign_units(_weights(spark, sf))
+
+
+def p5_converted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every weight of the three tables in kilograms, with its unit."""
+    return _weights(spark, sf)
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_by_period, p5_found, p5_converted)}
 
 _K = canonical_key_sql
 _BROKEN_SQL = f"""
