@@ -9,7 +9,7 @@ from millrace.functions.keys import canonical_key_sql
 from millrace.llm.components import assign_splits, held_out_records
 from millrace.llm.cross_split import cross_split_pairs
 from millrace.llm.leakage import find_leaks
-from millrace.llm.shared_spans import shared_spans
+from millrace.llm.shared_spans import shared_spans, shared_stretches
 from millrace.session import table
 
 _ENTITIES = {"customer_id": "c", "route_id": "r"}
@@ -59,7 +59,7 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return shared_spans(table(spark, sf, "documents")).select("doc_id")
+    return shared_stretches(table(spark, sf, "documents")).select("doc_id").distinct()
 
 
 def p8_shared(spark: SparkSession, sf: str) -> DataFrame:

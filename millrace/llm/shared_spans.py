@@ -6,7 +6,7 @@
    deduplicated by digest.
 2. The window is so narrow that every span of ``min_chars`` holds a whole
    chunk: a document without a chunk that another document has can't share one.
-3. Around the shared chunks, every stretch of ``min_chars`` characters is
+3. Where all chunks inside it are shared, every stretch of ``min_chars`` characters is
    hashed (a rolling polynomial); equal stretches of two documents are shared
    spans. This is exact up to collisions of 64-bit hashes and never compares
    pairs of documents.
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut, hot_keys, salted_join
+from millrace.session import cut, salted_join
 
 #: Characters that a gear hash sees: the bits of its word.
 GEAR = 32
@@ -50,9 +50,9 @@ def cut_window(min_chars: int) -> int:
     return w
 
 
-def gear_cuts(mixed: np.ndarray, window: int) -> np.ndarray:
-    """Positions after which the text is cut: the last minimum of every ``window`` consecutive gear hashes."""
-    if len(mixed) < GEAR:
+def window_cuts(mixed: np.ndarray, window: int) -> np.ndarray:
+    """For each window of ``window`` consecutive gear hashes the position after which its last minimum cuts the text."""
+    if len(mixed) < GEAR - 1 + window:
         return np.empty(0, np.int64)
     h = (mixed >> np.uint64(32)).astype(np.uint32)
     step = 1
@@ -60,17 +60,14 @@ def gear_cuts(mixed: np.ndarray, window: int) -> np.ndarray:
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
     h = h[GEAR - 1 :].astype(np.int64)
-    if len(h) < window:
-        return np.empty(0, np.int64)
-    key = (h << 31) | (np.int64((1 << 31) - 1) - np.arange(len(h), dtype=np.int64))
-    low, span = key, 1
+    mask = np.int64((1 << 31) - 1)
+    low, span = (h << 31) | (mask - np.arange(len(h), dtype=np.int64)), 1  # each key holds its position
     while span * 2 <= window:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < window:
         low = np.minimum(low[: len(low) - (window - span)], low[window - span :])
-    chosen = np.unique(low)  # each key holds its position
-    return np.sort(np.int64((1 << 31) - 1) - (chosen & np.int64((1 << 31) - 1))) + GEAR
+    return mask - (low & mask) + GEAR
 
 
 def _prefix(mixed: np.ndarray) -> np.ndarray:
@@ -87,59 +84,48 @@ def _unpowers(n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def chunks(text: str, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, digest) of the chunks between two cuts; the ends of the text outside the cuts are no chunks."""
-    mixed = _mix(code_points(text))
-    cuts = gear_cuts(mixed, window)
-    if len(cuts) < 2:
-        e = np.empty(0, np.int64)
-        return e, e, e
-    prefix = _prefix(mixed)
-    start, end = cuts[:-1], cuts[1:]
-    digest = (prefix[end] - prefix[start]) * _unpowers(len(mixed) + 1)[start]
-    digest ^= _mix((end - start).astype(np.uint64))
-    return start, end, digest.view(np.int64)
-
-
-def stretches(text: str, regions: list[tuple[int, int]], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every stretch of ``min_chars`` characters inside one of the regions."""
-    mixed = _mix(code_points(text))
-    prefix = _prefix(mixed)
-    at = [np.arange(a, b - min_chars + 1, dtype=np.int64) for a, b in regions if b - a >= min_chars]
-    if not at:
-        e = np.empty(0, np.int64)
-        return e, e
-    at = np.concatenate(at)
-    return at, ((prefix[at + min_chars] - prefix[at]) * _unpowers(len(mixed) + 1)[at]).view(np.int64)
-
-
-def regions_of(start: np.ndarray, end: np.ndarray, shared: np.ndarray, length: int, window: int) -> list[tuple[int, int]]:
-    """Stretches of text that may lie in a shared span, without overlap.
-
-    All chunks between the first and the last cut that a window wholly inside
-    the span makes are shared, and a span reaches at most ``window + GEAR``
-    characters beyond these cuts; cuts nearer to its ends may come from windows
-    that only one of the documents has.
-    """
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(shared):
-        a, b = max(0, int(start[i]) - window - GEAR), min(length, int(end[i]) + window + GEAR)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, shared_share) of the documents that share a span with another document.
-
-    shared_chars counts the characters that lie in some verbatim span of at
-    least ``min_chars`` characters that another doc_id has too. Repeats within
-    one document don't count; rows of one doc_id are one document (the smallest
-    text of them holds); null ids and texts are left out; short texts can't
-    share. Texts are compared as they are, code point by code point. An empty
-    table gives no rows; extra columns are not read.
+class Cut:
+    """One text, cut: ``cuts`` (positions), ``digests`` of the chunks between two cuts (the ends of the text are no chunks)."""
+
+    def __init__(self, text: str, window: int):
+        mixed = _mix(code_points(text))
+        self.length, self.window = len(mixed), window
+        self.of_window = window_cuts(mixed, window)
+        self.cuts = np.unique(self.of_window)
+        self.prefix = _prefix(mixed)
+        start, end = self.cuts[:-1], self.cuts[1:]
+        digests = self._hash(start, end) ^ _mix((end - start).astype(np.uint64))
+        self.digests = digests.view(np.int64)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) * _unpowers(self.length + 1)[start]
+
+    def stretches(self, min_chars: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash) of every stretch of ``min_chars`` characters that may be shared.
+
+        All chunks between the cut of a stretch's first window and that of its
+        last must be shared: these windows lie wholly inside it, so whoever has
+        the stretch has these chunks.
+        """
+        n = self.length - min_chars + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.arange(n, dtype=np.int64)
+        if shared is not None:
+            missing = np.concatenate([np.zeros(1, np.int64), np.cumsum(~shared)])
+            first = np.searchsorted(self.cuts, self.of_window[at])
+            last = np.searchsorted(self.cuts, self.of_window[at + (min_chars - GEAR + 1 - self.window)])
+            at = at[missing[last] == missing[first]]
+        return at, self._hash(at, at + min_chars).view(np.int64)
+
+
+def shared_stretches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
+    """(doc_id, at): every position of a document from which ``min_chars`` characters stand verbatim in another document.
+
+    Repeats within one document don't count; rows of one doc_id are one
+    document; null ids and texts are left out; shorter texts can't share. Texts
+    are compared as they are, code point by code point. An empty table gives no
+    rows; extra columns are not read.
     """
     window = cut_window(min_chars)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(
@@ -149,57 +135,49 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, digests = [], []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                _, _, dig = chunks(t, window)
-                dig = np.unique(dig)
-                ids.extend([d] * len(dig))
-                digests.append(dig)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "digest": np.concatenate(digests) if digests else np.empty(0, np.int64)})
+            made = [np.unique(Cut(t, window).digests) for t in pdf["text"]]
+            if made:
+                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in made]), "digest": np.concatenate(made)})
 
     made = cut(docs.mapInPandas(cut_texts, f"doc_id {kind}, digest bigint"))
-    n = made.count()
-    common = made.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("digest")
-    marks = (
-        salted_join(made, common, ["digest"], hot_keys(made, ["digest"], n), "doc_id", "inner")
-        .groupBy("doc_id")
-        .agg(F.collect_set("digest").alias("digests"))
-    )
+    # A digest is hot where 1 / 200 of the documents have it: as a document has few chunks, so are the hot digests.
+    least = max(50_000, documents.count() // 200)
+    counted = made.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
+    hot = counted.filter(F.col("n") >= least).select("digest")
+    marks = salted_join(made, counted.select("digest"), ["digest"], hot, "doc_id", "inner").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
     def hash_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, t, dig in zip(pdf["doc_id"], pdf["text"], pdf["digests"], strict=True):
-                start, end, own = chunks(t, window)
-                at, h = stretches(t, regions_of(start, end, np.isin(own, np.asarray(dig, np.int64)), len(t), window), min_chars)
-                if len(h):
-                    h, first = np.unique(h, return_index=True)
-                    yield pd.DataFrame({"doc_id": pd.Series([d] * len(h), dtype=pdf["doc_id"].dtype), "h": h})
-
-    one = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    marked = one.join(marks, "doc_id")
-    grams = cut(marked.mapInPandas(hash_texts, f"doc_id {kind}, h bigint"))
-    m = grams.count()
-    met = grams.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h")
-    found = (
-        salted_join(grams, met, ["h"], hot_keys(grams, ["h"], m), "doc_id", "inner")
-        .groupBy("doc_id")
-        .agg(F.collect_set("h").alias("hs"))
-    )
+            at, hs = [], []
+            for t, dig in zip(pdf["text"], pdf["digests"], strict=True):
+                c = Cut(t, window)
+                p, h = c.stretches(min_chars, np.isin(c.digests, np.asarray(dig, np.int64)))
+                at.append(p)
+                hs.append(h)
+            if at:
+                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in at]), "at": np.concatenate(at), "h": np.concatenate(hs)})
+
+    grams = docs.join(marks, "doc_id").mapInPandas(hash_texts, f"doc_id {kind}, at bigint, h bigint")
+    if hot.isEmpty():
+        # Every stretch holds a whole chunk, so none is in more documents than its chunks: no group of equal ones is hot.
+        w = Window.partitionBy("h")
+        met = grams.withColumn("a", F.min("doc_id").over(w)).withColumn("b", F.max("doc_id").over(w)).filter("a <> b")
+    else:
+        grams = cut(grams)
+        many = grams.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
+        met = salted_join(grams, many.select("h"), ["h"], many.filter(F.col("n") >= least).select("h"), "doc_id", "inner")
+    return met.select("doc_id", "at")
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, t, hs in zip(pdf["doc_id"], pdf["text"], pdf["hs"], strict=True):
-                at, h = stretches(t, [(0, len(t))], min_chars)
-                at = at[np.isin(h, np.asarray(hs, np.int64))]
-                step = np.zeros(len(t) + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + min_chars, -1)
-                rows.append((d, len(t), int((np.cumsum(step)[:-1] > 0).sum())))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "shared_chars"])
-
-    return (
-        one.join(found, "doc_id")
-        .mapInPandas(cover, f"doc_id {kind}, n_chars bigint, shared_chars bigint")
-        .withColumn("shared_share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
-    )
+
+def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
+    """(doc_id, n_chars, shared_chars, shared_share) of the documents that share a span with another document.
+
+    shared_chars counts the characters that lie in some verbatim span of at
+    least ``min_chars`` characters that another doc_id has too. Of several rows
+    of one doc_id the longest text gives n_chars.
+    """
+    at = shared_stretches(documents, id_col, text_col, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    gaps = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at")), lambda a, b: F.least(b - a, F.lit(min_chars)))
+    sizes = documents.select(F.col(id_col).alias("doc_id"), F.length(text_col).cast("bigint").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n_chars"))
+    shared = F.aggregate(gaps, F.lit(min_chars).cast("bigint"), lambda x, y: x + y)
+    return at.join(sizes, "doc_id").select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("shared_share"))
