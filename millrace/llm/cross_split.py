@@ -1,7 +1,9 @@
 """Same or nearly same records across splits: sharded Aho-Corasick automata over evaluation texts.
 
-Words become symbols (one code point each), so a text of 60 words is a string
-of 60 characters. Every evaluation text is cut into pieces of two words; of
+Words become symbols of 20 bits; for the automata each is spelled in four letters
+of 32 (an automaton searches the children of a node one by one, so few of them
+make it fast), of an alphabet of its own per place, so matches begin at words.
+Every evaluation text is cut into pieces of two words; of
 these the ``k + 1`` rarest are patterns, ``k`` being the most word edits that
 any partner may have. A partner keeps all pieces but one per edit, so at least
 one pattern occurs in it unchanged. The patterns are sharded into automata, and
@@ -84,6 +86,15 @@ def patterns(text: str, counts: dict[str, int], share: float) -> tuple[int, list
     return k, pieces[: k + 1]
 
 
+_SHIFTS = np.array([15, 10, 5, 0], np.uint32)
+_ALPHABETS = np.array([0x100, 0x120, 0x140, 0x160], np.uint32)
+
+
+def _spell(codes: np.ndarray) -> str:
+    """Four letters per symbol."""
+    return (((codes.astype(np.uint32) - np.uint32(0x10000))[:, None] >> _SHIFTS & np.uint32(31)) + _ALPHABETS).astype(np.uint32).tobytes().decode("utf-32-le")
+
+
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, counts: dict[str, int], share: float) -> pd.DataFrame:
     import ahocorasick
 
@@ -92,34 +103,36 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, counts: dict[str, int], sha
         return pd.DataFrame(columns=columns)
     texts = [x.astype(np.uint32).tobytes().decode("utf-32-le") for x in map(np.asarray, evals["symbols"])]
     places: dict[str, list[int]] = {}
-    pieces_of, flat_pos = [], []
-    for n, t in enumerate(texts):
+    pieces_of = []
+    for n, (t, x) in enumerate(zip(texts, evals["symbols"], strict=True)):
         _, chosen = patterns(t, counts, share)
+        spelled = _spell(np.asarray(x))
         pieces_of.append(len(chosen))
         for at, p in chosen:
-            places.setdefault(p, []).extend((n, at))
+            places.setdefault(spelled[4 * at : 4 * (at + len(p))], []).extend((n, at))
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     lists = []
     for p, x in places.items():
         machine.add_word(p, len(lists))
-        lists.append((len(p), x))
+        lists.append((len(p) // 4, x))
     if not lists:
         return pd.DataFrame(columns=columns)
     machine.make_automaton()
-    del places, flat_pos
+    del places
     keys, out = evals["eval_key"].tolist(), []
     for key, x in zip(trains["train_key"], trains["symbols"], strict=True):
         t = np.asarray(x).astype(np.uint32).tobytes().decode("utf-32-le")
         m = len(t)
         hits: dict[int, list[tuple[int, int]]] = {}
-        for end, which in machine.iter(t):
+        for end, which in machine.iter(_spell(np.asarray(x))):
             length, where = lists[which]
+            begin = end // 4 - length + 1
             for i in range(0, len(where), 2):
-                hits.setdefault(where[i], []).append((where[i + 1], end - length + 1))
+                hits.setdefault(where[i], []).append((where[i + 1], begin))
         for n, found in hits.items():
             e = texts[n]
             most = int(share * max(len(e), m) + 1e-9)
-            near = {at: (at, end) for at, end in found if abs(at - end) <= most}
+            near = {at for at, begin in found if abs(at - begin) <= most}
             # Every edit spoils one piece at most.
             if abs(len(e) - m) > most or len(near) < max(1, pieces_of[n] - most):
                 continue
