@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import canonical_key_sql
+from millrace.llm.answers import defective_answers
 from millrace.llm.components import assign_splits, held_out_records
 from millrace.llm.cross_split import cross_split_pairs
 from millrace.llm.leakage import find_leaks
+from millrace.llm.packing import container_use, pack
 from millrace.llm.shared_spans import shared_spans, shared_stretches
 from millrace.session import table
 
@@ -27,6 +29,17 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return assign_splits(table(spark, sf, "loads"), "load_id", _ENTITIES, held, "route_id", "r", targets).select(F.col("record_id").alias("load_id"), "split")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defective_answers(table(spark, sf, "generation_results"), table(spark, sf, "sft_records"))
+
+
+def p3_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Defects per model."""
+    found = p3_found(spark, sf)
+    models = table(spark, sf, "generation_results").groupBy("result_id").agg(F.min("model_id").alias("model_id"))
+    return found.join(models, "result_id").groupBy("model_id", "defect").agg(F.count(F.lit(1)).alias("n_results"))
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split_pairs(table(spark, sf, "sft_records"), table(spark, sf, "sample_plan"))
 
@@ -42,6 +55,15 @@ def p4_by_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
+
+
+def p6_use(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return container_use(p6_packed(spark, sf), table(spark, sf, "pack_targets"))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -67,7 +89,7 @@ def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p4_found, p4_by_split, p7_found, p7_items, p8_found, p8_shared)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p3_found, p3_by_model, p4_found, p4_by_split, p6_packed, p6_use, p7_found, p7_items, p8_found, p8_shared)}
 
 _C, _R = canonical_key_sql("customer_id"), canonical_key_sql("route_id")
 
