@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,9 +74,22 @@ LETTERS = {"uk": "іїєґ", "ru": "ыэъё", "pl": "łąęśżźćń", "es": "
 #: Budgets of tokens at which a generation is cut.
 TOKEN_CAPS = frozenset(64 * 2**i for i in range(1, 10))
 
-_REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.IGNORECASE)
-_COURTESY = re.compile(COURTESY, re.IGNORECASE)
-_WORDS = {lang: frozenset(ws.split()) for lang, ws in FUNCTION_WORDS.items()}
+_REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps))  # on text in lower case
+_COURTESY = re.compile(COURTESY)
+#: Every pattern of a refusal holds one of these; most texts hold none and are not searched further.
+_STEMS = (
+    "can't can’t cannot couldn won't won’t unable decline refuse abstain against guideline polic rules instructions beyond outside allowed permitted authori comfortable "
+    "не_могу не_смо не_можем не_вправе не_имею не_стану не_буду отказ предпоч воздерж запрещ правила политик инструкц регламент не_позвол противореч рамки не_ко_мне нельзя обратитесь "
+    "не_можу відмовл nie_mogę odmówić no_puedo nicht je_ne can_not could_not will_not not_able pass_on rather_not prefer_not no_answer not_going not_something not_i an_ai not_for_me please_ask please_turn please_contact "
+    "за_пределами ответа_не как_ии искусственный мне_не_ in_a_position"
+).replace("_", "\0").split()
+_STEMS = tuple(x.replace("\0", " ") for x in _STEMS)
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _lang, _ws in FUNCTION_WORDS.items():
+    for _w in _ws.split():
+        _LANGUAGES_OF[_w] = tuple(sorted({*_LANGUAGES_OF.get(_w, ()), _lang}))
+_NOT_RUSSIAN = re.compile("[a-zA-ZіїєґІЇЄҐÀ-ɏ]{3}|[іїєґІЇЄҐ]|[^\\W\\d_Ѐ-ӿ]{2}")
+_CYRILLIC, _LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[a-zÀ-ɏ]")
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|\n|$|[.!?]+)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d")
 _END = re.compile(r"[\"»”’')\]]*[.!?…]")
@@ -95,6 +108,8 @@ def is_empty(text: str | None) -> bool:
     """Nothing said: no letters or digits, a word for nothing, or only a shell (fence, brackets, quotes, keys without values)."""
     if text is None:
         return True
+    if len(text) > 100 and text[0].isalpha() and text[:40].strip(" .").count(" ") > 1:
+        return False
     bare = _HIDDEN.sub(" ", strip_fence(text)).strip()
     if not re.search(r"[^\W_]", bare) or bare.strip(" \"'`.,:;!?-–—()[]{}<>*#").casefold() in SHELLS:
         return True
@@ -132,8 +147,12 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     """
     if not prompt:
         return False
+    a, p = copied_share(prompt, answer)
+    if a >= COPY_ANSWER or p < COPY_PROMPT:
+        return a < COPY_ANSWER
     body = prompt.split("\n", 1)[1].strip() if "\n" in prompt else prompt
-    return any(a < COPY_ANSWER and p < COPY_PROMPT for a, p in (copied_share(prompt, answer), copied_share(body, answer)))
+    a, p = copied_share(body, answer)
+    return a < COPY_ANSWER and p < COPY_PROMPT
 
 
 #: Largest ratios of a copy: of the answer by the request, and of the request by the answer.
@@ -178,8 +197,8 @@ def is_refusal(text: str) -> bool:
         if '"card"' in part or len(part) > 600:
             return False
         text = " ".join(re.findall(r"\"((?:[^\"\\]|\\.)*)\"\s*(?=[,}\]]|$)", part)) or part
-    text = text.replace("\\n", " ")
-    if not _REFUSAL.search(text):
+    text = text.replace("\\n", " ").lower()
+    if not any(x in text for x in _STEMS) or not _REFUSAL.search(text):
         return False
     no = total = 0
     for s in _SENTENCE.findall(text):
@@ -190,22 +209,29 @@ def is_refusal(text: str) -> bool:
     return no * 2 >= total
 
 
-def sentence_language(sentence: str) -> str | None:
-    """Language by dictionary and letters; for a sentence of unknown words the script alone; None without letters."""
-    words = re.findall(r"[^\W\d_]+", sentence.lower())
+def sentence_language(sentence: str) -> tuple[str | None, int]:
+    """(language, letters) by dictionary and letters; for a sentence of unknown words the script alone; None without letters."""
+    low = sentence.lower()
+    words = re.findall(r"[^\W\d_]+", low)
     if not words:
-        return None
-    letters = "".join(words)
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in letters)
-    latin = sum(c.isascii() or "À" <= c <= "ɏ" for c in letters)
-    if cyrillic * 2 < len(letters) and latin * 2 < len(letters):
-        return "other"
-    among = ("ru", "uk") if cyrillic >= latin else tuple(x for x in _WORDS if x not in ("ru", "uk"))
-    count = Counter({lang: sum(w in _WORDS[lang] for w in words) for lang in among})
-    for lang in among:
-        count[lang] += 2 * sum(letters.count(c) for c in LETTERS.get(lang, ""))
-    best = max(among, key=lambda lang: (count[lang], lang == among[0]))
-    return best if count[best] else among[0]
+        return None, 0
+    letters = sum(map(len, words))
+    cyrillic, latin = len(_CYRILLIC.findall(low)), len(_LATIN.findall(low))
+    if cyrillic * 2 < letters and latin * 2 < letters:
+        return "other", letters
+    slavic = cyrillic >= latin
+    count = Counter(lang for w in words for lang in _LANGUAGES_OF.get(w, ()) if (lang in ("ru", "uk")) == slavic)
+    if not low.isascii():
+        for lang, own in LETTERS.items():
+            if (lang in ("ru", "uk")) == slavic:
+                n = sum(low.count(c) for c in own)
+                if n:
+                    count[lang] += 2 * n
+    first = "ru" if slavic else "en"
+    if not count:
+        return first, letters
+    most = max(count.values())
+    return (first if count[first] == most else min(lang for lang in count if count[lang] == most)), letters
 
 
 def is_foreign(text: str, language: str | None, prompt: str | None) -> bool:
@@ -215,17 +241,17 @@ def is_foreign(text: str, language: str | None, prompt: str | None) -> bool:
     """
     if _json_text(text) is not None:
         return False
-    language = (language or "").strip().lower()[:2] or (sentence_language(prompt) if prompt else None)
+    language = (language or "").strip().lower()[:2] or (sentence_language(prompt)[0] if prompt else None)
     if not language:
         return False
+    if language == "ru" and not _NOT_RUSSIAN.search(text):
+        return False
     text = _QUOTED.sub(" ", text)
     mine = total = 0
     for s in _SENTENCE.findall(text):
-        lang = sentence_language(s)
-        if lang:
-            n = sum(c.isalpha() for c in s)
-            total += n
-            mine += n * (lang == language)
+        lang, n = sentence_language(s)
+        total += n
+        mine += n * (lang == language)
     return total > 0 and mine * 2 < total
 
 
@@ -237,27 +263,41 @@ def _shape(token: str) -> str:
     return "9" if token[0].isdigit() else "Aa" if token[0].isupper() else "aa"
 
 
-def contexts(text: str) -> Iterator[tuple[str, bool]]:
-    """(context, terminal) of every word whose right side is known: last two words, and the last letters of the word."""
-    found = list(_TOKEN.finditer(text))
-    for i, m in enumerate(found):
-        last = i + 1 == len(found)
-        end = bool(_END.match(text, m.end())) and (last or text[m.end() : found[i + 1].start()].strip(" ") != "" and text[found[i + 1].start() - 1].isspace())
-        if last and not end:
-            continue
-        before = _norm(found[i - 1].group()) if i else "^"
-        yield f"2 {before} {_norm(m.group())}", end
-        yield f"1 {before} {_shape(m.group())}", end
-
-
-def suffixes(text: str) -> Iterator[tuple[str, bool]]:
-    """(suffix, ends a word) for the last three letters at every place of the words (of at least three letters)."""
-    found = list(_TOKEN.finditer(text))
-    for m in found[:-1]:
-        w = m.group().lower()
+_PART = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d)((?:[\"»”’')\]]*[.!?…]+[\"»”’')\]]*(?=\s|$))?)")
+
+
+def parts(text: str) -> list[tuple[str, bool]]:
+    """(word, whether a sentence ends after it) of a text."""
+    return [(w, bool(end)) for w, end in _PART.findall(text)]
+
+
+def count_contexts(texts: Iterable[str]) -> Counter:
+    """Counter of (key, terminal) over texts: a word with the one before it, the word's shape with it, and its last letters.
+
+    The last word of a text counts only where a full stop follows: otherwise what comes next is unknown.
+    """
+    pairs: Counter = Counter()
+    inner: Counter = Counter()
+    for t in texts:
+        found = parts(t)
+        if found and not found[-1][1]:
+            found.pop()
+        before = "^"
+        for w, end in found:
+            pairs[before, w, end] += 1
+            inner[w] += 1
+            before = w
+    out: Counter = Counter()
+    for (before, w, end), n in pairs.items():
+        b = _norm(before)
+        out[f"2 {b} {_norm(w)}", end] += n
+        out[f"1 {b} {_shape(w)}", end] += n
+    for w, n in inner.items():
         if not w[0].isdigit():
-            for j in range(3, len(w) + 1):
-                yield f"s {w[j - 3 : j]}", j == len(w)
+            low = w.lower()
+            for j in range(3, len(low) + 1):
+                out[f"s {low[j - 3 : j]}", j == len(low)] += n
+    return out
 
 
 class TerminalModel:
@@ -274,41 +314,32 @@ class TerminalModel:
         part = _json_text(text)
         if part is not None:
             return json_open(part)
-        bare = strip_fence(text).rstrip(" \n\t\r ​*_")
-        found = list(_TOKEN.finditer(bare))
+        bare = strip_fence(text).rstrip(" \n\t\r\u00a0\u200b*_")
+        found = list(_TOKEN.finditer(bare, max(0, len(bare) - 400)))
         if not found:
             return False
         if _OPEN.search(bare[-200:]):
             return True
+        w, two = found[-1].group(), len(found) > 1
+        before = _norm(found[-2].group()) if two else "^"
+        key = f"2 {before} {_norm(w)}"
+        rate = self._rate(key)
         if _CLOSED.search(bare):
             # A full stop inside a number or after an abbreviation: the last words never end a sentence elsewhere.
-            rate = self._rate(f"2 {_norm(found[-2].group()) if len(found) > 1 else '^'} {_norm(found[-1].group())}")
-            return bare.endswith(".") and rate is not None and rate < 0.02 and self.counts[f"2 {_norm(found[-2].group())} {_norm(found[-1].group())}"][0] >= 30
-        m = found[-1]
-        tail = bare[m.end() :].strip("\"»”’'")
-        if tail.strip():  # comma, dash, colon, opening bracket
+            return bare.endswith(".") and rate is not None and rate < 0.02 and self.counts[key][0] >= 30
+        if bare[found[-1].end() :].strip("\"»”’' "):  # comma, dash, colon
             return True
-        lines = bare.rsplit("\n", 1)[-1]
-        if _SIGNATURE.search(lines.rsplit(". ", 1)[-1]):
+        if _SIGNATURE.search(bare.rsplit("\n", 1)[-1].rsplit(". ", 1)[-1]):
             return False
-        w = m.group()
-        before = _norm(found[-2].group()) if len(found) > 1 else "^"
-        if len(found) > 1 and _END.match(bare, found[-2].end()):
-            before_end = True
-        else:
-            before_end = False
         capped = tokens is not None and tokens == tokens and int(tokens) in TOKEN_CAPS
-        rate = self._rate(f"2 {before} {_norm(w)}")
         if rate is None:
-            if not w[0].isdigit() and len(w) >= 3:
-                inner = self._rate(f"s {w.lower()[-3:]}")
+            if not w[0].isdigit():
+                inner = self._rate(f"s {w.lower()[-3:]}") if len(w) >= 3 else None
                 if inner is None or inner < 0.05:
                     return True
-            elif not w[0].isdigit() and len(w) < 3:
-                return True
             rate = self._rate(f"1 {before} {_shape(w)}")
-        if before_end and not rate:
-            return True
+        if two and not rate and _END.match(bare, found[-2].end()):
+            return True  # a sentence of one word that never ends one
         return rate is None or rate < (0.9 if capped else 0.3)
 
 
@@ -320,17 +351,9 @@ def terminal_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n: Counter = Counter()
-            ends: Counter = Counter()
-            for t in pdf["text"]:
-                if _json_text(t) is None:
-                    for key, end in contexts(t):
-                        n[key] += 1
-                        ends[key] += end
-                    for key, end in suffixes(t):
-                        n[key] += 1
-                        ends[key] += end
-            yield pd.DataFrame({"key": list(n), "n": list(n.values()), "ends": [int(ends[k]) for k in n]})
+            counted = count_contexts(t for t in pdf["text"] if _json_text(t) is None)
+            keys = sorted({k for k, _ in counted})
+            yield pd.DataFrame({"key": keys, "n": [counted[k, True] + counted[k, False] for k in keys], "ends": [counted[k, True] for k in keys]})
 
     counted = texts.select(F.col(text_col).alias("text")).filter("text is not null").mapInPandas(count, "key string, n bigint, ends bigint")
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
