@@ -15,6 +15,8 @@ edit distance.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,8 +28,8 @@ from millrace.functions.keys import canonical_key
 from millrace.session import cut
 
 #: Pieces in one automaton and training texts in one cell: both bound a task's memory, neither what is compared.
-SHARD_PIECES = 400_000
-CELL_TEXTS = 60_000
+SHARD_PIECES = 250_000
+CELL_TEXTS = 120_000
 EVAL_SPLITS = ("val", "test", "test_ood", "bench")
 
 
@@ -80,7 +82,7 @@ def patterns(text: str, counts: dict[str, int], share: float) -> tuple[int, list
         return 0, []
     # A partner of m words has at most share * m edits and n >= m - share * m.
     k = int(share * n / (1 - share) + 1e-9)
-    size = max(1, min(2, n // (k + 1)))
+    size = piece_size(n, share)
     pieces = [(i, text[i : i + size]) for i in range(0, n - size + 1, size)]
     pieces.sort(key=lambda p: (min(counts.get(c, 0) for c in p[1]), p[0]))
     return k, pieces[: k + 1]
@@ -95,57 +97,81 @@ def _spell(codes: np.ndarray) -> str:
     return (((codes.astype(np.uint32) - np.uint32(0x10000))[:, None] >> _SHIFTS & np.uint32(31)) + _ALPHABETS).astype(np.uint32).tobytes().decode("utf-32-le")
 
 
-def _scan(evals: pd.DataFrame, trains: pd.DataFrame, counts: dict[str, int], share: float) -> pd.DataFrame:
+def _choose(batches: Iterator[pd.DataFrame], counts: dict[str, int], share: float) -> Iterator[pd.DataFrame]:
+    """(key, symbols, places): the positions of the patterns of each evaluation text."""
+    for pdf in batches:
+        places = [[at for at, _ in patterns(_text(x), counts, share)[1]] for x in pdf["symbols"]]
+        yield pdf.assign(places=pd.Series(places, dtype=object))
+
+
+def _text(codes: np.ndarray) -> str:
+    return np.asarray(codes).astype(np.uint32).tobytes().decode("utf-32-le")
+
+
+def piece_size(n: int, share: float) -> int:
+    return max(1, min(2, n // (int(share * n / (1 - share) + 1e-9) + 1)))
+
+
+def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     import ahocorasick
 
     columns = ["eval_key", "train_key", "distance", "coverage"]
     if not len(evals) or not len(trains):
         return pd.DataFrame(columns=columns)
-    texts = [x.astype(np.uint32).tobytes().decode("utf-32-le") for x in map(np.asarray, evals["symbols"])]
-    places: dict[str, list[int]] = {}
-    pieces_of = []
-    for n, (t, x) in enumerate(zip(texts, evals["symbols"], strict=True)):
-        _, chosen = patterns(t, counts, share)
-        spelled = _spell(np.asarray(x))
-        pieces_of.append(len(chosen))
-        for at, p in chosen:
-            places.setdefault(spelled[4 * at : 4 * (at + len(p))], []).extend((n, at))
+    keys, texts = evals["eval_key"].tolist(), evals["symbols"].tolist()
+    pieces_of = [len(p) for p in evals["places"]]
+    spelled, at = _spell(np.concatenate(texts)), 0
+    where: dict[str, list[int]] = {}
+    for n, (x, places) in enumerate(zip(texts, evals["places"], strict=True)):
+        size = 4 * piece_size(len(x), share)
+        for p in places:
+            b = at + 4 * int(p)
+            where.setdefault(spelled[b : b + size], []).append(n)
+        at += 4 * len(x)
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     lists = []
-    for p, x in places.items():
+    for p, ns in where.items():
         machine.add_word(p, len(lists))
-        lists.append((len(p) // 4, x))
-    if not lists:
-        return pd.DataFrame(columns=columns)
+        lists.append(ns)
     machine.make_automaton()
-    del places
-    keys, out = evals["eval_key"].tolist(), []
+    del where
+    bags: dict[int, frozenset[int]] = {}
+    out = []
+    spelled, at = _spell(np.concatenate(trains["symbols"].tolist())), 0
     for key, x in zip(trains["train_key"], trains["symbols"], strict=True):
-        t = np.asarray(x).astype(np.uint32).tobytes().decode("utf-32-le")
-        m = len(t)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for end, which in machine.iter(_spell(np.asarray(x))):
-            length, where = lists[which]
-            begin = end // 4 - length + 1
-            for i in range(0, len(where), 2):
-                hits.setdefault(where[i], []).append((where[i + 1], begin))
-        for n, found in hits.items():
-            e = texts[n]
-            most = int(share * max(len(e), m) + 1e-9)
-            near = {at for at, begin in found if abs(at - begin) <= most}
-            # Every edit spoils one piece at most.
-            if abs(len(e) - m) > most or len(near) < max(1, pieces_of[n] - most):
+        m = len(x)
+        hits: Counter[int] = Counter()
+        for _, which in machine.iter(spelled[at : at + 4 * m]):
+            hits.update(lists[which])
+        at += 4 * m
+        bag = text = None
+        for n, seen in hits.items():
+            length = len(texts[n])
+            longer = max(length, m)
+            most = int(share * longer + 1e-9)
+            # Every edit spoils one piece at most, and one word at most of those both have.
+            if abs(length - m) > most or seen < pieces_of[n] - most:
+                continue
+            if bag is None:
+                bag, text = frozenset(x.tolist()), _text(x)
+            other = bags.get(n)
+            if other is None:
+                other = bags[n] = frozenset(texts[n].tolist())
+            if len(bag & other) < longer - most - (length - len(other)):
                 continue
-            d = word_distance(e, t, most)
+            d = word_distance(_text(texts[n]), text, most)
             if d <= most:
-                size = max(1, min(2, len(e) // (int(share * len(e) / (1 - share) + 1e-9) + 1)))
-                covered: set[int] = set()
-                for at in near:
-                    covered.update(range(at, at + size))
-                out.append((keys[n], key, d, len(covered) / len(e)))
+                out.append((keys[n], key, d, _coverage(texts[n], evals["places"].iat[n], text, share)))
     return pd.DataFrame(out, columns=columns)
 
 
+def _coverage(codes: np.ndarray, places: np.ndarray, text: str, share: float) -> float:
+    """Share of the evaluation text in the merged intervals of its patterns that occur in the training text."""
+    mine, size = _text(codes), piece_size(len(codes), share)
+    covered = {i for at in places if mine[at : at + size] in text for i in range(at, at + size)}
+    return len(covered) / len(mine)
+
+
 def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataFrame:
     """(eval_key, train_key, distance, coverage) of all pairs that differ in at most ``share`` of the words of the longer.
 
@@ -159,17 +185,18 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     counts = {chr(r["s"]): r["count"] for r in common.collect()}
     size = evals.agg(F.sum(F.floor(F.size("symbols") * share / (1 - share)) + 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(size) // SHARD_PIECES))
-    blocks = max(4, -(-trains.count() // CELL_TEXTS))
-    grid = lambda df, mine, n_mine, other, n_other: df.withColumn(mine, F.pmod(F.xxhash64("key"), F.lit(n_mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))  # noqa: E731, E501
-    left = grid(evals, "shard", shards, "block", blocks).withColumnRenamed("key", "eval_key")
-    right = grid(trains, "block", blocks, "shard", shards).withColumnRenamed("key", "train_key")
-    cells = shards * blocks
-    by = ["shard", "block"]
+    blocks = max(1, -(-trains.count() // CELL_TEXTS))
+    kept = evals.mapInPandas(lambda b: _choose(b, counts, share), "key string, symbols array<int>, places array<int>")
+    mine = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = kept.withColumn("shard", mine(shards)).withColumn("block", all_of(blocks)).withColumnRenamed("key", "eval_key")
+    right = trains.withColumn("block", mine(blocks)).withColumn("shard", all_of(shards)).withColumnRenamed("key", "train_key")
+    cells, by = shards * blocks, ["shard", "block"]
     return (
         left.repartition(cells, *by)
         .groupBy(*by)
         .cogroup(right.repartition(cells, *by).groupBy(*by))
-        .applyInPandas(lambda a, b: _scan(a, b, counts, share), "eval_key string, train_key string, distance int, coverage double")
+        .applyInPandas(lambda a, b: _scan(a, b, share), "eval_key string, train_key string, distance int, coverage double")
     )
 
 
