@@ -38,6 +38,10 @@ def pooled_share(hit: Column, miss: Column) -> Column:
     return F.try_divide(F.sum(hit.cast("double")), F.sum((hit + miss).cast("double")))
 
 
+def equals(name: str):
+    return lambda e: e == F.lit(name)
+
+
 def registry() -> dict[str, Column]:
     """Name -> aggregate of a case-score table. All metrics are computed in one pass."""
     ok, failed = F.col("failed") == F.lit(False), F.col("failed")
@@ -52,7 +56,7 @@ def registry() -> dict[str, Column]:
     for f in CARD_FIELDS:
         out[f"field_accuracy.{f}"] = rate(fields[f])
     for k in CRITICAL:
-        out[f"critical_error_count.{k}"] = total(F.when(ok, F.size(F.filter("critical_errors", lambda e, k=k: e == k))))
+        out[f"critical_error_count.{k}"] = total(F.when(ok, F.size(F.filter("critical_errors", equals(k)))))
     return out
 
 

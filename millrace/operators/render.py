@@ -40,7 +40,7 @@ def _fragments(language: str, case: Column, key: Column, seed: int) -> dict[str,
     ru = language == "ru"
     unit, each = F.col("unit"), F.col("each")
     mass = _weight(unit, F.when(case == "per_piece_weight", each).otherwise(F.col("stated")), language)
-    other = _weight(unit, F.col("stated") + 1000, language)
+    other = _weight(unit, F.round(F.col("stated") * 1.1 + F.when(unit == "t", 0.1).otherwise(1.0), 1), language)
     n = F.col("pieces").cast("string")
     whole = F.concat(n, F.lit(" мест, вес " if ru else " pieces, weight "), mass)
     cargo = (

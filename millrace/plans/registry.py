@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import profiling, training_data
+from millrace.plans import evaluation, profiling, training_data, validation
 
-MODULES = [profiling, training_data]
+MODULES = [profiling, validation, evaluation, training_data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,13 +13,13 @@ def squeeze(text: str) -> str:
 
 
 def user_text(messages: str = "messages") -> str:
-    return f"list_filter({messages}, m -> m.role = 'user')[1].content"
+    return f"list_filter({messages}, lambda m: m.role = 'user')[1].content"
 
 
 def normal_request(text: str) -> str:
     """Body after a dated header, in squeezed form."""
     header = rf"regexp_extract({text}, '(?s)\A(.*?)\n\n', 1)"
-    dated = rf"regexp_matches({header}, '(?i)^(?:request date|дата запроса)\b[^\n]*$')"
+    dated = rf"regexp_matches({header}, '(?i)^(?:request date|дата запроса)([^\p{{L}}\p{{N}}\n][^\n]*)?$')"
     return squeeze(rf"CASE WHEN {dated} THEN regexp_replace({text}, '(?s)\A.*?\n\n', '') ELSE {text} END")
 
 
