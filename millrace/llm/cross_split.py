@@ -29,7 +29,7 @@ from millrace.session import cut
 
 #: Pieces in one automaton and training texts in one cell: both bound a task's memory, neither what is compared.
 SHARD_PIECES = 250_000
-CELL_TEXTS = 120_000
+CELL_TEXTS = 80_000
 EVAL_SPLITS = ("val", "test", "test_ood", "bench")
 
 

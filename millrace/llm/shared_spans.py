@@ -25,6 +25,8 @@ from millrace.session import cut, salted_join
 
 #: Characters that a gear hash sees: the bits of its word.
 GEAR = 32
+#: Documents with one chunk from which it can count as hot.
+HOT_FLOOR = 50_000
 #: Odd base of the polynomial over stretches and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -141,7 +143,7 @@ def shared_stretches(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     made = cut(docs.mapInPandas(cut_texts, f"doc_id {kind}, digest bigint"))
     # A digest is hot where 1 / 200 of the documents have it: as a document has few chunks, so are the hot digests.
-    least = max(50_000, documents.count() // 200)
+    least = max(HOT_FLOOR, documents.count() // 200)
     counted = made.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
     hot = counted.filter(F.col("n") >= least).select("digest")
     marks = salted_join(made, counted.select("digest"), ["digest"], hot, "doc_id", "inner").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
