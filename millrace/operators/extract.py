@@ -33,11 +33,11 @@ CATEGORY = (
     ("consumer_goods", r"подгузник|велосипед|стиральн|мебел|diapers|bicycle|washing|furniture"), ("general", r"плитк|рулон|провод|гранул|кронштейн|инструмент|tiles|rolls|wire|pellets|brackets|tools"),
 )
 CUES = {
-    "origin": ("from", "origin", "loading", "load at", "pick up", "pickup", "collect", "ex ", "из ", "откуда", "погрузк", "загрузк", "забрать", "берём", "берем"),
+    "origin": ("from", "origin", " loading", "\nloading", " load at", "pick up", "pickup", "collect", "ex ", "из ", "откуда", "погрузк", "загрузк", "забрать", "берём", "берем"),
     "destination": ("to ", "destination", "unloading", "unload", "deliver", "drop", "куда", "выгрузк", "разгрузк", "отвезти", "сдать", "доставить", "доставк"),
 }
 DELIVERY_CUES = ("выгруз", "разгруз", "достав", "прибыт", "сдать", "примет", "принима", "deliver", "unload", "arriv", "drop", "accepts")
-PICKUP_CUES = ("забрать", "забор", "погруз", "загруз", "готовность", "pick up", "pickup", "ready", "collect", "loading", "load at")
+PICKUP_CUES = ("забрать", "забор", "погруз", "загруз", "готовность", "pick up", "pickup", "ready", "collect", " loading", "\nloading", " load at")
 MONTHS = {m: i % 12 + 1 for i, m in enumerate("январ феврал март апрел мая июн июл август сентябр октябр ноябр декабр jan feb mar apr may jun jul aug sep oct nov dec".split())}
 RELATIVE = {"сегодня": 0, "today": 0, "завтра": 1, "tomorrow": 1, "послезавтра": 2, "the day after tomorrow": 2}
 REQUIRED = ("origin", "destination", "pickup_date", "pieces", "weight")
@@ -90,7 +90,7 @@ def places_in(text: str, pattern: re.Pattern[str] | None, forms: dict[str, str])
     if pattern is None:
         return None, None
     low = text.lower()
-    seen = [(forms[m.group(1).lower()], _nearest(low[max(0, m.start() - 40) : m.start()])) for m in pattern.finditer(text)]
+    seen = [(forms[m.group(1).lower()], _nearest(" " + low[max(0, m.start() - 40) : m.start()])) for m in pattern.finditer(text)]
     origin = next((c for c, r in seen if r == "origin"), None)
     destination = next((c for c, r in seen if r == "destination" and c != origin), None)
     if origin is None:
@@ -120,7 +120,7 @@ def dates_in(text: str, today: date | None) -> tuple[date | None, date | None]:
                 day = None
             if day:
                 taken.append(m.span())
-                before = low[max(0, m.start() - 40) : m.start()]
+                before = " " + low[max(0, m.start() - 40) : m.start()]
                 last = lambda cues, before=before: max(before.rfind(c) for c in cues)
                 found.append((m.start(), day, last(DELIVERY_CUES) > last(PICKUP_CUES)))
     found.sort()

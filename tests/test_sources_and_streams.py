@@ -11,7 +11,7 @@ from millrace.sources import artifacts, records, tables
 from millrace.streaming.logs import last_epoch, log_stream, sessions, upsert_last, windowed_counts
 
 
-def test_schemas():
+def test_schemas(spark):
     assert schemas.columns(schemas.RECORD)[:3] == ["id", "task", "group_id"] and len(schemas.columns(schemas.RECORD)) == 12
     with pytest.raises(ValueError, match="can't be read"):
         schemas.schema_of("facts", "facts_v9")
@@ -118,6 +118,7 @@ def test_extraction():
     card = lambda t: ex.card_of(t, g.pattern(), forms)
     c = card("Request date: 2023-03-09\n\nDrop at Dunmarsh, pick up from Velden Falls tomorrow. 6 pieces, total weight 12061 kgs. Unload October 21 before 21:00. Keep plus 5 to plus 8 degrees. Secure with 9 straps. For Vicmil Retail.")
     assert c[:4] == ("Velden Falls", "Dunmarsh", date(2023, 3, 10), date(2023, 10, 21)) and c[4:9] == (12061.0, "kg", False, 12061.0, 6) and c[9:13] == ("Vicmil Retail", 5.0, 8.0, 9) and c[13] == []
+    assert card("Unloading: Dunmarsh. Loading: Craywick.")[:2] == ("Craywick", "Dunmarsh")
     assert card(None)[13] == list(ex.REQUIRED) and card("")[0] is None
     assert ex.dates_in("31.02.2024 then 05.03.2024", None) == (date(2024, 3, 5), None)
     assert ex.dates_in("забор 5 мая, доставка 07/13/2024", date(2023, 1, 1)) == (date(2023, 5, 5), date(2024, 7, 13))
