@@ -71,9 +71,6 @@ FUNCTION_WORDS = {
 }
 LETTERS = {"uk": "іїєґ", "ru": "ыэъё", "pl": "łąęśżźćń", "es": "ñ¿¡", "de": "ßäöü", "fr": "çêèœ", "pt": "ãõ", "cs": "řěů", "tr": "ğış"}
 
-#: Budgets of tokens at which a generation is cut.
-TOKEN_CAPS = frozenset(64 * 2**i for i in range(1, 10))
-
 _REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps))  # on text in lower case
 _COURTESY = re.compile(COURTESY)
 #: Every pattern of a refusal holds one of these; most texts hold none and are not searched further.
@@ -310,7 +307,8 @@ class TerminalModel:
         n, ends = self.counts.get(key, (0, 0))
         return ends / n if n >= self.least else None
 
-    def truncated(self, text: str, tokens: float | None = None) -> bool:
+    def truncated(self, text: str) -> bool:
+        """Whether the text ends before its end. A used-up token budget tells nothing: whole answers have it too."""
         part = _json_text(text)
         if part is not None:
             return json_open(part)
@@ -331,7 +329,6 @@ class TerminalModel:
             return True
         if _SIGNATURE.search(bare.rsplit("\n", 1)[-1].rsplit(". ", 1)[-1]):
             return False
-        capped = tokens is not None and tokens == tokens and int(tokens) in TOKEN_CAPS
         if rate is None:
             if not w[0].isdigit():
                 inner = self._rate(f"s {w.lower()[-3:]}") if len(w) >= 3 else None
@@ -340,7 +337,7 @@ class TerminalModel:
             rate = self._rate(f"1 {before} {_shape(w)}")
         if two and not rate and _END.match(bare, found[-2].end()):
             return True  # a sentence of one word that never ends one
-        return rate is None or rate < (0.9 if capped else 0.3)
+        return rate is None or rate < 0.1
 
 
 _SIGNATURE = re.compile(r"^\W*(?:с уважением|best regards|kind regards|regards|sincerely|yours|спасибо|thanks|thank you|всего доброго|best)\b[^.]{0,40}$", re.IGNORECASE)
@@ -362,7 +359,7 @@ def terminal_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def defective_answers(results: DataFrame, records: DataFrame, rare_share: float = 1 / 5000) -> DataFrame:
     """(result_id, defect): the first that fits of empty, copied, refusal, truncated, wrong_language.
 
-    ``results`` (result_id, record_id, text, completion_tokens), ``records`` (id,
+    ``results`` (result_id, record_id, text), ``records`` (id,
     language, messages). The model is counted over all answers; of its counts,
     those seen in at least ``rare_share`` of the answers (3 at least) are sent
     to the workers, so at most words per answer / rare_share keys: the size does
@@ -371,7 +368,7 @@ def defective_answers(results: DataFrame, records: DataFrame, rare_share: float
     of one id. Null result_ids are left out. An error text alone is no defect.
     """
     answers = results.filter("result_id is not null").groupBy("result_id").agg(
-        F.min(F.struct("record_id", "text", "completion_tokens")).alias("r")
+        F.min(F.struct("record_id", "text")).alias("r")
     ).select("result_id", "r.*")
     n = answers.count()
     least = max(3, int(n * rare_share))
@@ -387,23 +384,23 @@ def defective_answers(results: DataFrame, records: DataFrame, rare_share: float
         model = TerminalModel(shared.value)
         for pdf in batches:
             rows = []
-            for rid, text, tokens, lang, prompt in zip(pdf["result_id"], pdf["text"], pdf["completion_tokens"], pdf["language"], pdf["prompt"], strict=True):
-                defect = defect_of(text, tokens, lang, prompt, model)
+            for rid, text, lang, prompt in zip(pdf["result_id"], pdf["text"], pdf["language"], pdf["prompt"], strict=True):
+                defect = defect_of(text, lang, prompt, model)
                 if defect:
                     rows.append((rid, defect))
             yield pd.DataFrame(rows, columns=["result_id", "defect"])
 
-    return pairs.select("result_id", "text", "completion_tokens", "language", "prompt").mapInPandas(judge, f"result_id {kind}, defect string")
+    return pairs.select("result_id", "text", "language", "prompt").mapInPandas(judge, f"result_id {kind}, defect string")
 
 
-def defect_of(text: str | None, tokens: float | None, language: str | None, prompt: str | None, model: TerminalModel) -> str | None:
+def defect_of(text: str | None, language: str | None, prompt: str | None, model: TerminalModel) -> str | None:
     if is_empty(text):
         return "empty"
     if is_copy(prompt, text):
         return "copied"
     if is_refusal(text):
         return "refusal"
-    if model.truncated(text, tokens):
+    if model.truncated(text):
         return "truncated"
     if is_foreign(text, language, prompt):
         return "wrong_language"
