@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache
 
 # Kilograms per unit, and the spellings of each unit.
 KILOGRAMS = {"kg": 1.0, "t": 1000.0, "lb": 0.45359237, "cwt": 45.359237, "q": 100.0, "st": 907.18474, "g": 0.001}
@@ -52,16 +51,22 @@ class Weight:
         return kg * self.pieces if self.per_piece and self.pieces else kg
 
 
-@cache
+_MACHINES: dict[str, object] = {}
+
+
 def _machine():
+    """The automaton over all aliases, built once per process (a cached function could not travel by value)."""
     import ahocorasick
 
+    if "units" in _MACHINES:
+        return _MACHINES["units"]
     machine = ahocorasick.Automaton()
     for unit, names in ALIASES.items():
         for i, part in enumerate(names.split("|")):
             for alias in part.split() if i == 0 and unit not in ("st",) else [part]:
                 machine.add_word(alias, (len(alias), unit))
     machine.make_automaton()
+    _MACHINES["units"] = machine
     return machine
 
 
