@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import exprs as E
+from millrace.operators import conditions as co
 from millrace.operators import extract as ex
 from millrace.operators import validate as v
 from millrace.operators.facts import build_facts
@@ -112,6 +113,12 @@ def q_equipment_words(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).select("id", ex.keyword(v.message_of("user"), ex.EQUIPMENT).alias("equipment_type"), ex.keyword(v.message_of("user"), ex.CATEGORY).alias("cargo_category")).distinct()
 
 
+def q_condition_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Special conditions the requests speak of: how many, what share, the first record."""
+    t = _records(spark, sf).select("id", co.kinds_in(v.message_of("user")).alias("kinds")).distinct()
+    return co.conditions_report(t, "id", "kinds")
+
+
 def q_extract_cards(spark: SparkSession, sf: str) -> DataFrame:
     """Cards by rules from every request. The gazetteer is the list of cities of the routes, kept to 100,000 spellings."""
     cities = pr._places(spark, sf).select("city").filter("city is not null").distinct()
@@ -169,5 +176,7 @@ g AS (SELECT k, min(s0) s, max(s0) z FROM k GROUP BY k HAVING min(id) <> max(id)
     "q_record_summary": rf"SELECT DISTINCT id, task, substr(trim(regexp_replace(regexp_replace({_USER}, '(?s)\A.*?\n\n', ''), '{S.SPACE}', ' ', 'g')), 1, 140) AS excerpt, CASE WHEN regexp_matches({_USER}, '[а-яёА-ЯЁ]') THEN 'ru' ELSE 'en' END AS written_in FROM sft_records",
     "q_text_hashes": f"SELECT DISTINCT id, sha256({_USER}) AS sha256 FROM sft_records",
     "q_request_lengths": f"SELECT split, count(c) AS n, min(c) AS min_value, quantile_disc(c, 0.5)::DOUBLE AS p50, quantile_disc(c, 0.95)::DOUBLE AS p95, max(c) AS max_value FROM (SELECT split, length({_USER}) c FROM sft_records) GROUP BY 1",
+    "q_condition_kinds": f"""WITH t AS (SELECT DISTINCT id, list_filter([{", ".join(f"CASE WHEN regexp_matches(lower({_USER}), '{p}') THEN '{k}' END" for k, p in co.WORDS.items())}], lambda x: x IS NOT NULL) k FROM sft_records),
+e AS (SELECT id, unnest(CASE WHEN len(k) = 0 THEN ['none'] ELSE k END) kind FROM t) SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM t), 4) AS share, min(id) AS first_id FROM e GROUP BY 1""",
     "q_equipment_words": f"SELECT DISTINCT id, {_words(ex.EQUIPMENT)} AS equipment_type, {_words(ex.CATEGORY)} AS cargo_category FROM sft_records",
 }
