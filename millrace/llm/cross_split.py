@@ -92,9 +92,18 @@ _SHIFTS = np.array([15, 10, 5, 0], np.uint32)
 _ALPHABETS = np.array([0x100, 0x120, 0x140, 0x160], np.uint32)
 
 
-def _spell(codes: np.ndarray) -> str:
-    """Four letters per symbol."""
-    return (((codes.astype(np.uint32) - np.uint32(0x10000))[:, None] >> _SHIFTS & np.uint32(31)) + _ALPHABETS).astype(np.uint32).tobytes().decode("utf-32-le")
+def _spelled(texts: list[np.ndarray], step: int = 1000) -> Iterator[str]:
+    """Each text with four letters per symbol; ``step`` texts are spelled at a time, which bounds the memory."""
+    for i in range(0, len(texts), step):
+        some = texts[i : i + step]
+        codes = np.concatenate(some).astype(np.uint32) - np.uint32(0x10000)
+        letters = np.empty((len(codes), 4), np.uint16)
+        for k in range(4):
+            letters[:, k] = (codes >> _SHIFTS[k] & np.uint32(31)) + _ALPHABETS[k]
+        flat, at = letters.tobytes().decode("utf-16-le"), 0
+        for x in some:
+            yield flat[at : at + 4 * len(x)]
+            at += 4 * len(x)
 
 
 def _choose(batches: Iterator[pd.DataFrame], counts: dict[str, int], share: float) -> Iterator[pd.DataFrame]:
@@ -120,14 +129,13 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFra
         return pd.DataFrame(columns=columns)
     keys, texts = evals["eval_key"].tolist(), evals["symbols"].tolist()
     pieces_of = [len(p) for p in evals["places"]]
-    spelled, at = _spell(np.concatenate(texts)), 0
+    lengths = [len(x) for x in texts]
+    own = [int(share * n + 1e-9) for n in lengths]
     where: dict[str, list[int]] = {}
-    for n, (x, places) in enumerate(zip(texts, evals["places"], strict=True)):
-        size = 4 * piece_size(len(x), share)
-        for p in places:
-            b = at + 4 * int(p)
-            where.setdefault(spelled[b : b + size], []).append(n)
-        at += 4 * len(x)
+    for n, (letters, places) in enumerate(zip(_spelled(texts), evals["places"], strict=True)):
+        size = 4 * piece_size(lengths[n], share)
+        for p in places.tolist():
+            where.setdefault(letters[4 * p : 4 * p + size], []).append(n)
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     lists = []
     for p, ns in where.items():
@@ -137,20 +145,23 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFra
     del where
     bags: dict[int, frozenset[int]] = {}
     out = []
-    spelled, at = _spell(np.concatenate(trains["symbols"].tolist())), 0
-    for key, x in zip(trains["train_key"], trains["symbols"], strict=True):
+    scanned = trains["symbols"].tolist()
+    for key, x, letters in zip(trains["train_key"], scanned, _spelled(scanned), strict=True):
         m = len(x)
+        mine = int(share * m + 1e-9)
         hits: Counter[int] = Counter()
-        for _, which in machine.iter(spelled[at : at + 4 * m]):
+        for _, which in machine.iter(letters):
             hits.update(lists[which])
-        at += 4 * m
         bag = text = None
         for n, seen in hits.items():
-            length = len(texts[n])
-            longer = max(length, m)
-            most = int(share * longer + 1e-9)
             # Every edit spoils one piece at most, and one word at most of those both have.
-            if abs(length - m) > most or seen < pieces_of[n] - most:
+            lost = pieces_of[n] - seen
+            if lost > mine and lost > own[n]:
+                continue
+            length = lengths[n]
+            longer = max(length, m)
+            most = max(mine, own[n])
+            if abs(length - m) > most:
                 continue
             if bag is None:
                 bag, text = frozenset(x.tolist()), _text(x)
