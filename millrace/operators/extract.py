@@ -7,7 +7,7 @@ cue before a city, dates that must not overlap) runs over Arrow batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -36,6 +36,19 @@ CUES = {
     "origin": ("from", "origin", " loading", "\nloading", " load at", "pick up", "pickup", "collect", "ex ", "из ", "откуда", "погрузк", "загрузк", "забрать", "берём", "берем"),
     "destination": ("to ", "destination", "unloading", "unload", "deliver", "drop", "куда", "выгрузк", "разгрузк", "отвезти", "сдать", "доставить", "доставк"),
 }
+#: Cities of the requests: how English texts write them and their name in the cards.
+CITY_NAMES = {
+    "Ashgrove Bay": "Серебрянец", "Bexfield": "Верхнеямск", "Brandle Ridge": "Рябинополье", "Craywick": "Ключегорск", "Dunmarsh": "Каменодол", "Ferrisburg": "Дубоярск",
+    "Ginmoor": "Сосногорье", "Harlow Creek": "Заречинск", "Humberlea": "Новокедрянск-Затон", "Kettleham": "Восточноборск", "Lintmoor": "Нижнеполянск", "Marrowby": "Тихоградск",
+    "Norwhal": "Кремневск", "Oakmere": "Студёновск", "Orsington": "Ольхогорск", "Pellington": "Малосольск", "Quillport": "Приозёрово", "Saltreach": "Янтаревск",
+    "Stonehythe": "Снеготорск", "Tannerton": "Лугодар", "Tolliver Junction": "Долгомостье", "Velden Falls": "Беловержск", "Wexcombe": "Пестроярск", "Yarrowgate": "Велижанск",
+}
+#: Endings of Russian names in genitive, dative, accusative, instrumental and prepositional; the longest that fits holds.
+CASES = {
+    "ец": "ца цу ец цем це", "ье": "ья ью ье ьем ье", "ый": "ого ому ый ым ом", "ий": "ого ому ий им ом", "ая": "ой ой ую ой ой", "ое": "ого ому ое ым ом", "ые": "ых ым ые ыми ых",
+    "ь": "и и ь ью и", "а": "ы е у ой е", "ка": "ки ке ку кой ке", "га": "ги ге гу гой ге", "я": "и е ю ей е", "о": "а у о ом е", "е": "я ю е ем е", "й": "я ю й ем е", "ы": "ов ам ы ами ах", "и": "ов ам и ами ах",
+    "": "а у  ом е",
+}
 DELIVERY_CUES = ("выгруз", "разгруз", "достав", "прибыт", "сдать", "примет", "принима", "deliver", "unload", "arriv", "drop", "accepts")
 PICKUP_CUES = ("забрать", "забор", "погруз", "загруз", "готовность", "pick up", "pickup", "ready", "collect", " loading", "\nloading", " load at")
 MONTHS = {m: i % 12 + 1 for i, m in enumerate("январ феврал март апрел мая июн июл август сентябр октябр ноябр декабр jan feb mar apr may jun jul aug sep oct nov dec".split())}
@@ -52,6 +65,7 @@ DATE_PATTERNS = (
 _PIECES = re.compile(r"(?<![\d.,])(\d{1,4})\s*(?:x\s|(?:паллет|палл|поддон|мест|короб|ящик|грузомест|единиц|шт|упаков|pallet|piece|pcs|box|carton|unit|crate|package)\w*)")
 _SHIPPER = re.compile(r"((?:ООО|АО|ТК|склад)\s+«?[А-ЯЁ][А-Яа-яё-]+»?|(?!(?:For|From|To|By|At|The|Hello|Hi|Dear|Enquiry|Request|Payer)\b)[A-Z][a-z]+(?: [A-Z][a-z]+)* (?:Retail|Industries|Supply|Foods|Freight|Logistics))")
 _DEGREES = re.compile(r"(?P<a>[+−-]?\d+(?:[.,]\d+)?|(?:плюс|минус|plus|minus)\s+\d+)\s*(?:°c?)?\s*(?:\.\.|-|–|до|to|and|и)\s*(?P<b>[+−-]?\d+(?:[.,]\d+)?|(?:плюс|минус|plus|minus)\s+\d+)\s*(?:°|град|degr|c\b)")
+_WORD = re.compile(r"[\w-]")
 _STRAPS = re.compile(r"(\d+)\s+(?:ремн|straps)")
 
 
@@ -63,34 +77,88 @@ def keyword(text: Column, table: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+def case_forms(name: str) -> list[str]:
+    """A Russian name, then its cases: of the last word alone and of every word. Other names have one form."""
+    if not re.search(r"[а-яё]", name, re.IGNORECASE):
+        return [name]
+    words = re.split(r"([\s-]+)", name)
+    cases = []
+    for w in words[::2]:
+        end = max((e for e in CASES if w.endswith(e)), key=len)
+        cases.append([w[: len(w) - len(end)] + e for e in CASES[end].split(" ")])
+    out = [name]
+    for n in range(5):
+        every = [c[n] for c in cases]
+        out += ["".join([*words[:-1], every[-1]]), "".join(x for pair in zip(every, [*words[1::2], ""], strict=True) for x in pair)]
+    return list(dict.fromkeys(out))
+
+
+class Finder:
+    """Longest spellings in a text, whole words only, without case; a position costs the lengths its first letters allow, however many spellings there are."""
+
+    def __init__(self, forms: Iterable[str]):
+        self.forms = frozenset(f.lower() for f in forms if f)
+        lengths: dict[str, set[int]] = {}
+        for f in self.forms:
+            lengths.setdefault(f[:3], set()).add(len(f))
+        # A spelling of under three letters also holds where a longer one begins like it.
+        self.lengths = {k: sorted(set().union(*[lengths.get(k[:i], ()) for i in (1, 2, 3)]), reverse=True) for k in lengths}
+        self.short = [k for k in (1, 2) if any(len(x) == k for x in lengths)]
+        self.begin = re.compile("(?<![\\w-])[" + "".join(map(re.escape, sorted({f[0] for f in self.forms}))) + "]")
+
+    def find(self, low: str) -> Iterator[tuple[int, str]]:
+        """(start, spelling) of a text in lower case, from left to right without overlap."""
+        end, lengths, forms = 0, self.lengths, self.forms
+        for m in self.begin.finditer(low):
+            a = m.start()
+            fits = lengths.get(low[a : a + 3]) or next((lengths[low[a : a + k]] for k in reversed(self.short) if low[a : a + k] in lengths), None)
+            if not fits or a < end:
+                continue
+            for n in fits:
+                if low[a : a + n] in forms and not _WORD.match(low, a + n):
+                    end = a + n
+                    yield a, low[a:end]
+                    break
+
+
 @dataclass(frozen=True)
 class Gazetteer:
     """Places by their spellings; the longest spelling at a place holds."""
 
     forms: dict[str, str]
 
-    def pattern(self) -> re.Pattern[str] | None:
-        if not self.forms:
-            return None
-        return re.compile(r"(?<![\w-])(" + "|".join(re.escape(f) for f in sorted(self.forms, key=len, reverse=True)) + r")(?![\w-])", re.IGNORECASE)
+    @classmethod
+    def of(cls, cities: Iterable[str]) -> Gazetteer:
+        """Of CITY_NAMES and further cities, with their case forms and those with е for ё; a name holds before a form of another."""
+        names = CITY_NAMES | {c: CITY_NAMES.get(c, c) for c in cities if c and c.strip()} | {c: c for c in CITY_NAMES.values()}
+        forms = {k.lower(): v for k, v in names.items()}
+        for k, v in sorted(names.items()):
+            for f in case_forms(k):
+                for spelled in (f.lower(), f.lower().replace("ё", "е")):
+                    forms.setdefault(spelled, v)
+        return cls(forms)
+
+    def pattern(self) -> Finder | None:
+        return Finder(self.forms) if self.forms else None
 
 
 def _nearest(before: str) -> str | None:
-    best, where = None, -1
+    """The role of the cue that ends last; of those that end at one place the longest (откуда before куда)."""
+    best, where = None, (-1, 0)
     for role, cues in CUES.items():
         for c in cues:
             at = before.rfind(c)
-            if at > where:
-                best, where = role, at
+            if at >= 0 and (at + len(c), len(c)) > where:
+                best, where = role, (at + len(c), len(c))
     return best
 
 
-def places_in(text: str, pattern: re.Pattern[str] | None, forms: dict[str, str]) -> tuple[str | None, str | None]:
+def places_in(text: str, pattern: Finder | None, forms: dict[str, str]) -> tuple[str | None, str | None]:
     """(origin, destination): by the nearest cue in the 40 characters before, else in the order they stand."""
     if pattern is None:
         return None, None
     low = text.lower()
-    seen = [(forms[m.group(1).lower()], _nearest(" " + low[max(0, m.start() - 40) : m.start()])) for m in pattern.finditer(text)]
+    seen = [(forms[form], _nearest(" " + low[max(0, at - 40) : at])) for at, form in pattern.find(low)]
     origin = next((c for c, r in seen if r == "origin"), None)
     destination = next((c for c, r in seen if r == "destination" and c != origin), None)
     if origin is None:
@@ -136,7 +204,7 @@ def _degree(s: str) -> float:
     return float(s.replace(" ", ""))
 
 
-def card_of(text: str | None, pattern: re.Pattern[str] | None, forms: dict[str, str]) -> tuple:
+def card_of(text: str | None, pattern: Finder | None, forms: dict[str, str]) -> tuple:
     """One extracted card. The first line may state the date of the request, from which relative days count."""
     if not text:
         return (None,) * 13 + (list(REQUIRED),)

@@ -120,11 +120,11 @@ def q_condition_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_extract_cards(spark: SparkSession, sf: str) -> DataFrame:
-    """Cards by rules from every request. The gazetteer is the list of cities of the routes, kept to 100,000 spellings."""
-    cities = pr._places(spark, sf).select("city").filter("city is not null").distinct()
-    if cities.count() > 100_000:
-        raise ValueError("the gazetteer is too large for one pattern")
-    g = ex.Gazetteer({r["city"]: r["city"] for r in cities.collect()})
+    """Cards by rules from every request. The gazetteer is the name table, the cities of the routes and those of the gold cards, with their case forms; one spelling per city comes to the driver."""
+    gold = _records(spark, sf).select(v.message_of("assistant").alias("gold"))
+    named = [gold.select(F.get_json_object("gold", f"$.card.{c}.city").alias("city")) for c in ("origin", "destination")]
+    cities = pr._places(spark, sf).select("city").union(named[0]).union(named[1]).filter("city is not null").distinct()
+    g = ex.Gazetteer.of(r["city"] for r in cities.toLocalIterator())
     t = _records(spark, sf).select("id", v.message_of("user").alias("text")).distinct()
     cards = ex.extract_cards(t, "id", "text", g)
     return cards.select("id", "equipment_type", "cargo_category", *[F.col(f"card.{c}").alias(c) for c in ("origin", "destination", "weight_value", "weight_unit", "weight_kg", "pieces", "shipper", "min_c", "max_c", "straps")], F.date_format("card.pickup_date", "yyyy-MM-dd").alias("pickup_date"), F.date_format("card.delivery_date", "yyyy-MM-dd").alias("delivery_date"))

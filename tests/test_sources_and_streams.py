@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.operators import extract as ex
 from millrace.operators.render import HARD_CASES, render_requests
+from millrace.plans import validation
 from millrace.sources import artifacts, records, tables
 from millrace.streaming.logs import last_epoch, log_stream, sessions, upsert_last, windowed_counts
 
@@ -124,6 +125,25 @@ def test_extraction():
     assert ex.dates_in("забор 5 мая, доставка 07/13/2024", date(2023, 1, 1)) == (date(2023, 5, 5), date(2024, 7, 13))
 
 
+def test_russian_places():
+    g = ex.Gazetteer.of(["Казань", "Velden Falls", "Newtown", None])
+    places = lambda t: ex.places_in(t, g.pattern(), g.forms)
+    assert places("Откуда: Велижанск, ул. Гархол, 404. Куда: СТУДЕНОВСК, ворота 80.") == ("Велижанск", "Студёновск")
+    assert places("Везём из Серебрянца в Казань.") == ("Серебрянец", "Казань") and places("Доставить до Приозёрова из Новокедрянска-Затона") == ("Новокедрянск-Затон", "Приозёрово")
+    assert places("Pick up in Velden Falls, drop at Newtown.") == ("Беловержск", "Newtown") and places("Сверхказань, Казань-2") == (None, None)
+
+
+def test_many_places():
+    g = ex.Gazetteer.of([f"Town {i}" for i in range(150_000)])
+    assert ex.places_in("from Town 149999 to Town 14999, not Town 150000", g.pattern(), g.forms) == ("Town 149999", "Town 14999")
+
+
+def test_cards_of_both_languages_have_places(spark, sf):
+    cards = validation.q_extract_cards(spark, sf).join(spark.read.parquet(f"{sf}/sft_records.parquet").select("id", "language").distinct(), "id")
+    got = {r["language"]: r["share"] for r in cards.groupBy("language").agg(F.avg(F.col("origin").isNotNull().cast("int")).alias("share")).collect()}
+    assert set(got) == {"ru", "en"} and min(got.values()) > 0.9
+
+
 def test_extract_operator(spark):
     df = spark.createDataFrame([("1", "Нужен рефрижератор"), ("2", None), ("3", "dry van to Dunmarsh")], "i string, t string")
     got = {r["id"]: (r["equipment_type"], r["card"]["destination"]) for r in ex.extract_cards(df, "i", "t", ex.Gazetteer({"Dunmarsh": "D"})).collect()}
