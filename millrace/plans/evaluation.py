@@ -62,18 +62,11 @@ def q_critical_by_language(spark: SparkSession, sf: str) -> DataFrame:
 _CITIES = ("origin", "destination")
 
 
-def _city_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Right cities in complete JSON answers: what JSON paths alone can score."""
-    gold = table(spark, sf, "sft_records").filter("task = 'shipment_extraction'").select("id", "language", "template_family", message_of("assistant").alias("gold")).distinct()
-    a = _last(spark, sf).filter(F.col("text").rlike(r"(?s)^\{\"card\".*\}$")).select(F.col("record_id").alias("id"), "text")
-    j = gold.join(a, "id")
-    return j.select("id", "language", "template_family", *[(F.get_json_object("text", f"$.card.{c}.city") == F.get_json_object("gold", f"$.card.{c}.city")).alias(c) for c in _CITIES])
-
-
 def q_city_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """Rates by slice in one pass over grouping sets."""
+    """Right cities by slice over all records, in one pass over grouping sets; a failed or missing answer is wrong in every city the gold has."""
+    flags = _scores(spark, sf).select("language", "template_family", *[F.col("field_correct")[c].alias(c) for c in _CITIES])
     metrics = {c: m.rate(F.col(c)) for c in _CITIES} | {"micro": m.micro(F.array(*_CITIES))}
-    return m.metrics_by_slice(_city_flags(spark, sf), ["language", "template_family"], metrics)
+    return m.metrics_by_slice(flags, ["language", "template_family"], metrics)
 
 
 def q_json_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,14 +75,9 @@ def q_json_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_missing_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Pooled F1, precision and recall of missing_fields in complete JSON answers."""
-    gold = table(spark, sf, "sft_records").filter("task = 'shipment_extraction'").select("id", message_of("assistant").alias("gold")).distinct()
-    a = _last(spark, sf).filter(F.col("text").rlike(r"(?s)^\{\"card\".*\}$")).select(F.col("record_id").alias("id"), "text")
-    fields = lambda c: F.coalesce(F.from_json(F.get_json_object(c, "$.missing_fields"), "array<string>"), F.array().cast("array<string>"))
-    j = gold.join(a, "id").select(fields("gold").alias("g"), fields("text").alias("a"))
-    n = j.select(F.size(F.array_intersect("g", "a")).alias("tp"), F.size(F.array_except("a", "g")).alias("fp"), F.size(F.array_except("g", "a")).alias("fn"))
-    metrics = {"f1": m.pooled_f1(F.col("tp"), F.col("fp"), F.col("fn")), "precision": m.pooled_share(F.col("tp"), F.col("fp")), "recall": m.pooled_share(F.col("tp"), F.col("fn"))}
-    return m.metrics_overall(n, metrics)
+    """Pooled F1, precision and recall of missing_fields over all records; a failed or missing answer has found none of them."""
+    tp, fp, fn = (F.col(f"missing_{n}") for n in ("tp", "fp", "fn"))
+    return m.metrics_overall(_scores(spark, sf), {"f1": m.pooled_f1(tp, fp, fn), "precision": m.pooled_share(tp, fp), "recall": m.pooled_share(tp, fn)})
 
 
 def _closed(spark: SparkSession, sf: str, model: str) -> DataFrame:

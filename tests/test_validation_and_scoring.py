@@ -8,6 +8,7 @@ from millrace.operators import metrics as m
 from millrace.operators import stats as st
 from millrace.operators import validate as v
 from millrace.operators.scoring import last_predictions, score_cases
+from millrace.plans import evaluation
 
 REC = "id string, split string, group_id string, task string, messages array<struct<role: string, content: string>>"
 CARD = {"shipper_name": "A B", "cargo_category": "general", "equipment_type": "reefer", "pieces": 7, "weight_total": {"value": 12000, "unit": "kg"}, "origin": {"city": "X"}, "destination": {"city": "Y"}, "pickup_date": "2024-01-02"}
@@ -117,3 +118,15 @@ def test_bootstrap(spark):
 def test_last_wins(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), (None, 9, "q"), ("b", None, "w")], "id string, n int, v string")
     assert {(r["id"], r["v"]) for r in last_predictions(log, "id", ["n"]).collect()} == {("a", "z"), ("b", "w")}
+
+
+def test_rates_count_every_record(spark, tmp_path):
+    gold = answer(shipper_name=None, missing=["shipper_name"])
+    texts = {"bare": gold, "fenced": f"```json\n{gold}\n```", "spaced": f"\n {gold} ", "ordered": json.dumps(dict(reversed(json.loads(gold).items()))), "preamble": f"Here it is: {gold}", "cut": gold[:-9], "failed": None}
+    rows = [(i, "shipment_extraction", "g", "test", "en", "f", {"hard_cases": []}, [("assistant", gold)]) for i in [*texts, "unanswered"]]
+    spark.createDataFrame(rows, "id string, task string, group_id string, split string, language string, template_family string, variant struct<hard_cases: array<string>>, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/sft_records.parquet")
+    log = [(n, i, 1, t, None if t else "timeout") for n, (i, t) in enumerate(texts.items())]
+    spark.createDataFrame(log, "result_id bigint, record_id string, attempt bigint, text string, error string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/generation_results.parquet")
+    rates = {(r["slice"], r["metric"]): (r["n_cases"], r["value"]) for r in evaluation.q_city_accuracy(spark, str(tmp_path)).collect()}
+    assert {rates["all", k] for k in ("origin", "destination", "micro")} == {(8, 0.5)} and rates["language", "micro"] == (8, 0.5)
+    assert {r["metric"]: r["value"] for r in evaluation.q_missing_f1(spark, str(tmp_path)).collect()} == {"f1": round(8 / 12, 9), "precision": 1.0, "recall": 0.5}
