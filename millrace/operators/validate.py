@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import normal_request
+from millrace.functions.keys import canonical_key
 
 WARNINGS = ("DUP_EXACT_IN_SPLIT",)
 
@@ -73,11 +74,15 @@ def split_mismatches(records: DataFrame, want: Column) -> DataFrame:
 
 
 def route_leaks(records: DataFrame, loads: DataFrame, held: DataFrame, group: str = "group_id") -> DataFrame:
-    """UNKNOWN_LOAD (the record's load has no row) or OOD_ROUTE_LEAK (its route is held out but the split is not test_ood)."""
+    """UNKNOWN_LOAD (the record's load has no row) or OOD_ROUTE_LEAK (one of its routes is held out but the split is not test_ood).
+
+    Keys that are only written differently are the same; a load without a digit has no row.
+    """
     load = F.regexp_replace(F.col(group), r"^load:", "")
-    route = loads.filter("load_id is not null").groupBy(F.col("load_id").alias("_load")).agg(F.min("route_id").alias("_route"), F.lit(True).alias("_known"))
-    out = held.select(F.col("route_id").alias("_route")).distinct().withColumn("_held", F.lit(True))
-    j = records.filter(F.col(group).isNotNull()).withColumn("_load", load).join(route, "_load", "left").join(out, "_route", "left")
+    out = held.select(canonical_key("route_id").alias("_route")).filter("_route is not null").distinct().withColumn("_held", F.lit(True))
+    used = loads.select(canonical_key("load_id").alias("_key"), canonical_key("route_id").alias("_route")).filter("_key is not null").join(out, "_route", "left")
+    known = used.groupBy("_key").agg(F.max("_held").alias("_held"), F.lit(True).alias("_known"))
+    j = records.filter(F.col(group).isNotNull()).withColumn("_load", load).withColumn("_key", canonical_key(load)).join(known, "_key", "left")
     code = F.when(F.col("_known").isNull(), "UNKNOWN_LOAD").when(F.col("_held") & ~F.coalesce(F.col("split") == "test_ood", F.lit(False)), "OOD_ROUTE_LEAK")
     return issue(j.withColumn("_c", code).filter("_c is not null"), F.col("_c"), F.concat(F.lit("load "), F.col("_load")))
 

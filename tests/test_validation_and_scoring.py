@@ -40,6 +40,14 @@ def test_checks(records):
     assert ("f", "PROMPT_MISMATCH") in codes(v.prompt_mismatch(records, {"t": "system"})) and len(codes(v.prompt_mismatch(records, {"t": "system"}))) == 1
 
 
+def test_route_leaks_by_key_and_every_route(spark):
+    loads = spark.createDataFrame([("LOAD0001", "rte0000242"), ("LOAD0002", "RTE00000001"), ("load-2", "Rte 0001685"), ("LOAD0003", "RTE00000003"), ("LOAD0004", None), ("n/a", "RTE00000242")], "load_id string, route_id string")
+    held = spark.createDataFrame([("RTE00000242",), ("rte-1685",), ("none",), (None,)], "route_id string")
+    rows = [rec("a", "train", "load:LOAD0001", "x"), rec("b", None, "load:LOAD0002", "x"), rec("c", "test_ood", "load:LOAD0001", "x"), rec("d", "train", "load:load 3", "x"), rec("e", "val", "load:LOAD0009", "x"), rec("f", "val", "load:LOAD0004", "x"), rec("g", "val", "load:n/a", "x"), rec("h", "val", None, "x")]
+    got = sorted((r["record_id"], r["code"], r["message"]) for r in v.route_leaks(spark.createDataFrame(rows, REC), loads, held).collect())
+    assert got == [("a", "OOD_ROUTE_LEAK", "load LOAD0001"), ("b", "OOD_ROUTE_LEAK", "load LOAD0002"), ("e", "UNKNOWN_LOAD", "load LOAD0009"), ("g", "UNKNOWN_LOAD", "load n/a")]
+
+
 def test_contamination_priority(spark, records):
     bench = spark.createDataFrame([rec("a", "bench", "load:3", "q"), rec("n", "bench", "load:3", "hello world"), rec("o", "bench", "load:8", "Hello\tworld"), rec("p", "bench", None, "new")], REC)
     got = {r["record_id"]: r["message"] for r in v.contamination(bench, records.filter("split in ('train', 'val')")).collect()}
