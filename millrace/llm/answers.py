@@ -340,6 +340,19 @@ class TerminalModel:
         return rate is None or rate < 0.1
 
 
+def context_keys(text: str | None) -> list[str]:
+    """The keys of the counts that ``TerminalModel.truncated`` may ask for: three at most."""
+    if text is None or _json_text(text) is not None:
+        return []
+    bare = strip_fence(text).rstrip(" \n\t\r\u00a0\u200b*_")
+    found = list(_TOKEN.finditer(bare, max(0, len(bare) - 400)))
+    if not found or (_CLOSED.search(bare) and not bare.endswith(".")):
+        return []
+    w = found[-1].group()
+    before = _norm(found[-2].group()) if len(found) > 1 else "^"
+    return [f"2 {before} {_norm(w)}", f"1 {before} {_shape(w)}", *([f"s {w.lower()[-3:]}"] if len(w) >= 3 and not w[0].isdigit() else [])]
+
+
 _SIGNATURE = re.compile(r"^\W*(?:с уважением|best regards|kind regards|regards|sincerely|yours|спасибо|thanks|thank you|всего доброго|best)\b[^.]{0,40}$", re.IGNORECASE)
 
 
@@ -356,41 +369,51 @@ def terminal_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
-def defective_answers(results: DataFrame, records: DataFrame, rare_share: float = 1 / 5000) -> DataFrame:
+def context_counts(answers: DataFrame, rows: int) -> DataFrame:
+    """(result_id, counts): for each answer the counts of the keys it needs, of all there are; answers that need none are left out."""
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(rid, k) for rid, t in zip(pdf["result_id"], pdf["text"], strict=True) for k in context_keys(t)]
+            yield pd.DataFrame(out, columns=["result_id", "key"])
+
+    kind = answers.schema["result_id"].dataType.simpleString()
+    keys = answers.filter("text is not null").select("result_id", "text").mapInPandas(needed, f"result_id {kind}, key string")
+    found = salted_join(keys, terminal_counts(answers), ["key"], hot_keys(keys, ["key"], rows), "result_id", "inner")
+    return found.groupBy("result_id").agg(F.collect_list(F.struct("key", "n", "ends")).alias("counts"))
+
+
+def defective_answers(results: DataFrame, records: DataFrame) -> DataFrame:
     """(result_id, defect): the first that fits of empty, copied, refusal, truncated, wrong_language.
 
     ``results`` (result_id, record_id, text), ``records`` (id,
-    language, messages). The model is counted over all answers; of its counts,
-    those seen in at least ``rare_share`` of the answers (3 at least) are sent
-    to the workers, so at most words per answer / rare_share keys: the size does
-    not grow with the data. Results without a record are judged without request
-    and language; of records of one id the smallest row holds, and so of results
+    language, messages). The model is counted over all answers; every answer is
+    joined to the full counts of its own two or three keys, rare ones too.
+    Results without a record are judged without request and language; of
+    records of one id the smallest row holds, and so of results
     of one id. Null result_ids are left out. An error text alone is no defect.
     """
     answers = results.filter("result_id is not null").groupBy("result_id").agg(
         F.min(F.struct("record_id", "text")).alias("r")
     ).select("result_id", "r.*")
     n = answers.count()
-    least = max(3, int(n * rare_share))
-    kept = terminal_counts(answers).filter(F.col("n") >= least)
-    counts = {r["key"]: (r["n"], r["ends"]) for r in kept.toLocalIterator()}
-    shared = results.sparkSession.sparkContext.broadcast(counts)
     user = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
     asked = records.filter("id is not null").groupBy(F.col("id").alias("record_id")).agg(F.min(F.struct("language", user.alias("prompt"))).alias("q")).select("record_id", "q.*")
-    pairs = salted_join(answers, asked, ["record_id"], hot_keys(answers, ["record_id"], n), "result_id")
+    counted = answers.join(context_counts(answers, n), "result_id", "left")
+    pairs = salted_join(counted, asked, ["record_id"], hot_keys(answers, ["record_id"], n), "result_id")
     kind = answers.schema["result_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = TerminalModel(shared.value)
         for pdf in batches:
             rows = []
-            for rid, text, lang, prompt in zip(pdf["result_id"], pdf["text"], pdf["language"], pdf["prompt"], strict=True):
+            for rid, text, lang, prompt, counts in zip(pdf["result_id"], pdf["text"], pdf["language"], pdf["prompt"], pdf["counts"], strict=True):
+                model = TerminalModel({c["key"]: (c["n"], c["ends"]) for c in counts} if counts is not None else {})
                 defect = defect_of(text, lang, prompt, model)
                 if defect:
                     rows.append((rid, defect))
             yield pd.DataFrame(rows, columns=["result_id", "defect"])
 
-    return pairs.select("result_id", "text", "language", "prompt").mapInPandas(judge, f"result_id {kind}, defect string")
+    return pairs.select("result_id", "text", "language", "prompt", "counts").mapInPandas(judge, f"result_id {kind}, defect string")
 
 
 def defect_of(text: str | None, language: str | None, prompt: str | None, model: TerminalModel) -> str | None:

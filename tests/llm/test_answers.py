@@ -58,3 +58,10 @@ def test_operator_edges(spark):
     got = {r["result_id"]: r["defect"] for r in defective_answers(g, s).collect()}
     assert got[2] == got[3] == "empty" and got[4] == "truncated" and 5 not in got and None not in got
     assert defective_answers(g.limit(0), s.limit(0)).count() == 0
+
+
+def test_rare_contexts_count(spark):
+    rows = spark.createDataFrame([(i, "a", "We ship blue parcels. Call first.") for i in range(1, 5)] + [(9, "a", "We ship blue parcels")], "result_id bigint, record_id string, text string")
+    g = rows.unionByName(spark.range(100, 30_100).selectExpr("id AS result_id", "'a' AS record_id", "'All is well. Call first.' AS text"))
+    s = spark.createDataFrame([("a", "en", [("user", ASK)])], "id string, language string, messages array<struct<role: string, content: string>>")
+    assert defective_answers(g, s).filter("result_id < 100").collect() == []
