@@ -8,9 +8,9 @@ these the ``k + 1`` rarest are patterns, ``k`` being the most word edits that
 any partner may have. A partner keeps all pieces but one per edit, so at least
 one pattern occurs in it unchanged. The patterns are sharded into automata, and
 every training text is scanned by all shards: a grid of (shard, block of
-training texts) cells. The matched intervals are merged into the coverage of
-the evaluation text; pairs with enough of them are verified by bit-parallel
-edit distance.
+training texts) cells. Pairs with enough hits are verified by bit-parallel edit
+distance. The matched intervals are not merged into a coverage per evaluation
+record.
 """
 
 from __future__ import annotations
