@@ -91,7 +91,9 @@ _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|\n|$|[.!?]+)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d")
 _END = re.compile(r"[\"»”’')\]]*[.!?…]")
 _CLOSED = re.compile(r"[.!?…][\"»”’')\]*_`\s]*$|[)\]]\s*$")
-_OPEN = re.compile(r"[(\[][^()\[\]]*$")
+_BRACKET = re.compile(r"[()\[\]]")
+_QUOTATION = re.compile(r"\"[^\"]*\"|«[^»]*»|“[^”]*”|`[^`]*`")
+_STRING = re.compile(r"\"((?:[^\"\\]|\\.)*)\"\s*(?=[,}\]]|$)")
 _QUOTED = re.compile(r"\"[^\"]*\"|«[^»]*»|“[^”]*”|\([^()]*\)|`[^`]*`")
 _FENCE = re.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
 _HIDDEN = re.compile("[\\s ­​-‏⁠-⁯﻿]+")
@@ -110,7 +112,7 @@ def is_empty(text: str | None) -> bool:
     bare = _HIDDEN.sub(" ", strip_fence(text)).strip()
     if not re.search(r"[^\W_]", bare) or bare.strip(" \"'`.,:;!?-–—()[]{}<>*#").casefold() in SHELLS:
         return True
-    if bare[0] == "{" and bare[-1] == "}" and len(bare) < 2000:
+    if bare[0] == "{" and bare[-1] == "}":
         values = re.sub(r"\"[^\"]*\"\s*:", "", bare)  # without the keys
         return not re.search(r"[^\W_]", re.sub(r"\b(?:null|none)\b", "", values, flags=re.IGNORECASE))
     return False
@@ -125,7 +127,7 @@ def copied_share(prompt: str, answer: str) -> tuple[float, float]:
     import zstandard
 
     a, p = _squeeze(answer), _squeeze(prompt)
-    if len(a) < 24 or len(p) < 24:
+    if len(a) < SHORT_BYTES or len(p) < SHORT_BYTES:
         return 1.0, 1.0
 
     def ratio(data: bytes, by: bytes) -> float:
@@ -144,16 +146,22 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     """
     if not prompt:
         return False
+    body = prompt.split("\n", 1)[1].strip() if "\n" in prompt else prompt
+    strings = _STRING.findall(answer) if _json_text(answer) is not None else []
+    short = [x for x in (_squeeze(prompt), _squeeze(body)) if x and len(x) < SHORT_BYTES]
+    if short and (_squeeze(strip_fence(answer)) in short or (len(strings) == 1 and _squeeze(strings[0]) in short)):
+        return True
     a, p = copied_share(prompt, answer)
     if a >= COPY_ANSWER or p < COPY_PROMPT:
         return a < COPY_ANSWER
-    body = prompt.split("\n", 1)[1].strip() if "\n" in prompt else prompt
     a, p = copied_share(body, answer)
     return a < COPY_ANSWER and p < COPY_PROMPT
 
 
 #: Largest ratios of a copy: of the answer by the request, and of the request by the answer.
 COPY_ANSWER, COPY_PROMPT = 0.5, 0.5
+#: Texts too short to compress are compared by equality.
+SHORT_BYTES = 24
 
 
 def _json_text(text: str) -> str | None:
@@ -187,13 +195,19 @@ def json_open(text: str) -> bool:
     return True
 
 
+def _bracket_open(text: str) -> bool:
+    """Whether a round or square bracket is open at the end; those in a whole quotation and closing ones without an opening one (a numbered item) don't count."""
+    depth = 0
+    for c in _BRACKET.findall(_QUOTATION.sub("", text)):
+        depth = depth + 1 if c in "([" else max(0, depth - 1)
+    return depth > 0
+
+
 def is_refusal(text: str) -> bool:
     """At least half of the text are sentences that refuse or go with a refusal, and one refuses."""
     part = _json_text(text)
     if part is not None:
-        if '"card"' in part or len(part) > 600:
-            return False
-        text = " ".join(re.findall(r"\"((?:[^\"\\]|\\.)*)\"\s*(?=[,}\]]|$)", part)) or part
+        text = "\n".join(_STRING.findall(part)) or part  # each string is a sentence of its own
     text = text.replace("\\n", " ").lower()
     if not any(x in text for x in _STEMS) or not _REFUSAL.search(text):
         return False
@@ -316,7 +330,7 @@ class TerminalModel:
         found = list(_TOKEN.finditer(bare, max(0, len(bare) - 400)))
         if not found:
             return False
-        if _OPEN.search(bare[-200:]):
+        if _bracket_open(bare):
             return True
         w, two = found[-1].group(), len(found) > 1
         before = _norm(found[-2].group()) if two else "^"

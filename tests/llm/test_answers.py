@@ -65,3 +65,13 @@ def test_rare_contexts_count(spark):
     g = rows.unionByName(spark.range(100, 30_100).selectExpr("id AS result_id", "'a' AS record_id", "'All is well. Call first.' AS text"))
     s = spark.createDataFrame([("a", "en", [("user", ASK)])], "id string, language string, messages array<struct<role: string, content: string>>")
     assert defective_answers(g, s).filter("result_id < 100").collect() == []
+
+
+def test_length_makes_no_difference(model):
+    sorry = "I'm sorry, but I can't help with this request."
+    assert is_empty("{" + ", ".join(f'"field_{i}": null' for i in range(300)) + "}") and not is_empty("{" + ", ".join(f'"field_{i}": null' for i in range(300)) + ', "a": 1}')
+    assert is_refusal('{"error": "' + " ".join([sorry] * 20) + '"}') and is_refusal('{"card": null, "error": "' + sorry + '"}') and not is_refusal(CARD)
+    assert is_copy("Need a van", " need a  VAN") and is_copy("Request date: 1\nNeed a van", '{"request": "Need a van"}') and not is_copy("Need a van", "Need a tent")
+    assert model.truncated(GOOD[0] + " (" + "the slot is fine and the gate is open, " * 12 + GOOD[1]) and model.truncated(GOOD[1] + " (see (a) and " + GOOD[1])
+    assert not model.truncated("1) " + GOOD[0]) and not model.truncated(GOOD[0] + " (" + GOOD[1] + ") " + GOOD[0])
+    assert not model.truncated('"Origin (Bay" - ' + GOOD[0])
