@@ -20,6 +20,7 @@ def builder(app: str = "millrace", master: str | None = None) -> SparkSession.Bu
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }.items():
         b = b.config(key, value)
     return b
