@@ -75,3 +75,29 @@ def test_splits_keep_components_and_targets(spark):
 def test_no_targets(spark):
     with pytest.raises(ValueError, match="positive"):
         assign_splits(loads(spark, [("L1", "C1", "R1")]), "load_id", ENTITIES, spark.createDataFrame([], "route_id string"), "route_id", "r", spark.createDataFrame([], "split string, share double"))
+
+
+def test_every_component_is_placed_by_its_hash(spark):
+    import hashlib
+    import math
+
+    from millrace.llm.components import rendezvous_scores, winner
+
+    names, splits, weights = [f"c{i}" for i in range(200)], ["test", "train", "val"], {"train": 0.8, "val": 0.1, "test": 0.1}
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "component string, n int").withColumn("scores", rendezvous_scores("component", splits, 7))
+    got = {r["component"]: r["s"] for r in df.select("component", winner("scores", splits, weights).alias("s")).collect()}
+
+    def score(s, c):
+        u = (int(hashlib.sha256(f"7:{s}:{c}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return weights[s] * -1 / math.log(u)
+
+    assert got == {c: max(splits, key=lambda s: score(s, c)) for c in names}
+    room = {"train": 150.0, "val": 50.0, "test": 50.0}
+    tight = {r["component"]: r["s"] for r in df.select("component", winner("scores", splits, weights, room, "n").alias("s")).collect()}
+    assert all(tight[c] == "train" for i, c in enumerate(names) if i > 50) and tight["c3"] == got["c3"]
+
+
+def test_a_long_chain_settles_without_a_limit_on_rounds(spark):
+    edges = [(f"n{i:05}", f"n{i + 1:05}") for i in range(3000)]
+    got = hash_to_min(spark.createDataFrame(edges, "a string, b string"))
+    assert got.count() == 3001 and {r["component"] for r in got.select("component").distinct().collect()} == {"n00000"}
