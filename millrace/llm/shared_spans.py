@@ -27,6 +27,11 @@ from millrace.session import cut, salted_join
 GEAR = 32
 #: Documents with one chunk from which it can count as hot.
 HOT_FLOOR = 50_000
+#: Documents with one chunk from which stretches of such chunks alone are spread over ``SALTS`` tasks each.
+COMMON_FLOOR = 5_000
+SALTS = 64
+#: Rows that a Python worker hands over at a time.
+OUT_ROWS = 200_000
 #: Odd base of the polynomial over stretches and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -102,6 +107,19 @@ class Cut:
     def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * _unpowers(self.length + 1)[start]
 
+    def _within(self, at: np.ndarray, min_chars: int, chosen: np.ndarray) -> np.ndarray:
+        """Whether all chunks between the cuts of a stretch's first and last window are ``chosen``."""
+        missing = np.concatenate([np.zeros(1, np.int64), np.cumsum(~chosen)])
+        first = np.searchsorted(self.cuts, self.of_window[at])
+        last = np.searchsorted(self.cuts, self.of_window[at + (min_chars - GEAR + 1 - self.window)])
+        return missing[last] == missing[first]
+
+    def all_in(self, at: np.ndarray, min_chars: int, digests: np.ndarray) -> np.ndarray:
+        """For each stretch whether all its chunks are among ``digests``: alike for equal stretches of any document."""
+        if not len(digests):
+            return np.zeros(len(at), bool)
+        return self._within(at, min_chars, np.isin(self.digests, np.asarray(digests, np.int64)))
+
     def stretches(self, min_chars: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of every stretch of ``min_chars`` characters that may be shared.
 
@@ -114,20 +132,46 @@ class Cut:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.arange(n, dtype=np.int64)
         if shared is not None:
-            missing = np.concatenate([np.zeros(1, np.int64), np.cumsum(~shared)])
-            first = np.searchsorted(self.cuts, self.of_window[at])
-            last = np.searchsorted(self.cuts, self.of_window[at + (min_chars - GEAR + 1 - self.window)])
-            at = at[missing[last] == missing[first]]
+            at = at[self._within(at, min_chars, shared)]
         return at, self._hash(at, at + min_chars).view(np.int64)
 
 
-def shared_stretches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
-    """(doc_id, at): every position of a document from which ``min_chars`` characters stand verbatim in another document.
+def _runs(at: np.ndarray) -> list[int]:
+    """Sorted positions as [first, beyond the last, ...] of their runs."""
+    breaks = np.flatnonzero(np.diff(at) != 1)
+    first, last = np.concatenate([at[:1], at[breaks + 1]]), np.concatenate([at[breaks], at[-1:]]) + 1
+    return np.stack([first, last], axis=1).ravel().tolist()
+
+
+def distinct_stretches(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int] | None]]:
+    """(first position, hash, runs of all its positions or None where there is but one) of each different stretch of a document."""
+    order = np.argsort(hashes, kind="stable")
+    at, hashes = at[order], hashes[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), hashes[1:] != hashes[:-1]])) if len(at) else np.empty(0, np.int64)
+    ends = np.append(first[1:], len(at))
+    more: list[list[int] | None] = [None] * len(first)
+    for i in np.flatnonzero(ends - first > 1):
+        more[i] = _runs(at[first[i] : ends[i]])
+    return at[first], hashes[first], more
 
-    Repeats within one document don't count; rows of one doc_id are one
-    document; null ids and texts are left out; shorter texts can't share. Texts
-    are compared as they are, code point by code point. An empty table gives no
-    rows; extra columns are not read.
+
+def gram_rows(held: list[tuple]) -> pd.DataFrame:
+    doc, at, h, more, common = zip(*held, strict=True)
+    return pd.DataFrame({
+        "doc_id": np.repeat(np.asarray(doc), [len(x) for x in at]), "at": np.concatenate(at), "h": np.concatenate(h),
+        "more": pd.Series([m for ms in more for m in ms], dtype=object), "common": np.concatenate(common),
+    })
+
+
+def shared_stretches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
+    """(doc_id, at, more): stretches of ``min_chars`` characters of a document that stand verbatim in another one.
+
+    One row per different stretch of a document: ``at`` is its first position;
+    where it stands there several times, ``more`` holds the runs of all its
+    positions (first, beyond the last, ...). Repeats within one document don't
+    count; rows of one doc_id are one document; null ids and texts are left
+    out; shorter texts can't share. Texts are compared as they are, code point
+    by code point. An empty table gives no rows; extra columns are not read.
     """
     window = cut_window(min_chars)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(
@@ -142,33 +186,48 @@ def shared_stretches(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in made]), "digest": np.concatenate(made)})
 
     made = cut(docs.mapInPandas(cut_texts, f"doc_id {kind}, digest bigint"))
-    # A digest is hot where 1 / 200 of the documents have it: as a document has few chunks, so are the hot digests.
-    least = max(HOT_FLOOR, documents.count() // 200)
+    # Rows of one digest beyond which it is spread over tasks; at most 200 digests can hold 1 / 200 of the rows each.
+    least = max(HOT_FLOOR, made.count() // 200)
     counted = made.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
     hot = counted.filter(F.col("n") >= least).select("digest")
-    marks = salted_join(made, counted.select("digest"), ["digest"], hot, "doc_id", "inner").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    common = F.col("n") >= COMMON_FLOOR
+    marks = (
+        salted_join(made, counted.select("digest", common.alias("common")), ["digest"], hot, "doc_id", "inner")
+        .groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(F.when(F.col("common"), F.col("digest"))).alias("commons"))
+    )
 
     def hash_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, hs = [], []
-            for t, dig in zip(pdf["text"], pdf["digests"], strict=True):
+            held, size = [], 0
+            for doc, t, dig, com in zip(pdf["doc_id"], pdf["text"], pdf["digests"], pdf["commons"], strict=True):
                 c = Cut(t, window)
-                p, h = c.stretches(min_chars, np.isin(c.digests, np.asarray(dig, np.int64)))
-                at.append(p)
-                hs.append(h)
-            if at:
-                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in at]), "at": np.concatenate(at), "h": np.concatenate(hs)})
-
-    grams = docs.join(marks, "doc_id").mapInPandas(hash_texts, f"doc_id {kind}, at bigint, h bigint")
-    if hot.isEmpty():
-        # Every stretch holds a whole chunk, so none is in more documents than its chunks: no group of equal ones is hot.
-        w = Window.partitionBy("h")
-        met = grams.withColumn("a", F.min("doc_id").over(w)).withColumn("b", F.max("doc_id").over(w)).filter("a <> b")
+                at, h, more = distinct_stretches(*c.stretches(min_chars, np.isin(c.digests, np.asarray(dig, np.int64))))
+                held.append((doc, at, h, more, c.all_in(at, min_chars, com)))
+                size += len(at)
+                if size > OUT_ROWS:
+                    yield gram_rows(held)
+                    held, size = [], 0
+            if held:
+                yield gram_rows(held)
+
+    grams = docs.join(marks, "doc_id").mapInPandas(hash_texts, f"doc_id {kind}, at bigint, h bigint, more array<bigint>, common boolean")
+    met = lambda df, *by: df.groupBy(*by).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    if counted.filter(common).isEmpty():
+        rare, often = grams, None
     else:
         grams = cut(grams)
-        many = grams.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
-        met = salted_join(grams, many.select("h"), ["h"], many.filter(F.col("n") >= least).select("h"), "doc_id", "inner")
-    return met.select("doc_id", "at")
+        rare, often = grams.filter("not common"), grams.filter("common")
+    # A stretch with a chunk that is not common is in fewer than COMMON_FLOOR documents, with one row in each: no group is large.
+    w = Window.partitionBy("h")
+    out = rare.withColumn("a", F.min("doc_id").over(w)).withColumn("b", F.max("doc_id").over(w)).filter("a <> b").select("doc_id", "at", "more")
+    if often is not None:
+        # All others may be in any number of documents: counted partially per salt, then only the salts that hold a shared one are joined.
+        often = often.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        per_salt = met(often, "h", "salt")
+        ends = per_salt.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("salt").alias("salts")).filter("a <> b")
+        shared = ends.select("h", F.explode("salts").alias("salt"))
+        out = out.unionByName(often.hint("merge").join(shared, ["h", "salt"], "left_semi").select("doc_id", "at", "more"))
+    return out
 
 
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400) -> DataFrame:
@@ -178,8 +237,13 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     least ``min_chars`` characters that another doc_id has too. Of several rows
     of one doc_id the longest text gives n_chars.
     """
-    at = shared_stretches(documents, id_col, text_col, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    gaps = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at")), lambda a, b: F.least(b - a, F.lit(min_chars)))
+    met = shared_stretches(documents, id_col, text_col, min_chars)
+    runs = F.coalesce("more", F.array(F.col("at"), F.col("at") + 1))
+    # The runs of a document in order, each as far as its last stretch reaches, without what those before it have covered.
+    pairs = met.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size(runs) / 2 - 1).cast("int")), lambda i: F.struct(F.get(runs, i * 2).alias("a"), (F.get(runs, i * 2 + 1) + (min_chars - 1)).alias("b")))).alias("r"))
+    sorted_runs = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("r")).alias("rs"))
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+    covered = F.aggregate("rs", start, lambda x, r: F.struct(F.greatest(x["end"], r["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(x["end"], r["a"]))).alias("n")))
     sizes = documents.select(F.col(id_col).alias("doc_id"), F.length(text_col).cast("bigint").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n_chars"))
-    shared = F.aggregate(gaps, F.lit(min_chars).cast("bigint"), lambda x, y: x + y)
-    return at.join(sizes, "doc_id").select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("shared_share"))
+    out = sorted_runs.select("doc_id", covered["n"].alias("shared_chars")).join(sizes, "doc_id")
+    return out.select("doc_id", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))

@@ -9,6 +9,15 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, 1, 2, "z") for r in rows], "doc_id bigint, text string, digest bigint, h bigint, at string")
 
 
+def positions(rows):
+    """doc -> every position of its shared stretches."""
+    out = {}
+    for r in rows:
+        runs = r["more"] or [r["at"], r["at"] + 1]
+        out.setdefault(r["doc_id"], set()).update(x for a, b in zip(runs[::2], runs[1::2]) for x in range(a, b))
+    return out
+
+
 def brute(rows, n):
     where = {}
     for d, t in rows:
@@ -34,9 +43,7 @@ def test_as_brute_force(spark, seed):
         rows.append((d, text(rnd.randrange(80)) + s[rnd.randrange(20) : len(s) - rnd.randrange(20)] + text(rnd.randrange(80))))
     rows += [(100, rows[0][1]), (101, rows[0][1]), (102, "q" * 500), (103, text(5))]
     want = brute(rows, 100)
-    got = {}
-    for r in shared_stretches(docs(spark, rows), min_chars=100).collect():
-        got.setdefault(r["doc_id"], set()).add(r["at"])
+    got = positions(shared_stretches(docs(spark, rows), min_chars=100).collect())
     assert got == want and want
 
 
@@ -59,11 +66,20 @@ def test_hot_span(spark, monkeypatch):
     rows = [(d, text(60) + s + text(60)) for d in range(40)] + [(100 + d, text(300)) for d in range(20)]
     import millrace.llm.shared_spans as m
 
+    rows += [(200 + d, text(60) + "-" * 400 + text(60) + "-=" * 120) for d in range(30)]
     monkeypatch.setattr(m, "HOT_FLOOR", 10)
-    got = {}
-    for r in shared_stretches(docs(spark, rows), min_chars=100).collect():
-        got.setdefault(r["doc_id"], set()).add(r["at"])
-    assert got == brute(rows, 100)
+    monkeypatch.setattr(m, "COMMON_FLOOR", 10)
+    monkeypatch.setattr(m, "OUT_ROWS", 50)
+    assert positions(shared_stretches(docs(spark, rows), min_chars=100).collect()) == brute(rows, 100)
+
+
+def test_a_line_of_one_character_gives_one_row_a_document(spark):
+    """Documents with the same long rule line: its one different stretch is one row each, not one row per position."""
+    rnd = random.Random(6)
+    rows = [(d, "".join(rnd.choice("abcdefgh") for _ in range(300)) + chr(0x4E00 + d) + "-" * 10_000) for d in range(60)]
+    got = shared_stretches(docs(spark, rows)).collect()
+    assert len(got) == 60 and all(r["more"] and r["more"][1] - r["more"][0] == 9601 for r in got)
+    assert {r["shared_chars"] for r in shared_spans(docs(spark, rows)).collect()} == {10_000}
 
 
 def test_window():
