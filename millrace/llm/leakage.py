@@ -2,8 +2,9 @@
 
 A window of ``min_words`` words that occurs with at most ``k`` word edits holds
 ``k + 1`` whole pieces of the item, one of which is untouched. So all items are
-cut into pieces, one automaton finds every piece in each whole document, and
-only the windows around a hit are verified, by Myers' algorithm over words.
+cut into pieces, an automaton finds every piece in each whole document, and
+every window that holds a hit is verified by Myers' algorithm over words; the
+answer is made of verified windows alone.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import words
+from millrace.session import cut, hot_keys, salted_join
 
-#: Characters of items in one automaton; more items are searched in blocks, one pass over the documents each.
+#: Characters of items in one automaton: up to so many are broadcast, more are cut into blocks of about this size.
 BLOCK_CHARS = 4_000_000
+#: Documents in one cell of a block: bounds a task's memory, not what is compared.
+CELL_DOCS = 50_000
 
 
 def piece_words(min_words: int, max_edits: int) -> int:
@@ -57,17 +61,6 @@ def myers_search(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-def _run(item: list[str], doc: list[str], i: int, j: int) -> tuple[int, int]:
-    """First and last item position of the longest equal run around item[i] == doc[j]."""
-    a = 0
-    while i - a > 0 and j - a > 0 and item[i - a - 1] == doc[j - a - 1]:
-        a += 1
-    b = 0
-    while i + b + 1 < len(item) and j + b + 1 < len(doc) and item[i + b + 1] == doc[j + b + 1]:
-        b += 1
-    return i - a, i + b
-
-
 class ItemIndex:
     """Automaton over the pieces of the items, built once in each Python worker."""
 
@@ -88,84 +81,113 @@ class ItemIndex:
         self.empty = not pieces
 
     def search(self, text: str | None) -> Iterator[tuple[str, int, int, int]]:
-        """(item, longest exact run in words, words of the item covered by verified windows, least edits of a window)."""
+        """(item, words of the item in windows without an edit, in windows within the budget, least edits of a window), by Myers' distance of each window around a hit."""
         doc = words(text)
         if self.empty or len(doc) < self.size:
             return
         flat = " " + " ".join(doc) + " "
-        hits: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, set[tuple[int, int]]] = {}
         seen, count = 0, 0
         for end, (length, places) in self.machine.iter(flat):
             start = end - length + 1
             count += flat.count(" ", seen, start)
             seen = start
             for n, at in places:
-                hits.setdefault(n, []).append((at, count))
+                hits.setdefault(n, set()).add((at, count))
         for n, found in hits.items():
             item_id, item = self.items[n]
-            longest, edits, covered, done = 0, self.k + 1, set(), set()
-            for at, pos in found:
-                if (at, pos) in done:
-                    continue
-                a, b = _run(item, doc, at, pos)
-                done.update((x, x - at + pos) for x in range(a, b + 1))
-                longest = max(longest, b - a + 1)
-                if b - a + 1 >= self.min_words:
-                    edits = 0
-                    covered.update(range(a, b + 1))
-                # Windows over the run's surroundings: the budget may carry them over a changed word.
-                lo = max(0, a - self.min_words)
-                for s in range(lo, max(lo, min(b + 1, len(item) - self.min_words)) + 1):
-                    window = item[s : s + self.min_words]
-                    if len(window) < self.min_words or (s >= a and s + self.min_words - 1 <= b) or min(b + 1, s + self.min_words) - max(a, s) < self.size:
-                        continue
-                    shift = pos - at
-                    d = myers_search(window, doc[max(0, s + shift - self.k) : s + shift + self.min_words + self.k])
-                    if d <= self.k:
-                        edits = min(edits, d)
-                        covered.update(range(s, s + self.min_words))
+            # Windows of the item that hold a hit, with where they would begin in the document.
+            windows = {(s, pos - at + s) for at, pos in found for s in range(max(0, at + self.size - self.min_words), min(at, len(item) - self.min_words) + 1)}
+            edits, exact, covered = self.k + 1, set(), set()
+            for s, begin in windows:
+                d = myers_search(item[s : s + self.min_words], doc[max(0, begin - self.k) : max(0, begin + self.min_words + self.k)])
+                if d <= self.k:
+                    edits = min(edits, d)
+                    covered.update(range(s, s + self.min_words))
+                    if d == 0:
+                        exact.update(range(s, s + self.min_words))
             if covered:
-                yield item_id, longest, len(covered), edits
+                yield item_id, len(exact), len(covered), edits
+
+
+def piece_hashes(ws: list[str], size: int, step: int) -> list[int]:
+    """Distinct signed 64-bit hashes of the pieces of ``size`` words that begin at every ``step``-th word."""
+    import xxhash
+
+    return sorted({xxhash.xxh64_intdigest(" ".join(ws[i : i + size])) - (1 << 63) for i in range(0, len(ws) - size + 1, step)})
+
+
+def _found(index: ItemIndex, ids, texts) -> pd.DataFrame:
+    rows = [(d, *hit) for d, t in zip(ids, texts, strict=True) for hit in index.search(t)]
+    return pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "covered_words", "edits"])
+
+
+def _by_broadcast(docs: DataFrame, named: DataFrame, schema: str, min_words: int, max_edits: int) -> DataFrame:
+    """Every document against one automaton over all items, whose size has been checked."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["p"]) for r in named.collect()])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = ItemIndex(shared.value, min_words, max_edits)
+        for pdf in batches:
+            yield _found(index, pdf["doc_id"], pdf["text"])
+
+    return docs.mapInPandas(search, schema)
+
+
+def _by_routing(docs: DataFrame, named: DataFrame, schema: str, min_words: int, max_edits: int, chars: int) -> DataFrame:
+    """Items in blocks by hash; a document meets only the blocks one of whose pieces it holds. Nothing comes to the driver."""
+    size, blocks = piece_words(min_words, max_edits), max(1, -(-chars // BLOCK_CHARS))
+    placed = cut(named.withColumn("block", F.pmod(F.xxhash64("i", "p"), F.lit(blocks)).cast("int")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(h, b) for t, b in zip(pdf["p"], pdf["block"], strict=True) for h in piece_hashes(words(t), size, size)], columns=["h", "block"])
+
+    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(u, h) for u, t in zip(pdf["u"], pdf["text"], strict=True) for h in piece_hashes(words(t), size, 1)], columns=["u", "h"])
+
+    # A document is named by its id and text: rows of one id may differ.
+    keyed = docs.withColumn("u", F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), "text"))).dropDuplicates(["u"])
+    wanted = placed.mapInPandas(of_items, "h bigint, block int").groupBy("h").agg(F.collect_set("block").alias("in_blocks"))
+    held = cut(keyed.select("u", "text").mapInPandas(of_docs, "u string, h bigint"))
+    rows = held.count()
+    meets = salted_join(held, wanted, ["h"], hot_keys(held, ["h"], rows), "u", "inner").select("u", F.explode("in_blocks").alias("block")).distinct()
+    cells = max(1, -(-keyed.count() // CELL_DOCS))
+    at = F.pmod(F.xxhash64("u"), F.lit(cells)).cast("int")
+    right = meets.join(keyed, "u").withColumn("cell", at)
+    left = placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+
+    def search(items: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        index = ItemIndex(list(zip(items["i"], items["p"], strict=True)) if len(some) else [], min_words, max_edits)
+        return _found(index, some["doc_id"], some["text"])
+
+    by, n = ["block", "cell"], min(blocks * cells, 100_000)
+    out = left.repartition(n, *by).groupBy(*by).cogroup(right.repartition(n, *by).groupBy(*by)).applyInPandas(search, schema)
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
 
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_words: int = 12, max_edits: int = 1
 ) -> DataFrame:
-    """(doc_id, item_id, run_words, covered_words, edits): documents with a window of an item within ``max_edits`` word edits.
-
-    run_words is the longest run of consecutive equal words, covered_words how
-    many words of the item lie in verified windows. Items are the stated query
-    set: they are taken in blocks of ``BLOCK_CHARS`` characters, each block
-    against all documents, so their number is not limited by memory. Null
-    texts and passages, and items of fewer than ``min_words`` words, match
-    nothing; rows of one doc_id (or null doc_id) count as one document; extra
-    columns are not read. Empty tables give no rows.
+    """(doc_id, item_id, exact_words, covered_words, edits): documents with a window of an item within ``max_edits`` word edits.
+
+    exact_words and covered_words count the words of the item in windows of
+    ``min_words`` words whose distance to the document is 0 or within the
+    budget; edits is the least distance. Items of up to ``BLOCK_CHARS``
+    characters in all, which is measured, are one broadcast automaton; more are
+    cut into blocks, and each document goes to the blocks it shares a piece
+    with. Null texts and passages, and items of fewer than ``min_words`` words,
+    match nothing; rows of one doc_id (or null doc_id) count as one document;
+    extra columns are not read. Empty tables give no rows.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id string, exact_words int, covered_words int, edits int"
     named = items.filter(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(passage_col).alias("p")).distinct()
-    blocks: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    for r in named.toLocalIterator():
-        blocks[-1].append((r["i"], r["p"]))
-        held += len(r["p"])
-        if held > BLOCK_CHARS:
-            blocks.append([])
-            held = 0
-    out = None
-    for block in blocks:
-        if not block and out is not None:
-            continue
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, min_words, max_edits)
-            for pdf in batches:
-                rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for hit in index.search(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words", "covered_words", "edits"])
-
-        part = docs.mapInPandas(search, f"doc_id {kind}, item_id string, run_words int, covered_words int, edits int")
-        out = part if out is None else out.unionByName(part)
+    chars = int(named.agg(F.sum(F.length("p") + F.length(F.coalesce("i", F.lit("")))).alias("n")).first()["n"] or 0)
+    out = _by_broadcast(docs, named, schema, min_words, max_edits) if chars <= BLOCK_CHARS else _by_routing(docs, named, schema, min_words, max_edits, chars)
     return out.groupBy("doc_id", "item_id").agg(
-        F.max("run_words").alias("run_words"), F.max("covered_words").alias("covered_words"), F.min("edits").alias("edits")
+        F.max("exact_words").alias("exact_words"), F.max("covered_words").alias("covered_words"), F.min("edits").alias("edits")
     )

@@ -69,14 +69,19 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with 12 equal words in a row: the exact check after the search with an error budget."""
-    return _leaks(spark, sf).filter("run_words >= 12").select("doc_id", "item_id")
+    """Pairs with a window of 12 words at distance 0."""
+    return _leaks(spark, sf).filter("edits = 0").select("doc_id", "item_id")
+
+
+def p7_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs whose windows of 12 words all hold an edited word: leaks that no exact search finds."""
+    return _leaks(spark, sf).filter("edits > 0").select("doc_id", "item_id", "edits", "covered_words")
 
 
 def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     """Which items leaked, into how many documents, and how much of the item the worst of them holds."""
     return _leaks(spark, sf).groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.max("covered_words").alias("max_covered_words"), F.count_if(F.col("edits") > 0).alias("n_edited_only")
+        F.count(F.lit(1)).alias("n_docs"), F.max("exact_words").alias("max_exact_words"), F.max("covered_words").alias("max_covered_words"), F.count_if(F.col("edits") > 0).alias("n_edited_only")
     )
 
 
@@ -89,7 +94,7 @@ def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p3_found, p3_by_model, p4_found, p4_by_split, p6_packed, p6_use, p7_found, p7_items, p8_found, p8_shared)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p3_found, p3_by_model, p4_found, p4_by_split, p6_packed, p6_use, p7_found, p7_edited, p7_items, p8_found, p8_shared)}
 
 _C, _R = canonical_key_sql("customer_id"), canonical_key_sql("route_id")
 

@@ -41,29 +41,48 @@ def docs(spark, rows):
 ITEM = [f"i{n}" for n in range(40)]
 
 
-def test_runs_as_brute_force(spark):
-    rnd = random.Random(5)
+def corpus(seed):
+    rnd = random.Random(seed)
     items = [[f"t{k}w{rnd.randrange(500)}" for _ in range(rnd.randrange(10, 50))] for k in range(6)]
-    rows, want = [], set()
+    rows, texts = [], []
     for d in range(120):
         k = rnd.randrange(6)
         n = rnd.randrange(6, 20)
         at = rnd.randrange(max(1, len(items[k]) - n))
-        text = [f"z{rnd.randrange(50)}" for _ in range(rnd.randrange(30))] + items[k][at : at + n] + [f"z{rnd.randrange(50)}" for _ in range(rnd.randrange(30))]
+        part = items[k][at : at + n]
+        if rnd.random() < 0.6:  # an edit: replaced, dropped or inserted
+            x = rnd.randrange(len(part))
+            part = rnd.choice([part[:x] + ["q"] + part[x + 1 :], part[:x] + part[x + 1 :], part[:x] + ["q"] + part[x:]])
+        text = [f"z{rnd.randrange(50)}" for _ in range(rnd.randrange(30))] + part + [f"z{rnd.randrange(50)}" for _ in range(rnd.randrange(30))]
+        texts.append(text)
         rows.append((d, ", ".join(text).upper()))
+    return items, rows, texts
+
+
+@pytest.mark.parametrize("routed", [False, True])
+def test_windows_as_brute_force(spark, monkeypatch, routed):
+    """Least distance of every window of every item by dynamic programming; with and without the items in one automaton."""
+    import millrace.llm.leakage as m
+
+    items, rows, texts = corpus(5)
+    want = {}
+    for d, text in enumerate(texts):
         for j, it in enumerate(items):
-            grams = {tuple(it[x : x + 12]) for x in range(len(it) - 11)}
-            if any(tuple(text[x : x + 12]) in grams for x in range(len(text) - 11)):
-                want.add((d, f"I{j}"))
+            least = min((semi_global(it[x : x + 12], text) for x in range(len(it) - 11)), default=9)
+            if least <= 1:
+                want[d, f"I{j}"] = least
+    if routed:
+        monkeypatch.setattr(m, "BLOCK_CHARS", 300)
+        monkeypatch.setattr(m, "CELL_DOCS", 30)
     ii = spark.createDataFrame([(f"I{j}", " ".join(it)) for j, it in enumerate(items)], "item_id string, passage string")
-    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, rows), ii).filter("run_words >= 12").collect()}
-    assert got == want and want
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(docs(spark, rows), ii).collect()}
+    assert got == want and {0, 1} == set(want.values())
 
 
 def test_error_budget_and_edges(spark):
     edited = ITEM[:6] + ["other"] + ITEM[7:12]
     rows = [(1, " ".join(ITEM[:12])), (2, " ".join(edited)), (3, " ".join(ITEM[:8])), (4, None), (5, ""), (None, " ".join(ITEM)), (1, " ".join(ITEM)), (6, "x " * 200_000 + " ".join(ITEM[20:33]))]
     items = spark.createDataFrame([("a", " ".join(ITEM), 1), ("b", None, 1), ("c", "too short", 1), ("a", " ".join(ITEM), 1)], "item_id string, passage string, doc_id int")
-    got = {(r["doc_id"], r["item_id"]): (r["run_words"], r["edits"]) for r in find_leaks(docs(spark, rows), items).collect()}
-    assert got[1, "a"] == (40, 0) and got[2, "a"] == (6, 1) and got[None, "a"][0] == 40 and got[6, "a"][0] == 13 and (3, "a") not in got
+    got = {(r["doc_id"], r["item_id"]): (r["exact_words"], r["edits"]) for r in find_leaks(docs(spark, rows), items).collect()}
+    assert got[1, "a"] == (40, 0) and got[2, "a"] == (0, 1) and got[None, "a"][0] == 40 and got[6, "a"][0] == 13 and (3, "a") not in got
     assert find_leaks(docs(spark, []), items).count() == 0 and find_leaks(docs(spark, rows), items.limit(0)).count() == 0

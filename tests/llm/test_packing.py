@@ -44,6 +44,29 @@ def test_pack_whole(spark):
     assert use["large"] > 0.9
 
 
+def test_registered_limits_hold_and_bind(spark):
+    """Many tiny texts meet the limit of documents, long ones that of attention; no container exceeds either."""
+    from millrace.llm.packing import ATTENTION, MAX_DOCS
+
+    rows = [(i, "a") for i in range(400)] + [(1000 + i, "word " * 487) for i in range(40)]
+    targets = spark.createDataFrame([("large", 512)], TARGETS)
+    packed = pack(docs(spark, rows), targets)
+    held = {}
+    for r in packed.collect():
+        held.setdefault(r["container_id"], []).append(r["n_tokens"])
+    assert max(map(len, held.values())) == MAX_DOCS
+    assert all(len(v) == 1 or sum(x * x for x in v) <= ATTENTION * 512**2 + 1e-6 for v in held.values())
+    use = container_use(packed, targets).first()
+    assert use["n_at_docs"] >= 4 and use["n_at_attention"] == 40 and use["attention_share"] <= 1
+
+
+def test_same_packing_for_any_division_into_files(spark):
+    rows = [(i % 90, "word " * (1 + i * 7 % 90)) for i in range(300)]
+    targets = spark.createDataFrame([("small", 64)], TARGETS)
+    shape = lambda d: sorted(tuple(r) for r in pack(d, targets).collect())
+    assert shape(docs(spark, rows).repartition(7)) == shape(docs(spark, rows[::-1]).coalesce(1))
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("small", 64)], TARGETS)
     assert pack(docs(spark, []), targets).count() == 0
