@@ -1,22 +1,23 @@
-"""Same or nearly same records across splits: sharded Aho-Corasick automata over evaluation texts.
-
-Words become symbols of 20 bits; for the automata each is spelled in four letters
-of 32 (an automaton searches the children of a node one by one, so few of them
-make it fast), of an alphabet of its own per place, so matches begin at words.
-Every evaluation text is cut into pieces of two words; of
-these the ``k + 1`` rarest are patterns, ``k`` being the most word edits that
-any partner may have. A partner keeps all pieces but one per edit, so at least
-one pattern occurs in it unchanged. The patterns are sharded into automata, and
-every training text is scanned by all shards: a grid of (shard, block of
-training texts) cells. Pairs with enough hits are verified by bit-parallel edit
-distance. The matched intervals are not merged into a coverage per evaluation
-record.
+"""Same or nearly same records across splits: sharded Aho-Corasick automata over pieces of evaluation texts.
+
+1. An evaluation text of n words has at most ``k`` word edits towards any
+   partner. ``k + 1`` disjoint pieces of two to four words are cut from it: at
+   least one of them stands unchanged in every partner. Which pieces are cut
+   only decides the cost: those that are rarest by the counts of words and
+   word pairs over all training texts (a shortest path over the text).
+2. The pieces are sharded by hash. A training text is sent only to the shards
+   of pieces it holds: its own word runs are looked up in a bitmap of all
+   pieces, whose size is fixed, so a text without any goes nowhere.
+3. In each shard one automaton over the pieces scans the training texts sent
+   there. A pair with a piece at a place that ``k`` edits allow is verified by
+   bit-parallel edit distance over the words themselves; the matched intervals
+   of the pair are kept and merge into the coverage of the evaluation record.
+   Shards with many texts are divided into a grid of their own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -25,16 +26,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import canonical_key
-from millrace.session import cut
-
-#: Pieces in one automaton and training texts in one cell: both bound a task's memory, neither what is compared.
-SHARD_PIECES = 250_000
-CELL_TEXTS = 80_000
+from millrace.session import cut, hot_keys, salted_join
+
+#: Matches in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
+SHARD_HITS = 100_000
+CELL_TEXTS = 40_000
+#: Words of a text that are cut into pieces together, and the lengths of pieces (one word only for texts of one word).
+BLOCK_WORDS = 80
+SIZES = (2, 3, 4)
+#: Words and pairs in at least one of so many training texts are counted, which bounds how many counts there are.
+COUNTED_IN = 10_000
+#: Bits of the bitmap of pieces: 64 per piece, at most 2^28 (32 MB, broadcast); a fuller one only sends more texts.
+MOST_BITS = 28
 EVAL_SPLITS = ("val", "test", "test_ood", "bench")
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def word_distance(a: str, b: str, most: int) -> int:
-    """Edit distance of two strings of symbols (Myers' bit vectors, global form); ``most + 1`` where it is larger."""
+def word_distance(a: Sequence[str], b: Sequence[str], most: int) -> int:
+    """Edit distance of two sequences of words (Myers' bit vectors, global form); ``most + 1`` where it is larger."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
@@ -70,149 +79,291 @@ def body_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(body), r"(?U)[\s​﻿]+"), lambda w: w != "")
 
 
-def symbols(ws: Column) -> Column:
-    """One code point beyond the first plane per word. Two words share one with a chance of 2^-20."""
-    return F.transform(ws, lambda w: (F.lit(0x10000) + F.pmod(F.xxhash64(w), F.lit(0x100000))).cast("int"))
-
-
-def patterns(text: str, counts: dict[str, int], share: float) -> tuple[int, list[tuple[int, str]]]:
-    """(k, [(position, piece)]): the k + 1 rarest disjoint pieces; k = most edits towards any partner."""
-    n = len(text)
-    if not n:
-        return 0, []
-    # A partner of m words has at most share * m edits and n >= m - share * m.
-    k = int(share * n / (1 - share) + 1e-9)
-    size = piece_size(n, share)
-    pieces = [(i, text[i : i + size]) for i in range(0, n - size + 1, size)]
-    pieces.sort(key=lambda p: (min(counts.get(c, 0) for c in p[1]), p[0]))
-    return k, pieces[: k + 1]
-
-
-_SHIFTS = np.array([15, 10, 5, 0], np.uint32)
-_ALPHABETS = np.array([0x100, 0x120, 0x140, 0x160], np.uint32)
-
-
-def _spelled(texts: list[np.ndarray], step: int = 1000) -> Iterator[str]:
-    """Each text with four letters per symbol; ``step`` texts are spelled at a time, which bounds the memory."""
-    for i in range(0, len(texts), step):
-        some = texts[i : i + step]
-        codes = np.concatenate(some).astype(np.uint32) - np.uint32(0x10000)
-        letters = np.empty((len(codes), 4), np.uint16)
-        for k in range(4):
-            letters[:, k] = (codes >> _SHIFTS[k] & np.uint32(31)) + _ALPHABETS[k]
-        flat, at = letters.tobytes().decode("utf-16-le"), 0
-        for x in some:
-            yield flat[at : at + 4 * len(x)]
-            at += 4 * len(x)
-
-
-def _choose(batches: Iterator[pd.DataFrame], counts: dict[str, int], share: float) -> Iterator[pd.DataFrame]:
-    """(key, symbols, places): the positions of the patterns of each evaluation text."""
+def flatten(hashes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts in a row, number of words of each)."""
+    sizes = np.array([len(x) for x in hashes], np.int64)
+    flat = np.concatenate([np.asarray(x, np.int64) for x in hashes]).view(np.uint64) if len(hashes) else np.empty(0, np.uint64)
+    return flat, sizes
+
+
+def runs_of(flat: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position, as a signed number."""
+    n = len(flat) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out = np.full(n, np.uint64(size))
+    for j in range(size):
+        out = out * _BASE + flat[j : j + n]
+    out = (out ^ (out >> np.uint64(29))) * _MIX
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def whole(sizes: np.ndarray, size: int) -> np.ndarray:
+    """Which positions of the texts in a row begin a run of ``size`` words of one text."""
+    total = int(sizes.sum())
+    if total < size:
+        return np.zeros(0, bool)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    return np.arange(total - size + 1) + size <= ends[: total - size + 1]
+
+
+class Rarity:
+    """Estimated number of training texts with a run of words, from the counts of frequent words and pairs."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.total = hashes[order], counts[order].astype(np.float64), max(total, 1)
+        self.low = max(3, total / COUNTED_IN) / 4
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0.0)
+
+    def costs(self, flat: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size the estimate of the run from each position: pairs chained by the words they share."""
+        one = self.known(runs_of(flat, 1))
+        one[one == 0] = self.low
+        if len(flat) < 2:
+            return {1: one}
+        two = self.known(runs_of(flat, 2))
+        apart = np.minimum(self.low, np.maximum(0.02, 4 * one[:-1] * one[1:] / self.total))
+        two = np.where(two > 0, two, apart)
+        link = np.minimum(1.0, two / one[:-1])
+        out = {1: one, 2: two}
+        for size in range(3, max(SIZES) + 1):
+            n = len(flat) - size + 1
+            out[size] = out[size - 1][:n] * link[size - 2 : size - 2 + n] if n > 0 else np.empty(0)
+        return out
+
+
+def _blocks(n: int, pieces: int) -> list[tuple[int, int, int]]:
+    """(first word, words, pieces) of the parts of a text of ``n`` words from which ``pieces`` pieces are cut in all."""
+    parts = max(1, -(-n // BLOCK_WORDS))
+    ends = [n * (i + 1) // parts for i in range(parts)]
+    out, first, given = [], 0, 0
+    for e in ends:
+        upto = pieces * e // n
+        if upto > given:
+            out.append((first, e - first, upto - given))
+        first, given = e, upto
+    return out
+
+
+def _cheapest(costs: dict[int, np.ndarray], starts: np.ndarray, length: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, sizes), each (blocks, pieces): the disjoint pieces of least cost in all of equally long blocks."""
+    sizes = SIZES if length > 1 else (1,)
+    spread = starts[:, None] + np.arange(length)[None, :]
+    best = np.zeros((len(starts), length + 1))
+    took, where = [], []
+    for _ in range(pieces):
+        now = np.full(best.shape, np.inf)
+        size = np.zeros(best.shape, np.int8)
+        for s in sizes:
+            if s > length:
+                continue
+            offer = best[:, : length + 1 - s] + costs[s][spread[:, : length + 1 - s]]
+            better = offer < now[:, s:]
+            now[:, s:][better] = offer[better]
+            size[:, s:][better] = s
+        best = np.minimum.accumulate(now, axis=1)
+        took.append(size)
+        where.append(np.maximum.accumulate(np.where(now == best, np.arange(length + 1)[None, :], 0), axis=1))
+    rows, at = np.arange(len(starts)), np.full(len(starts), length)
+    first, width = np.empty((len(starts), pieces), np.int64), np.empty((len(starts), pieces), np.int64)
+    for j in range(pieces - 1, -1, -1):
+        at = where[j][rows, at]
+        width[:, j] = took[j][rows, at]
+        at = at - width[:, j]
+        first[:, j] = at
+    return first, width
+
+
+def cut_pieces(hashes: pd.Series, rarity: Rarity, share: float) -> pd.DataFrame:
+    """(text, at, size, h): k + 1 disjoint pieces of each text, k being the most word edits towards any partner.
+
+    A partner of m words has at most share * m edits and n >= m - share * m.
+    """
+    flat, sizes = flatten(hashes)
+    begin = np.cumsum(sizes) - sizes
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, n in enumerate(sizes.tolist()):
+        if n:
+            for first, words, pieces in _blocks(n, int(share * n / (1 - share) + 1e-9) + 1):
+                groups.setdefault((words, pieces), []).append((t, int(begin[t]) + first))
+    costs = rarity.costs(flat)
+    for s in SIZES:
+        costs.setdefault(s, np.empty(0))
+        costs[s] = np.append(costs[s], np.full(s, np.inf))  # runs over the end
+    text, at, size = [], [], []
+    for (words, pieces), members in groups.items():
+        t, starts = (np.array(x, np.int64) for x in zip(*members, strict=True))
+        first, width = _cheapest(costs, starts, words, pieces)
+        text.append(np.repeat(t, pieces))
+        at.append((first + starts[:, None]).ravel())
+        size.append(width.ravel())
+    if not text:
+        return pd.DataFrame({"text": [], "at": [], "size": [], "h": []}).astype("int64")
+    out = pd.DataFrame({"text": np.concatenate(text), "at": np.concatenate(at), "size": np.concatenate(size)})
+    out["h"] = 0
+    for s in (1, *SIZES):
+        mine = (out["size"] == s).to_numpy()
+        if mine.any():
+            out.loc[mine, "h"] = runs_of(flat, s)[out.loc[mine, "at"].to_numpy()]
+    out["at"] -= begin[out["text"].to_numpy()]
+    return out
+
+
+def bitmap_of(pieces: DataFrame, bits: int, column: str = "h") -> np.ndarray:
+    """Bit h mod 2^bits of every hash, as bytes: aggregated by the tasks in parts of 4 KB, 2^bits / 8 bytes at most in all."""
+    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    parts = pieces.select((bit / 32768).cast("int").alias("part"), (bit % 32768).alias("pos")).groupBy("part").agg(F.expr("bitmap_construct_agg(pos)").alias("map"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        got = np.frombuffer(r["map"], np.uint8)
+        out[r["part"] * 4096 : r["part"] * 4096 + len(got)] = got
+    return out
+
+
+def held_pieces(batches: Iterator[pd.DataFrame], bitmap: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(h, key): the runs of words of each text that are in the bitmap."""
+    mask = np.int64(len(bitmap) * 8 - 1)
     for pdf in batches:
-        places = [[at for at, _ in patterns(_text(x), counts, share)[1]] for x in pdf["symbols"]]
-        yield pdf.assign(places=pd.Series(places, dtype=object))
-
-
-def _text(codes: np.ndarray) -> str:
-    return np.asarray(codes).astype(np.uint32).tobytes().decode("utf-32-le")
-
-
-def piece_size(n: int, share: float) -> int:
-    return max(1, min(2, n // (int(share * n / (1 - share) + 1e-9) + 1)))
+        flat, sizes = flatten(pdf["hashes"])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        texts, found = [], []
+        for s in (1, *SIZES):
+            h, ok = runs_of(flat, s), whole(sizes, s)
+            if s == 1:
+                ok = ok & (np.repeat(sizes, sizes) == 1)  # single words are pieces of texts of one word, whose partners have one too
+            bit = h & mask
+            ok = ok & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0)
+            texts.append(owner[: len(h)][ok])
+            found.append(h[ok])
+        out = pd.DataFrame({"h": np.concatenate(found), "t": np.concatenate(texts)}).drop_duplicates()
+        yield pd.DataFrame({"h": out["h"], "key": pdf["key"].to_numpy(dtype=object)[out["t"].to_numpy()]})
+
+
+def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
+    """[first, beyond the last, ...]: merged intervals of words whose pairs stand in the other text too."""
+    out: list[int] = []
+    for i in range(len(mine) - 1):
+        if (mine[i], mine[i + 1]) in other:
+            if out and out[-1] > i:
+                out[-1] = i + 2
+            else:
+                out += [i, i + 2]
+    return out
 
 
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
+    """Pairs of one cell: the automaton over the pieces of ``evals`` scans ``trains``; distances are over the words."""
     import ahocorasick
 
-    columns = ["eval_key", "train_key", "distance", "coverage"]
+    columns = ["eval_key", "train_key", "distance", "spans"]
     if not len(evals) or not len(trains):
         return pd.DataFrame(columns=columns)
-    keys, texts = evals["eval_key"].tolist(), evals["symbols"].tolist()
-    pieces_of = [len(p) for p in evals["places"]]
-    lengths = [len(x) for x in texts]
-    own = [int(share * n + 1e-9) for n in lengths]
-    where: dict[str, list[int]] = {}
-    for n, (letters, places) in enumerate(zip(_spelled(texts), evals["places"], strict=True)):
-        size = 4 * piece_size(lengths[n], share)
-        for p in places.tolist():
-            where.setdefault(letters[4 * p : 4 * p + size], []).append(n)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    lists = []
-    for p, ns in where.items():
-        machine.add_word(p, len(lists))
-        lists.append(ns)
+    keys, texts = evals["eval_key"].tolist(), [b.split(" ") for b in evals["eval_body"]]
+    own = [int(share * len(x) + 1e-9) for x in texts]
+    bags: dict[int, set[str]] = {}
+    where: dict[str, list[tuple[int, int]]] = {}
+    for n, places in enumerate(evals["places"]):
+        for p in places:
+            where.setdefault(" " + " ".join(texts[n][p["at"] : p["at"] + p["size"]]) + " ", []).append((n, p["at"]))
+    machine = ahocorasick.Automaton()
+    for piece, at in where.items():
+        machine.add_word(piece, (len(piece), at))
     machine.make_automaton()
-    del where
-    bags: dict[int, frozenset[int]] = {}
     out = []
-    scanned = trains["symbols"].tolist()
-    for key, x, letters in zip(trains["train_key"], scanned, _spelled(scanned), strict=True):
+    for key, body in zip(trains["train_key"], trains["train_body"], strict=True):
+        flat, x = " " + body + " ", body.split(" ")
         m = len(x)
         mine = int(share * m + 1e-9)
-        hits: Counter[int] = Counter()
-        for _, which in machine.iter(letters):
-            hits.update(lists[which])
-        bag = text = None
-        for n, seen in hits.items():
-            # Every edit spoils one piece at most, and one word at most of those both have.
-            lost = pieces_of[n] - seen
-            if lost > mine and lost > own[n]:
-                continue
-            length = lengths[n]
-            longer = max(length, m)
-            most = max(mine, own[n])
-            if abs(length - m) > most:
-                continue
-            if bag is None:
-                bag, text = frozenset(x.tolist()), _text(x)
+        near: set[int] = set()
+        seen = count = 0
+        for end, (length, places) in machine.iter(flat):
+            start = end - length + 1
+            count += flat.count(" ", seen, start)
+            seen = start
+            for n, at in places:
+                # As many edits as are allowed can shift a word, no more.
+                most = mine if mine > own[n] else own[n]
+                if -most <= count - at <= most and -most <= len(texts[n]) - m <= most:
+                    near.add(n)
+        if not near:
+            continue
+        bag, pairs = set(x), None
+        for n in near:
+            most, text = max(mine, own[n]), texts[n]
             other = bags.get(n)
             if other is None:
-                other = bags[n] = frozenset(texts[n].tolist())
-            if len(bag & other) < longer - most - (length - len(other)):
+                other = bags[n] = set(text)
+            if len(bag & other) < max(len(text), m) - most - (len(text) - len(other)):
                 continue
-            d = word_distance(_text(texts[n]), text, most)
+            d = word_distance(text, x, most)
             if d <= most:
-                out.append((keys[n], key, d, _coverage(texts[n], evals["places"].iat[n], text, share)))
+                pairs = pairs or set(zip(x, x[1:]))
+                out.append((keys[n], key, d, matched_spans(text, pairs)))
     return pd.DataFrame(out, columns=columns)
 
 
-def _coverage(codes: np.ndarray, places: np.ndarray, text: str, share: float) -> float:
-    """Share of the evaluation text in the merged intervals of its patterns that occur in the training text."""
-    mine, size = _text(codes), piece_size(len(codes), share)
-    covered = {i for at in places if mine[at : at + size] in text for i in range(at, at + size)}
-    return len(covered) / len(mine)
-
-
 def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataFrame:
-    """(eval_key, train_key, distance, coverage) of all pairs that differ in at most ``share`` of the words of the longer.
+    """(eval_key, train_key, distance, spans) of all pairs that differ in at most ``share`` of the words of the longer.
 
-    Inputs: (key, symbols) with distinct keys. Empty texts match nothing.
+    Inputs: (key, body) with distinct keys, body being words with one space
+    between. spans are the merged intervals of words of the evaluation text
+    whose pairs stand in the training text. Empty texts match nothing. A pair
+    may come several times, with the same values.
     """
-    total = evals.count() + trains.count()
-    both = evals.select("symbols").unionByName(trains.select("symbols"))
-    # Only symbols in at least 1 / 2000 of the texts are counted, so at most 2000 times the mean length of them come to the driver.
-    least = max(8, total // 2000)
-    common = both.select(F.explode(F.array_distinct("symbols")).alias("s")).groupBy("s").count().filter(F.col("count") >= least)
-    counts = {chr(r["s"]): r["count"] for r in common.collect()}
-    size = evals.agg(F.sum(F.floor(F.size("symbols") * share / (1 - share)) + 1).alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(size) // SHARD_PIECES))
-    blocks = max(1, -(-trains.count() // CELL_TEXTS))
-    kept = evals.mapInPandas(lambda b: _choose(b, counts, share), "key string, symbols array<int>, places array<int>")
-    mine = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = kept.withColumn("shard", mine(shards)).withColumn("block", all_of(blocks)).withColumnRenamed("key", "eval_key")
-    right = trains.withColumn("block", mine(blocks)).withColumn("shard", all_of(shards)).withColumnRenamed("key", "train_key")
-    cells, by = shards * blocks, ["shard", "block"]
+    kind = evals.schema["key"].dataType.simpleString()
+    sc = evals.sparkSession.sparkContext
+    hashed = lambda df: df.select("key", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            flat, sizes = flatten(pdf["hashes"])
+            h, n = np.unique(np.concatenate([runs_of(flat, s)[whole(sizes, s)] for s in (1, 2)]), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
+
+    total = trains.count()
+    counted = hashed(trains).select("hashes").mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    # Each is in one of COUNTED_IN texts at least: no more than twice COUNTED_IN times the mean number of words come to the driver.
+    frequent = counted.filter(F.col("n") >= max(3, total // COUNTED_IN)).toPandas()
+    known = sc.broadcast((frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rarity = Rarity(*known.value, total)
+        for pdf in batches:
+            out = cut_pieces(pdf["hashes"], rarity, share)
+            yield pd.DataFrame({"h": out["h"], "key": pdf["key"].to_numpy(dtype=object)[out["text"].to_numpy()], "at": out["at"].astype("int32"), "size": out["size"].astype("int32")})
+
+    pieces = cut(hashed(evals).mapInPandas(choose, f"h bigint, key {kind}, at int, size int"))
+    bits = min(MOST_BITS, max(18, (64 * max(pieces.count(), 1)).bit_length()))
+    shared = sc.broadcast(bitmap_of(pieces, bits))
+    held = cut(hashed(trains).mapInPandas(lambda b: held_pieces(b, shared.value), f"h bigint, key {kind}"))
+    rows = held.count()
+    shard = F.pmod(F.col("h"), F.lit(max(1, -(-rows // SHARD_HITS)))).alias("shard")
+    # Pieces that no training text holds are not searched for.
+    used = salted_join(pieces, held.select("h").distinct(), ["h"], hot_keys(pieces, ["h"], rows), "key", "inner")
+    left = used.groupBy(shard, "key").agg(F.collect_list(F.struct("at", "size")).alias("places"))
+    right = held.select(shard, "key").distinct()
+    parts = lambda df, name: df.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CELL_TEXTS).cast("int").alias(name))
+    grid = parts(left, "n_left").join(parts(right, "n_right"), "shard")
+    spread = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, "shard").withColumn("row", spread("n_left")).withColumn("col", every("n_right")).join(evals.withColumnRenamed("body", "eval_body"), "key")
+    right = right.join(grid, "shard").withColumn("col", spread("n_right")).withColumn("row", every("n_left")).join(trains.withColumnRenamed("body", "train_body"), "key")
+    by = ["shard", "row", "col"]
     return (
-        left.repartition(cells, *by)
-        .groupBy(*by)
-        .cogroup(right.repartition(cells, *by).groupBy(*by))
-        .applyInPandas(lambda a, b: _scan(a, b, share), "eval_key string, train_key string, distance int, coverage double")
-    )
+        left.select(*by, F.col("key").alias("eval_key"), "places", "eval_body").groupBy(*by)
+        .cogroup(right.select(*by, F.col("key").alias("train_key"), "train_body").groupBy(*by))
+        .applyInPandas(lambda a, b: _scan(a, b, share), f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
+    )
 
 
 def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, split, source, loads, text_key, symbols): one row per id and split it is in.
+    """(id, split, source, loads, text_key, body): one row per id and split it is in; body is the words of its user messages.
 
     A null or blank split is that of the record's load in the plan; a load in
     two splits places its record in both. ``loads`` are the keys of the load in
@@ -225,9 +376,9 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
         F.substring_index("source_id", ":", 1).alias("source"),
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
-        body_words(user).alias("ws"),
+        F.array_join(body_words(user), " ").alias("body"),
     )
-    base = base.select("id", "split", "source", "loads", F.md5(F.array_join("ws", " ")).alias("text_key"), symbols(F.col("ws")).alias("symbols"))
+    base = base.select("id", "split", "source", "loads", F.unhex(F.md5("body")).alias("text_key"), "body")
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
     return base.filter("split is not null").unionByName(lost).distinct()
@@ -244,16 +395,29 @@ def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -
     text only; records in neither a train nor an evaluation split, and null
     ids, are left out. Copies of a row change nothing; empty tables give no rows.
     """
+    return _expanded(*_matched(records, plan, share))
+
+
+def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evaluation records, training records, pairs of their texts)."""
     placed = cut(placed_records(records, plan))
     evals, trains = placed.filter(F.col("split").isin(*EVAL_SPLITS)), placed.filter("split = 'train'")
-    texts = lambda df: df.filter(F.size("symbols") > 0).groupBy("text_key").agg(F.first("symbols").alias("symbols")).withColumnRenamed("text_key", "key")
-    near = near_texts(texts(evals), texts(trains), share)
+    texts = lambda df: df.filter("body <> ''").select(F.col("text_key").alias("key"), "body").dropDuplicates(["key"])
+    near = near_texts(cut(texts(evals)), cut(texts(trains)), share)
     e = evals.select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads")).distinct()
     t = trains.select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
+    return e, t, near
+
+
+def _expanded(e: DataFrame, t: DataFrame, near: DataFrame) -> DataFrame:
     columns = ["train_id", "eval_id", "eval_split", "source", "by_load", "distance"]
-    by_text = near.join(e, "eval_key").join(t, "train_key").withColumn("by_load", F.lit(False)).select(*columns)
+    n = t.count()
+    near = near.select("eval_key", "train_key", "distance").distinct()
+    found = salted_join(e, near, ["eval_key"], hot_keys(e, ["eval_key"], n), "eval_id", "inner")
+    by_text = salted_join(t, found, ["train_key"], hot_keys(t, ["train_key"], n), "train_id", "inner").withColumn("by_load", F.lit(False)).select(*columns)
+    of_train, of_eval = t.withColumn("load", F.explode("train_loads")), e.withColumn("load", F.explode("eval_loads"))
     by_load = (
-        e.withColumn("load", F.explode("eval_loads")).join(t.withColumn("load", F.explode("train_loads")), "load")
+        salted_join(of_train, of_eval, ["load"], hot_keys(of_train, ["load"], n), "train_id", "inner")
         .withColumn("by_load", F.lit(True)).withColumn("distance", F.lit(None).cast("int")).select(*columns)
     )
     both = reduce(DataFrame.unionByName, [by_text, by_load]).filter("train_id <> eval_id")
@@ -262,3 +426,24 @@ def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -
         .agg(F.max("by_load").alias("by_load"), F.min("distance").alias("distance"))
         .select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"), *columns)
     )
+
+
+def evaluation_coverage(records: DataFrame, plan: DataFrame, share: float = 0.2) -> DataFrame:
+    """(eval_id, eval_split, source, n_texts, least_distance, covered_words) of the evaluation records with a near training text.
+
+    covered_words counts the words in the union of the intervals matched in any
+    of the ``n_texts`` different training texts. Records of one id, split and
+    source with several texts are one row: the text most covered holds.
+    """
+    e, _, near = _matched(records, plan, share)
+    one = near.groupBy("eval_key", "train_key").agg(F.min("distance").alias("distance"), F.first("spans").alias("spans"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(F.get("spans", i * 2).alias("a"), F.get("spans", i * 2 + 1).alias("b")))
+    pairs = F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a: int, b: int>>"))
+    merged = one.groupBy("eval_key").agg(F.count(F.lit(1)).alias("n_texts"), F.min("distance").alias("least_distance"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("rs"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    covered = F.aggregate("rs", start, lambda x, r: F.struct(F.greatest(x["end"], r["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(x["end"], r["a"]))).alias("n")))["n"]
+    found = merged.select("eval_key", F.struct(covered.alias("covered_words"), "n_texts", (-F.col("least_distance")).alias("d")).alias("m"))
+    return (
+        e.join(found, "eval_key").groupBy("eval_id", "eval_split", "source").agg(F.max("m").alias("m"))
+        .select("eval_id", "eval_split", "source", "m.n_texts", (-F.col("m.d")).alias("least_distance"), "m.covered_words")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import canonical_key_sql
 from millrace.llm.answers import defective_answers
 from millrace.llm.components import assign_splits, held_out_records
-from millrace.llm.cross_split import cross_split_pairs
+from millrace.llm.cross_split import cross_split_pairs, evaluation_coverage
 from millrace.llm.leakage import find_leaks
 from millrace.llm.packing import container_use, pack
 from millrace.llm.shared_spans import shared_spans, shared_stretches
@@ -55,6 +55,11 @@ def p4_by_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per evaluation record, how much of it stands in training texts near to it."""
+    return evaluation_coverage(table(spark, sf, "sft_records"), table(spark, sf, "sample_plan"))
+
+
 def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
 
@@ -94,7 +99,7 @@ def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p3_found, p3_by_model, p4_found, p4_by_split, p6_packed, p6_use, p7_found, p7_edited, p7_items, p8_found, p8_shared)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_splits, p3_found, p3_by_model, p4_found, p4_by_split, p4_coverage, p6_packed, p6_use, p7_found, p7_edited, p7_items, p8_found, p8_shared)}
 
 _C, _R = canonical_key_sql("customer_id"), canonical_key_sql("route_id")
 

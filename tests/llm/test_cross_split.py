@@ -69,3 +69,32 @@ def test_loads_plan_nulls_and_copies(spark):
 
 def test_empty(spark):
     assert cross_split_pairs(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], PLAN)).count() == 0
+
+
+def test_grid_blocks_and_coverage(spark, monkeypatch):
+    """Many shards and cells, and texts cut in several blocks, give the same pairs; matched intervals of all partners merge."""
+    import millrace.llm.cross_split as m
+
+    monkeypatch.setattr(m, "SHARD_HITS", 40)
+    monkeypatch.setattr(m, "CELL_TEXTS", 5)
+    monkeypatch.setattr(m, "BLOCK_WORDS", 24)
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [[rnd.choice(vocab) for _ in range(rnd.randrange(30, 200))] for _ in range(12)]
+    rows, texts = [], {}
+    for n in range(80):
+        ws = list(rnd.choice(base))
+        for _ in range(rnd.randrange(0, len(ws) // 4)):
+            ws[rnd.randrange(len(ws))] = rnd.choice(vocab)
+        texts[f"r{n:03}"] = ("val" if n % 4 == 0 else "train", ws)
+        rows.append(rec(f"r{n:03}", texts[f"r{n:03}"][0], None, "Date: 1\n" + " ".join(ws)))
+    table, plan = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], PLAN)
+    want, covered = set(), {}
+    for a, (sa, wa) in texts.items():
+        for b, (sb, wb) in texts.items():
+            if sa == "val" and sb == "train" and edit_distance(wa, wb) <= max(len(wa), len(wb)) // 5:
+                want.add((min(a, b), max(a, b)))
+                pairs = set(zip(wb, wb[1:]))
+                covered.setdefault(a, set()).update(x for i in range(len(wa) - 1) if (wa[i], wa[i + 1]) in pairs for x in (i, i + 1))
+    assert {(r["id_a"], r["id_b"]) for r in cross_split_pairs(table, plan).collect()} == want and want
+    assert {r["eval_id"]: r["covered_words"] for r in m.evaluation_coverage(table, plan).collect()} == {a: len(c) for a, c in covered.items()}
