@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import canonical_key
-from millrace.session import cut, hot_keys, salted_join
+from millrace.session import cut, hot_keys, salted_join, written
 
-#: Matches in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
-SHARD_HITS = 100_000
+#: Pieces in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
+SHARD_PIECES = 400_000
 CELL_TEXTS = 40_000
 #: Words of a text that are cut into pieces together, and the lengths of pieces (one word only for texts of one word).
 BLOCK_WORDS = 80
@@ -73,10 +73,15 @@ def word_distance(a: Sequence[str], b: Sequence[str], most: int) -> int:
     return score
 
 
-def body_words(text: Column) -> Column:
-    """Words between white space (Unicode's), in lower case, without the first line; a text of one line is kept."""
-    body = F.regexp_replace(text, r"^[^\n]*\n", "")
-    return F.filter(F.split(F.lower(body), r"(?U)[\s​﻿]+"), lambda w: w != "")
+#: White space of Unicode, and two marks without width.
+_SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def body_of(text: Column) -> Column:
+    """Words in lower case with one space between, without the first line; a text of one line is kept."""
+    body = F.when(F.contains(text, F.lit("\n")), F.expr("null")).otherwise(text)
+    body = F.coalesce(body, F.substring(text, F.instr(text, "\n") + 1, F.length(text)))
+    return F.trim(F.regexp_replace(F.lower(body), _SPACE, " "))
 
 
 def flatten(hashes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -226,23 +231,25 @@ def bitmap_of(pieces: DataFrame, bits: int, column: str = "h") -> np.ndarray:
     return out
 
 
-def held_pieces(batches: Iterator[pd.DataFrame], bitmap: np.ndarray) -> Iterator[pd.DataFrame]:
-    """(h, key): the runs of words of each text that are in the bitmap."""
-    mask = np.int64(len(bitmap) * 8 - 1)
-    for pdf in batches:
-        flat, sizes = flatten(pdf["hashes"])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        texts, found = [], []
-        for s in (1, *SIZES):
-            h, ok = runs_of(flat, s), whole(sizes, s)
-            if s == 1:
-                ok = ok & (np.repeat(sizes, sizes) == 1)  # single words are pieces of texts of one word, whose partners have one too
-            bit = h & mask
-            ok = ok & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0)
-            texts.append(owner[: len(h)][ok])
-            found.append(h[ok])
-        out = pd.DataFrame({"h": np.concatenate(found), "t": np.concatenate(texts)}).drop_duplicates()
-        yield pd.DataFrame({"h": out["h"], "key": pdf["key"].to_numpy(dtype=object)[out["t"].to_numpy()]})
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & np.int64(len(bitmap) * 8 - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0
+
+
+def held_pieces(hashes: pd.Series, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash): the different runs of words of each text that are in the bitmap, in order of the texts."""
+    flat, sizes = flatten(hashes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    texts, found = [], []
+    for s in (1, *SIZES):
+        h, ok = runs_of(flat, s), whole(sizes, s)
+        if s == 1:
+            ok = ok & (np.repeat(sizes, sizes) == 1)  # single words are pieces of texts of one word, whose partners have one too
+        ok = ok & in_bitmap(bitmap, h)
+        texts.append(owner[: len(h)][ok])
+        found.append(h[ok])
+    out = pd.DataFrame({"t": np.concatenate(texts), "h": np.concatenate(found)}).drop_duplicates().sort_values("t", kind="stable")
+    return out["t"].to_numpy(), out["h"].to_numpy()
 
 
 def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
@@ -269,8 +276,8 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFra
     bags: dict[int, set[str]] = {}
     where: dict[str, list[tuple[int, int]]] = {}
     for n, places in enumerate(evals["places"]):
-        for p in places:
-            where.setdefault(" " + " ".join(texts[n][p["at"] : p["at"] + p["size"]]) + " ", []).append((n, p["at"]))
+        for at, size in zip(places[::2].tolist(), places[1::2].tolist(), strict=True):
+            where.setdefault(" " + " ".join(texts[n][at : at + size]) + " ", []).append((n, at))
     machine = ahocorasick.Automaton()
     for piece, at in where.items():
         machine.add_word(piece, (len(piece), at))
@@ -318,7 +325,7 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     """
     kind = evals.schema["key"].dataType.simpleString()
     sc = evals.sparkSession.sparkContext
-    hashed = lambda df: df.select("key", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = lambda df, *more: df.select(*more, F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("hashes"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -327,43 +334,70 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
             yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
 
     total = trains.count()
-    counted = hashed(trains).select("hashes").mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = hashed(trains).mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     # Each is in one of COUNTED_IN texts at least: no more than twice COUNTED_IN times the mean number of words come to the driver.
     frequent = counted.filter(F.col("n") >= max(3, total // COUNTED_IN)).toPandas()
     known = sc.broadcast((frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
+    pieces = int(evals.select(F.sum(F.floor((F.size(F.split("body", " ")) * share) / (1 - share) + 1e-9) + 1).alias("n")).first()["n"] or 0)
+    bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
+
+    def counted_hashes(text: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        """The different hashes of a batch, and how many of its texts have one in each shard."""
+        of = np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else np.empty(0, np.int64)
+        shard, n = np.unique(of, return_counts=True)
+        h = np.unique(h)
+        return pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rarity = Rarity(*known.value, total)
         for pdf in batches:
             out = cut_pieces(pdf["hashes"], rarity, share)
-            yield pd.DataFrame({"h": out["h"], "key": pdf["key"].to_numpy(dtype=object)[out["text"].to_numpy()], "at": out["at"].astype("int32"), "size": out["size"].astype("int32")})
-
-    pieces = cut(hashed(evals).mapInPandas(choose, f"h bigint, key {kind}, at int, size int"))
-    bits = min(MOST_BITS, max(18, (64 * max(pieces.count(), 1)).bit_length()))
-    shared = sc.broadcast(bitmap_of(pieces, bits))
-    held = cut(hashed(trains).mapInPandas(lambda b: held_pieces(b, shared.value), f"h bigint, key {kind}"))
-    rows = held.count()
-    shard = F.pmod(F.col("h"), F.lit(max(1, -(-rows // SHARD_HITS)))).alias("shard")
-    # Pieces that no training text holds are not searched for.
-    used = salted_join(pieces, held.select("h").distinct(), ["h"], hot_keys(pieces, ["h"], rows), "key", "inner")
-    left = used.groupBy(shard, "key").agg(F.collect_list(F.struct("at", "size")).alias("places"))
-    right = held.select(shard, "key").distinct()
-    parts = lambda df, name: df.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CELL_TEXTS).cast("int").alias(name))
-    grid = parts(left, "n_left").join(parts(right, "n_right"), "shard")
-    spread = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+            yield counted_hashes(out["text"].to_numpy(np.int64), out["h"].to_numpy(np.int64))
+
+    chosen = cut(hashed(evals).mapInPandas(choose, "h bigint, n bigint"))
+    of_evals = sc.broadcast(bitmap_of(chosen.filter("n = 0"), bits))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield counted_hashes(*held_pieces(pdf["hashes"], of_evals.value))
+
+    held = cut(hashed(trains).mapInPandas(hold, "h bigint, n bigint"))
+    of_trains = sc.broadcast(bitmap_of(held.filter("n = 0"), bits))
+
+    def route_evals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each text with its pieces of one shard that some training text holds."""
+        rarity = Rarity(*known.value, total)
+        for pdf in batches:
+            out = cut_pieces(pdf["hashes"], rarity, share)
+            out = out[in_bitmap(of_trains.value, out["h"].to_numpy(np.int64))]
+            out = out.assign(shard=out["h"] % shards).sort_values(["text", "shard"], kind="stable")
+            first = np.flatnonzero((out[["text", "shard"]].diff().fillna(1) != 0).any(axis=1).to_numpy()) if len(out) else np.empty(0, np.int64)
+            places = np.split(out[["at", "size"]].to_numpy(np.int32).ravel(), 2 * first[1:]) if len(out) else []
+            text = out["text"].to_numpy()[first]
+            yield pd.DataFrame({"shard": out["shard"].to_numpy()[first].astype(np.int32), "eval_key": pdf["key"].to_numpy(dtype=object)[text], "eval_body": pdf["body"].to_numpy(dtype=object)[text], "places": pd.Series(places, dtype=object)})
+
+    def route_trains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text, h = held_pieces(pdf["hashes"], of_evals.value)
+            to = np.unique(np.stack([text, h % shards]), axis=1) if len(text) else np.empty((2, 0), np.int64)
+            yield pd.DataFrame({"shard": to[1].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[to[0]], "train_body": pdf["body"].to_numpy(dtype=object)[to[0]]})
+
+    left = hashed(evals, "key", "body").mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
+    right = hashed(trains, "key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string")
+    # A shard is a grid of cells by the number of its texts; there is one shard per SHARD_PIECES pieces, so few rows are counted and broadcast.
+    parts = lambda df, name: df.filter("n > 0").groupBy(F.col("h").cast("int").alias("shard")).agg(F.ceil(F.sum("n") / CELL_TEXTS).cast("int").alias(name))
+    grid = F.broadcast(parts(chosen, "n_left").join(parts(held, "n_right"), "shard"))
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(grid, "shard").withColumn("row", spread("n_left")).withColumn("col", every("n_right")).join(evals.withColumnRenamed("body", "eval_body"), "key")
-    right = right.join(grid, "shard").withColumn("col", spread("n_right")).withColumn("row", every("n_left")).join(trains.withColumnRenamed("body", "train_body"), "key")
     by = ["shard", "row", "col"]
-    return (
-        left.select(*by, F.col("key").alias("eval_key"), "places", "eval_body").groupBy(*by)
-        .cogroup(right.select(*by, F.col("key").alias("train_key"), "train_body").groupBy(*by))
-        .applyInPandas(lambda a, b: _scan(a, b, share), f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
-    )
+    left = left.join(grid, "shard").withColumn("row", spread("eval_key", "n_left")).select("shard", "row", every("n_right").alias("col"), "eval_key", "eval_body", "places")
+    right = right.join(grid, "shard").withColumn("col", spread("train_key", "n_right")).select("shard", every("n_left").alias("row"), "col", "train_key", "train_body")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _scan(a, b, share), f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
 
 
 def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, split, source, loads, text_key, body): one row per id and split it is in; body is the words of its user messages.
+    """(id, split, source, loads, text_key, body): a row for every split a record is in, copies included; body is the words of its user messages.
 
     A null or blank split is that of the record's load in the plan; a load in
     two splits places its record in both. ``loads`` are the keys of the load in
@@ -376,12 +410,12 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
         F.substring_index("source_id", ":", 1).alias("source"),
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
-        F.array_join(body_words(user), " ").alias("body"),
+        body_of(user).alias("body"),
     )
-    base = base.select("id", "split", "source", "loads", F.unhex(F.md5("body")).alias("text_key"), "body")
+    base = base.withColumn("text_key", F.unhex(F.md5("body")))
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
-    return base.filter("split is not null").unionByName(lost).distinct()
+    return base.filter("split is not null").unionByName(lost)
 
 
 def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -> DataFrame:
@@ -400,12 +434,14 @@ def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -
 
 def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evaluation records, training records, pairs of their texts)."""
-    placed = cut(placed_records(records, plan))
-    evals, trains = placed.filter(F.col("split").isin(*EVAL_SPLITS)), placed.filter("split = 'train'")
-    texts = lambda df: df.filter("body <> ''").select(F.col("text_key").alias("key"), "body").dropDuplicates(["key"])
-    near = near_texts(cut(texts(evals)), cut(texts(trains)), share)
-    e = evals.select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads")).distinct()
-    t = trains.select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
+    placed = placed_records(records, plan)
+    side = F.when(F.col("split").isin(*EVAL_SPLITS), "eval").when(F.col("split") == "train", "train")
+    # Ids and texts are made distinct apart, so that texts are moved once and only different ones.
+    texts = written(placed.select(side.alias("side"), F.col("text_key").alias("key"), "body").filter("side is not null and body <> ''").distinct())
+    ids = cut(placed.drop("body").distinct())
+    near = near_texts(texts.filter("side = 'eval'").drop("side"), texts.filter("side = 'train'").drop("side"), share)
+    e = ids.filter(F.col("split").isin(*EVAL_SPLITS)).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))
+    t = ids.filter("split = 'train'").select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
     return e, t, near
 
 

@@ -75,7 +75,7 @@ def test_grid_blocks_and_coverage(spark, monkeypatch):
     """Many shards and cells, and texts cut in several blocks, give the same pairs; matched intervals of all partners merge."""
     import millrace.llm.cross_split as m
 
-    monkeypatch.setattr(m, "SHARD_HITS", 40)
+    monkeypatch.setattr(m, "SHARD_PIECES", 40)
     monkeypatch.setattr(m, "CELL_TEXTS", 5)
     monkeypatch.setattr(m, "BLOCK_WORDS", 24)
     rnd = random.Random(8)
