@@ -17,6 +17,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -29,7 +31,7 @@ from millrace.functions.keys import canonical_key
 from millrace.session import cut, hot_keys, salted_join, written
 
 #: Pieces in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
-SHARD_PIECES = 400_000
+SHARD_PIECES = 800_000
 CELL_TEXTS = 40_000
 #: Words of a text that are cut into pieces together, and the lengths of pieces (one word only for texts of one word).
 BLOCK_WORDS = 80
@@ -73,15 +75,27 @@ def word_distance(a: Sequence[str], b: Sequence[str], most: int) -> int:
     return score
 
 
-#: White space of Unicode, and two marks without width.
-_SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+_NO_WIDTH = re.compile("[\u200b\ufeff]")
 
 
-def body_of(text: Column) -> Column:
-    """Words in lower case with one space between, without the first line; a text of one line is kept."""
-    body = F.when(F.contains(text, F.lit("\n")), F.expr("null")).otherwise(text)
-    body = F.coalesce(body, F.substring(text, F.instr(text, "\n") + 1, F.length(text)))
-    return F.trim(F.regexp_replace(F.lower(body), _SPACE, " "))
+def body_of(text: str | None) -> str:
+    """Words in lower case with one space between, without the first line; a text of one line is kept. Null is empty."""
+    if not text:
+        return ""
+    return " ".join(_NO_WIDTH.sub(" ", text.partition("\n")[2] if "\n" in text else text).lower().split())
+
+
+def with_body(records: DataFrame, text_col: str) -> DataFrame:
+    """``records`` with ``body`` and its digest ``text_key`` instead of the text."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            body = [body_of(t) for t in pdf.pop(text_col)]
+            yield pdf.assign(text_key=[hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in body], body=body)
+
+    kept = records.drop(text_col)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return records.mapInPandas(read, f"{ddl}, text_key binary, body string")
 
 
 def flatten(hashes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +126,11 @@ def whole(sizes: np.ndarray, size: int) -> np.ndarray:
     return np.arange(total - size + 1) + size <= ends[: total - size + 1]
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """31 bits of a hash: enough for estimates."""
+    return (hashes & np.int64(0x7FFFFFFF)).astype(np.int32)
+
+
 class Rarity:
     """Estimated number of training texts with a run of words, from the counts of frequent words and pairs."""
 
@@ -121,6 +140,7 @@ class Rarity:
         self.low = max(3, total / COUNTED_IN) / 4
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = short(hashes)
         if not len(self.hashes):
             return np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -264,6 +284,22 @@ def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
     return out
 
 
+_LETTERS = [[chr(0x100 + 0x20 * place + d) for d in range(32)] for place in range(6)]
+
+
+def word_codes(words: list[str]) -> tuple[dict[str, str], str]:
+    """(code of each word, code of any other word): numbers in 32 letters, of an alphabet of its own per place.
+
+    An automaton searches the children of a node one by one, so few letters make
+    it fast; the alphabets keep matches at whole words.
+    """
+    width = 1
+    while 32**width <= len(words):
+        width += 1
+    code = lambda n: "".join(_LETTERS[p][n >> 5 * (width - 1 - p) & 31] for p in range(width))
+    return {w: code(n) for n, w in enumerate(words, 1)}, code(0)
+
+
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     """Pairs of one cell: the automaton over the pieces of ``evals`` scans ``trains``; distances are over the words."""
     import ahocorasick
@@ -271,41 +307,44 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFra
     columns = ["eval_key", "train_key", "distance", "spans"]
     if not len(evals) or not len(trains):
         return pd.DataFrame(columns=columns)
-    keys, texts = evals["eval_key"].tolist(), [b.split(" ") for b in evals["eval_body"]]
-    own = [int(share * len(x) + 1e-9) for x in texts]
-    bags: dict[int, set[str]] = {}
-    where: dict[str, list[tuple[int, int]]] = {}
+    keys, bodies = evals["eval_key"].tolist(), evals["eval_body"].tolist()
+    lengths = [b.count(" ") + 1 for b in bodies]
+    own = [int(share * n + 1e-9) for n in lengths]
+    where: dict[tuple[str, ...], list[tuple[int, int]]] = {}
     for n, places in enumerate(evals["places"]):
+        words = bodies[n].split(" ")
         for at, size in zip(places[::2].tolist(), places[1::2].tolist(), strict=True):
-            where.setdefault(" " + " ".join(texts[n][at : at + size]) + " ", []).append((n, at))
+            where.setdefault(tuple(words[at : at + size]), []).append((n, at))
+    codes, other_code = word_codes(sorted({w for piece in where for w in piece}))
+    width = len(other_code)
     machine = ahocorasick.Automaton()
     for piece, at in where.items():
-        machine.add_word(piece, (len(piece), at))
+        machine.add_word("".join([codes[w] for w in piece]), (len(piece), at))
+    del where
     machine.make_automaton()
+    texts: dict[int, tuple[list[str], set[str]]] = {}
     out = []
     for key, body in zip(trains["train_key"], trains["train_body"], strict=True):
-        flat, x = " " + body + " ", body.split(" ")
+        x = body.split(" ")
         m = len(x)
         mine = int(share * m + 1e-9)
         near: set[int] = set()
-        seen = count = 0
-        for end, (length, places) in machine.iter(flat):
-            start = end - length + 1
-            count += flat.count(" ", seen, start)
-            seen = start
+        for end, (size, places) in machine.iter("".join([codes.get(w, other_code) for w in x])):
+            begin = (end + 1) // width - size
             for n, at in places:
                 # As many edits as are allowed can shift a word, no more.
                 most = mine if mine > own[n] else own[n]
-                if -most <= count - at <= most and -most <= len(texts[n]) - m <= most:
+                if -most <= begin - at <= most and -most <= lengths[n] - m <= most:
                     near.add(n)
         if not near:
             continue
         bag, pairs = set(x), None
         for n in near:
-            most, text = max(mine, own[n]), texts[n]
-            other = bags.get(n)
-            if other is None:
-                other = bags[n] = set(text)
+            if n not in texts:
+                words = bodies[n].split(" ")
+                texts[n] = words, set(words)
+            text, other = texts[n]
+            most = max(mine, own[n])
             if len(bag & other) < max(len(text), m) - most - (len(text) - len(other)):
                 continue
             d = word_distance(text, x, most)
@@ -330,52 +369,60 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             flat, sizes = flatten(pdf["hashes"])
-            h, n = np.unique(np.concatenate([runs_of(flat, s)[whole(sizes, s)] for s in (1, 2)]), return_counts=True)
-            yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
+            h, n = np.unique(short(np.concatenate([runs_of(flat, s)[whole(sizes, s)] for s in (1, 2)])), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n.astype(np.int32)})
 
     total = trains.count()
-    counted = hashed(trains).mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = hashed(trains).mapInPandas(count, "h int, n int").groupBy("h").agg(F.sum("n").alias("n"))
     # Each is in one of COUNTED_IN texts at least: no more than twice COUNTED_IN times the mean number of words come to the driver.
     frequent = counted.filter(F.col("n") >= max(3, total // COUNTED_IN)).toPandas()
-    known = sc.broadcast((frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    known = sc.broadcast((frequent["h"].to_numpy(np.int32), frequent["n"].to_numpy(np.int64)))
 
     pieces = int(evals.select(F.sum(F.floor((F.size(F.split("body", " ")) * share) / (1 - share) + 1e-9) + 1).alias("n")).first()["n"] or 0)
     bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
 
-    def counted_hashes(text: np.ndarray, h: np.ndarray) -> pd.DataFrame:
-        """The different hashes of a batch, and how many of its texts have one in each shard."""
-        of = np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else np.empty(0, np.int64)
-        shard, n = np.unique(of, return_counts=True)
-        h = np.unique(h)
-        return pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
-
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rarity = Rarity(*known.value, total)
         for pdf in batches:
-            out = cut_pieces(pdf["hashes"], rarity, share)
-            yield counted_hashes(out["text"].to_numpy(np.int64), out["h"].to_numpy(np.int64))
+            out = cut_pieces(pdf["hashes"], rarity, share).sort_values("text", kind="stable")
+            bounds = np.searchsorted(out["text"].to_numpy(), np.arange(1, len(pdf)))
+            parts = {c: pd.Series(np.split(out[c].to_numpy(t), bounds), dtype=object) for c, t in (("h", np.int64), ("at", np.int32), ("size", np.int32))}
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(dtype=object), "body": pdf["body"].to_numpy(dtype=object), **parts})
 
-    chosen = cut(hashed(evals).mapInPandas(choose, "h bigint, n bigint"))
-    of_evals = sc.broadcast(bitmap_of(chosen.filter("n = 0"), bits))
+    chosen = written(hashed(evals, "key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, at array<int>, size array<int>"))
+    of_evals = sc.broadcast(bitmap_of(chosen.select(F.explode("h").alias("h")), bits))
+    shard_of = lambda h: F.pmod(h, F.lit(shards)).cast("int")
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The different hashes of a batch that are pieces, and how many of its texts have one in each shard."""
         for pdf in batches:
-            yield counted_hashes(*held_pieces(pdf["hashes"], of_evals.value))
+            text, h = held_pieces(pdf["hashes"], of_evals.value)
+            shard, n = np.unique(np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else h, return_counts=True)
+            h = np.unique(h)
+            yield pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
 
     held = cut(hashed(trains).mapInPandas(hold, "h bigint, n bigint"))
     of_trains = sc.broadcast(bitmap_of(held.filter("n = 0"), bits))
 
     def route_evals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each text with its pieces of one shard that some training text holds."""
-        rarity = Rarity(*known.value, total)
         for pdf in batches:
-            out = cut_pieces(pdf["hashes"], rarity, share)
-            out = out[in_bitmap(of_trains.value, out["h"].to_numpy(np.int64))]
-            out = out.assign(shard=out["h"] % shards).sort_values(["text", "shard"], kind="stable")
-            first = np.flatnonzero((out[["text", "shard"]].diff().fillna(1) != 0).any(axis=1).to_numpy()) if len(out) else np.empty(0, np.int64)
-            places = np.split(out[["at", "size"]].to_numpy(np.int32).ravel(), 2 * first[1:]) if len(out) else []
-            text = out["text"].to_numpy()[first]
-            yield pd.DataFrame({"shard": out["shard"].to_numpy()[first].astype(np.int32), "eval_key": pdf["key"].to_numpy(dtype=object)[text], "eval_body": pdf["body"].to_numpy(dtype=object)[text], "places": pd.Series(places, dtype=object)})
+            sizes = np.array([len(x) for x in pdf["h"]], np.int64)
+            if not sizes.sum():
+                continue
+            h, at, size = (np.concatenate(pdf[c].tolist()) for c in ("h", "at", "size"))
+            text, shard = np.repeat(np.arange(len(sizes)), sizes), h % shards
+            order = np.lexsort((shard, text))
+            order = order[in_bitmap(of_trains.value, h[order])]
+            if not len(order):
+                continue
+            text, shard, places = text[order], shard[order], np.stack([at[order], size[order]], axis=1).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(text) != 0) | (np.diff(shard) != 0)]))
+            of = text[first]
+            yield pd.DataFrame({
+                "shard": shard[first].astype(np.int32), "eval_key": pdf["key"].to_numpy(dtype=object)[of], "eval_body": pdf["body"].to_numpy(dtype=object)[of],
+                "places": pd.Series([x.ravel() for x in np.split(places, first[1:])], dtype=object),
+            })
 
     def route_trains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -383,11 +430,12 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
             to = np.unique(np.stack([text, h % shards]), axis=1) if len(text) else np.empty((2, 0), np.int64)
             yield pd.DataFrame({"shard": to[1].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[to[0]], "train_body": pdf["body"].to_numpy(dtype=object)[to[0]]})
 
-    left = hashed(evals, "key", "body").mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
+    left = chosen.mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
     right = hashed(trains, "key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string")
     # A shard is a grid of cells by the number of its texts; there is one shard per SHARD_PIECES pieces, so few rows are counted and broadcast.
-    parts = lambda df, name: df.filter("n > 0").groupBy(F.col("h").cast("int").alias("shard")).agg(F.ceil(F.sum("n") / CELL_TEXTS).cast("int").alias(name))
-    grid = F.broadcast(parts(chosen, "n_left").join(parts(held, "n_right"), "shard"))
+    cells = lambda df, n, name: df.groupBy("shard").agg(F.ceil(F.sum(n) / CELL_TEXTS).cast("int").alias(name))
+    of_left = chosen.select(F.explode(F.array_distinct(F.transform("h", shard_of))).alias("shard"))
+    grid = F.broadcast(cells(of_left, F.lit(1), "n_left").join(cells(held.filter("n > 0").withColumn("shard", F.col("h").cast("int")), F.col("n"), "n_right"), "shard"))
     spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     by = ["shard", "row", "col"]
@@ -410,9 +458,9 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
         F.substring_index("source_id", ":", 1).alias("source"),
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
-        body_of(user).alias("body"),
+        user.alias("text"),
     )
-    base = base.withColumn("text_key", F.unhex(F.md5("body")))
+    base = with_body(base, "text")
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
     return base.filter("split is not null").unionByName(lost)
@@ -438,7 +486,7 @@ def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFra
     side = F.when(F.col("split").isin(*EVAL_SPLITS), "eval").when(F.col("split") == "train", "train")
     # Ids and texts are made distinct apart, so that texts are moved once and only different ones.
     texts = written(placed.select(side.alias("side"), F.col("text_key").alias("key"), "body").filter("side is not null and body <> ''").distinct())
-    ids = cut(placed.drop("body").distinct())
+    ids = written(placed.drop("body").distinct())
     near = near_texts(texts.filter("side = 'eval'").drop("side"), texts.filter("side = 'train'").drop("side"), share)
     e = ids.filter(F.col("split").isin(*EVAL_SPLITS)).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))
     t = ids.filter("split = 'train'").select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
