@@ -17,9 +17,10 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -98,11 +99,22 @@ def with_body(records: DataFrame, text_col: str) -> DataFrame:
     return records.mapInPandas(read, f"{ddl}, text_key binary, body string")
 
 
-def flatten(hashes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts in a row, number of words of each)."""
-    sizes = np.array([len(x) for x in hashes], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int64) for x in hashes]).view(np.uint64) if len(hashes) else np.empty(0, np.uint64)
-    return flat, sizes
+def word_hashes(bodies: Iterable[str], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in a row, number of words of each). ``memo`` spares hashing frequent words again."""
+    import xxhash
+
+    if len(memo) > 1_000_000:
+        memo.clear()
+    digest, flat, sizes = xxhash.xxh3_64_intdigest, [], []
+    for b in bodies:
+        words = b.split(" ")
+        sizes.append(len(words))
+        for w in words:
+            h = memo.get(w)
+            if h is None:
+                h = memo[w] = digest(w)
+            flat.append(h)
+    return np.array(flat, np.uint64), np.array(sizes, np.int64)
 
 
 def runs_of(flat: np.ndarray, size: int) -> np.ndarray:
@@ -205,12 +217,11 @@ def _cheapest(costs: dict[int, np.ndarray], starts: np.ndarray, length: int, pie
     return first, width
 
 
-def cut_pieces(hashes: pd.Series, rarity: Rarity, share: float) -> pd.DataFrame:
+def cut_pieces(flat: np.ndarray, sizes: np.ndarray, rarity: Rarity, share: float) -> pd.DataFrame:
     """(text, at, size, h): k + 1 disjoint pieces of each text, k being the most word edits towards any partner.
 
     A partner of m words has at most share * m edits and n >= m - share * m.
     """
-    flat, sizes = flatten(hashes)
     begin = np.cumsum(sizes) - sizes
     groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for t, n in enumerate(sizes.tolist()):
@@ -256,9 +267,8 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0
 
 
-def held_pieces(hashes: pd.Series, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def held_pieces(flat: np.ndarray, sizes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash): the different runs of words of each text that are in the bitmap, in order of the texts."""
-    flat, sizes = flatten(hashes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     texts, found = [], []
     for s in (1, *SIZES):
@@ -284,44 +294,86 @@ def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
     return out
 
 
-_LETTERS = [[chr(0x100 + 0x20 * place + d) for d in range(32)] for place in range(6)]
-
-
-def word_codes(words: list[str]) -> tuple[dict[str, str], str]:
-    """(code of each word, code of any other word): numbers in 32 letters, of an alphabet of its own per place.
+class WordAutomaton:
+    """Aho-Corasick over words: an automaton over characters would search the letters of every word one by one.
 
-    An automaton searches the children of a node one by one, so few letters make
-    it fast; the alphabets keep matches at whole words.
+    States are numbers; the step from a state by a word is one look-up.
     """
-    width = 1
-    while 32**width <= len(words):
-        width += 1
-    code = lambda n: "".join(_LETTERS[p][n >> 5 * (width - 1 - p) & 31] for p in range(width))
-    return {w: code(n) for n, w in enumerate(words, 1)}, code(0)
+
+    def __init__(self, pieces: dict[tuple[str, ...], list[tuple[int, int]]]):
+        self.ids: dict[str, int] = {}
+        for piece in pieces:
+            for w in piece:
+                self.ids.setdefault(w, len(self.ids))
+        self.base, self.step = max(1, len(self.ids)), {}
+        parent, by, states = [0], [0], 1
+        ends: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+        for piece, places in pieces.items():
+            at = 0
+            for w in piece:
+                edge = at * self.base + self.ids[w]
+                at = self.step.get(edge, 0)
+                if not at:
+                    at = self.step[edge] = states
+                    parent.append(edge // self.base)
+                    by.append(self.ids[w])
+                    states += 1
+            ends.setdefault(at, []).append((len(piece), places))
+        self.fall, depth = [0] * states, [0] * states
+        layers: dict[int, list[int]] = {}
+        for n in range(1, states):  # parents have smaller numbers
+            depth[n] = depth[parent[n]] + 1
+            layers.setdefault(depth[n], []).append(n)
+        for d in sorted(layers)[1:]:
+            for n in layers[d]:
+                back = self.fall[parent[n]]
+                while back and back * self.base + by[n] not in self.step:
+                    back = self.fall[back]
+                self.fall[n] = self.step.get(back * self.base + by[n], 0)
+                if self.fall[n] in ends:
+                    ends[n] = ends.get(n, []) + ends[self.fall[n]]
+        self.ends = ends
+
+    def find(self, words: list[str]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(first word, places of the piece) of every piece in ``words``."""
+        at, ids, step, base = 0, self.ids, self.step, self.base
+        for n, w in enumerate(words):
+            i = ids.get(w)
+            if i is None:
+                at = 0
+                continue
+            to = step.get(at * base + i)
+            while to is None and at:
+                at = self.fall[at]
+                to = step.get(at * base + i)
+            at = to or 0
+            if at in self.ends:
+                for size, places in self.ends[at]:
+                    yield n + 1 - size, places
 
 
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     """Pairs of one cell: the automaton over the pieces of ``evals`` scans ``trains``; distances are over the words."""
-    import ahocorasick
+    gc.disable()  # nothing here is cyclic, and walking the automaton again and again takes longer than the search
+    try:
+        return _pairs_of(evals, trains, share)
+    finally:
+        gc.enable()
 
+
+def _pairs_of(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     columns = ["eval_key", "train_key", "distance", "spans"]
     if not len(evals) or not len(trains):
         return pd.DataFrame(columns=columns)
     keys, bodies = evals["eval_key"].tolist(), evals["eval_body"].tolist()
     lengths = [b.count(" ") + 1 for b in bodies]
     own = [int(share * n + 1e-9) for n in lengths]
-    where: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    pieces: dict[tuple[str, ...], list[tuple[int, int]]] = {}
     for n, places in enumerate(evals["places"]):
         words = bodies[n].split(" ")
         for at, size in zip(places[::2].tolist(), places[1::2].tolist(), strict=True):
-            where.setdefault(tuple(words[at : at + size]), []).append((n, at))
-    codes, other_code = word_codes(sorted({w for piece in where for w in piece}))
-    width = len(other_code)
-    machine = ahocorasick.Automaton()
-    for piece, at in where.items():
-        machine.add_word("".join([codes[w] for w in piece]), (len(piece), at))
-    del where
-    machine.make_automaton()
+            pieces.setdefault(tuple(words[at : at + size]), []).append((n, at))
+    machine = WordAutomaton(pieces)
     texts: dict[int, tuple[list[str], set[str]]] = {}
     out = []
     for key, body in zip(trains["train_key"], trains["train_body"], strict=True):
@@ -329,8 +381,7 @@ def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFra
         m = len(x)
         mine = int(share * m + 1e-9)
         near: set[int] = set()
-        for end, (size, places) in machine.iter("".join([codes.get(w, other_code) for w in x])):
-            begin = (end + 1) // width - size
+        for begin, places in machine.find(x):
             for n, at in places:
                 # As many edits as are allowed can shift a word, no more.
                 most = mine if mine > own[n] else own[n]
@@ -364,44 +415,45 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     """
     kind = evals.schema["key"].dataType.simpleString()
     sc = evals.sparkSession.sparkContext
-    hashed = lambda df, *more: df.select(*more, F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("hashes"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
         for pdf in batches:
-            flat, sizes = flatten(pdf["hashes"])
+            flat, sizes = word_hashes(pdf["body"], memo)
             h, n = np.unique(short(np.concatenate([runs_of(flat, s)[whole(sizes, s)] for s in (1, 2)])), return_counts=True)
-            yield pd.DataFrame({"h": h, "n": n.astype(np.int32)})
+            # Lossy counting: what comes once in a batch is left out of the estimate.
+            yield pd.DataFrame({"h": h[n > 1], "n": n[n > 1].astype(np.int32)})
 
     total = trains.count()
-    counted = hashed(trains).mapInPandas(count, "h int, n int").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = trains.select("body").mapInPandas(count, "h int, n int").groupBy("h").agg(F.sum("n").alias("n"))
     # Each is in one of COUNTED_IN texts at least: no more than twice COUNTED_IN times the mean number of words come to the driver.
     frequent = counted.filter(F.col("n") >= max(3, total // COUNTED_IN)).toPandas()
     known = sc.broadcast((frequent["h"].to_numpy(np.int32), frequent["n"].to_numpy(np.int64)))
 
-    pieces = int(evals.select(F.sum(F.floor((F.size(F.split("body", " ")) * share) / (1 - share) + 1e-9) + 1).alias("n")).first()["n"] or 0)
-    bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
-
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rarity = Rarity(*known.value, total)
+        rarity, memo = Rarity(*known.value, total), {}
         for pdf in batches:
-            out = cut_pieces(pdf["hashes"], rarity, share).sort_values("text", kind="stable")
+            out = cut_pieces(*word_hashes(pdf["body"], memo), rarity, share).sort_values("text", kind="stable")
             bounds = np.searchsorted(out["text"].to_numpy(), np.arange(1, len(pdf)))
             parts = {c: pd.Series(np.split(out[c].to_numpy(t), bounds), dtype=object) for c, t in (("h", np.int64), ("at", np.int32), ("size", np.int32))}
             yield pd.DataFrame({"key": pdf["key"].to_numpy(dtype=object), "body": pdf["body"].to_numpy(dtype=object), **parts})
 
-    chosen = written(hashed(evals, "key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, at array<int>, size array<int>"))
+    chosen = written(evals.select("key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, at array<int>, size array<int>"))
+    pieces = int(chosen.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0)
+    bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
     of_evals = sc.broadcast(bitmap_of(chosen.select(F.explode("h").alias("h")), bits))
     shard_of = lambda h: F.pmod(h, F.lit(shards)).cast("int")
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The different hashes of a batch that are pieces, and how many of its texts have one in each shard."""
+        memo: dict[str, int] = {}
         for pdf in batches:
-            text, h = held_pieces(pdf["hashes"], of_evals.value)
+            text, h = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
             shard, n = np.unique(np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else h, return_counts=True)
             h = np.unique(h)
             yield pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
 
-    held = cut(hashed(trains).mapInPandas(hold, "h bigint, n bigint"))
+    held = cut(trains.select("body").mapInPandas(hold, "h bigint, n bigint"))
     of_trains = sc.broadcast(bitmap_of(held.filter("n = 0"), bits))
 
     def route_evals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,13 +477,14 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
             })
 
     def route_trains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
         for pdf in batches:
-            text, h = held_pieces(pdf["hashes"], of_evals.value)
+            text, h = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
             to = np.unique(np.stack([text, h % shards]), axis=1) if len(text) else np.empty((2, 0), np.int64)
             yield pd.DataFrame({"shard": to[1].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[to[0]], "train_body": pdf["body"].to_numpy(dtype=object)[to[0]]})
 
     left = chosen.mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
-    right = hashed(trains, "key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string")
+    right = trains.select("key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string")
     # A shard is a grid of cells by the number of its texts; there is one shard per SHARD_PIECES pieces, so few rows are counted and broadcast.
     cells = lambda df, n, name: df.groupBy("shard").agg(F.ceil(F.sum(n) / CELL_TEXTS).cast("int").alias(name))
     of_left = chosen.select(F.explode(F.array_distinct(F.transform("h", shard_of))).alias("shard"))
@@ -495,15 +548,26 @@ def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFra
 
 def _expanded(e: DataFrame, t: DataFrame, near: DataFrame) -> DataFrame:
     columns = ["train_id", "eval_id", "eval_split", "source", "by_load", "distance"]
-    n = t.count()
     near = near.select("eval_key", "train_key", "distance").distinct()
-    found = salted_join(e, near, ["eval_key"], hot_keys(e, ["eval_key"], n), "eval_id", "inner")
-    by_text = salted_join(t, found, ["train_key"], hot_keys(t, ["train_key"], n), "train_id", "inner").withColumn("by_load", F.lit(False)).select(*columns)
     of_train, of_eval = t.withColumn("load", F.explode("train_loads")), e.withColumn("load", F.explode("eval_loads"))
-    by_load = (
-        salted_join(of_train, of_eval, ["load"], hot_keys(of_train, ["load"], n), "train_id", "inner")
-        .withColumn("by_load", F.lit(True)).withColumn("distance", F.lit(None).cast("int")).select(*columns)
-    )
+    # Keys that hold a two-hundredth of the rows of their side: few by that, so they are looked up once for the three joins.
+    sides = {"eval_key": (e, F.col("eval_key")), "train_key": (t, F.col("train_key")), "load": (of_train, F.encode("load", "utf-8"))}
+    rows = t.count()
+    every = reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("side"), c.alias("key")) for k, (d, c) in sides.items()])
+    hot = hot_keys(every, ["side", "key"], rows).collect()
+
+    def join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+        mine = [r["key"] for r in hot if r["side"] == key]
+        if not mine:
+            return left.join(right, key)
+        some = left.sparkSession.createDataFrame([(bytes(k),) for k in mine], f"{key} binary")
+        if key == "load":
+            some = some.select(F.decode("load", "utf-8").alias("load"))
+        return salted_join(left, right, [key], some, spread, "inner")
+
+    found = join(e, near, "eval_key", "eval_id")
+    by_text = join(t, found, "train_key", "train_id").withColumn("by_load", F.lit(False)).select(*columns)
+    by_load = join(of_train, of_eval, "load", "train_id").withColumn("by_load", F.lit(True)).withColumn("distance", F.lit(None).cast("int")).select(*columns)
     both = reduce(DataFrame.unionByName, [by_text, by_load]).filter("train_id <> eval_id")
     return (
         both.groupBy("train_id", "eval_id", "eval_split", "source")

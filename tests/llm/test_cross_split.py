@@ -98,3 +98,16 @@ def test_grid_blocks_and_coverage(spark, monkeypatch):
                 covered.setdefault(a, set()).update(x for i in range(len(wa) - 1) if (wa[i], wa[i + 1]) in pairs for x in (i, i + 1))
     assert {(r["id_a"], r["id_b"]) for r in cross_split_pairs(table, plan).collect()} == want and want
     assert {r["eval_id"]: r["covered_words"] for r in m.evaluation_coverage(table, plan).collect()} == {a: len(c) for a, c in covered.items()}
+
+
+def test_hot_texts_and_loads(spark, monkeypatch):
+    """Copies of one text and records of one load are spread over tasks and give the same pairs."""
+    import millrace.llm.cross_split as m
+
+    plain = m.hot_keys
+    monkeypatch.setattr(m, "hot_keys", lambda df, keys, rows, share=0.005, floor=50_000: plain(df, keys, rows, share, 5))
+    rows = [rec(f"t{i:02}", "train", "LOAD1" if i < 12 else None, "x\nsame words in every text " + ("here" if i % 2 else "there")) for i in range(24)]
+    rows += [rec(f"v{i}", "val", "LOAD1" if i < 2 else None, "x\nsame words in every text here") for i in range(8)]
+    table, plan = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], PLAN)
+    got = {(r["id_a"], r["id_b"]) for r in cross_split_pairs(table, plan).collect()}
+    assert got == {(f"t{i:02}", f"v{j}") for i in range(24) for j in range(8)}
