@@ -95,8 +95,8 @@ def with_body(records: DataFrame, text_col: str) -> DataFrame:
             yield pdf.assign(text_key=[hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in body], body=body)
 
     kept = records.drop(text_col)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return records.mapInPandas(read, f"{ddl}, text_key binary, body string")
+    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return records.mapInPandas(read, ", ".join([*ddl, "text_key binary", "body string"]))
 
 
 def word_hashes(bodies: Iterable[str], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,19 +267,19 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0
 
 
-def held_pieces(flat: np.ndarray, sizes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash): the different runs of words of each text that are in the bitmap, in order of the texts."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    texts, found = [], []
+def held_pieces(flat: np.ndarray, sizes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first word, words) of the runs of words of the texts that are in the bitmap, in order of the texts."""
+    owner, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    parts = []
     for s in (1, *SIZES):
         h, ok = runs_of(flat, s), whole(sizes, s)
         if s == 1:
             ok = ok & (np.repeat(sizes, sizes) == 1)  # single words are pieces of texts of one word, whose partners have one too
-        ok = ok & in_bitmap(bitmap, h)
-        texts.append(owner[: len(h)][ok])
-        found.append(h[ok])
-    out = pd.DataFrame({"t": np.concatenate(texts), "h": np.concatenate(found)}).drop_duplicates().sort_values("t", kind="stable")
-    return out["t"].to_numpy(), out["h"].to_numpy()
+        at = np.flatnonzero(ok & in_bitmap(bitmap, h))
+        parts.append((owner[at], h[at], at - begin[owner[at]], np.full(len(at), s)))
+    text, h, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], h[order], at[order], size[order]
 
 
 def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
@@ -352,6 +352,19 @@ class WordAutomaton:
                     yield n + 1 - size, places
 
 
+def stretches(marks: list[int]) -> list[tuple[int, int]]:
+    """Merged (first word, beyond the last) of marks, each first word * 8 + words: where a text can hold pieces at all."""
+    out: list[tuple[int, int]] = []
+    for mark in sorted(marks):
+        first, last = mark >> 3, (mark >> 3) + (mark & 7)
+        if out and first <= out[-1][1]:
+            if last > out[-1][1]:
+                out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    return out
+
+
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     """Pairs of one cell: the automaton over the pieces of ``evals`` scans ``trains``; distances are over the words."""
     gc.disable()  # nothing here is cyclic, and walking the automaton again and again takes longer than the search
@@ -371,22 +384,23 @@ def _pairs_of(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.Dat
     pieces: dict[tuple[str, ...], list[tuple[int, int]]] = {}
     for n, places in enumerate(evals["places"]):
         words = bodies[n].split(" ")
-        for at, size in zip(places[::2].tolist(), places[1::2].tolist(), strict=True):
-            pieces.setdefault(tuple(words[at : at + size]), []).append((n, at))
+        for p in places.tolist():
+            pieces.setdefault(tuple(words[p >> 3 : (p >> 3) + (p & 7)]), []).append((n, p >> 3))
     machine = WordAutomaton(pieces)
     texts: dict[int, tuple[list[str], set[str]]] = {}
     out = []
-    for key, body in zip(trains["train_key"], trains["train_body"], strict=True):
+    for key, body, marks in zip(trains["train_key"], trains["train_body"], trains["marks"], strict=True):
         x = body.split(" ")
         m = len(x)
         mine = int(share * m + 1e-9)
         near: set[int] = set()
-        for begin, places in machine.find(x):
-            for n, at in places:
-                # As many edits as are allowed can shift a word, no more.
-                most = mine if mine > own[n] else own[n]
-                if -most <= begin - at <= most and -most <= lengths[n] - m <= most:
-                    near.add(n)
+        for first, last in stretches(marks.tolist()):
+            for begin, places in machine.find(x[first:last]):
+                for n, at in places:
+                    # As many edits as are allowed can shift a word, no more.
+                    most = mine if mine > own[n] else own[n]
+                    if -most <= begin + first - at <= most and -most <= lengths[n] - m <= most:
+                        near.add(n)
         if not near:
             continue
         bag, pairs = set(x), None
@@ -435,10 +449,10 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
         for pdf in batches:
             out = cut_pieces(*word_hashes(pdf["body"], memo), rarity, share).sort_values("text", kind="stable")
             bounds = np.searchsorted(out["text"].to_numpy(), np.arange(1, len(pdf)))
-            parts = {c: pd.Series(np.split(out[c].to_numpy(t), bounds), dtype=object) for c, t in (("h", np.int64), ("at", np.int32), ("size", np.int32))}
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(dtype=object), "body": pdf["body"].to_numpy(dtype=object), **parts})
+            parts = {"h": out["h"].to_numpy(np.int64), "place": (out["at"] * 8 + out["size"]).to_numpy(np.int32)}
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(dtype=object), "body": pdf["body"].to_numpy(dtype=object), **{c: pd.Series(np.split(x, bounds), dtype=object) for c, x in parts.items()}})
 
-    chosen = written(evals.select("key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, at array<int>, size array<int>"))
+    chosen = written(evals.select("key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, place array<int>"))
     pieces = int(chosen.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0)
     bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
     of_evals = sc.broadcast(bitmap_of(chosen.select(F.explode("h").alias("h")), bits))
@@ -448,7 +462,7 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
         """The different hashes of a batch that are pieces, and how many of its texts have one in each shard."""
         memo: dict[str, int] = {}
         for pdf in batches:
-            text, h = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
+            text, h, _, _ = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
             shard, n = np.unique(np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else h, return_counts=True)
             h = np.unique(h)
             yield pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
@@ -462,29 +476,38 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
             sizes = np.array([len(x) for x in pdf["h"]], np.int64)
             if not sizes.sum():
                 continue
-            h, at, size = (np.concatenate(pdf[c].tolist()) for c in ("h", "at", "size"))
+            h, place = (np.concatenate(pdf[c].tolist()) for c in ("h", "place"))
             text, shard = np.repeat(np.arange(len(sizes)), sizes), h % shards
             order = np.lexsort((shard, text))
             order = order[in_bitmap(of_trains.value, h[order])]
             if not len(order):
                 continue
-            text, shard, places = text[order], shard[order], np.stack([at[order], size[order]], axis=1).astype(np.int32)
+            text, shard, places = text[order], shard[order], place[order].astype(np.int32)
             first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(text) != 0) | (np.diff(shard) != 0)]))
             of = text[first]
             yield pd.DataFrame({
                 "shard": shard[first].astype(np.int32), "eval_key": pdf["key"].to_numpy(dtype=object)[of], "eval_body": pdf["body"].to_numpy(dtype=object)[of],
-                "places": pd.Series([x.ravel() for x in np.split(places, first[1:])], dtype=object),
+                "places": pd.Series(np.split(places, first[1:]), dtype=object),
             })
 
     def route_trains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
         for pdf in batches:
-            text, h = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
-            to = np.unique(np.stack([text, h % shards]), axis=1) if len(text) else np.empty((2, 0), np.int64)
-            yield pd.DataFrame({"shard": to[1].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[to[0]], "train_body": pdf["body"].to_numpy(dtype=object)[to[0]]})
+            text, h, at, size = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
+            if not len(text):
+                continue
+            shard = h % shards
+            order = np.lexsort((shard, text))
+            text, shard, marks = text[order], shard[order], (at * 8 + size)[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(text) != 0) | (np.diff(shard) != 0)]))
+            of = text[first]
+            yield pd.DataFrame({
+                "shard": shard[first].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[of], "train_body": pdf["body"].to_numpy(dtype=object)[of],
+                "marks": pd.Series(np.split(marks, first[1:]), dtype=object),
+            })
 
     left = chosen.mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
-    right = trains.select("key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string")
+    right = trains.select("key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string, marks array<int>")
     # A shard is a grid of cells by the number of its texts; there is one shard per SHARD_PIECES pieces, so few rows are counted and broadcast.
     cells = lambda df, n, name: df.groupBy("shard").agg(F.ceil(F.sum(n) / CELL_TEXTS).cast("int").alias(name))
     of_left = chosen.select(F.explode(F.array_distinct(F.transform("h", shard_of))).alias("shard"))
@@ -493,30 +516,33 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     by = ["shard", "row", "col"]
     left = left.join(grid, "shard").withColumn("row", spread("eval_key", "n_left")).select("shard", "row", every("n_right").alias("col"), "eval_key", "eval_body", "places")
-    right = right.join(grid, "shard").withColumn("col", spread("train_key", "n_right")).select("shard", every("n_left").alias("row"), "col", "train_key", "train_body")
+    right = right.join(grid, "shard").withColumn("col", spread("train_key", "n_right")).select("shard", every("n_left").alias("row"), "col", "train_key", "train_body", "marks")
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _scan(a, b, share), f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
 
 
+def _user_text() -> Column:
+    return F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+
+
 def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, split, source, loads, text_key, body): a row for every split a record is in, copies included; body is the words of its user messages.
+    """(id, split, source, loads, text_key): the distinct records in each split they are in.
 
     A null or blank split is that of the record's load in the plan; a load in
     two splits places its record in both. ``loads`` are the keys of the load in
-    group_id and source_id. The text is that of all user messages.
+    group_id and source_id. text_key is the digest of all user messages' words.
     """
     load_of = lambda c: canonical_key(F.regexp_extract(F.col(c), r"([^:]*)$", 1))
-    user = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
     base = records.filter("id is not null").select(
         "id",
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
         F.substring_index("source_id", ":", 1).alias("source"),
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
-        user.alias("text"),
+        _user_text().alias("text"),
     )
-    base = with_body(base, "text")
+    base = written(with_body(base, "text").drop("body").distinct())
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
-    return base.filter("split is not null").unionByName(lost)
+    return base.filter("split is not null").unionByName(lost.distinct())
 
 
 def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -> DataFrame:
@@ -535,14 +561,15 @@ def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -
 
 def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evaluation records, training records, pairs of their texts)."""
-    placed = placed_records(records, plan)
-    side = F.when(F.col("split").isin(*EVAL_SPLITS), "eval").when(F.col("split") == "train", "train")
-    # Ids and texts are made distinct apart, so that texts are moved once and only different ones.
-    texts = written(placed.select(side.alias("side"), F.col("text_key").alias("key"), "body").filter("side is not null and body <> ''").distinct())
-    ids = written(placed.drop("body").distinct())
-    near = near_texts(texts.filter("side = 'eval'").drop("side"), texts.filter("side = 'train'").drop("side"), share)
-    e = ids.filter(F.col("split").isin(*EVAL_SPLITS)).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))
-    t = ids.filter("split = 'train'").select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
+    ids = placed_records(records, plan)
+    is_eval, is_train = F.col("split").isin(*EVAL_SPLITS), F.col("split") == "train"
+    sides = ids.filter(is_eval | is_train).groupBy("text_key").agg(F.bool_or(is_eval).alias("evals"), F.bool_or(is_train).alias("trains"))
+    # Different texts once, with the sides they are on.
+    read = with_body(records.filter("id is not null").select(_user_text().alias("text")), "text").filter("body <> ''")
+    texts = written(read.groupBy("text_key").agg(F.max("body").alias("body")).join(sides, "text_key").withColumnRenamed("text_key", "key"))
+    near = near_texts(texts.filter("evals").select("key", "body"), texts.filter("trains").select("key", "body"), share)
+    e = ids.filter(is_eval).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))
+    t = ids.filter(is_train).select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()
     return e, t, near
 
 
