@@ -1,7 +1,7 @@
 """Same or nearly same records across splits: sharded Aho-Corasick automata over pieces of evaluation texts.
 
 1. An evaluation text of n words has at most ``k`` word edits towards any
-   partner. ``k + 1`` disjoint pieces of two to four words are cut from it: at
+   partner. ``k + 1`` disjoint pieces of two or four words are cut from it: at
    least one of them stands unchanged in every partner. Which pieces are cut
    only decides the cost: those that are rarest by the counts of words and
    word pairs over all training texts (a shortest path over the text).
@@ -33,10 +33,10 @@ from millrace.session import cut, hot_keys, salted_join, written
 
 #: Pieces in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
 SHARD_PIECES = 800_000
-CELL_TEXTS = 40_000
+CELL_TEXTS = 100_000
 #: Words of a text that are cut into pieces together, and the lengths of pieces (one word only for texts of one word).
 BLOCK_WORDS = 80
-SIZES = (2, 3, 4)
+SIZES = (2, 4)
 #: Words and pairs in at least one of so many training texts are counted, which bounds how many counts there are.
 COUNTED_IN = 10_000
 #: Bits of the bitmap of pieces: 64 per piece, at most 2^28 (32 MB, broadcast); a fuller one only sends more texts.
@@ -172,7 +172,7 @@ class Rarity:
         for size in range(3, max(SIZES) + 1):
             n = len(flat) - size + 1
             out[size] = out[size - 1][:n] * link[size - 2 : size - 2 + n] if n > 0 else np.empty(0)
-        return out
+        return {s: c for s, c in out.items() if s in (1, *SIZES)}
 
 
 def _blocks(n: int, pieces: int) -> list[tuple[int, int, int]]:
@@ -387,7 +387,8 @@ def _pairs_of(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.Dat
         for p in places.tolist():
             pieces.setdefault(tuple(words[p >> 3 : (p >> 3) + (p & 7)]), []).append((n, p >> 3))
     machine = WordAutomaton(pieces)
-    texts: dict[int, tuple[list[str], set[str]]] = {}
+    bags: dict[int, frozenset[str]] = {}
+    shared: dict[str, str] = {}  # one object per word, which keeps the bags small
     out = []
     for key, body, marks in zip(trains["train_key"], trains["train_body"], trains["marks"], strict=True):
         x = body.split(" ")
@@ -405,13 +406,13 @@ def _pairs_of(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.Dat
             continue
         bag, pairs = set(x), None
         for n in near:
-            if n not in texts:
-                words = bodies[n].split(" ")
-                texts[n] = words, set(words)
-            text, other = texts[n]
-            most = max(mine, own[n])
-            if len(bag & other) < max(len(text), m) - most - (len(text) - len(other)):
+            other = bags.get(n)
+            if other is None:
+                other = bags[n] = frozenset([shared.setdefault(w, w) for w in bodies[n].split(" ")])
+            most, length = max(mine, own[n]), lengths[n]
+            if len(bag & other) < max(length, m) - most - (length - len(other)):
                 continue
+            text = bodies[n].split(" ")
             d = word_distance(text, x, most)
             if d <= most:
                 pairs = pairs or set(zip(x, x[1:]))
@@ -531,7 +532,7 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
     two splits places its record in both. ``loads`` are the keys of the load in
     group_id and source_id. text_key is the digest of all user messages' words.
     """
-    load_of = lambda c: canonical_key(F.regexp_extract(F.col(c), r"([^:]*)$", 1))
+    load_of = lambda c: canonical_key(F.substring_index(c, ":", -1))
     base = records.filter("id is not null").select(
         "id",
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
