@@ -10,6 +10,7 @@ truncated where their brackets stay open.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -107,7 +108,7 @@ def is_empty(text: str | None) -> bool:
     """Nothing said: no letters or digits, a word for nothing, or only a shell (fence, brackets, quotes, keys without values)."""
     if text is None:
         return True
-    if len(text) > 100 and text[0].isalpha() and text[:40].strip(" .").count(" ") > 1:
+    if text[:1].isalpha() and len(text.split(None, 3)) > 3:  # more words than any shell has
         return False
     bare = _HIDDEN.sub(" ", strip_fence(text)).strip()
     if not re.search(r"[^\W_]", bare) or bare.strip(" \"'`.,:;!?-–—()[]{}<>*#").casefold() in SHELLS:
@@ -164,13 +165,24 @@ COPY_ANSWER, COPY_PROMPT = 0.5, 0.5
 SHORT_BYTES = 24
 
 
+_OBJECT = re.compile(r"\{\s*[\"}]|\{\s*$")
+_DECODER = json.JSONDecoder()
+
+
 def _json_text(text: str) -> str | None:
-    """The JSON part of an answer that is one, perhaps after a fence or a short preamble."""
-    bare = text.lstrip("﻿ \n\t\r")
-    at = min((i for i in (bare.find("{"), bare.find("[")) if i >= 0), default=-1)
-    if at == 0 or (0 < at <= 80 and (bare[at + 1 : at + 2] in '"{[\n ') and (bare.startswith("```") or bare[at] == "{")):
-        return bare[at:]
-    return None
+    """The JSON part of an answer that is one, perhaps after a fence or a preamble: what never closes, or is at least half of the text."""
+    bare = text.lstrip("\ufeff \n\t\r")
+    if bare[:1] in ("{", "["):
+        return bare
+    found = _OBJECT.search(bare)
+    if not found:
+        return None
+    part = bare[found.start() :]
+    try:
+        end = _DECODER.raw_decode(part)[1]
+    except (ValueError, RecursionError):
+        end = len(part)
+    return part if 2 * end >= len(strip_fence(bare)) or bare.startswith("```") else None
 
 
 def json_open(text: str) -> bool:
@@ -215,7 +227,7 @@ def is_refusal(text: str) -> bool:
     for s in _SENTENCE.findall(text):
         n = len(s.strip())
         total += n
-        if _REFUSAL.search(s) or (_COURTESY.search(s) and n < 120):
+        if _REFUSAL.search(s) or _COURTESY.search(s):
             no += n
     return no * 2 >= total
 
@@ -245,10 +257,51 @@ def sentence_language(sentence: str) -> tuple[str | None, int]:
     return (first if count[first] == most else min(lang for lang in count if count[lang] == most)), letters
 
 
-def is_foreign(text: str, language: str | None, prompt: str | None) -> bool:
+#: Share of a language's records in which a word of its dictionary stands, and the fewest words with which a dictionary judges.
+DICTIONARY_SHARE, DICTIONARY_LEAST = 1 / 4000, 300
+_PLAIN_WORD = re.compile(r"(?<![\w'’-])[^\W\d_]+(?![\w'’-])")
+
+
+def language_dictionaries(records: DataFrame) -> dict[str, frozenset[str]]:
+    """language -> words in lower case that stand in ``DICTIONARY_SHARE`` of its records (three at least), counted over all messages of all records.
+
+    Messages of the user and the reference answers are in the record's
+    language. There are at most 1 / DICTIONARY_SHARE times the mean number of
+    words of a record per language, so what comes to the driver is bounded.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counted = Counter((lang, w) for lang, t in zip(pdf["language"], pdf["text"], strict=True) for w in {x.lower() for x in _PLAIN_WORD.findall(t)})
+            yield pd.DataFrame([(lang, w, n) for (lang, w), n in counted.items()], columns=["language", "word", "n"])
+
+    said = F.array_join(F.transform(F.filter("messages", lambda m: m["role"].isin("user", "assistant") & ~F.coalesce(F.startswith(F.ltrim(m["content"]), F.lit("{")), F.lit(False))), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    known = records.filter("language is not null and messages is not null").select(F.substring(F.lower(F.trim("language")), 1, 2).alias("language"), said.alias("text"))
+    total = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not total:
+        return {}
+    least = F.create_map(*[x for lang, n in total.items() for x in (F.lit(lang), F.lit(max(3, int(n * DICTIONARY_SHARE))))])[F.col("language")]
+    counted = known.mapInPandas(read, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    out: dict[str, set[str]] = {}
+    for r in counted.filter(F.col("n") >= least).toLocalIterator():
+        out.setdefault(r["language"], set()).add(r["word"])
+    return {lang: frozenset(ws) for lang, ws in out.items()}
+
+
+def known_share(sentence: str, dictionary: frozenset[str]) -> tuple[float, int]:
+    """(share of the words that are in the dictionary, number of words); names, which begin with a capital inside a sentence, don't count."""
+    words = [w for i, w in enumerate(_PLAIN_WORD.findall(sentence)) if not i or not w[0].isupper()]
+    return (sum(w.lower() in dictionary for w in words) / len(words) if words else 0.0), len(words)
+
+
+def is_foreign(text: str, language: str | None, prompt: str | None, dictionaries: dict[str, frozenset[str]] | None = None) -> bool:
     """More than half of the letters are in sentences of another language than the record's (or, without one, the request's).
 
-    What is in quotes or brackets does not count. JSON answers have no language: their city names are Russian.
+    A sentence of four words or more is in the record's language if most of its
+    words are in that language's dictionary, in another if few are; between, and
+    for shorter ones, frequent words and letters decide. What is in quotes or
+    brackets does not count. JSON answers have no language: their city names
+    are Russian.
     """
     if _json_text(text) is not None:
         return False
@@ -257,12 +310,20 @@ def is_foreign(text: str, language: str | None, prompt: str | None) -> bool:
         return False
     if language == "ru" and not _NOT_RUSSIAN.search(text):
         return False
+    own = (dictionaries or {}).get(language, frozenset())
     text = _QUOTED.sub(" ", text)
     mine = total = 0
     for s in _SENTENCE.findall(text):
         lang, n = sentence_language(s)
         total += n
-        mine += n * (lang == language)
+        is_mine = lang == language
+        if n and len(own) >= DICTIONARY_LEAST:
+            share, words = known_share(s, own)
+            if words >= 4 and share >= 0.75:
+                is_mine = True
+            elif words >= 4 and share < 0.4:
+                is_mine = False
+        mine += n * is_mine
     return total > 0 and mine * 2 < total
 
 
@@ -311,6 +372,18 @@ def count_contexts(texts: Iterable[str]) -> Counter:
     return out
 
 
+def last_tokens(text: str) -> list[re.Match]:
+    """The last two words of a text (fewer if it has fewer): looked for in ever longer ends of it, so a token of any length is whole."""
+    width = 200
+    while True:
+        begin = max(0, len(text) - width)
+        found = list(_TOKEN.finditer(text, begin))
+        # The first of a part of the text may be the end of a longer one.
+        if begin == 0 or len(found) > 2 or (len(found) == 2 and found[0].start() > begin):
+            return found[-2:]
+        width *= 4
+
+
 class TerminalModel:
     """P(end of sentence | last words) and P(end of word | last letters), from counts over all answers."""
 
@@ -327,7 +400,7 @@ class TerminalModel:
         if part is not None:
             return json_open(part)
         bare = strip_fence(text).rstrip(" \n\t\r\u00a0\u200b*_")
-        found = list(_TOKEN.finditer(bare, max(0, len(bare) - 400)))
+        found = last_tokens(bare)
         if not found:
             return False
         if _bracket_open(bare):
@@ -359,7 +432,7 @@ def context_keys(text: str | None) -> list[str]:
     if text is None or _json_text(text) is not None:
         return []
     bare = strip_fence(text).rstrip(" \n\t\r\u00a0\u200b*_")
-    found = list(_TOKEN.finditer(bare, max(0, len(bare) - 400)))
+    found = last_tokens(bare)
     if not found or (_CLOSED.search(bare) and not bare.endswith(".")):
         return []
     w = found[-1].group()
@@ -416,13 +489,14 @@ def defective_answers(results: DataFrame, records: DataFrame) -> DataFrame:
     counted = answers.join(context_counts(answers, n), "result_id", "left")
     pairs = salted_join(counted, asked, ["record_id"], hot_keys(answers, ["record_id"], n), "result_id")
     kind = answers.schema["result_id"].dataType.simpleString()
+    words = records.sparkSession.sparkContext.broadcast(language_dictionaries(records))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for rid, text, lang, prompt, counts in zip(pdf["result_id"], pdf["text"], pdf["language"], pdf["prompt"], pdf["counts"], strict=True):
                 model = TerminalModel({c["key"]: (c["n"], c["ends"]) for c in counts} if counts is not None else {})
-                defect = defect_of(text, lang, prompt, model)
+                defect = defect_of(text, lang, prompt, model, words.value)
                 if defect:
                     rows.append((rid, defect))
             yield pd.DataFrame(rows, columns=["result_id", "defect"])
@@ -430,7 +504,7 @@ def defective_answers(results: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.select("result_id", "text", "language", "prompt", "counts").mapInPandas(judge, f"result_id {kind}, defect string")
 
 
-def defect_of(text: str | None, language: str | None, prompt: str | None, model: TerminalModel) -> str | None:
+def defect_of(text: str | None, language: str | None, prompt: str | None, model: TerminalModel, dictionaries: dict[str, frozenset[str]] | None = None) -> str | None:
     if is_empty(text):
         return "empty"
     if is_copy(prompt, text):
@@ -439,6 +513,6 @@ def defect_of(text: str | None, language: str | None, prompt: str | None, model:
         return "refusal"
     if model.truncated(text):
         return "truncated"
-    if is_foreign(text, language, prompt):
+    if is_foreign(text, language, prompt, dictionaries):
         return "wrong_language"
     return None

@@ -18,8 +18,6 @@
 from __future__ import annotations
 
 import gc
-import hashlib
-import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -76,27 +74,31 @@ def word_distance(a: Sequence[str], b: Sequence[str], most: int) -> int:
     return score
 
 
-_NO_WIDTH = re.compile("[\u200b\ufeff]")
-
-
 def body_of(text: str | None) -> str:
     """Words in lower case with one space between, without the first line; a text of one line is kept. Null is empty."""
     if not text:
         return ""
-    return " ".join(_NO_WIDTH.sub(" ", text.partition("\n")[2] if "\n" in text else text).lower().split())
+    body = text.partition("\n")[2] if "\n" in text else text
+    if "\u200b" in body or "\ufeff" in body:
+        body = body.replace("\u200b", " ").replace("\ufeff", " ")
+    return " ".join(body.lower().split())
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a text without its first line: copies, whatever their date, are compared once."""
+    at = F.instr(text, "\n")
+    return F.unhex(F.md5(F.when(at > 0, F.substr(text, at + 1)).otherwise(text)))
 
 
-def with_body(records: DataFrame, text_col: str) -> DataFrame:
-    """``records`` with ``body`` and its digest ``text_key`` instead of the text."""
+def with_body(texts: DataFrame) -> DataFrame:
+    """(text_key, body) of (text_key, text); texts without words are left out."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            body = [body_of(t) for t in pdf.pop(text_col)]
-            yield pdf.assign(text_key=[hashlib.md5(b.encode("utf-8", "surrogatepass")).digest() for b in body], body=body)
+            out = pd.DataFrame({"text_key": pdf["text_key"], "body": [body_of(t) for t in pdf["text"]]})
+            yield out[out["body"] != ""]
 
-    kept = records.drop(text_col)
-    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    return records.mapInPandas(read, ", ".join([*ddl, "text_key binary", "body string"]))
+    return texts.mapInPandas(read, "text_key binary, body string")
 
 
 def word_hashes(bodies: Iterable[str], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -530,7 +532,7 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
 
     A null or blank split is that of the record's load in the plan; a load in
     two splits places its record in both. ``loads`` are the keys of the load in
-    group_id and source_id. text_key is the digest of all user messages' words.
+    group_id and source_id. text_key is the digest of all user messages.
     """
     load_of = lambda c: canonical_key(F.substring_index(c, ":", -1))
     base = records.filter("id is not null").select(
@@ -538,9 +540,9 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
         F.when(F.trim("split") != "", F.trim("split")).alias("split"),
         F.substring_index("source_id", ":", 1).alias("source"),
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
-        _user_text().alias("text"),
+        text_key(_user_text()).alias("text_key"),
     )
-    base = written(with_body(base, "text").drop("body").distinct())
+    base = written(base.distinct())
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
     return base.filter("split is not null").unionByName(lost.distinct())
@@ -566,7 +568,7 @@ def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFra
     is_eval, is_train = F.col("split").isin(*EVAL_SPLITS), F.col("split") == "train"
     sides = ids.filter(is_eval | is_train).groupBy("text_key").agg(F.bool_or(is_eval).alias("evals"), F.bool_or(is_train).alias("trains"))
     # Different texts once, with the sides they are on.
-    read = with_body(records.filter("id is not null").select(_user_text().alias("text")), "text").filter("body <> ''")
+    read = with_body(records.filter("id is not null").select(text_key(_user_text()).alias("text_key"), _user_text().alias("text")))
     texts = written(read.groupBy("text_key").agg(F.max("body").alias("body")).join(sides, "text_key").withColumnRenamed("text_key", "key"))
     near = near_texts(texts.filter("evals").select("key", "body"), texts.filter("trains").select("key", "body"), share)
     e = ids.filter(is_eval).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))

@@ -75,3 +75,38 @@ def test_length_makes_no_difference(model):
     assert model.truncated(GOOD[0] + " (" + "the slot is fine and the gate is open, " * 12 + GOOD[1]) and model.truncated(GOOD[1] + " (see (a) and " + GOOD[1])
     assert not model.truncated("1) " + GOOD[0]) and not model.truncated(GOOD[0] + " (" + GOOD[1] + ") " + GOOD[0])
     assert not model.truncated('"Origin (Bay" - ' + GOOD[0])
+
+
+def test_labels_at_any_length():
+    """What used to be decided by the first or last characters, or only below a length."""
+    import json
+
+    from millrace.llm import answers as a
+
+    assert a.is_empty(json.dumps({f"key{i}": None for i in range(200)})) and a.is_empty("null" + " " * 500) and not a.is_empty("no answer was given to the customer")
+    assert a.is_copy("Where is load 12?", "Where is load 12?") and not a.is_copy("Where is load 12?", "Where is load 13?")
+    assert a.is_refusal(json.dumps({f"note{i}": "I cannot help with this request." for i in range(25)}))
+    assert a.is_refusal("I cannot help with this request. " + "I am sorry that nothing more can be said about it, " * 6 + "really.")
+    long = "Here is the card that you asked for, filled in from the request as far as it says anything about the shipment at all: "
+    assert a._json_text(long + '{"card": {"pieces": 7, "shipper": "a company with a name", "origin": "a city", "destination": "another city", "more": "and so on and so on"}}')
+    assert a._json_text('Use {"a": 1} for the first field and leave all others as they are, please.') is None
+    model = a.TerminalModel({})
+    assert model.truncated(long + '{"card": {"pieces": 7, "ship') and not model.truncated(long + json.dumps({f"k{i}": i for i in range(90)}))
+    token = "x" * 900
+    assert [m.group() for m in a.last_tokens("one " + token)] == ["one", token] and [m.group() for m in a.last_tokens("a b" + " " * 3000 + "c")] == ["b", "c"]
+    assert a.last_tokens("") == [] and [m.group() for m in a.last_tokens(token)] == [token]
+    assert model.truncated("(" + "word " * 300 + "end.")
+
+
+def test_dictionaries_of_languages(spark):
+    """Words counted over the records tell other languages apart, whatever they are; without a dictionary frequent words do."""
+    from millrace.llm import answers as a
+
+    words = [f"{w}{s}" for w in "load truck driver arrive deliver pallet window confirm ship gate week order street city price".split() for s in ("", "s", "ed", "ing", "er", "y", "al", "ful", "ly", "ness", "ment", "able", "ion", "ism", "ist", "ish", "ize", "en", "ward", "wise", "less", "like")]
+    rows = [(f"r{i}", "EN" if i % 2 else "en ", [("user", " ".join(words[i % 7 :: 2])), ("assistant", '{"card": "zzz"}'), ("assistant", " ".join(words))]) for i in range(8)] + [("n", None, [("user", "nothing")]), ("m", "en", None)]
+    got = a.language_dictionaries(spark.createDataFrame(rows, "id string, language string, messages array<struct<role: string, content: string>>"))
+    assert set(got) == {"en"} and got["en"] >= set(words) and "zzz" not in got["en"] and len(got["en"]) > a.DICTIONARY_LEAST
+    romanian = "Comanda este confirmata pentru livrare in data de martie si soferul ajunge la poarta"
+    assert a.is_foreign(romanian, "en", None, got) and not a.is_foreign("loads trucked driver arrives delivering pallets gate", "en", None, got)
+    assert not a.is_foreign("loads trucked", "en", None, got) and a.is_foreign("нужна машина до склада", "en", None, {})
+    assert a.language_dictionaries(spark.createDataFrame([], "id string, language string, messages array<struct<role: string, content: string>>")) == {}
