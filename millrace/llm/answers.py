@@ -166,7 +166,6 @@ SHORT_BYTES = 24
 
 
 _OBJECT = re.compile(r"\{\s*[\"}]|\{\s*$")
-_DECODER = json.JSONDecoder()
 
 
 def _json_text(text: str) -> str | None:
@@ -179,7 +178,7 @@ def _json_text(text: str) -> str | None:
         return None
     part = bare[found.start() :]
     try:
-        end = _DECODER.raw_decode(part)[1]
+        end = json.JSONDecoder().raw_decode(part)[1]
     except (ValueError, RecursionError):
         end = len(part)
     return part if 2 * end >= len(strip_fence(bare)) or bare.startswith("```") else None
