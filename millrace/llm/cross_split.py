@@ -39,6 +39,8 @@ SIZES = (2, 4)
 COUNTED_IN = 10_000
 #: Bits of the bitmap of pieces: 64 per piece, at most 2^28 (32 MB, broadcast); a fuller one only sends more texts.
 MOST_BITS = 28
+#: Rows from which a text or load is spread over tasks in the last joins.
+HOT_ROWS = 200_000
 EVAL_SPLITS = ("val", "test", "test_ood", "bench")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -559,7 +561,7 @@ def cross_split_pairs(records: DataFrame, plan: DataFrame, share: float = 0.2) -
     text only; records in neither a train nor an evaluation split, and null
     ids, are left out. Copies of a row change nothing; empty tables give no rows.
     """
-    return _expanded(*_matched(records, plan, share))
+    return _expanded(*_matched(records, plan, share), records.count())
 
 
 def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -576,15 +578,14 @@ def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFra
     return e, t, near
 
 
-def _expanded(e: DataFrame, t: DataFrame, near: DataFrame) -> DataFrame:
+def _expanded(e: DataFrame, t: DataFrame, near: DataFrame, rows: int) -> DataFrame:
     columns = ["train_id", "eval_id", "eval_split", "source", "by_load", "distance"]
     near = near.select("eval_key", "train_key", "distance").distinct()
     of_train, of_eval = t.withColumn("load", F.explode("train_loads")), e.withColumn("load", F.explode("eval_loads"))
     # Keys that hold a two-hundredth of the rows of their side: few by that, so they are looked up once for the three joins.
     sides = {"eval_key": (e, F.col("eval_key")), "train_key": (t, F.col("train_key")), "load": (of_train, F.encode("load", "utf-8"))}
-    rows = t.count()
     every = reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("side"), c.alias("key")) for k, (d, c) in sides.items()])
-    hot = hot_keys(every, ["side", "key"], rows).collect()
+    hot = hot_keys(every, ["side", "key"], rows, 0.005, HOT_ROWS).collect() if rows >= HOT_ROWS else []
 
     def join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
         mine = [r["key"] for r in hot if r["side"] == key]

@@ -104,8 +104,7 @@ def test_hot_texts_and_loads(spark, monkeypatch):
     """Copies of one text and records of one load are spread over tasks and give the same pairs."""
     import millrace.llm.cross_split as m
 
-    plain = m.hot_keys
-    monkeypatch.setattr(m, "hot_keys", lambda df, keys, rows, share=0.005, floor=50_000: plain(df, keys, rows, share, 5))
+    monkeypatch.setattr(m, "HOT_ROWS", 5)
     rows = [rec(f"t{i:02}", "train", "LOAD1" if i < 12 else None, "x\nsame words in every text " + ("here" if i % 2 else "there")) for i in range(24)]
     rows += [rec(f"v{i}", "val", "LOAD1" if i < 2 else None, "x\nsame words in every text here") for i in range(8)]
     table, plan = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], PLAN)
