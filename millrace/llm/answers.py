@@ -258,24 +258,25 @@ def sentence_language(sentence: str) -> tuple[str | None, int]:
 
 #: Share of a language's records in which a word of its dictionary stands, and the fewest words with which a dictionary judges.
 DICTIONARY_SHARE, DICTIONARY_LEAST = 1 / 4000, 300
-_PLAIN_WORD = re.compile(r"(?<![\w'’-])[^\W\d_]+(?![\w'’-])")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
 
 
 def language_dictionaries(records: DataFrame) -> dict[str, frozenset[str]]:
-    """language -> words in lower case that stand in ``DICTIONARY_SHARE`` of its records (three at least), counted over all messages of all records.
+    """language -> words in lower case that stand in ``DICTIONARY_SHARE`` of its records (three at least), counted over the reference answers of all records.
 
-    Messages of the user and the reference answers are in the record's
-    language. There are at most 1 / DICTIONARY_SHARE times the mean number of
+    Reference answers in words are in the record's language; cards are left out. There are at most 1 / DICTIONARY_SHARE times the mean number of
     words of a record per language, so what comes to the driver is bounded.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counted = Counter((lang, w) for lang, t in zip(pdf["language"], pdf["text"], strict=True) for w in {x.lower() for x in _PLAIN_WORD.findall(t)})
-            yield pd.DataFrame([(lang, w, n) for (lang, w), n in counted.items()], columns=["language", "word", "n"])
+            counted: dict[str, Counter] = {}
+            for lang, t in zip(pdf["language"], pdf["text"], strict=True):
+                counted.setdefault(lang, Counter()).update(set(_PLAIN_WORD.findall(t.lower())))
+            yield pd.DataFrame([(lang, w, n) for lang, c in counted.items() for w, n in c.items()], columns=["language", "word", "n"])
 
-    said = F.array_join(F.transform(F.filter("messages", lambda m: m["role"].isin("user", "assistant") & ~F.coalesce(F.startswith(F.ltrim(m["content"]), F.lit("{")), F.lit(False))), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
-    known = records.filter("language is not null and messages is not null").select(F.substring(F.lower(F.trim("language")), 1, 2).alias("language"), said.alias("text"))
+    said = F.array_join(F.transform(F.filter("messages", lambda m: (m["role"] == "assistant") & ~F.coalesce(F.startswith(F.ltrim(m["content"]), F.lit("{")), F.lit(False))), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    known = records.filter("language is not null and messages is not null").select(F.substring(F.lower(F.trim("language")), 1, 2).alias("language"), said.alias("text")).filter("text <> ''")
     total = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
         return {}

@@ -103,7 +103,7 @@ def test_dictionaries_of_languages(spark):
     from millrace.llm import answers as a
 
     words = [f"{w}{s}" for w in "load truck driver arrive deliver pallet window confirm ship gate week order street city price".split() for s in ("", "s", "ed", "ing", "er", "y", "al", "ful", "ly", "ness", "ment", "able", "ion", "ism", "ist", "ish", "ize", "en", "ward", "wise", "less", "like")]
-    rows = [(f"r{i}", "EN" if i % 2 else "en ", [("user", " ".join(words[i % 7 :: 2])), ("assistant", '{"card": "zzz"}'), ("assistant", " ".join(words))]) for i in range(8)] + [("n", None, [("user", "nothing")]), ("m", "en", None)]
+    rows = [(f"r{i}", "EN" if i % 2 else "en ", [("user", "zzz"), ("assistant", '{"card": "zzz"}'), ("assistant", " ".join(words))]) for i in range(8)] + [("n", None, [("user", "nothing")]), ("m", "en", None)]
     got = a.language_dictionaries(spark.createDataFrame(rows, "id string, language string, messages array<struct<role: string, content: string>>"))
     assert set(got) == {"en"} and got["en"] >= set(words) and "zzz" not in got["en"] and len(got["en"]) > a.DICTIONARY_LEAST
     romanian = "Comanda este confirmata pentru livrare in data de martie si soferul ajunge la poarta"
