@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import same_set, to_m
-from millrace.operators.metrics import pooled_share, rate
+from millrace.functions.json_answers import KINDS, LISTS, SIDES, lacks_values, of_kind
 
-#: Kinds in their fixed order, with the words that speak of each.
-KINDS = ("temperature", "fastening", "loading", "oversize", "monitoring")
+# The words that speak of each kind, the largest difference of equal dimensions.
 WORDS = {
-    "temperature": r"градус|degrees|°c", "fastening": r"ремн|штанг|straps|load bars", "loading": r"гидроборт|ворота|tail lift|dock",
-    "oversize": r"негабарит|габарит|oversize|wide load", "monitoring": r"логгер|датчик|пломб|logger|sensor|seal",
+    "temperature": r"градус|режим|degrees|°c|temperature", "securing": r"ремн|штанг|цеп|коврик|straps|load bars|chains|anti-slip|lashing", "packaging": r"упаков|обрешет|пл[её]нк|crated|wrapped|packaging",
+    "oversize": r"негабарит|габарит|oversize|wide load", "sensors": r"логгер|датчик|термопис|logger|sensor|recorder",
 }
-TOLERANCE_M = 0.05
+TOLERANCE_M = 0.01
+#: What each kind states besides its name.
+VALUES = {"temperature": ("min_c", "max_c"), "securing": ("methods",), "packaging": ("types",), "oversize": SIDES, "sensors": ("parameters",)}
+_LISTS = set(LISTS)
 
 
 def kinds_in(text: Column) -> Column:
@@ -25,57 +28,67 @@ def kinds_in(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(WORDS[k]), F.lit(k)) for k in KINDS]))
 
 
-def of_kind(conditions: Column, kind: str) -> Column:
-    """The condition of a kind, null without one; a kind occurs once at most."""
-    return F.try_element_at(F.filter(conditions, lambda c: c["kind"] == F.lit(kind)), F.lit(1))
+def same_value(name: str, a: Column, b: Column) -> Column:
+    """Lists as sets (null as empty), dimensions in metres within 1 cm whatever their unit, the rest exactly; nulls equal."""
+    if name in _LISTS:
+        none = F.array().cast("array<string>")
+        return same_set(F.coalesce(a, none), F.coalesce(b, none))
+    if name in SIDES:
+        x, y = to_m(a["value"], a["unit"]), to_m(b["value"], b["unit"])
+        return F.coalesce(F.abs(x - y) <= TOLERANCE_M + 1e-9, x.isNull() & y.isNull())
+    return a.eqNullSafe(b)
 
 
-def same_condition(a: Column, b: Column) -> Column:
-    """Equal values: temperatures exactly, lists as sets, dimensions in metres within 5 cm whatever their unit; nulls equal."""
-    lists = [F.coalesce(same_set(a[f], b[f]), a[f].isNull() & b[f].isNull()) for f in ("methods", "types", "parameters")]
-    sides = []
-    for f in ("length", "width", "height"):
-        x, y = to_m(a[f]["value"], a[f]["unit"]), to_m(b[f]["value"], b[f]["unit"])
-        sides.append(F.coalesce(F.abs(x - y) <= TOLERANCE_M, x.isNull() & y.isNull()))
-    return reduce(Column.__and__, [a["min_c"].eqNullSafe(b["min_c"]), a["max_c"].eqNullSafe(b["max_c"]), *lists, *sides])
+def same_condition(kind: str, a: Column, b: Column) -> Column:
+    return reduce(Column.__and__, [same_value(n, a[n], b[n]) for n in VALUES[kind]])
 
 
-def condition_flags(gold: Column, answer: Column, failed: Column | None = None) -> Column:
-    """map(kind -> right, wrong or null where neither has it): a full outer match of the two arrays by kind."""
-    pairs = []
-    for k in KINDS:
-        g, a = of_kind(gold, k), of_kind(answer, k)
-        flag = F.when(g.isNull() & a.isNull(), None).when(g.isNull() | a.isNull(), F.lit(False)).otherwise(same_condition(g, a))
-        pairs += [F.lit(k), flag if failed is None else F.when(failed, F.when(g.isNotNull(), F.lit(False))).otherwise(flag)]
-    return F.create_map(*pairs)
+def invents(kind: str, gold: Column, answer: Column) -> Column:
+    """Whether the answer states a value the gold (which may be null) lacks."""
+    out = []
+    for n in VALUES[kind]:
+        if n in _LISTS:
+            none = F.array().cast("array<string>")
+            out.append(F.size(F.array_except(F.coalesce(answer[n], none), F.coalesce(gold[n], none))) > 0)
+        else:
+            out.append(answer[n].isNotNull() & gold[n].isNull())
+    return reduce(Column.__or__, out)
 
 
-def condition_errors(gold: Column, answer: Column) -> Column:
-    """Array of missed_condition and hallucinated_condition."""
-    g, a = F.transform(gold, lambda c: c["kind"]), F.transform(answer, lambda c: c["kind"])
-    return F.array_compact(F.array(
-        F.when(F.size(F.array_except(a, g)) > 0, F.lit("hallucinated_condition")), F.when(F.size(F.array_except(g, a)) > 0, F.lit("missed_condition"))
-    ))
+@dataclass(frozen=True)
+class Compared:
+    """Two lists of conditions matched by kind: kinds of each, right or wrong per kind (null where neither has it), labels, whether anything is invented."""
 
+    gold_kinds: Column
+    answer_kinds: Column
+    correct: dict[str, Column]
+    labels: list[Column]
+    invented: Column
 
-def condition_metrics(gold_kinds: Column, answer_kinds: Column, flags: Column) -> dict[str, Column]:
-    """Precision and recall of the kinds, of all and of each, and the accuracy of each kind's values."""
-    out = {}
-    for name, kinds in (("", KINDS), *[(f".{k}", (k,)) for k in KINDS]):
-        want = F.array(*[F.lit(k) for k in kinds])
-        g, a = F.array_intersect(gold_kinds, want), F.array_intersect(answer_kinds, want)
-        hit = F.size(F.array_intersect(g, a))
-        out[f"condition_precision{name}"] = pooled_share(hit, F.size(F.array_except(a, g)))
-        out[f"condition_recall{name}"] = pooled_share(hit, F.size(F.array_except(g, a)))
-    return out | {f"condition_accuracy.{k}": rate(flags[k]) for k in KINDS}
+
+def compared(gold: Column, answer: Column, missing: Column, failed: Column) -> Compared:
+    """Full outer match by kind. A condition lost, added or invented where the gold asks for it has one critical label each."""
+    correct, labels, added = {}, [], []
+    for k in KINDS:
+        g, a = of_kind(gold, k), of_kind(answer, k)
+        asked = F.array_contains(missing, f"special_conditions.{k}")
+        new = a.isNotNull() & invents(k, g, a)
+        correct[k] = F.when(failed, F.when(g.isNotNull(), F.lit(False))).otherwise(F.when(g.isNotNull() | a.isNotNull(), F.coalesce(g.isNotNull() & a.isNotNull() & same_condition(k, g, a), F.lit(False))))
+        labels.append(F.when(g.isNotNull() & a.isNull(), F.lit("missed_condition")).when(asked & new, F.lit("hallucinated_required_field")).when(a.isNotNull() & g.isNull() & ~asked, F.lit("hallucinated_condition")))
+        added.append(F.coalesce(new | (a.isNotNull() & g.isNull()), F.lit(False)))
+    none = F.array().cast("array<string>")
+    kinds = lambda c: F.filter(F.array(*[F.lit(k) for k in KINDS]), lambda k: F.array_contains(F.coalesce(F.transform(c, lambda x: x["kind"]), none), k))
+    return Compared(kinds(gold), kinds(answer), correct, labels, reduce(Column.__or__, added))
 
 
 def missing_conditions(equipment: Column, conditions: Column) -> Column:
-    """Required conditions that are absent or have no values: temperature for a reefer, all dimensions for a lowbed, any named kind."""
-    t, o = of_kind(conditions, "temperature"), of_kind(conditions, "oversize")
-    cold = (equipment == "reefer") & (t.isNull() | (t["min_c"].isNull() & t["max_c"].isNull()))
-    large = (equipment == "lowbed") & (o.isNull() | o["length"].isNull() | o["width"].isNull() | o["height"].isNull())
-    return F.array_compact(F.array(F.when(F.coalesce(cold, F.lit(False)), F.lit("temperature")), F.when(F.coalesce(large, F.lit(False)), F.lit("oversize"))))
+    """Kinds that are required (temperature for a reefer, all dimensions for a lowbed) or named, and have no values."""
+    needs = {"temperature": F.coalesce(equipment == "reefer", F.lit(False)), "oversize": F.coalesce(equipment == "lowbed", F.lit(False))}
+    out = []
+    for k in KINDS:
+        c, must = of_kind(conditions, k), needs.get(k, F.lit(False))
+        out.append(F.when((c.isNull() & must) | (c.isNotNull() & lacks_values(c, k, must)), F.lit(k)))
+    return F.array_compact(F.array(*out))
 
 
 def conditions_report(df: DataFrame, id_col: str, conditions: str) -> DataFrame:
@@ -85,3 +98,12 @@ def conditions_report(df: DataFrame, id_col: str, conditions: str) -> DataFrame:
     n = each.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     total = df.count()
     return n.select("kind", "n", F.round(F.col("n") / F.lit(max(total, 1)), 4).alias("share"), "first_id")
+
+
+def unused_values(df: DataFrame, conditions: str) -> DataFrame:
+    """(list, value): values of the closed lists that no row uses."""
+    spark = df.sparkSession
+    every = spark.createDataFrame([(n, v) for n, vs in LISTS.items() for v in vs], "list string, value string")
+    each = df.select(F.explode(conditions).alias("c"))
+    used = reduce(DataFrame.unionByName, [each.select(F.lit(n).alias("list"), F.explode(f"c.{n}").alias("value")) for n in LISTS]).distinct()
+    return every.join(used, ["list", "value"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,26 +11,41 @@ from pyspark.sql import functions as F
 from millrace.functions.exprs import text_hash
 
 
-def cover(df: DataFrame, id_col: str, features: str, limit: int) -> list[str]:
-    """At most ``limit`` ids that together show as many features as they can: greedy, starting over once all are covered.
+def cover(df: DataFrame, id_col: str, features: str, limit: int, seed: int = 42) -> list[str]:
+    """At most ``limit`` ids that together show as many features as they can, again and again once all are shown.
 
     ``features`` is an array column. Rows of equal feature sets are
-    interchangeable, so only ``limit`` ids of each set come to the driver:
-    their number is bounded by the sets, not by the rows.
+    interchangeable, so the choice is made among sets: the driver gets at most
+    ``limit`` ids of each different set, in the order of sha256('seed:id'), and
+    their number is bounded by the sets, not by the rows. Gains only shrink
+    while features get covered, so a heap of old gains finds the best set
+    without looking at all of them; ties go to the smaller hash.
     """
-    sets = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.array_sort(F.array_distinct(F.coalesce(F.col(features), F.array().cast("array<string>")))).alias("fs"))
-    r = F.row_number().over(Window.partitionBy("fs").orderBy("id"))
-    left = {x["id"]: set(x["fs"]) for x in sets.withColumn("_r", r).filter(F.col("_r") <= limit).orderBy("id").collect()}
-    every, seen, out = set().union(*left.values()) if left else set(), set(), []
-    while left and len(out) < limit:
-        if seen >= every:
-            seen = set()
-        best = max(sorted(left), key=lambda i: len(left[i] - seen))
-        if not left[best] - seen and seen:
-            seen = set()
-            continue
-        out.append(best)
-        seen |= left.pop(best)
+    fs = F.array_sort(F.array_distinct(F.coalesce(F.col(features), F.array().cast("array<string>"))))
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), fs.alias("fs")).withColumn("h", text_hash(F.concat_ws(":", F.lit(str(seed)), "id")))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("fs").orderBy("h", "id"))).filter(F.col("_r") <= limit)
+    sets = first.groupBy("fs").agg(F.array_sort(F.collect_list(F.struct("h", "id"))).alias("ids")).collect()
+    bit = {f: 1 << i for i, f in enumerate(sorted({f for r in sets for f in r["fs"]}))}
+    queues = [(sum(bit[f] for f in r["fs"]), [(x["h"], x["id"]) for x in reversed(r["ids"])]) for r in sets]
+    out: list[str] = []
+    while len(out) < limit:
+        shown, before = 0, len(out)
+        heap = [(-mask.bit_count(), ids[-1], n) for n, (mask, ids) in enumerate(queues) if ids and mask]
+        heapq.heapify(heap)
+        while heap and len(out) < limit:
+            gain, head, n = heap[0]
+            mask, ids = queues[n]
+            now = -(mask & ~shown).bit_count()
+            if now == 0:
+                heapq.heappop(heap)
+            elif now != gain or ids[-1] != head:
+                heapq.heapreplace(heap, (now, ids[-1], n))
+            else:
+                heapq.heappop(heap)  # whatever else has these features adds nothing in this pass
+                out.append(ids.pop()[1])
+                shown |= mask
+        if len(out) == before:
+            break
     return out
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import hash_uniform, month_key
+from millrace.functions.exprs import hash_uniform, in_order, month_key
+from millrace.functions.json_answers import LISTS, missing_fields
 from millrace.operators.quality import assert_unique, pivot_pairs
 
 EVENT_KINDS = ("Pickup", "Delivery")
@@ -98,3 +99,65 @@ def assign_profiles(facts: DataFrame, key: str, category: str, tables: dict[str,
     for c, t in sorted(tables.items()):
         pick = F.when(F.col(category) == c, weighted_pick(u, t)).otherwise(pick)
     return facts.withColumn("profile", pick)
+
+
+def draw_between(seed: int, key: Column, name: str, low: float, high: float, digits: int = 1) -> Column:
+    """A number drawn evenly from a range by the key and the name of the draw, rounded."""
+    return F.round(F.lit(float(low)) + hash_uniform(seed, F.lit(name), key) * (float(high) - float(low)), digits)
+
+
+def assign_conditions(facts: DataFrame, key: str, category: str, tables: dict[str, Sequence[dict]], seed: int) -> DataFrame:
+    """Facts of the second version: equipment, pieces and special conditions of a profile drawn for each row.
+
+    ``tables``: category -> profiles, each a dict of name, share, equipment and,
+    where it has them, temperature (min, max), methods, types, parameters (lists),
+    dimensions (side -> (low, high) in metres) and pieces (low, high). Lists come
+    out in their fixed order, conditions in that of the kinds; every draw is by
+    seed, row and name, so a row gets the same in any order. Rows of a category
+    without a table keep their values and have no conditions.
+    """
+    out = assign_profiles(facts, key, category, {c: [(p["name"], p["share"]) for p in ps] for c, ps in tables.items()}, seed)
+    k, text, side = F.col(key).cast("string"), "array<string>", "struct<value: double, unit: string>"
+    null = lambda t: F.lit(None).cast(t)
+
+    def condition(kind: str, **values: Column) -> Column:
+        parts = [("min_c", "double"), ("max_c", "double"), ("methods", text), ("types", text), *[(s, side) for s in ("length", "width", "height")], ("parameters", text)]
+        return F.struct(F.lit(kind).alias("kind"), *[values.get(n, null(t)).cast(t).alias(n) for n, t in parts])
+
+    def of_profile(p: dict) -> Column:
+        listed = lambda n: in_order(F.array(*[F.lit(x) for x in p[n]]), LISTS[n])
+        found = []
+        if "temperature" in p:
+            low, high = p["temperature"]
+            found.append(condition("temperature", min_c=F.lit(float(low)), max_c=F.lit(float(high))))
+        if "methods" in p:
+            found.append(condition("securing", methods=listed("methods")))
+        if "types" in p:
+            found.append(condition("packaging", types=listed("types")))
+        if "dimensions" in p:
+            found.append(condition("oversize", **{n: F.struct(draw_between(seed, k, n, *span).alias("value"), F.lit("m").alias("unit")) for n, span in p["dimensions"].items()}))
+        if "parameters" in p:
+            found.append(condition("sensors", parameters=listed("parameters")))
+        return F.array(*found) if found else F.array_remove(F.array(condition("none")), condition("none"))
+
+    mine = lambda c, p: (F.col(category) == c) & (F.col("profile") == p["name"])
+    every = [(mine(c, p), p) for c, ps in sorted(tables.items()) for p in ps]
+    conditions, equipment, pieces = of_profile({}), F.col("equipment_type"), F.col("pieces")
+    for here, p in every:
+        conditions = F.when(here, of_profile(p)).otherwise(conditions)
+        equipment = F.when(here, F.lit(p["equipment"])).otherwise(equipment)
+        if "pieces" in p:
+            low, high = p["pieces"]
+            pieces = F.when(here, (F.lit(low) + F.floor(hash_uniform(seed, F.lit("pieces"), k) * (high - low + 1))).cast("bigint")).otherwise(pieces)
+    return out.select("*", conditions.alias("special_conditions"), equipment.alias("_e"), pieces.alias("_n")).withColumn("equipment_type", F.col("_e")).withColumn("pieces", F.col("_n")).drop("_e", "_n")
+
+
+def completeness(facts: DataFrame, key: str) -> DataFrame:
+    """(record_id, split, code, message): MISSING issues of facts of the second version whose fully stated card lacks something its rules ask for."""
+    weight = F.struct(F.col("weight_lbs").cast("double").alias("value"), F.lit("lb").alias("unit"))
+    card = F.struct(
+        "origin", "destination", F.col("pickup_date").cast("string").alias("pickup_date"), "equipment_type", "pieces", F.when(F.col("weight_lbs").isNotNull(), weight).alias("weight_total"),
+        F.lit(None).cast("struct<value: double, unit: string>").alias("weight_per_piece"), "special_conditions",
+    )
+    lost = facts.withColumn("_card", card).select(F.col(key).cast("string").alias("record_id"), F.explode(missing_fields(F.col("_card"), "card_v2")).alias("field"))
+    return lost.select("record_id", F.lit(None).cast("string").alias("split"), F.lit("MISSING").alias("code"), F.concat(F.lit("missing "), F.col("field")).alias("message"))

@@ -1,4 +1,4 @@
-"""Scores of answers against gold answers: fields, lists of missing fields, swaps and unit mistakes.
+"""Scores of answers against gold answers: fields, conditions, lists of missing fields, swaps and unit mistakes.
 
 Flags are three-valued: null where a field does not apply. A failed answer
 (generation error, or not readable even leniently) is wrong in every field the
@@ -9,14 +9,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import squeeze, to_kg
-from millrace.functions.json_answers import CARD_FIELDS, answer_flags, target
+from millrace.functions.json_answers import FIELDS, FLAGS, flags_of, target, version_of
+from millrace.operators import conditions as co
 
+# Tolerance of weights, ratios that a mistaken unit makes, the fields that must all be right.
 TOLERANCE_KG = 0.5
-KEY_FIELDS = ("equipment_type", "pieces", "origin", "destination", "pickup_date")
+UNIT_RATIOS = (0.45359237, 1 / 0.45359237, 1000.0, 0.001)
+RATIO_TOLERANCE = 0.02
+KEY_FIELDS = ("origin", "destination", "pickup_date", "equipment_type", "pieces")
+WEIGHTS = ("weight_total", "weight_per_piece")
+PLACES = ("origin", "destination")
 
 
 def last_predictions(log: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -25,81 +32,137 @@ def last_predictions(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.filter(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def mass_kg(card: Column) -> Column:
-    return to_kg(card["weight_total"]["value"], card["weight_total"]["unit"])
+def known(flag: Column) -> Column:
+    """Null as false."""
+    return F.coalesce(flag, F.lit(False))
+
+
+def kilograms(quantity: Column) -> Column:
+    return to_kg(quantity["value"], quantity["unit"])
+
+
+def stated_mass(card: Column) -> Column:
+    """Kilograms the card states: the total, else weight per piece times pieces; null without pieces (one is not assumed)."""
+    return F.coalesce(kilograms(card["weight_total"]), kilograms(card["weight_per_piece"]) * card["pieces"])
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """City and region without case and outer spaces; where neither has a region, the city."""
+    plain = lambda x: F.lower(F.trim(x))
+    return (plain(a["city"]) == plain(b["city"])) & plain(a["region"]).eqNullSafe(plain(b["region"]))
 
 
 def same_value(field: str, gold: Column, answer: Column) -> Column:
-    """Weights within 0.5 kg whatever the unit; cities and shippers without case and extra spaces; the rest exactly."""
+    """Weights within 0.5 kg whatever the unit; places by city and region; shippers without case and extra spaces; the rest exactly."""
     g, a = gold[field], answer[field]
-    if field == "weight_total":
-        return F.abs(to_kg(g["value"], g["unit"]) - to_kg(a["value"], a["unit"])) <= TOLERANCE_KG
-    if field in ("origin", "destination"):
-        return squeeze(g["city"]) == squeeze(a["city"])
+    if field in WEIGHTS:
+        return F.abs(kilograms(g) - kilograms(a)) <= TOLERANCE_KG
+    if field in PLACES:
+        return same_place(g, a)
     if field == "shipper_name":
         return squeeze(g) == squeeze(a)
     return g == a
 
 
-def field_flags(gold: Column, answer: Column, failed: Column) -> Column:
-    """map(field -> right, wrong or null): null where neither has a value."""
-    pairs = []
-    for f in CARD_FIELDS:
-        g, a = gold[f].isNotNull(), answer[f].isNotNull()
-        flag = F.when(failed, F.when(g, F.lit(False))).when(~g & ~a, None).when(~g | ~a, F.lit(False)).otherwise(F.coalesce(same_value(f, gold, answer), F.lit(False)))
-        pairs += [F.lit(f), flag]
-    return F.create_map(*pairs)
+def field_flag(field: str, gold: Column, answer: Column) -> Column:
+    """Right, wrong, or null where neither has a value."""
+    g, a = gold[field].isNotNull(), answer[field].isNotNull()
+    return F.when(g | a, known(g & a & same_value(field, gold, answer)))
+
+
+def scalar_errors(gold: Column, answer: Column) -> list[Column]:
+    """Labels or nulls: pieces and weight swapped, a weight off by a factor between units, origin and destination swapped."""
+    numbers = lambda c: F.transform(F.array_compact(F.array(*[c[w]["value"] for w in WEIGHTS])), lambda x: x.cast("double"))
+    gw, aw, gp, ap = numbers(gold), numbers(answer), gold["pieces"].cast("double"), answer["pieces"].cast("double")
+    swap = (known(~ap.eqNullSafe(gp)) & known(F.array_contains(gw, ap))) | (known(F.array_contains(aw, gp)) & known(~F.array_contains(gw, gp)))
+
+    def mistaken(w: str) -> Column:
+        g, a = kilograms(gold[w]), kilograms(answer[w])
+        off = [F.abs(a / g / r - 1) <= RATIO_TOLERANCE for r in UNIT_RATIOS]
+        return known((g > 0) & (F.abs(g - a) > TOLERANCE_KG) & reduce(Column.__or__, off))
+
+    turned = known(~same_place(gold["origin"], gold["destination"]) & same_place(answer["origin"], gold["destination"]) & same_place(answer["destination"], gold["origin"]))
+    return [
+        F.when(swap, F.lit("pieces_weight_swap")),
+        F.when(reduce(Column.__or__, map(mistaken, WEIGHTS)), F.lit("wrong_unit_magnitude")),
+        F.when(turned, F.lit("origin_destination_swap")),
+    ]
+
+
+def read_pair(gold: Column, answer: Column, version: str) -> Column:
+    """struct(g, a): how each text reads, in one pass; a gold text is read once per batch however often it comes."""
+    shape = version_of(version)
 
+    @F.pandas_udf(f"g string, {FLAGS}")
+    def judge(golds: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        seen: dict[str | None, str | None] = {}
+        rows = []
+        for g, a in zip(golds, answers, strict=True):
+            if g not in seen:
+                seen[g] = flags_of(g, shape)[4]
+            rows.append((seen[g], *flags_of(a, shape)))
+        return pd.DataFrame(rows, columns=["g", "json_parsed", "schema_valid", "json_parsed_lenient", "stage", "body"])
 
-def critical_errors(gold: Column, answer: Column) -> Column:
-    """Swapped pieces and weight, a weight off by a factor between units, origin and destination swapped."""
-    gw, aw = gold["weight_total"]["value"], answer["weight_total"]["value"]
-    gp, ap = gold["pieces"].cast("double"), answer["pieces"].cast("double")
-    no = F.lit(False)
-    swap = F.coalesce((ap != gp) & (ap == gw), no) | F.coalesce((gp == aw) & ~F.coalesce(gp == gw, no), no)
-    ratio = mass_kg(answer) / F.when(mass_kg(gold) > 0, mass_kg(gold))
-    factors = [r for f in (0.45359237, 1000.0, 453.59237) for r in (f, 1 / f)]
-    unit = F.coalesce(reduce(Column.__or__, [F.abs(ratio / r - 1) <= 0.02 for r in factors]) & (F.abs(mass_kg(answer) - mass_kg(gold)) > TOLERANCE_KG), no)
-    go, gd, ao, ad = (squeeze(c[f]["city"]) for c in (gold, answer) for f in ("origin", "destination"))
-    turned = F.coalesce((go != gd) & (ao == gd) & (ad == go), no)
-    return F.array_compact(F.array(F.when(turned, F.lit("origin_destination_swap")), F.when(swap, F.lit("pieces_weight_swap")), F.when(unit, F.lit("wrong_unit_magnitude"))))
+    return judge(gold, answer)
 
 
-def score_cases(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Case scores: ``gold`` (record_id, gold_text, slices...), ``predictions`` (record_id, output, error), one row each.
+def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_short") -> DataFrame:
+    """Case scores of one version: ``gold`` (record_id, gold_text, slices...), ``predictions`` (record_id, output, error), one row each.
 
-    A gold without a prediction is a failed case ("no answer").
+    A gold without a prediction is a failed case ("no answer"). Golds that do
+    not read are left out. Extra columns of ``gold`` are kept.
     """
+    v = version_of(version)
+    scalars = [f for f in v.fields if f != "special_conditions"]
     p = predictions.select("record_id", "output", "error", F.lit(True).alias("_there"))
-    j = gold.join(p, "record_id", "left")
-    j = j.withColumn("_f", answer_flags(F.col("output"))).withColumn("_gf", answer_flags(F.col("gold_text")))
-    j = j.withColumn("_g", target(F.col("_gf.body"))).withColumn("_a", target(F.col("_f.body")))
+    j = gold.join(p, "record_id", "left").withColumn("_f", read_pair(F.col("gold_text"), F.col("output"), version))
+    j = j.withColumn("_g", target(F.col("_f.g"))).withColumn("_a", target(F.col("_f.body"))).filter("_g is not null")
     error = F.when(F.col("_there").isNull(), F.lit("no answer")).otherwise(F.col("error"))
     failed = error.isNotNull() | ~F.col("_f.json_parsed_lenient")
-    g, a = F.col("_g"), F.col("_a")
-    gm, am = F.array_distinct(g["missing_fields"]), F.array_distinct(a["missing_fields"])
-    invented = F.array_compact(F.array(*[F.when(g["card"][f].isNull() & a["card"][f].isNotNull(), F.lit(f)) for f in CARD_FIELDS]))
-    gc, ac = F.transform(g["conflicts"], lambda c: c["field"]), F.transform(a["conflicts"], lambda c: c["field"])
-    missed = F.size(F.array_intersect(invented, gc)) > 0
-    required = F.size(F.array_intersect(F.array_except(invented, gc), gm)) > 0
-    flags = field_flags(g["card"], a["card"], failed)
-    key_known = reduce(Column.__and__, [g["card"][f].isNotNull() for f in KEY_FIELDS]) & mass_kg(g["card"]).isNotNull()
-    scored = j.filter(g.isNotNull()).withColumn("field_correct", flags).withColumn("failed", failed)
-    key_right = reduce(Column.__and__, [F.col("field_correct")[f] for f in KEY_FIELDS]) & F.coalesce(F.abs(mass_kg(g["card"]) - mass_kg(a["card"])) <= TOLERANCE_KG, F.lit(False))
-    none = F.array().cast("array<string>")
-    return scored.select(
-        *gold.drop("gold_text").columns,
-        F.col("_f.json_parsed").alias("json_parsed"), F.col("_f.schema_valid").alias("schema_valid"),
-        (~failed).alias("json_parsed_lenient"), error.alias("generation_error"), "failed", "field_correct",
-        F.when(key_known, F.when(failed, F.lit(False)).otherwise(key_right)).alias("key_fields_correct"),
-        F.when(failed, 0).otherwise(F.size(F.array_intersect(gm, am))).alias("missing_tp"),
-        F.when(failed, 0).otherwise(F.size(F.array_except(am, gm))).alias("missing_fp"),
-        F.when(failed, F.size(gm)).otherwise(F.size(F.array_except(gm, am))).alias("missing_fn"),
-        F.when(failed, F.lit(False)).otherwise(F.array_sort(gm) == F.array_sort(am)).alias("missing_exact"),
-        F.when(F.size(gc) > 0, F.when(failed, F.lit(False)).otherwise(F.size(F.array_except(gc, ac)) == 0)).alias("conflict_detected"),
-        F.when(failed, none).otherwise(F.array_except(invented, gc)).alias("hallucinated_fields"),
-        F.when(failed, none).otherwise(F.array_sort(F.concat(
-            critical_errors(g["card"], a["card"]),
-            F.array_compact(F.array(F.when(required, F.lit("hallucinated_required_field")), F.when(missed, F.lit("missed_conflict")))),
-        ))).alias("critical_errors"),
+    g, a, gc, ac = F.col("_g"), F.col("_a"), F.col("_g.card"), F.col("_a.card")
+    names = F.array().cast("array<string>")
+    gm, am = F.array_distinct(g["missing_fields"]), F.array_distinct(F.coalesce(a["missing_fields"], names))
+    conflicting = F.transform(g["conflicts"], lambda c: c["field"])
+    stated = F.coalesce(F.transform(a["conflicts"], lambda c: c["field"]), names)
+
+    # What the answer states and the gold does not: a conflict missed, a total worked out from pieces, or invented.
+    extra = F.array_compact(F.array(*[F.when(gc[f].isNull() & ac[f].isNotNull(), F.lit(f)) for f in scalars]))
+    worked_out = F.lit(False)
+    if "weight_per_piece" in v.fields:
+        worked_out = known(gc["weight_per_piece"].isNotNull() & (F.abs(kilograms(ac["weight_total"]) - stated_mass(gc)) <= TOLERANCE_KG))
+    missed = F.size(F.array_intersect(extra, conflicting)) > 0
+    free = F.array_except(extra, conflicting)
+    note = known(F.array_contains(free, "weight_total")) & worked_out
+    invented = F.when(note, F.array_remove(free, F.lit("weight_total"))).otherwise(free)
+    flags = {f: F.when(failed, F.when(gc[f].isNotNull(), F.lit(False))).otherwise(field_flag(f, gc, ac)) for f in scalars}
+    labels = [F.when(missed, F.lit("missed_conflict")), F.when(F.size(F.array_intersect(invented, gm)) > 0, F.lit("hallucinated_required_field")), *scalar_errors(gc, ac)]
+    kinds_g = kinds_a = F.lit(None).cast("array<string>")
+    by_kind = F.lit(None).cast("map<string, boolean>")
+    if "special_conditions" in v.fields:
+        c = co.compared(gc["special_conditions"], ac["special_conditions"], gm, failed)
+        kinds_g, kinds_a, by_kind = c.gold_kinds, F.when(failed, names).otherwise(c.answer_kinds), F.create_map(*[x for k in co.KINDS for x in (F.lit(k), c.correct[k])])
+        wrong = reduce(Column.__or__, [known(~c.correct[k]) for k in co.KINDS])
+        some = (F.size(c.gold_kinds) > 0) | (F.size(c.answer_kinds) > 0)
+        flags["special_conditions"] = F.when(failed, F.when(F.size(c.gold_kinds) > 0, F.lit(False))).otherwise(F.when(some, ~wrong))
+        invented = F.when(c.invented, F.concat(invented, F.array(F.lit("special_conditions")))).otherwise(invented)
+        labels += c.labels
+    mass_g, mass_a = stated_mass(gc), stated_mass(ac)
+    applies = reduce(Column.__and__, [gc[f].isNotNull() for f in KEY_FIELDS]) & mass_g.isNotNull()
+    right = reduce(Column.__and__, [known(flags[f]) for f in KEY_FIELDS]) & known(F.abs(mass_g - mass_a) <= TOLERANCE_KG)
+    if "special_conditions" in v.fields:
+        right = right & F.coalesce(flags["special_conditions"], F.lit(True))
+    ok = lambda value: F.when(~failed, value)
+    return j.select(
+        *gold.drop("gold_text").columns, F.lit(version).alias("schema_version"),
+        F.col("_f.json_parsed").alias("json_parsed"), F.col("_f.schema_valid").alias("schema_valid"), (~failed).alias("json_parsed_lenient"),
+        error.alias("generation_error"), failed.alias("failed"),
+        F.create_map(*[x for f in FIELDS for x in (F.lit(f), flags.get(f, F.lit(None).cast("boolean")))]).alias("field_correct"),
+        F.when(applies, right & ~failed).alias("key_fields_correct"),
+        F.coalesce(ok(F.size(F.array_intersect(gm, am))), F.lit(0)).alias("missing_tp"), F.coalesce(ok(F.size(F.array_except(am, gm))), F.lit(0)).alias("missing_fp"),
+        F.coalesce(ok(F.size(F.array_except(gm, am))), F.size(gm)).alias("missing_fn"), F.coalesce(ok(F.array_sort(gm) == F.array_sort(am)), F.lit(False)).alias("missing_exact"),
+        F.when(F.size(conflicting) > 0, F.coalesce(ok(F.size(F.array_except(conflicting, stated)) == 0), F.lit(False))).alias("conflict_detected"),
+        F.coalesce(ok(invented), names).alias("hallucinated_fields"),
+        F.coalesce(ok(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))), names).alias("critical_errors"),
+        F.coalesce(ok(F.array_compact(F.array(F.when(note, F.lit("computed_weight_total"))))), names).alias("notes"),
+        kinds_g.alias("conditions_gold"), kinds_a.alias("conditions_answer"), by_kind.alias("condition_correct"),
     )

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import normal_request
+from millrace.functions.json_answers import answer_flags, consistency, target
 from millrace.functions.keys import canonical_key
+from millrace.session import hot_keys, salted_join
 
 WARNINGS = ("DUP_EXACT_IN_SPLIT",)
 
@@ -42,24 +44,41 @@ def prompt_mismatch(records: DataFrame, prompts: dict[str, str]) -> DataFrame:
     return issue(records.filter(~F.coalesce(message_of("system") == want, F.lit(False))), "PROMPT_MISMATCH", F.concat(F.lit("task "), F.coalesce("task", F.lit("?"))))
 
 
+#: Order of the splits of a dataset: what an id is reported against is its first row in this order.
+SPLIT_ORDER = ("train", "val", "test", "test_ood", "bench")
+
+
+def split_rank(split: Column) -> Column:
+    """0, 1, ... in ``SPLIT_ORDER``; other splits and null come last."""
+    return reduce(lambda out, i: F.when(split == SPLIT_ORDER[i], i).otherwise(out), range(len(SPLIT_ORDER)), F.lit(len(SPLIT_ORDER)))
+
+
 def duplicate_ids(records: DataFrame) -> DataFrame:
-    """DUP_ID: one issue per id with more than one row, naming its first split; null ids are left out."""
-    dup = records.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split")).filter("n > 1")
-    return issue(dup, "DUP_ID", F.concat(F.col("n").cast("string"), F.lit(" rows")))
+    """DUP_ID: one issue for every row of an id but its first, naming the first one's split; null ids are left out.
+
+    Copies are counted per (id, split) first, so an id of many rows is never one group.
+    """
+    places = records.filter("id is not null").groupBy("id", "split").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(split_rank(F.col("split")).alias("r"), "split")).over(Window.partitionBy("id"))["split"]
+    mine = places.withColumn("_first", first).withColumn("n", F.col("n") - F.when(F.col("split").eqNullSafe(F.col("_first")), 1).otherwise(0))
+    every = mine.filter("n > 0").select("id", "split", "_first", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_c"))
+    return issue(every, "DUP_ID", F.concat(F.lit("id also in "), F.coalesce("_first", F.lit("?"))))
 
 
 def duplicate_texts(records: DataFrame, text: Column | None = None) -> DataFrame:
-    """DUP_EXACT (the text is in several splits) or DUP_EXACT_IN_SPLIT (in one) for every record whose normal text another id has.
+    """DUP_EXACT (the text is in several splits) or DUP_EXACT_IN_SPLIT (in one) for every row whose normal text another row has, copies of one id included.
 
-    Texts are grouped by their hash; a group is only counted and joined back,
-    never collected.
+    Texts are grouped by their hash; a group is only counted and joined back
+    (salted where it is hot), never collected. The message names how many rows
+    and the smallest id. Null texts are left out.
     """
     t = text if text is not None else normal_request(message_of("user"))
-    keyed = records.select("id", "split", F.sha2(t, 256).alias("k")).filter("k is not null").distinct()
-    groups = keyed.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("split").alias("s"), F.max("split").alias("z")).filter("a <> b")
-    dup = keyed.join(groups, "k")
+    keyed = records.select("id", "split", F.sha2(t, 256).alias("k")).filter("k is not null")
+    s = F.coalesce("split", F.lit(""))
+    groups = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.min(s).alias("s"), F.max(s).alias("z")).filter("n > 1")
+    dup = salted_join(keyed, groups, ["k"], hot_keys(keyed, ["k"], records.count()), "id", "inner")
     code = F.when(F.col("s") != F.col("z"), "DUP_EXACT").otherwise("DUP_EXACT_IN_SPLIT")
-    return issue(dup, code, F.concat(F.lit("same text as "), F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a"))))
+    return issue(dup, code, F.concat(F.lit("text of "), F.col("n").cast("string"), F.lit(" rows, first "), F.coalesce("a", F.lit("?"))))
 
 
 def group_leaks(records: DataFrame, group: str = "group_id") -> DataFrame:
@@ -87,6 +106,49 @@ def route_leaks(records: DataFrame, loads: DataFrame, held: DataFrame, group: st
     return issue(j.withColumn("_c", code).filter("_c is not null"), F.col("_c"), F.concat(F.lit("load "), F.col("_load")))
 
 
+def family_leaks(records: DataFrame, families: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """OOD_FAMILY_LEAK: a record of a held-out template family (``families``: template_family) is in one of ``splits``."""
+    out = families.select("template_family").filter("template_family is not null").distinct()
+    return issue(records.filter(F.col("split").isin(*splits)).join(out, "template_family", "left_semi"), "OOD_FAMILY_LEAK", F.concat(F.lit("held-out family "), F.col("template_family")))
+
+
+def holdout_mismatch(held: DataFrame, plan: str, value: str) -> DataFrame:
+    """HOLDOUT_MISMATCH: one issue per value that some plans hold out and others don't; keys only written differently are the same."""
+    rows = held.select(F.col(plan).alias("_p"), canonical_key(value).alias("_v")).filter("_p is not null and _v is not null").distinct()
+    plans = rows.select("_p").distinct().count()
+    odd = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < plans)
+    return issue(odd.select(F.lit("<manifests>").alias("id"), F.lit(None).cast("string").alias("split"), "_v", "n"), "HOLDOUT_MISMATCH", F.concat(F.col("_v"), F.lit(" held out by "), F.col("n").cast("string"), F.lit(f" of {plans} plans")))
+
+
+def record_checks(records: DataFrame, tasks: dict[str, dict[str, str]]) -> DataFrame:
+    """Issues of records on their own: UNKNOWN_TASK, UNSUPPORTED_SCHEMA, EMPTY_ASSISTANT, TARGET_PARSE, NOT_CANONICAL, TARGET_INCONSISTENT.
+
+    ``tasks``: task -> schema version of a record -> version of the answer
+    shape to read it by ('' where the answer is free text). The first of the
+    first four codes that fits holds; a readable answer can be both not
+    canonical and inconsistent. Null answers are empty.
+    """
+    pairs = [F.lit(x) for t, vs in sorted(tasks.items()) for v, shape in sorted(vs.items()) for x in (f"{t}|{v}", shape)]
+    shape_of = F.try_element_at(F.create_map(*pairs), F.concat_ws("|", F.coalesce("task", F.lit("")), F.coalesce("schema_version", F.lit(""))))
+    r = records.select("id", "split", "task", "schema_version", message_of("assistant").alias("answer")).withColumn("shape", shape_of)
+    empty = F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?U)\s+", "") == ""
+    early = F.when(~F.coalesce(F.col("task").isin(*tasks), F.lit(False)), "UNKNOWN_TASK").when(F.col("shape").isNull(), "UNSUPPORTED_SCHEMA").when(empty, "EMPTY_ASSISTANT")
+    r = r.withColumn("early", early)
+    why = F.when(F.col("early") == "UNKNOWN_TASK", F.concat(F.lit("task "), F.coalesce("task", F.lit("?")))).when(F.col("early") == "UNSUPPORTED_SCHEMA", F.concat(F.lit("schema "), F.coalesce("schema_version", F.lit("?")))).otherwise("no answer")
+    out = [issue(r.filter("early is not null"), F.col("early"), why)]
+    for shape in sorted({x for vs in tasks.values() for x in vs.values()} - {""}):
+        read = r.filter(F.col("early").isNull() & (F.col("shape") == shape)).withColumn("f", answer_flags(F.col("answer"), shape))
+        strict = F.col("f.schema_valid")
+        codes = F.array_compact(F.array(
+            F.when(~strict, F.struct(F.lit("TARGET_PARSE").alias("code"), F.concat(F.lit("refused as "), F.col("f.stage")).alias("message"))),
+            F.when(strict & (F.col("f.body") != F.col("answer")), F.struct(F.lit("NOT_CANONICAL").alias("code"), F.lit("not in canonical spelling").alias("message"))),
+        ))
+        wrong = F.transform(F.when(strict, consistency(target(F.col("f.body")), shape)).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("TARGET_INCONSISTENT").alias("code"), x.alias("message")))
+        each = read.select("id", "split", F.explode(F.concat(codes, wrong)).alias("x"))
+        out.append(issue(each, F.col("x.code"), F.col("x.message")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def contamination(bench: DataFrame, splits: DataFrame, group: str = "group_id") -> DataFrame:
     """BENCH_LEAK: a benchmark record is in a training split too, by id, else by group, else by normal text: one issue per record.
 

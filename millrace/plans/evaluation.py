@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import exprs as E
+from millrace.functions import json_answers as ja
 from millrace.operators import metrics as m
 from millrace.operators import stats as st
+from millrace.operators.logs import area_under
 from millrace.operators.scoring import last_predictions, score_cases
 from millrace.operators.validate import first_rows, message_of
 from millrace.plans import profiling as pr
@@ -31,32 +33,117 @@ def q_pending(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sft_records").select("id").distinct().join(done, "id", "left_anti")
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
+SLICES = ("task", "language", "template_family", "distribution", "ood_reason", "kind", "hard_case", "source")
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
     r = first_rows(table(spark, sf, "sft_records").filter("task = 'shipment_extraction' and id is not null"), "id", [F.col("group_id"), F.col("split")])
-    gold = r.select(F.col("id").alias("record_id"), message_of("assistant").alias("gold_text"), "language", "template_family", F.coalesce("split", F.lit("none")).alias("split"), E.joined_or("variant.hard_cases").alias("hard_case"))
+    return r.select(F.col("id").alias("record_id"), message_of("assistant").alias("gold_text"), *[c.alias(n) for n, c in m.slice_columns().items()])
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The last answer to every extraction record, scored: all records, those without an answer as failed."""
     answers = _last(spark, sf).select("record_id", F.col("text").alias("output"), F.when(F.col("text").isNull(), F.coalesce("error", F.lit("no text"))).alias("error"))
-    return score_cases(gold, answers)
+    return score_cases(_gold(spark, sf), answers)
+
+
+def _flat_scores(scores: DataFrame) -> DataFrame:
+    return scores.select(
+        "record_id", "json_parsed", "schema_valid", "failed", F.col("key_fields_correct").cast("string").alias("key_fields_correct"), "missing_tp", "missing_fp", "missing_fn", "missing_exact",
+        F.array_join("critical_errors", ",").alias("critical_errors"), F.array_join("hallucinated_fields", ",").alias("hallucinated_fields"),
+    )
 
 
 def q_case_scores(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scores(spark, sf)
-    return s.select("record_id", "json_parsed", "schema_valid", "failed", "key_fields_correct", "missing_tp", "missing_fp", "missing_fn", F.array_join("critical_errors", ",").alias("critical_errors"), F.array_join("hallucinated_fields", ",").alias("hallucinated_fields"))
+    return _flat_scores(_scores(spark, sf))
+
+
+def q_field_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Right and wrong answers per field."""
+    flags = _scores(spark, sf).select(F.explode("field_correct").alias("field", "right")).filter("right is not null")
+    return flags.groupBy("field").agg(F.count_if("right").alias("n_right"), F.count_if(~F.col("right")).alias("n_wrong"))
 
 
 def q_metrics_overall(spark: SparkSession, sf: str) -> DataFrame:
     return m.metrics_overall(_scores(spark, sf))
 
 
+def q_metrics_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """All 47 metrics with intervals of 2,000 resamples."""
+    return m.metrics_with_intervals(_scores(spark, sf), "record_id")
+
+
 def q_metrics_by_slice(spark: SparkSession, sf: str) -> DataFrame:
-    return m.metrics_by_slice(_scores(spark, sf), ["language", "template_family", "split", "hard_case"])
+    """All 47 metrics in each of the eight slices."""
+    return m.metrics_by_slice(_scores(spark, sf), SLICES)
 
 
 def q_worst_cases(spark: SparkSession, sf: str) -> DataFrame:
     return m.worst_cases(_scores(spark, sf))
 
 
-def q_critical_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return m.crosstab(_scores(spark, sf), m.CRITICAL, {"n_all": F.lit(True), "n_ru": F.col("language") == "ru", "n_clean": F.col("hard_case") == "clean"})
+def q_critical_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """Critical errors by overlapping kinds of cases, on the made answers that have them."""
+    hard = F.col("kind").isin("missing", "hard")
+    return m.crosstab(_made_scores(spark, sf), m.CRITICAL, {"n_all": F.lit(True), "n_clean": F.col("kind") == "clean", "n_conditions": F.col("kind") == "conditions", "n_missing_or_hard": hard})
+
+
+#: Ways in which the made answers differ from their gold; which one a load has follows from its number alone.
+MUTATIONS = ("same", "tonnes", "pounds_as_kg", "turned", "pieces_as_weight", "no_pieces", "invented_delivery", "dropped_condition", "added_condition", "fenced", "cut", "spaced")
+
+
+def _made(spark: SparkSession, sf: str) -> DataFrame:
+    """(record_id, kind, gold_text, output, how): a card of the second version for each load with a usable row, and an answer that differs from it in a known way."""
+    one = pr._one(spark, sf, "loads", "load_id").filter("weight_lbs > 0 and pieces between 1 and 99 and load_date is not null")
+    number = F.regexp_replace("load_id", "[^0-9]", "").cast("bigint")
+    l = one.select("load_id", "pieces", "load_date", F.col("weight_lbs").cast("bigint").alias("w"), number.alias("x")).filter("x is not null")  # noqa: E741
+    how = F.element_at(F.array(*[F.lit(h) for h in MUTATIONS]), (F.pmod("x", F.lit(len(MUTATIONS))) + 1).cast("int"))
+    l = l.withColumn("how", how).withColumn("cold", F.pmod("x", F.lit(5)) < 2)  # noqa: E741
+    is_ = lambda h: F.col("how") == h
+    place = lambda n: F.struct(F.concat(F.lit(f"City {n}"), F.pmod("x", F.lit(7)).cast("string")).alias("city"), F.lit(f"Region {n}").alias("region"))
+    none = F.lit(None)
+    side = "struct<value: double, unit: string>"
+    condition = F.struct(
+        F.lit("temperature").alias("kind"), (F.pmod("x", F.lit(4)).cast("double") + 2).alias("min_c"), F.lit(8.0).alias("max_c"), none.cast("array<string>").alias("methods"),
+        none.cast("array<string>").alias("types"), *[none.cast(side).alias(n) for n in ("length", "width", "height")], none.cast("array<string>").alias("parameters"),
+    )
+    fastening = condition.withField("kind", F.lit("securing")).withField("min_c", none.cast("double")).withField("max_c", none.cast("double")).withField("methods", F.array(F.lit("straps"), F.lit("load_bars")))
+    empty = F.array_remove(F.array(condition), condition)
+
+    def card(answer: bool) -> F.Column:
+        h = lambda x: is_(x) if answer else F.lit(False)
+        n = F.when(~h("no_pieces"), F.when(h("pieces_as_weight"), F.col("w")).otherwise(F.col("pieces")))
+        unit = F.when(h("tonnes"), "t").when(h("pounds_as_kg"), "kg").otherwise("lb")
+        value = F.when(h("tonnes"), F.col("w") * 0.45359237 / 1000).otherwise(F.col("w").cast("double"))
+        cold = F.when(F.col("cold") & ~h("dropped_condition"), F.array(condition)).otherwise(empty)
+        return F.struct(
+            F.lit("Sender").alias("shipper_name"), F.lit("general").alias("cargo_category"), F.when(F.col("cold"), "isotherm").otherwise("tent").alias("equipment_type"), n.alias("pieces"),
+            F.struct(value.alias("value"), unit.alias("unit")).alias("weight_total"), none.cast("struct<value: double, unit: string>").alias("weight_per_piece"),
+            F.when(h("turned"), place("B")).otherwise(place("A")).alias("origin"), F.when(h("turned"), place("A")).otherwise(place("B")).alias("destination"),
+            F.date_format("load_date", "yyyy-MM-dd").alias("pickup_date"), F.when(h("invented_delivery"), F.date_format("load_date", "yyyy-MM-dd")).alias("delivery_date"),
+            F.when(h("added_condition"), F.concat(cold, F.array(fastening))).otherwise(cold).alias("special_conditions"),
+        )
+
+    l = l.withColumn("g", card(False)).withColumn("a", card(True))  # noqa: E741
+    text = lambda c: ja.canonical_answer(F.col(c), ja.missing_fields(F.col(c), "card_v2"), "card_v2")
+    l = l.select("load_id", "how", "cold", text("g").alias("gold_text"), text("a").alias("t"))  # noqa: E741
+    output = F.when(is_("fenced"), F.concat(F.lit("```json\n"), F.col("t"), F.lit("\n```"))).when(is_("cut"), F.substring("t", 1, 40)).when(is_("spaced"), F.concat(F.lit(" "), F.col("t"))).otherwise(F.col("t"))
+    return l.select(F.col("load_id").alias("record_id"), F.when(F.col("cold"), "conditions").otherwise("clean").alias("kind"), "gold_text", output.alias("output"), "how")
+
+
+def _made_scores(spark: SparkSession, sf: str) -> DataFrame:
+    made = _made(spark, sf)
+    return score_cases(made.drop("output"), made.select("record_id", "output", F.lit(None).cast("string").alias("error")), "card_v2")
+
+
+def q_scores_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of cards with conditions whose answers differ from the gold in twelve known ways."""
+    s = _made_scores(spark, sf)
+    return _flat_scores(s).join(s.select("record_id", "how", *[F.col(f"condition_correct.{k}").cast("string").alias(k) for k in ("temperature", "securing")], F.col("field_correct.weight_total").cast("string").alias("weight")), "record_id")
+
+
+def q_metrics_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return m.metrics_by_slice(_made_scores(spark, sf), ["kind"])
 
 
 _CITIES = ("origin", "destination")
@@ -90,13 +177,18 @@ def q_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     return st.mcnemar(_closed(spark, sf, "adapter_s1"), _closed(spark, sf, "adapter_s2"), "record_id", "ok")
 
 
+def q_changed_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Records on which two models differ, with the direction."""
+    return st.changed_pairs(_closed(spark, sf, "adapter_s1"), _closed(spark, sf, "adapter_s2"), "record_id", "ok")
+
+
 def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     s = _scores(spark, sf).select("record_id", "schema_valid", "key_fields_correct")
-    return st.bootstrap_ci(s, "record_id", ["schema_valid", "key_fields_correct"], 200)
+    return st.bootstrap_ci(s, "record_id", ["schema_valid", "key_fields_correct"])
 
 
 def q_paired_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return st.paired_difference(_closed(spark, sf, "adapter_s1"), _closed(spark, sf, "adapter_s2"), "record_id", "ok", 200)
+    return st.paired_difference(_closed(spark, sf, "adapter_s1"), _closed(spark, sf, "adapter_s2"), "record_id", "ok")
 
 
 def q_token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,10 +241,7 @@ def q_written_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_power_trapezoid(spark: SparkSession, sf: str) -> DataFrame:
     """Value over time per user as an area of trapezoids (value-hours)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("lag_v", F.lag("value").over(w)).withColumn("lag_t", F.lag("ts").over(w))
-    hours = F.expr("timestampdiff(SECOND, lag_t, ts)") / 3600
-    return e.groupBy("user_id").agg(F.round(F.coalesce(F.sum((F.col("value") + F.col("lag_v")) / 2 * hours), F.lit(0.0)), 4).alias("area"), F.max("value").alias("peak"))
+    return area_under(table(spark, sf, "events"), "user_id", "ts", "value", ["event_id"]).select("user_id", F.round("area", 4).alias("area"), "peak")
 
 
 def q_hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,33 +266,124 @@ def q_lineage(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _LAST = "(SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY attempt DESC NULLS LAST, created_at DESC NULLS LAST, result_id DESC NULLS LAST) _r FROM generation_results WHERE record_id IS NOT NULL) WHERE _r = 1)"
-_ASSISTANT = "list_filter(messages, lambda m: m.role = 'assistant')[1].content"
-_JSON = rf"""j AS (SELECT g.*, a.text FROM (SELECT DISTINCT id, language, template_family, {_ASSISTANT} gold FROM sft_records WHERE task = 'shipment_extraction') g
-JOIN {_LAST} a ON a.record_id = g.id WHERE regexp_matches(a.text, '(?s)^\{{"card".*\}}$') AND json_valid(a.text))"""
-_OK = "(SELECT record_id, max(regexp_matches(trim(coalesce(text, '')), '[.!?}}]$')) ok FROM generation_results WHERE model_id = '{m}' AND record_id IS NOT NULL GROUP BY 1)"
 _ONE = pr._L
-_U = S.hash_uniform
+_ASSISTANT = "list_filter(messages, lambda m: m.role = 'assistant')[1].content"
+# Strict reading in SQL: `t` is read where it is JSON without outer white space or a fence, and fits where every part has the shape of the card.
+_FIELDS = ja.version_of("card_short").fields
+_LISTED = lambda names: ", ".join(f"'{n}'" for n in names)
+_KEYS = lambda at, names: f"(json_type(t, '{at}') = 'OBJECT' AND list_sort(json_keys(t, '{at}')) = list_sort([{_LISTED(names)}]))"
+_NULL_OR = lambda at, rule: f"coalesce(json_type(t, '{at}') = 'NULL' OR ({rule}), false)"
+_SAID = lambda at: f"json_type(t, '{at}') = 'VARCHAR' AND trim(json_extract_string(t, '{at}')) <> ''"
+_NUMBER = "'UBIGINT', 'BIGINT', 'DOUBLE'"
+_FITS = " AND ".join([
+    _KEYS("$", ("card", "missing_fields", "conflicts")), _KEYS("$.card", _FIELDS), _NULL_OR("$.card.shipper_name", _SAID("$.card.shipper_name")),
+    _NULL_OR("$.card.cargo_category", f"json_extract_string(t, '$.card.cargo_category') IN ({_LISTED(ja.CATEGORIES)})"), _NULL_OR("$.card.equipment_type", f"json_extract_string(t, '$.card.equipment_type') IN ({_LISTED(ja.EQUIPMENT)})"),
+    _NULL_OR("$.card.pieces", "json_type(t, '$.card.pieces') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(t, '$.card.pieces') AS BIGINT) >= 1"),
+    _NULL_OR("$.card.weight_total", f"{_KEYS('$.card.weight_total', ('value', 'unit'))} AND json_type(t, '$.card.weight_total.value') IN ({_NUMBER}) AND CAST(json_extract(t, '$.card.weight_total.value') AS DOUBLE) > 0 AND json_extract_string(t, '$.card.weight_total.unit') IN ({_LISTED(ja.UNITS)})"),
+    *[_NULL_OR(f"$.card.{c}", f"{_KEYS(f'$.card.{c}', ('city',))} AND {_SAID(f'$.card.{c}.city')}") for c in ("origin", "destination")],
+    _NULL_OR("$.card.pickup_date", "json_type(t, '$.card.pickup_date') = 'VARCHAR' AND regexp_matches(json_extract_string(t, '$.card.pickup_date'), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(json_extract_string(t, '$.card.pickup_date') AS DATE) IS NOT NULL"),
+    f"json_type(t, '$.missing_fields') = 'ARRAY' AND len(list_filter(json_extract_string(t, '$.missing_fields[*]'), lambda x: x NOT IN ({_LISTED(_FIELDS)}))) = 0",
+    f"json_type(t, '$.conflicts') = 'ARRAY' AND len(list_filter(json_extract(t, '$.conflicts[*]'), lambda x: NOT coalesce(json_type(x) = 'OBJECT' AND list_sort(json_keys(x)) = ['field', 'values'] AND json_extract_string(x, '$.field') IN ({_LISTED(_FIELDS)}) AND json_array_length(x, '$.values') >= 2 AND len(list_distinct(json_extract(x, '$.values[*]'))) = json_array_length(x, '$.values'), false))) = 0",
+])
+_OUTER = r"[\s\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BARE = rf"regexp_replace(regexp_replace(x, '^{_OUTER}+', ''), '{_OUTER}+$', '')"
+_UNWRAPPED = rf"CASE WHEN regexp_matches({_BARE}, '(?s)^```[A-Za-z]*\s*.*```$') AND length({_BARE}) >= 6 THEN regexp_replace(regexp_extract({_BARE}, '(?s)^```[A-Za-z]*\s*(.*)```$', 1), '\s+$', '') ELSE {_BARE} END"
+_KG = lambda t: f"(CAST(json_extract({t}, '$.card.weight_total.value') AS DOUBLE) * CASE json_extract_string({t}, '$.card.weight_total.unit') WHEN 'kg' THEN 1::DOUBLE WHEN 't' THEN 1000::DOUBLE ELSE 0.45359237::DOUBLE END)"
+_VALUE = {
+    "shipper_name": lambda t: S.squeeze(f"json_extract_string({t}, '$.card.shipper_name')"), "weight_total": _KG, "pieces": lambda t: f"CAST(json_extract({t}, '$.card.pieces') AS BIGINT)",
+    **{c: (lambda t, c=c: f"lower(trim(json_extract_string({t}, '$.card.{c}.city')))") for c in ("origin", "destination")},
+    **{c: (lambda t, c=c: f"json_extract_string({t}, '$.card.{c}')") for c in ("cargo_category", "equipment_type", "pickup_date")},
+}
+_MISS = lambda t: f"list_distinct(coalesce(json_extract_string({t}, '$.missing_fields[*]'), []))"
+_CONF = lambda t: f"coalesce(list_transform(json_extract({t}, '$.conflicts[*]'), lambda x: json_extract_string(x, '$.field')), [])"
+
+
+def _right(f: str) -> str:
+    same = f"abs(g_{f} - a_{f}) <= 0.5" if f == "weight_total" else f"g_{f} = a_{f}"
+    return f"CASE WHEN failed THEN CASE WHEN g_{f} IS NOT NULL THEN false END WHEN g_{f} IS NULL AND a_{f} IS NULL THEN NULL ELSE coalesce({same}, false) END AS r_{f}"
+
+
+_KEY = ("origin", "destination", "pickup_date", "equipment_type", "pieces")
+_MANUAL = "template_family IN ('manual', 'manual_mock')"
+_HARD = "array_to_string(variant.hard_cases, ',')"
+SCORED = f"""WITH r AS (SELECT id AS record_id, {_ASSISTANT} gold, task, language, template_family, CASE WHEN variant.ood_reason IS NULL THEN 'in_dist' ELSE 'ood' END AS distribution, coalesce(variant.ood_reason, '—') AS ood_reason,
+    CASE WHEN {_MANUAL} THEN 'manual' WHEN coalesce({_HARD}, '') = '' THEN 'clean' WHEN {_HARD} = 'dropped_fields' THEN 'missing' ELSE 'hard' END AS kind,
+    CASE WHEN {_MANUAL} THEN 'manual' ELSE coalesce(nullif({_HARD}, ''), 'clean') END AS hard_case, CASE WHEN synthetic THEN 'synthetic' ELSE 'manual' END AS source
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY group_id NULLS FIRST, split NULLS FIRST) _r FROM sft_records WHERE task = 'shipment_extraction' AND id IS NOT NULL) WHERE _r = 1),
+j AS (SELECT r.*, a.text AS output, a.record_id IS NULL OR a.text IS NULL AS no_text FROM r LEFT JOIN {_LAST} a USING (record_id)),
+u AS (SELECT record_id, 'gold' k, {_UNWRAPPED.replace("(x,", "(gold,")} x FROM j UNION ALL SELECT record_id, 'raw', output FROM j UNION ALL SELECT record_id, 'inner', {_UNWRAPPED.replace("(x,", "(output,")} FROM j),
+v AS (SELECT record_id, k, CASE WHEN json_valid(x) AND x = {_BARE} AND NOT starts_with(x, '```') THEN x END t FROM u),
+f AS (SELECT record_id, k, t IS NOT NULL parsed, CASE WHEN {_FITS} THEN t END t FROM v),
+w AS (SELECT record_id, bool_or(parsed) FILTER (k = 'raw') json_parsed, max(t) FILTER (k = 'gold') g, max(t) FILTER (k = 'inner') a, count(t) FILTER (k = 'raw') > 0 schema_valid FROM f GROUP BY 1),
+x AS (SELECT j.*, json_parsed, schema_valid, no_text OR a IS NULL AS failed, {", ".join(f"{_VALUE[c]('g')} AS g_{c}, {_VALUE[c]('a')} AS a_{c}" for c in _FIELDS)},
+    {_MISS("g")} gm, {_MISS("a")} am, {_CONF("g")} gc, {_CONF("a")} ac, CAST(json_extract(g, '$.card.weight_total.value') AS DOUBLE) gv, CAST(json_extract(a, '$.card.weight_total.value') AS DOUBLE) av FROM j JOIN w USING (record_id) WHERE g IS NOT NULL),
+y AS (SELECT *, {", ".join(map(_right, _FIELDS))}, list_filter([{", ".join(f"CASE WHEN g_{c} IS NULL AND a_{c} IS NOT NULL THEN '{c}' END" for c in _FIELDS)}], lambda e: e IS NOT NULL) extra FROM x),
+z AS (SELECT *, list_filter(extra, lambda e: NOT list_contains(gc, e)) invented FROM y),
+scored AS (SELECT *, CASE WHEN {" AND ".join(f"g_{c} IS NOT NULL" for c in (*_KEY, "weight_total"))} THEN coalesce({" AND ".join(f"r_{c}" for c in _KEY)} AND abs(g_weight_total - a_weight_total) <= 0.5, false) AND NOT failed END key_fields_correct,
+    CASE WHEN failed THEN 0 ELSE len(list_intersect(gm, am)) END::INT missing_tp, CASE WHEN failed THEN 0 ELSE len(list_filter(am, lambda e: NOT list_contains(gm, e))) END::INT missing_fp,
+    CASE WHEN failed THEN len(gm) ELSE len(list_filter(gm, lambda e: NOT list_contains(am, e))) END::INT missing_fn, NOT failed AND list_sort(gm) = list_sort(am) missing_exact,
+    CASE WHEN len(gc) > 0 THEN NOT failed AND len(list_filter(gc, lambda e: NOT list_contains(ac, e))) = 0 END conflict_detected,
+    CASE WHEN failed THEN [] ELSE invented END hallucinated,
+    CASE WHEN failed THEN [] ELSE list_sort(list_filter([CASE WHEN len(list_intersect(extra, gc)) > 0 THEN 'missed_conflict' END, CASE WHEN len(list_intersect(invented, gm)) > 0 THEN 'hallucinated_required_field' END,
+      CASE WHEN coalesce(a_pieces <> coalesce(g_pieces, -1) AND a_pieces = gv, false) OR coalesce(g_pieces = av AND g_pieces <> coalesce(gv, -1), false) THEN 'pieces_weight_swap' END,
+      CASE WHEN g_weight_total > 0 AND abs(g_weight_total - a_weight_total) > 0.5 AND len(list_filter([0.45359237::DOUBLE, 1 / 0.45359237::DOUBLE, 1000::DOUBLE, 0.001::DOUBLE], lambda e: abs(a_weight_total / g_weight_total / e - 1) <= 0.02)) > 0 THEN 'wrong_unit_magnitude' END,
+      CASE WHEN g_origin <> g_destination AND a_origin = g_destination AND a_destination = g_origin THEN 'origin_destination_swap' END], lambda e: e IS NOT NULL)) END critical FROM z)
+"""
+_R = lambda flag: f"round(avg(CAST({flag} AS INT)), 9)"
+_RATIO = lambda top, bottom: f"round(sum({top})::DOUBLE / nullif(sum({bottom}), 0), 9)"
+_NONE = "CAST(NULL AS DOUBLE)"
+_METRICS = {
+    "json_valid_rate": _R("schema_valid"), "lenient_parse_rate": _R("NOT failed"), "failed_output_rate": _R("failed"), "key_field_accuracy": _R("key_fields_correct"), "missing_exact_rate": _R("missing_exact"), "conflict_recall": _R("conflict_detected"),
+    "hallucination_rate": _R("CASE WHEN NOT failed THEN len(hallucinated) > 0 END"), "critical_error_count": "sum(CASE WHEN NOT failed THEN len(critical) END)::DOUBLE",
+    "field_accuracy_micro": _RATIO(" + ".join(f"coalesce(CAST(r_{c} AS INT), 0)" for c in _FIELDS), " + ".join(f"CAST(r_{c} IS NOT NULL AS INT)" for c in _FIELDS)),
+    "missing_f1": "round(CASE WHEN sum(missing_tp + missing_fp + missing_fn) = 0 THEN 1 ELSE 2 * sum(missing_tp)::DOUBLE / nullif(sum(2 * missing_tp + missing_fp + missing_fn), 0) END, 9)",
+    **{f"field_accuracy.{c}": _R(f"r_{c}") if c in _FIELDS else _NONE for c in ja.FIELDS}, **{f"critical_error_count.{k}": f"sum(CASE WHEN NOT failed THEN CAST(list_contains(critical, '{k}') AS INT) END)::DOUBLE" for k in m.CRITICAL},
+    "special_conditions_exact_rate": _NONE, **{f"field_accuracy.special_conditions.{k}": _NONE for k in ja.KINDS}, **{f"condition_{x}{k}": _NONE for x in ("precision", "recall") for k in ("", *[f".{k}" for k in ja.KINDS])},
+}
+
+
+def _by(slices: dict[str, str], metrics: dict[str, str], source: str = "scored") -> str:
+    names, values = ", ".join(f"'{n}'" for n in metrics), ", ".join(metrics.values())
+    rows = [f"SELECT '{s}' AS slice, CAST({v} AS VARCHAR) AS slice_value, count(*) AS n_cases, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM {source} {'GROUP BY ' + v if v != 'NULL' else ''}" for s, v in slices.items()]
+    return " UNION ALL ".join(rows)
+
+
+# Scores of the made answers follow from how each differs from its gold.
+_MADE = """WITH l AS (SELECT load_id AS record_id, CAST(regexp_replace(load_id, '[^0-9]', '', 'g') AS BIGINT) x, CAST(weight_lbs AS BIGINT) w, pieces FROM {one} WHERE weight_lbs > 0 AND pieces BETWEEN 1 AND 99 AND load_date IS NOT NULL AND regexp_matches(load_id, '[0-9]')),
+h AS (SELECT *, [{how}][x % {n} + 1] how, x % 5 < 2 cold FROM l),
+s AS (SELECT record_id, how, cold, CASE WHEN cold THEN 'conditions' ELSE 'clean' END kind, how = 'cut' AS failed, how NOT IN ('cut', 'fenced', 'spaced') AS json_parsed, how NOT IN ('cut', 'fenced', 'spaced') AS schema_valid,
+  how NOT IN ('cut', 'turned', 'pieces_as_weight', 'no_pieces', 'added_condition') AND NOT (how = 'dropped_condition' AND cold) AND NOT (how = 'pounds_as_kg' AND abs(w - w * 0.45359237::DOUBLE) > 0.5) AS key_fields_correct,
+  0 AS missing_tp, CASE WHEN how = 'no_pieces' THEN 1 ELSE 0 END AS missing_fp, 0 AS missing_fn, how NOT IN ('no_pieces', 'cut') AS missing_exact,
+  CASE how WHEN 'turned' THEN 'origin_destination_swap' WHEN 'pieces_as_weight' THEN CASE WHEN w <> pieces THEN 'pieces_weight_swap' ELSE '' END WHEN 'added_condition' THEN 'hallucinated_condition' WHEN 'dropped_condition' THEN CASE WHEN cold THEN 'missed_condition' ELSE '' END
+    WHEN 'pounds_as_kg' THEN CASE WHEN abs(w - w * 0.45359237::DOUBLE) > 0.5 THEN 'wrong_unit_magnitude' ELSE '' END ELSE '' END AS critical_errors,
+  CASE how WHEN 'invented_delivery' THEN 'delivery_date' WHEN 'added_condition' THEN 'special_conditions' ELSE '' END AS hallucinated_fields,
+  CASE WHEN NOT cold THEN NULL ELSE how NOT IN ('cut', 'dropped_condition') END AS temperature, CASE WHEN how = 'added_condition' THEN false END AS securing,
+  how <> 'cut' AND NOT (how = 'pounds_as_kg' AND abs(w - w * 0.45359237::DOUBLE) > 0.5) AS weight FROM h)
+"""
+
+
+def _made_sql() -> str:
+    return _MADE.replace("{one}", _ONE).replace("{how}", ", ".join(f"'{h}'" for h in MUTATIONS)).replace("{n}", str(len(MUTATIONS)))
 
 
-def _slices() -> str:
-    flags = ", ".join(f"json_extract_string(text, '$.card.{c}.city') = json_extract_string(gold, '$.card.{c}.city') AS {c}" for c in _CITIES)
-    rates = "round(avg(CAST({c} AS INT)), 9)"
-    micro = "round((sum(CAST(coalesce(origin, false) AS INT)) + sum(CAST(coalesce(destination, false) AS INT)))::DOUBLE / nullif(count(origin) + count(destination), 0), 9)"
-    parts = []
-    for s, v, g in (("all", "NULL", ""), ("language", "language", "GROUP BY language"), ("template_family", "template_family", "GROUP BY template_family")):
-        for metric, agg in (("origin", rates.format(c="origin")), ("destination", rates.format(c="destination")), ("micro", micro)):
-            parts.append(f"SELECT '{s}' AS slice, CAST({v} AS VARCHAR) AS slice_value, count(*) AS n_cases, '{metric}' AS metric, {agg} AS value FROM f {g}")
-    return f"WITH {_JSON}, f AS (SELECT *, {flags} FROM j) " + " UNION ALL ".join(parts)
+_OK = "(SELECT record_id, max(regexp_matches(trim(coalesce(text, '')), '[.!?}}]$')) ok FROM generation_results WHERE model_id = '{m}' AND record_id IS NOT NULL GROUP BY 1)"
+_U = S.hash_uniform
 
 
 ORACLE = {
     "q_last_predictions": f"SELECT record_id, result_id, model_id, attempt FROM {_LAST}",
     "q_pending": "SELECT DISTINCT id FROM sft_records WHERE id NOT IN (SELECT record_id FROM generation_results WHERE error IS NULL AND text IS NOT NULL AND record_id IS NOT NULL)",
-    "q_city_accuracy": _slices(),
+    "q_city_accuracy": SCORED + _by({"all": "NULL", "language": "language", "template_family": "template_family"}, {**{c: _R(f"r_{c}") for c in _CITIES}, "micro": _RATIO(" + ".join(f"coalesce(CAST(r_{c} AS INT), 0)" for c in _CITIES), " + ".join(f"CAST(r_{c} IS NOT NULL AS INT)" for c in _CITIES))}),
+    "q_case_scores": SCORED + "SELECT record_id, json_parsed, schema_valid, failed, CAST(key_fields_correct AS VARCHAR) AS key_fields_correct, missing_tp, missing_fp, missing_fn, missing_exact, array_to_string(critical, ',') AS critical_errors, array_to_string(hallucinated, ',') AS hallucinated_fields FROM scored",
+    "q_field_flags": SCORED + "SELECT field, count(*) FILTER (ok) AS n_right, count(*) FILTER (NOT ok) AS n_wrong FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in _FIELDS) + "]) AS field, unnest([" + ", ".join(f"r_{c}" for c in _FIELDS) + "]) AS ok FROM scored) WHERE ok IS NOT NULL GROUP BY 1",
+    "q_metrics_overall": SCORED + "SELECT metric, value FROM (" + _by({"all": "NULL"}, _METRICS) + ")",
+    "q_metrics_by_slice": SCORED + _by({"all": "NULL", **{x: x for x in SLICES}}, _METRICS),
+    "q_worst_cases": SCORED + "SELECT record_id, failed, CAST(len(critical) AS INT) AS n_critical, CAST(" + " + ".join(f"CAST(coalesce(NOT r_{c}, false) AS INT)" for c in _FIELDS) + " AS INT) AS n_wrong FROM scored ORDER BY failed DESC, n_critical DESC, n_wrong DESC, record_id LIMIT 20",
+    "q_scores_v2": _made_sql() + "SELECT record_id, how, json_parsed, schema_valid, failed, CAST(key_fields_correct AS VARCHAR) AS key_fields_correct, missing_tp, missing_fp, missing_fn, missing_exact, critical_errors, hallucinated_fields, CAST(temperature AS VARCHAR) AS temperature, CAST(securing AS VARCHAR) AS securing, CAST(weight AS VARCHAR) AS weight FROM s",
+    "q_critical_by_kind": _made_sql() + "SELECT critical_errors AS kind, count(*) AS n_all, count(*) FILTER (NOT cold) AS n_clean, count(*) FILTER (cold) AS n_conditions, count(*) FILTER (false) AS n_missing_or_hard FROM s WHERE critical_errors <> '' GROUP BY 1",
+    "q_changed_cases": f"SELECT a.record_id, CASE WHEN b.ok THEN 'fixed' ELSE 'broken' END AS change FROM {_OK.format(m='adapter_s1')} a JOIN {_OK.format(m='adapter_s2')} b USING (record_id) WHERE a.ok <> b.ok",
     "q_json_fields": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total_k, max(k) AS max_k FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events) GROUP BY 1",
-    "q_missing_f1": f"""WITH {_JSON}, l AS (SELECT coalesce(CAST(json_extract(gold, '$.missing_fields') AS VARCHAR[]), []) g, coalesce(CAST(json_extract(text, '$.missing_fields') AS VARCHAR[]), []) a FROM j),
-n AS (SELECT sum(len(list_intersect(g, a)))::DOUBLE tp, sum(len(list_filter(list_distinct(a), lambda x: NOT list_contains(g, x))))::DOUBLE fp, sum(len(list_filter(list_distinct(g), lambda x: NOT list_contains(a, x))))::DOUBLE fn FROM l)
-SELECT 'f1' AS metric, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS value FROM n UNION ALL SELECT 'precision', round(tp / nullif(tp + fp, 0), 9) FROM n UNION ALL SELECT 'recall', round(tp / nullif(tp + fn, 0), 9) FROM n""",
+    "q_missing_f1": SCORED + "SELECT unnest(['f1', 'precision', 'recall']) AS metric, unnest([" + _METRICS["missing_f1"] + ", " + _RATIO("missing_tp", "missing_tp + missing_fp") + ", " + _RATIO("missing_tp", "missing_tp + missing_fn") + "]) AS value FROM scored",
     "q_mcnemar": f"""WITH j AS (SELECT a.ok x, b.ok y FROM {_OK.format(m="adapter_s1")} a JOIN {_OK.format(m="adapter_s2")} b USING (record_id)),
 c AS (SELECT count(*) n_pairs, count(*) FILTER (NOT x AND y) fixed, count(*) FILTER (x AND NOT y) broken FROM j)
 SELECT n_pairs, fixed, broken, round(CASE WHEN fixed + broken = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(fixed, broken) + 1), lambda i: exp(lgamma(fixed + broken + 1.0) - lgamma(i + 1.0) - lgamma(fixed + broken - i + 1.0) - (fixed + broken) * ln(2))))) END, 9) AS p_value FROM c""",

@@ -18,7 +18,7 @@ def canonical(df: pd.DataFrame) -> list[str]:
     def cell(v) -> str:
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
             return str(bool(v))
         try:
             return f"{float(v):.9g}" if not isinstance(v, str) else v

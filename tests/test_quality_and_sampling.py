@@ -71,12 +71,25 @@ def test_systematic(spark, n, want):
     assert max(Counter(r["s"] for r in got).values()) - min(Counter(r["s"] for r in got).values()) <= 1
 
 
-def test_quotas_and_interleave():
+def test_quotas_and_interleave(spark):
     assert sa.floored_quotas({"a": 90, "b": 10}, 20, 0.25) == {"a": 16, "b": 4}
     assert sum(sa.floored_quotas({"a": 3, "b": 500, "c": 0}, 100, 0.1).values()) == 100
     assert sa.floored_quotas({}, 5, 0.1) == {} and sa.floored_quotas({"a": 2}, 50, 0.1) == {"a": 2}
-    dealt = sa.interleave({"x": 6, "y": 3})
+    dealt = [r["label"] for r in sa.interleave(spark, {"x": 6, "y": 3, "none": 0}).orderBy("pos").collect()]
     assert dealt[:3] == ["x", "y", "x"] and Counter(dealt) == {"x": 6, "y": 3}
+    for n in range(1, 10):  # never more than one place from its share
+        assert abs(dealt[:n].count("x") - n * 2 / 3) <= 1
+
+
+def test_sample_plan(spark):
+    facts = spark.range(600).select(F.format_string("L%04d", "id").alias("k"), (F.col("id") % 12).cast("string").alias("route"), (F.col("id") % 3).alias("s"))
+    held = spark.createDataFrame([("3",), ("7",), (None,)], "route string")
+    pools = {"train": 100, "val": 20, "test": 30, "test_ood": 20}
+    rows = sa.sample_plan(facts, "k", F.col("route"), held, pools, ["s"], 5).join(facts, "k").collect()
+    assert Counter(r["split"] for r in rows) == pools and len({r["k"] for r in rows}) == 170
+    assert all((r["route"] in ("3", "7")) == (r["ood_reason"] in ("route", "both")) for r in rows)
+    assert Counter(r["ood_reason"] for r in rows if r["split"] == "test_ood") == {"family": 8, "route": 6, "both": 6}
+    assert max(Counter(r["s"] for r in rows if r["split"] == "train").values()) <= 40
 
 
 def test_weighted_pick(spark):
@@ -98,3 +111,21 @@ def test_fact_error_codes(spark):
     facts, issues = fa.build_facts(loads, routes, customers, events, {"Dry Van": "dry_van"}, {"Retail": "retail"})
     assert [r["load_id"] for r in facts.collect()] == ["L0"]
     assert {r["record_id"]: r["code"] for r in issues.collect()} == {"L1": "MISSING_VALUE", "L2": "MISSING_ROUTE", "L3": "MISSING_CUSTOMER", "L4": "UNKNOWN_VALUE", "L5": "INVALID", "L6": "EVENTS"}
+
+
+def test_conditions_of_profiles(spark):
+    tables = {"food": [{"name": "cold", "share": 0.5, "equipment": "reefer", "temperature": (2, 6)}, {"name": "big", "share": 0.5, "equipment": "lowbed", "dimensions": {"length": (6, 9)}, "methods": ["straps", "chains"][::-1], "pieces": (1, 2)}]}
+    facts = spark.range(200).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") < 150, "food").otherwise("other").alias("c"), F.lit("van").alias("equipment_type"), F.lit(9).cast("bigint").alias("pieces"))
+    out = {r["k"]: r for r in fa.assign_conditions(facts, "k", "c", tables, 3).collect()}
+    again = {r["k"]: r for r in fa.assign_conditions(facts.repartition(7), "k", "c", tables, 3).collect()}
+    assert out == again and {r["profile"] for r in out.values()} == {"cold", "big", "none"}
+    for r in out.values():
+        got = {c["kind"]: c for c in r["special_conditions"]}
+        if r["profile"] == "cold":
+            assert (got["temperature"]["min_c"], r["equipment_type"], r["pieces"]) == (2.0, "reefer", 9) and list(got) == ["temperature"]
+        elif r["profile"] == "big":
+            assert 6 <= got["oversize"]["length"]["value"] <= 9 and got["securing"]["methods"] == ["straps", "chains"] and list(got) == ["securing", "oversize"] and r["pieces"] in (1, 2)
+        else:
+            assert r["special_conditions"] == [] and r["equipment_type"] == "van"
+    lost = fa.completeness(facts.limit(1).select("k", F.lit("lowbed").alias("equipment_type"), F.lit(1).cast("bigint").alias("pieces"), F.lit(5).alias("weight_lbs"), F.struct(F.lit("A").alias("city"), F.lit("a").alias("region")).alias("origin"), F.struct(F.lit("A").alias("city"), F.lit("a").alias("region")).alias("destination"), F.lit("2024-01-01").cast("date").alias("pickup_date"), fa.assign_conditions(facts, "k", "c", tables, 3).schema["special_conditions"].dataType and F.array().cast(fa.assign_conditions(facts, "k", "c", tables, 3).schema["special_conditions"].dataType).alias("special_conditions")), "k")
+    assert [r["message"] for r in lost.collect()] == ["missing special_conditions.oversize"]
