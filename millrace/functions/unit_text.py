@@ -22,8 +22,10 @@ ALIASES = {
 _CAPACITY = re.compile(r"грузопод|прицеп на|прицеп (?:до|с )|погрузчик|вмеща|вместимост|кран\b|гидроборт|\bберёт\b|\bберет\b|поднима|тоннаж|payload|\brated\b|forklift|\blifts?\b|capacity|\bcrane\b|tail lift|can carry|\baxle|\btare\b|тара\b")
 _WEIGHT = re.compile(r"\bвес(?:а|ом|ит|ят|у)?\b|брутто|нетто|масс\w*|\bвсего\b|weigh\w*|\bgross\b|\bnet\b|altogether|\btotal\b|in all")
 _PER_PIECE = re.compile(r"кажд\w*|за (?:штуку|место|единицу)|на (?:место|штуку)|\bшт\b|per (?:piece|unit|item|pallet|crate|carton|package|box)|\beach\b|apiece|a piece")
-_PIECES = re.compile(r"(\d{1,3})\s*(?:[x×х*]\s*(?=\d)|(?:шт\w*|мест\w*|грузомест\w*|короб\w*|ящик\w*|поддон\w*|паллет\w*|упаков\w*|pieces?|pallets?|crates?|cartons?|packages?|boxes|units?)\b)")
+_PIECES = re.compile(r"(\d+)\s*(?:[x×х*]\s*(?=\d)|(?:шт\w*|мест\w*|грузомест\w*|короб\w*|ящик\w*|поддон\w*|паллет\w*|упаков\w*|pieces?|pallets?|crates?|cartons?|packages?|boxes|units?)\b)")
 _NUMBER = re.compile(r"\d{1,3}(?:[    '’]\d{3})+(?:[.,]\d{1,3})?(?!\d)|\d{1,3}(?:,\d{3})+(?:\.\d{1,3})?(?!\d)|\d{1,3}(?:\.\d{3})+(?:,\d{1,3})?(?!\d)|\d+(?:[.,]\d+)?")
+#: Characters that a number with its group and decimal marks is made of.
+_NUMERIC = frozenset("0123456789.,'’ \u00a0\u202f\u2009")
 _CLAUSE = re.compile(r"\n|;|[.!?](?=\s)")
 
 _UNITS_EN = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -87,19 +89,20 @@ def parse_number(text: str, unit: str) -> float | None:
 
 
 def _words_before(text: str, at: int) -> tuple[float, int] | None:
-    """(value, start) of a number in words that ends right before ``at``."""
-    found = list(re.finditer(r"[^\W\d_]+", text[max(0, at - 80) : at]))
-    base = max(0, at - 80)
-    total, taken = [], None
-    for m in reversed(found):
-        w = m.group()
-        end = base + m.end()
-        gap = text[end : taken if taken is not None else at]
-        if gap.strip(" - ") or (w not in NUMBER_WORDS and w not in _SCALES and w != "and"):
+    """(value, start) of a number in words that ends right before ``at``, however many words it has."""
+    total, taken, end = [], None, at
+    while True:
+        while end and text[end - 1] in " -\u00a0\u202f\u2009":
+            end -= 1
+        begin = end
+        while begin and text[begin - 1].isalpha():
+            begin -= 1
+        w = text[begin:end]
+        if not w or (w not in NUMBER_WORDS and w not in _SCALES and w != "and") or (begin and text[begin - 1].isalnum()):
             break
         if w != "and":
             total.append(w)
-        taken = base + m.start()
+        taken = end = begin
     if taken is None or not total:
         return None
     value: float = 0
@@ -139,7 +142,10 @@ def find_weights(text: str | None) -> list[Weight]:
             continue
         value = place = None
         if head and head[-1].isdigit():
-            tail = [m for m in _NUMBER.finditer(head, max(0, len(head) - 24)) if m.end() == len(head)]
+            begin = len(head)
+            while begin and head[begin - 1] in _NUMERIC:
+                begin -= 1
+            tail = [m for m in _NUMBER.finditer(head, begin) if m.end() == len(head)]
             if tail and not re.search(r"[\d./:-]$", head[: tail[0].start()][-1:]):
                 value, place = parse_number(tail[0].group(), unit), tail[0].start()
         else:
@@ -157,7 +163,7 @@ def find_weights(text: str | None) -> list[Weight]:
         before, after = low[a:place], low[covered : covered + 40]
         if out and before.rstrip().endswith("(") and value in (100, 1000, 2000):  # the unit explained: cwt (100 lb)
             continue
-        times = re.search(r"(\d{1,3})\s*[x×х*]\s*$", before)
+        times = re.search(r"(\d+)\s*[x×х*]\s*$", before)
         each = bool(times or _PER_PIECE.search(before[-40:]) or _PER_PIECE.match(after.lstrip(" .,(")) or re.search(r"\bпо\s*$|\bat\s*$|@\s*$", before))
         named = _PIECES.findall(clause)
         pieces = int(times.group(1)) if times else int(named[0]) if named else None

@@ -2,7 +2,10 @@
 
 Text: an automaton over unit aliases (longest match) and the context of the
 number. Numbers: compared with the weights stated in the requests of the same
-record or load; where there is none, by feed, period and size of the number.
+record or load; where there is none, by a mixture of units fitted per feed and
+month: what a number weighs in each unit is held against the weights that feed
+is known to carry, and how often each unit is used there is estimated by
+expectation-maximisation over all its numbers. No sizes are set by hand.
 The conversion factors are a fixed table of seven rows that is broadcast.
 """
 
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +23,76 @@ from millrace.functions.keys import canonical_key
 from millrace.functions.unit_text import KILOGRAMS, find_weights
 from millrace.session import cut, hot_keys, salted_join
 
-#: Sizes of a recorded number: below 60 only tonnes are plausible for a truck load, then hundredweights and quintals,
-#: light loads, loads in kilograms or light ones in pounds, either unit, pounds only, grams.
-SIZE_BOUNDS = (60, 205, 460, 4_400, 10_000, 20_600, 60_000)
+UNITS = tuple(KILOGRAMS)
+#: Cells per e-fold of the distribution of weights and of the numbers that are judged alike.
+CELLS, FINE = 10, 40
+#: Before any load is judged: median and spread (of the logarithm) of a truck load in kilograms and as how many judged ones they count, and how often
+#: a unit is used where another is usual; short tons and quintals hardly differ from tonnes and hundredweights in size, so numbers speak less for them.
+PRIOR_KG, PRIOR_SPREAD, PRIOR_ROWS = 9_000.0, 0.7, 20.0
+USUAL, SELDOM, DOUBTED = 1.0, 0.01, {"q": 0.1, "st": 0.1}
+#: Judged loads that all feeds' weights count as in a feed, loads that a month takes from its feed and from its neighbours, and the share of numbers like none seen.
+FROM_ALL, FROM_FEED, FROM_NEIGHBOURS, ODD = 200.0, 2.0, 4.0, 0.05
+_LOW, _HIGH = -5.0, 25.0
+
+
+def weight_cells(log_kg: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts per cell of the logarithm of kilograms, smoothed over neighbours."""
+    at = np.clip(np.floor((log_kg - _LOW) * CELLS).astype(int), 0, int((_HIGH - _LOW) * CELLS) - 1)
+    return np.convolve(np.bincount(at, weights=n, minlength=int((_HIGH - _LOW) * CELLS)), [0.25, 0.5, 0.25], "same")
+
+
+def prior_cells() -> np.ndarray:
+    """Share of each cell before any load is judged."""
+    middle = _LOW + (np.arange(int((_HIGH - _LOW) * CELLS)) + 0.5) / CELLS
+    p = np.exp(-0.5 * ((middle - np.log(PRIOR_KG)) / PRIOR_SPREAD) ** 2)
+    return p / p.sum()
+
+
+def likelihoods(log_value: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """(numbers, units): how likely a number is in each unit, given the share of the cells of weight."""
+    logs = log_value[:, None] + np.log([KILOGRAMS[u] for u in UNITS])[None, :]
+    return share[np.clip(np.floor((logs - _LOW) * CELLS).astype(int), 0, len(share) - 1)]
+
+
+def fit_feed(rows: pd.DataFrame, overall: np.ndarray, usual: str = "lb", rounds: int = 60) -> pd.DataFrame:
+    """``rows`` (month, cell, seen, n) of one feed with the likeliest ``unit`` of each: expectation-maximisation of the share of units per month.
+
+    Months borrow from their feed and their neighbours; judged rows keep their unit.
+    """
+    own = np.array([UNITS.index(u) if u in UNITS else -1 for u in rows["seen"]])
+    log_value, n = (rows["cell"].to_numpy(np.float64) + 0.5) / FINE, rows["n"].to_numpy(np.float64)
+    known = own >= 0
+    judged = weight_cells(log_value[known] + np.log([KILOGRAMS[UNITS[u]] for u in own[known]]), n[known]) if known.any() else np.zeros_like(overall)
+    share = (judged + FROM_ALL * overall) / (judged.sum() + FROM_ALL)
+    # Numbers like none seen may be any weight, but hardly one above the heaviest.
+    light = np.where(np.cumsum(overall) < 0.9999, 1.0, 1e-6)
+    like = likelihoods(log_value, (1 - ODD) * share + ODD * (0.5 * overall + 0.5 * light / light.sum())) * np.array([DOUBTED.get(u, 1.0) for u in UNITS])
+    months, at = np.unique(rows["month"].to_numpy(), return_inverse=True)
+    weight = np.array([USUAL if u == usual else SELDOM for u in UNITS])
+    of_month = np.tile(weight / weight.sum(), (len(months), 1))
+    for _ in range(rounds):
+        belief = like * of_month[at]
+        belief /= belief.sum(axis=1, keepdims=True)
+        belief[known] = np.eye(len(UNITS))[own[known]]
+        belief *= n[:, None]
+        counts = np.zeros((len(months), len(UNITS)))
+        np.add.at(counts, at, belief)
+        of_feed = (counts.sum(axis=0) + weight) / (counts.sum() + weight.sum())
+        near = np.zeros_like(counts)
+        near[1:] += counts[:-1]
+        near[:-1] += counts[1:]
+        counts += FROM_NEIGHBOURS * near / np.maximum(near.sum(axis=1, keepdims=True), 1e-9) + FROM_FEED * of_feed
+        of_month = counts / counts.sum(axis=1, keepdims=True)
+    return rows.assign(unit=np.array(UNITS, object)[(like * of_month[at]).argmax(axis=1)])
+
+
+def judged_cells(judged: DataFrame) -> np.ndarray:
+    """Share of each cell of weight over all judged rows (value, seen), with the prior as ``PRIOR_ROWS`` rows more. One row per cell, some hundreds, comes to the driver."""
+    log_kg = F.log("value") + F.element_at(F.create_map(*[x for u, k in KILOGRAMS.items() for x in (F.lit(u), F.lit(float(np.log(k))))]), F.col("seen"))
+    cells = judged.filter("seen is not null and value > 0").groupBy(F.greatest(F.lit(_LOW * CELLS), F.least(F.lit(_HIGH * CELLS), F.floor(log_kg * CELLS))).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = weight_cells(np.array([(r["c"] + 0.5) / CELLS for r in cells]), np.array([float(r["n"]) for r in cells])) if cells else 0.0
+    total = counts + PRIOR_ROWS * prior_cells()
+    return total / total.sum()
 
 
 def factors(spark: SparkSession) -> DataFrame:
@@ -73,21 +144,18 @@ def matching_unit(value: Column, kg: Column, pieces: Column | None = None, round
     return F.array_min(F.array_compact(F.array(*offers)))
 
 
-def size_class(value: Column) -> Column:
-    """0 below the first of ``SIZE_BOUNDS``, 7 from the last on."""
-    return reduce(lambda out, n: F.when(value >= SIZE_BOUNDS[n], F.lit(n + 1)).otherwise(out), range(len(SIZE_BOUNDS)), F.lit(0))
+def fine_cell(value: Column) -> Column:
+    """Numbers of one cell (2.5 % wide) are judged alike; null for zero and negative ones."""
+    return F.when(value > 0, F.floor(F.log(value) * FINE))
 
 
-def load_units(loads: DataFrame, stated: DataFrame, least: int = 3) -> DataFrame:
+def load_units(loads: DataFrame, stated: DataFrame) -> DataFrame:
     """(load_id, value, unit, by): the unit of every load's weight_lbs; by is ``request`` or ``profile``.
 
     1. Where a request of the load states a weight, the unit in which the number
        is that weight.
-    2. Else by profile. A feed's month is kept in pounds or in kilograms by the
-       share of its numbers that only pounds explain (few rows: the feed's own
-       share). Within feed, such regime and size class, the unit most loads of
-       step 1 have holds, if at least ``least`` have been judged; else the
-       class's default.
+    2. Else by the mixture of the load's feed and month (``fit_feed``). Its
+       counts are aggregated first, so a feed of any size is one small group.
 
     Copies of a load are one row (the smallest of the earliest arrival holds).
     Null weights have no unit; zero and negative ones are kept as pounds. Null
@@ -101,6 +169,7 @@ def load_units(loads: DataFrame, stated: DataFrame, least: int = 3) -> DataFrame
         .agg(F.min("load_id").alias("load_id"), F.min(F.struct("ingested_at", "value", "feed", "month")).alias("r"))
         .select("load", "load_id", "r.value", "r.feed", "r.month")
     )
+    one = cut(one)
     asked = stated.filter("kg is not null and load is not null").select("load", "kg", "id")
     hot = hot_keys(asked, ["load"], stated.count())
     seen = (
@@ -109,31 +178,25 @@ def load_units(loads: DataFrame, stated: DataFrame, least: int = 3) -> DataFrame
         .agg(F.min(matching_unit(F.col("value"), F.col("kg"))).alias("m"))
         .select("load", F.col("m.unit").alias("seen"))
     )
-    judged = cut(one.join(seen, "load", "left").withColumn("size", size_class(F.col("value"))))
-    big, mid = F.count_if(F.col("size") == 6), F.count_if(F.col("size").isin(4, 5))
-    light, low = F.count_if(F.col("size") == 3), F.count_if(F.col("size") == 4)
-    feeds = judged.groupBy("feed").agg((big / F.greatest(big + mid, F.lit(1))).alias("feed_share"), ((low >= 5) & (light < low * 0.1)).alias("no_light"))
-    months = judged.groupBy("feed", "month").agg(F.when(big + mid >= 4, big / (big + mid)).alias("month_share"))
-    regimes = months.join(feeds, "feed").select("feed", "month", "no_light", (F.coalesce("month_share", "feed_share") < 0.3).alias("metric"))
-    placed = judged.join(regimes, ["feed", "month"])
-    votes = placed.filter("seen is not null").groupBy("feed", "metric", "size", "seen").agg(F.count(F.lit(1)).alias("n"))
-    usual = votes.groupBy("feed", "metric", "size").agg(F.max(F.struct("n", "seen")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") >= least).select("feed", "metric", "size", F.col("top.seen").alias("usual"))
-    in_bulk = F.when(F.col("metric"), "kg").otherwise("lb")
-    default = (
-        F.when(F.col("value") <= 0, "lb").when(F.col("size") == 0, "t").when(F.col("size").isin(1, 2), "cwt").when(F.col("size") == 7, "g")
-        .when((F.col("size") == 4) & F.col("no_light"), "kg").otherwise(in_bulk)
-    )
+    judged = cut(one.join(seen, "load", "left").withColumn("cell", fine_cell(F.col("value"))))
+    overall = judged_cells(judged)
+    counts = judged.filter("cell is not null").groupBy("feed", "month", "cell", "seen").agg(F.count(F.lit(1)).alias("n"))
+    fitted = counts.groupBy("feed").applyInPandas(lambda pdf: fit_feed(pdf, overall), "feed string, month string, cell bigint, seen string, n bigint, unit string")
+    usual = fitted.groupBy("feed", "month", "cell").agg(F.min("unit").alias("usual"))
+    keys = ["feed", "month", "cell"]
+    rows = judged.count()
+    placed = salted_join(judged, usual, keys, hot_keys(judged.filter("cell is not null"), keys, rows, 0.005, 200_000), "load") if rows >= 200_000 else judged.join(usual, keys, "left")
     by = F.when(F.col("seen").isNotNull(), "request").otherwise("profile")
-    return placed.join(usual, ["feed", "metric", "size"], "left").select("load", "load_id", "value", F.coalesce("seen", F.when(F.col("value") > 0, F.col("usual")), default).alias("unit"), by.alias("by"))
+    return placed.select("load", "load_id", "value", F.coalesce("seen", "usual", F.lit("lb")).alias("unit"), by.alias("by"))
 
 
 def extraction_units(extractions: DataFrame, stated: DataFrame) -> DataFrame:
     """(extraction_id, value, unit, by): the unit of derived.weight_total_kg, judged by the record's own request.
 
     A number that is the weight of one piece is a wrong value in kilograms, not
-    another unit. Without a usable request the size decides: below 60 tonnes,
-    above 60,000 grams, above the heaviest load in kilograms pounds, else
-    kilograms. Copies of an extraction are one row; null weights have no unit.
+    another unit. Without a usable request the mixture of all extractions
+    decides, in which kilograms are usual. Copies of an extraction are one row;
+    null weights have no unit; zero and negative ones are kept as kilograms.
     """
     one = extractions.filter("extraction_id is not null").groupBy("extraction_id").agg(
         F.min(F.struct("record_id", F.col("derived.weight_total_kg").alias("value"), F.col("derived.pieces").alias("n"))).alias("r")
@@ -142,10 +205,15 @@ def extraction_units(extractions: DataFrame, stated: DataFrame) -> DataFrame:
     hot = hot_keys(one.filter("record_id is not null"), ["record_id"], extractions.count())
     joined = salted_join(one, first, ["record_id"], hot, "extraction_id")
     value = F.col("value")
-    seen = matching_unit(value, F.col("kg"), F.coalesce("n", "pieces"), rounding=0.0)["unit"]
-    sized = F.when(value <= 0, "kg").when(value < 60, "t").when(value > 60_000, "g").when(value > 24_500, "lb").otherwise("kg")
-    unit = F.when(F.col("kg").isNull(), sized).otherwise(F.coalesce(seen, F.lit("kg")))
-    return joined.select("extraction_id", "value", unit.alias("unit"), F.when(F.col("kg").isNull(), "size").otherwise("request").alias("by"))
+    seen = F.when(F.col("kg").isNotNull(), F.coalesce(matching_unit(value, F.col("kg"), F.coalesce("n", "pieces"), rounding=0.0)["unit"], F.lit("kg")))
+    judged = cut(joined.select("extraction_id", "value", seen.alias("seen"), fine_cell(value).alias("cell")))
+    overall = judged_cells(stated.filter("kg is not null").select(F.col("kg").alias("value"), F.lit("kg").alias("seen")))
+    # One row per cell and unit: some hundreds.
+    counts = judged.filter("cell is not null").groupBy("cell", "seen").agg(F.count(F.lit(1)).alias("n")).withColumn("month", F.lit("")).withColumn("feed", F.lit(""))
+    fitted = counts.groupBy("feed").applyInPandas(lambda pdf: fit_feed(pdf, overall, "kg"), "cell bigint, seen string, n bigint, month string, feed string, unit string")
+    usual = F.broadcast(fitted.groupBy("cell").agg(F.min("unit").alias("usual")))
+    by = F.when(F.col("seen").isNull(), "size").otherwise("request")
+    return judged.join(usual, "cell", "left").select("extraction_id", "value", F.coalesce("seen", "usual", F.lit("kg")).alias("unit"), by.alias("by"))
 
 
 def weights_in_kilograms(loads: DataFrame, extractions: DataFrame, records: DataFrame) -> DataFrame:

@@ -345,7 +345,7 @@ e AS (SELECT id, unnest(CASE WHEN len(k) = 0 THEN ['none'] ELSE k END) kind FROM
     "q_equipment_words": f"SELECT DISTINCT id, " + ", ".join(f"{_class(cs)} AS {c}" for c, cs in ex.CLASSES.items()) + f" FROM (SELECT id, lower({_USER}) low FROM sft_records)",
     "q_extracted_pieces": rf"""WITH t AS (SELECT DISTINCT id, lower(CASE WHEN contains(x, chr(10) || chr(10)) THEN regexp_replace(x, '(?s)\A.*?\n\n', '') ELSE x END) low FROM (SELECT id, coalesce({_USER}, '') x FROM sft_records)),
 c AS (SELECT id, nullif(regexp_extract(' ' || low, '(?:^|[^0-9.,])([0-9]{{1,4}}){_SP}*(?:[x×]{_SP}|(?:{_NOUNS}))', 1), '') n,
-  regexp_extract(low, '((?:плюс|минус|plus|minus){_SP}+[0-9]+){_SP}*(?:°{_SP}?[cс]?)?{_SP}*(?:\.\.\.?|…|—|–|-|до|to|and|и){_SP}*((?:плюс|минус|plus|minus){_SP}+[0-9]+){_SP}*(?:°|град|degr|[cс]\b)', ['a', 'b']) r FROM t),
+  regexp_extract(low, '((?:плюс|минус|plus|minus){_SP}+[0-9]+){_SP}*(?:°{_SP}?[cс]?)?{_SP}*(?:\.\.\.?|…|—|–|-|до|to|and|и){_SP}*((?:плюс|минус|plus|minus){_SP}+[0-9]+){_SP}*(?:°|град|degr)', ['a', 'b']) r FROM t),
 d AS (SELECT id, CAST(n AS BIGINT) n, CASE WHEN r.a <> '' THEN CAST(regexp_extract(r.a, '[0-9]+') AS DOUBLE) * CASE WHEN r.a SIMILAR TO '(минус|minus).*' THEN -1 ELSE 1 END END a, CASE WHEN r.b <> '' THEN CAST(regexp_extract(r.b, '[0-9]+') AS DOUBLE) * CASE WHEN r.b SIMILAR TO '(минус|minus).*' THEN -1 ELSE 1 END END b FROM c)
 SELECT id, n AS pieces, least(a, b) AS min_c, greatest(a, b) AS max_c FROM d""",
 }

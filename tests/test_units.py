@@ -1,7 +1,9 @@
+import numpy as np
+import pandas as pd
 import pytest
 
-from millrace.functions.unit_text import find_weights, parse_number
-from millrace.operators.units import extraction_units, foreign_units, load_units, stated_weights, weights_in_kilograms
+from millrace.functions.unit_text import KILOGRAMS, find_weights, parse_number
+from millrace.operators.units import FINE, extraction_units, fit_feed, foreign_units, load_units, prior_cells, stated_weights, weight_cells, weights_in_kilograms
 
 
 @pytest.mark.parametrize(
@@ -47,6 +49,29 @@ def test_loads_by_request_and_profile(spark):
     assert len(got) == 123
 
 
+def test_mixture_recovers_what_was_mixed():
+    """Months in pounds, months in kilograms and a feed that mixes in tonnes and grams; half of the kilograms have been judged by requests."""
+    rnd = np.random.default_rng(3)
+    kg = np.exp(rnd.normal(np.log(11_000), 0.35, 4000))
+    months = np.array([f"2024-{1 + i % 8:02}" for i in range(4000)])
+    unit = np.where(months < "2024-05", "lb", "kg").astype(object)
+    unit[rnd.random(4000) < 0.05] = "t"
+    unit[rnd.random(4000) < 0.02] = "g"
+    value = kg / np.array([KILOGRAMS[u] for u in unit])
+    seen = np.where(rnd.random(4000) < 0.2, unit, None)
+    rows = pd.DataFrame({"month": months, "cell": np.floor(np.log(value) * FINE).astype(int), "seen": seen, "n": 1})
+    overall = weight_cells(np.log(kg[seen != None]), np.ones((seen != None).sum())) + 20 * prior_cells()  # noqa: E711
+    got = fit_feed(rows, overall / overall.sum())["unit"].to_numpy()
+    hidden = seen == None  # noqa: E711
+    for u in ("lb", "kg", "t", "g"):
+        assert (got[hidden & (unit == u)] == u).mean() > 0.98
+
+
+def test_numbers_in_text_of_any_length():
+    assert [w.value for w in find_weights("общий вес одна тысяча двести тридцать четыре килограмма")] == [1234] and [w.value for w in find_weights("weight twenty-one thousand three hundred and forty-five pounds")] == [21345]
+    assert [(w.value, w.pieces) for w in find_weights("12000 коробок, вес 1 234 567 890 123 456 789,5 кг")] == [(1234567890123456789.5, 12000)]
+
+
 def test_extractions(spark):
     stated = stated_weights(spark.createDataFrame([record("r1", "L1", "10 мест, вес 12 000 кг."), record("r1", "L1", "10 мест, вес 12 000 кг.")], RECORD))
     schema = "extraction_id bigint, record_id string, derived struct<weight_total_kg: double, pieces: bigint>, kg double, unit string"
