@@ -12,14 +12,11 @@ def canonical_key(c: Column | str) -> Column:
     ``' cust-0007 '`` and ``'CUST7'`` are the same key; ``'N/A'``, ``''`` and null are no key.
     """
     c = F.col(c) if isinstance(c, str) else c
-    # Most keys are letters and then a number once separators are gone: trimming them is much cheaper than the patterns below.
-    plain = F.upper(F.translate(c, " \t\n-_./#:", ""))
-    head = F.rtrim(plain, F.lit("0123456789"))
-    number = F.ltrim(F.substr(plain, F.length(head) + 1), F.lit("0"))
-    quick = F.concat(head, F.when(number == "", "0").otherwise(number))
+    # Most keys are letters and then one number: one replacement drops what parts them and leading zeros, where the rest takes several.
+    quick = F.regexp_replace(F.upper(c), r"[^\p{L}0-9]+|(?<![0-9])0+(?=[0-9])", "")
     letters = F.upper(F.regexp_replace(c, r"[^\p{L}]", ""))
     digits = F.regexp_replace(F.regexp_replace(c, r"[^0-9]", ""), r"^0+(?=[0-9])", "")
-    return F.when(plain.rlike(r"^\p{L}*[0-9]+$"), quick).when(F.length(digits) > 0, F.concat(letters, digits))
+    return F.when(c.rlike(r"^[^0-9]*[0-9]+[^\p{L}0-9]*$"), quick).when(F.length(digits) > 0, F.concat(letters, digits))
 
 
 #: The same rule in SQL of the oracle; ``{c}`` is the column.
