@@ -82,10 +82,15 @@ def quantiles_nearest_rank(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def quantile_rounded_index(df: DataFrame, by: str, column: str, share: float) -> DataFrame:
-    """(by, value): the value at index round(share * (n - 1)), half to even: a third definition, by rank, without collecting groups."""
+    """(by, value): the value at index round(share * (n - 1)), half to even: a third definition, by rank.
+
+    Equal values are counted first, so a group of many rows is sorted by its different values only.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(by)
-    ranked = df.filter(F.col(column).isNotNull()).select(by, column, F.row_number().over(w.orderBy(column)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("r") == F.bround(F.lit(share) * (F.col("n") - 1)) + 1).select(by, F.col(column).alias("value"))
+    ranked = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    index = F.bround(F.lit(share) * (F.col("_n") - 1))
+    return ranked.filter((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index)).select(by, F.col(column).alias("value"))
 
 
 def pair_counts(events: DataFrame, key: str, kind: str, kinds: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import canonical_key, canonical_key_sql
+from millrace.operators.logs import newest, running_number
 from millrace.functions import exprs as E
 from millrace.operators import facts as fa
 from millrace.operators import quality as q
@@ -200,6 +202,23 @@ def q_holdout_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sa.holdout_pairs(r, places, 5, 42)
 
 
+def q_loads_without_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Loads that no event names, whatever the spelling of the key."""
+    events = table(spark, sf, "delivery_events").select(canonical_key("load_id").alias("event_load")).filter("event_load is not null")
+    loads = _one(spark, sf, "loads", "load_id").withColumn("k", canonical_key("load_id"))
+    return q.orphans(loads, "k", events, "event_load").select("load_id")
+
+
+def q_attempt_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Running number of each answer within its record."""
+    return running_number(table(spark, sf, "generation_results").filter("record_id is not null").dropDuplicates(["result_id"]), "record_id", ["attempt", "result_id"]).select("record_id", "result_id", F.col("number").cast("bigint").alias("number"))
+
+
+def q_newest_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty newest answers: the limit is the feature."""
+    return newest(table(spark, sf, "generation_results").filter("result_id is not null").dropDuplicates(["result_id"]), "created_at", "result_id", 50).select("result_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
 def q_slices(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "sft_records").groupBy("id").agg(F.min("task").alias("task"), F.min("language").alias("language"))
     slices = [("ru_extraction", (F.col("task") == "shipment_extraction") & (F.col("language") == "ru"), 40), ("extraction", F.col("task") == "shipment_extraction", 30), ("english", F.col("language") == "en", 20)]
@@ -246,6 +265,9 @@ def _profile_sql() -> str:
 _SPLIT_SQL = f"SELECT id, CASE WHEN {_U(42, 'group_id')} < 0.8 THEN 'train' WHEN {_U(42, 'group_id')} < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT DISTINCT id, group_id FROM sft_records WHERE group_id IS NOT NULL)"
 
 ORACLE = {
+    "q_loads_without_events": f"SELECT load_id FROM {_L} WHERE {canonical_key_sql('load_id')} IS NULL OR {canonical_key_sql('load_id')} NOT IN (SELECT {canonical_key_sql('load_id')} FROM delivery_events WHERE {canonical_key_sql('load_id')} IS NOT NULL)",
+    "q_attempt_numbers": "SELECT record_id, result_id, row_number() OVER (PARTITION BY record_id ORDER BY attempt NULLS FIRST, result_id) AS number FROM (SELECT result_id, min(record_id) record_id, min(attempt) attempt FROM generation_results WHERE record_id IS NOT NULL GROUP BY 1)",
+    "q_newest_results": "SELECT result_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (SELECT result_id, max(created_at) created_at FROM generation_results WHERE result_id IS NOT NULL GROUP BY 1) ORDER BY created_at DESC NULLS LAST, result_id LIMIT 50",
     "q_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ALL),
     "q_pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n_copies FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "q_key_copies": " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS record_id, count(*) AS n_copies FROM {t} WHERE {k} IS NOT NULL GROUP BY ALL HAVING count(*) > 1" for t, k in (("loads", "load_id"), ("routes", "route_id"), ("customers", "customer_id"), ("delivery_events", "event_id"))),
