@@ -124,5 +124,12 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 400),
 g AS (SELECT DISTINCT doc_id, hash(substr(text, k, 400)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) k FROM d)),
 s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1)
 SELECT DISTINCT doc_id FROM g JOIN s USING (h)
+""",
+    "p8_shared": """
+WITH g AS (SELECT DISTINCT doc_id, k, hash(substr(text, k, 400)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) k FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT DISTINCT doc_id, k FROM g JOIN s USING (h)),
+n AS (SELECT doc_id, sum(least(400, coalesce(next - k, 400)))::BIGINT shared_chars FROM (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) next FROM c) GROUP BY 1)
+SELECT doc_id, n_chars, shared_chars, round(shared_chars::DOUBLE / n_chars, 6) AS shared_share FROM n JOIN (SELECT doc_id, max(length(text)) n_chars FROM documents GROUP BY 1) USING (doc_id)
 """,
 }
