@@ -79,8 +79,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_edited(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs whose windows of 12 words all hold an edited word: leaks that no exact search finds."""
-    return _leaks(spark, sf).filter("edits > 0").select("doc_id", "item_id", "edits", "covered_words")
+    """Pairs with a window of 16 words within three word edits but none without: leaks that no exact search of such windows finds."""
+    found = find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=16, max_edits=3)
+    return found.filter("edits > 0").select("doc_id", "item_id", "edits", "covered_words")
 
 
 def p7_items(spark: SparkSession, sf: str) -> DataFrame:
