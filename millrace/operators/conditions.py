@@ -62,23 +62,28 @@ class Compared:
     gold_kinds: Column
     answer_kinds: Column
     correct: dict[str, Column]
-    labels: list[Column]
+    labels: Column
     invented: Column
 
 
-def compared(gold: Column, answer: Column, missing: Column, failed: Column) -> Compared:
-    """Full outer match by kind. A condition lost, added or invented where the gold asks for it has one critical label each."""
+def compared(df: DataFrame, gold: Column, answer: Column, missing: Column, failed: Column) -> tuple[DataFrame, Compared]:
+    """Full outer match by kind. A condition lost, added or invented where the gold asks for it has one critical label each.
+
+    What is used several times becomes a column of ``df`` (names beginning with ``_c_``), so that it is worked out once per row.
+    """
+    asked = lambda k: F.array_contains(missing, f"special_conditions.{k}")
+    df = df.select("*", *[x for k in KINDS for x in (of_kind(gold, k).alias(f"_c_g_{k}"), of_kind(answer, k).alias(f"_c_a_{k}"))])
+    g, a = {k: F.col(f"_c_g_{k}") for k in KINDS}, {k: F.col(f"_c_a_{k}") for k in KINDS}
+    df = df.select("*", *[x for k in KINDS for x in ((a[k].isNotNull() & invents(k, g[k], a[k])).alias(f"_c_n_{k}"), F.coalesce(g[k].isNotNull() & a[k].isNotNull() & same_condition(k, g[k], a[k]), F.lit(False)).alias(f"_c_s_{k}"))])
     correct, labels, added = {}, [], []
     for k in KINDS:
-        g, a = of_kind(gold, k), of_kind(answer, k)
-        asked = F.array_contains(missing, f"special_conditions.{k}")
-        new = a.isNotNull() & invents(k, g, a)
-        correct[k] = F.when(failed, F.when(g.isNotNull(), F.lit(False))).otherwise(F.when(g.isNotNull() | a.isNotNull(), F.coalesce(g.isNotNull() & a.isNotNull() & same_condition(k, g, a), F.lit(False))))
-        labels.append(F.when(g.isNotNull() & a.isNull(), F.lit("missed_condition")).when(asked & new, F.lit("hallucinated_required_field")).when(a.isNotNull() & g.isNull() & ~asked, F.lit("hallucinated_condition")))
-        added.append(F.coalesce(new | (a.isNotNull() & g.isNull()), F.lit(False)))
-    none = F.array().cast("array<string>")
-    kinds = lambda c: F.filter(F.array(*[F.lit(k) for k in KINDS]), lambda k: F.array_contains(F.coalesce(F.transform(c, lambda x: x["kind"]), none), k))
-    return Compared(kinds(gold), kinds(answer), correct, labels, reduce(Column.__or__, added))
+        new = F.col(f"_c_n_{k}")
+        correct[k] = F.when(failed, F.when(g[k].isNotNull(), F.lit(False))).otherwise(F.when(g[k].isNotNull() | a[k].isNotNull(), F.col(f"_c_s_{k}")))
+        labels.append(F.when(g[k].isNotNull() & a[k].isNull(), F.lit("missed_condition")).when(asked(k) & new, F.lit("hallucinated_required_field")).when(a[k].isNotNull() & g[k].isNull() & ~asked(k), F.lit("hallucinated_condition")))
+        added.append(F.coalesce(new | (a[k].isNotNull() & g[k].isNull()), F.lit(False)))
+    kinds = lambda side: F.array_compact(F.array(*[F.when(side[k].isNotNull(), F.lit(k)) for k in KINDS]))
+    df = df.select("*", kinds(g).alias("_c_gold"), kinds(a).alias("_c_answer"), F.create_map(*[x for k in KINDS for x in (F.lit(k), correct[k])]).alias("_c_ok"), F.array_compact(F.array(*labels)).alias("_c_labels"), reduce(Column.__or__, added).alias("_c_new"))
+    return df, Compared(F.col("_c_gold"), F.col("_c_answer"), {k: F.col("_c_ok")[k] for k in KINDS}, F.col("_c_labels"), F.col("_c_new"))
 
 
 def missing_conditions(equipment: Column, conditions: Column) -> Column:

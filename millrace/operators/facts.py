@@ -35,12 +35,13 @@ def star(loads: DataFrame, routes: DataFrame, customers: DataFrame, events: Data
     )
 
 
-def first_error(joined: DataFrame, required: Sequence[str], domains: dict[str, dict[str, str]]) -> Column:
+def first_error(joined: DataFrame, required: Sequence[str], domains: dict[str, dict[str, str]], cities: Sequence[str] | None = None) -> Column:
     """The first error code that fits a joined row, null for a good one.
 
     Precedence: MISSING_VALUE (a required column is null), MISSING_ROUTE,
     MISSING_CUSTOMER, EVENTS (not one pickup and one delivery), UNKNOWN_VALUE
-    (no mapping), INVALID (bounds of the fact).
+    (no mapping), UNKNOWN_CITY (a city of the route is not in ``cities``, a
+    catalog of names), INVALID (bounds of the fact).
     """
     null = F.lit(False)
     for c in required:
@@ -48,21 +49,24 @@ def first_error(joined: DataFrame, required: Sequence[str], domains: dict[str, d
     unknown = F.lit(False)
     for c, m in domains.items():
         unknown = unknown | (F.col(c).isNotNull() & lookup(F.col(c), m).isNull())
+    foreign = F.lit(False)
+    if cities is not None:
+        foreign = ~F.coalesce(F.col("origin_city").isin(*cities) & F.col("destination_city").isin(*cities), F.lit(False))
     invalid = (F.col("pieces") < 1) | (F.col("weight_lbs") <= 0) | (F.to_date("delivery_scheduled_datetime") < F.to_date("pickup_scheduled_datetime"))
     return (
         F.when(null, "MISSING_VALUE").when(F.col("_route").isNull(), "MISSING_ROUTE").when(F.col("_customer").isNull(), "MISSING_CUSTOMER")
-        .when(F.col("_events").isNull(), "EVENTS").when(unknown, "UNKNOWN_VALUE").when(invalid, "INVALID")
+        .when(F.col("_events").isNull(), "EVENTS").when(unknown, "UNKNOWN_VALUE").when(foreign, "UNKNOWN_CITY").when(invalid, "INVALID")
     )
 
 
-def build_facts(loads: DataFrame, routes: DataFrame, customers: DataFrame, events: DataFrame, equipment: dict[str, str], cargo: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def build_facts(loads: DataFrame, routes: DataFrame, customers: DataFrame, events: DataFrame, equipment: dict[str, str], cargo: dict[str, str], cities: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, issues): every load is either one fact or one issue with its first error code.
 
     A caller that must refuse the whole batch checks that issues is empty.
     """
     joined = star(loads, routes, customers, events)
     required = ("load_id", "route_id", "customer_id", "load_date", "load_type", "weight_lbs", "pieces")
-    coded = joined.withColumn("code", first_error(joined, required, {"load_type": equipment, "primary_freight_type": cargo}))
+    coded = joined.withColumn("code", first_error(joined, required, {"load_type": equipment, "primary_freight_type": cargo}, cities))
     place = lambda side: F.struct(F.col(f"{side}_city").alias("city"), F.col(f"{side}_state").alias("region"))
     facts = coded.filter("code is null").select(
         "load_id", "route_id", "customer_id", F.col("customer_name").alias("shipper_name"),

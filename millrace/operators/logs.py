@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,39 @@ def newest(df: DataFrame, time: str, key: str, n: int | None = None) -> DataFram
     """Newest first, ties by key; the first ``n`` where that is asked for."""
     out = df.orderBy(F.col(time).desc_nulls_last(), key)
     return out if n is None else out.limit(n)
+
+
+def token_audit(examples: DataFrame, by: str, prompt: str, answer: str, most: int) -> DataFrame:
+    """(by, n, n_too_long, too_long_rate, trainable_share): what a limit of ``most`` tokens costs, and how many of the kept tokens are trained on.
+
+    Rows without counts are left out; a group without a kept row has a null share.
+    """
+    whole = F.col(prompt) + F.col(answer)
+    kept = F.when(whole <= most, whole)
+    rows = examples.filter(whole.isNotNull()).groupBy(by)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(whole > most).alias("n_too_long"), F.round(F.avg((whole > most).cast("double")), 6).alias("too_long_rate"),
+        F.round(F.try_divide(F.sum(F.when(kept.isNotNull(), F.col(answer))).cast("double"), F.sum(kept)), 6).alias("trainable_share"),
+    )
+
+
+def within_skipped_share(skipped: int, total: int, most: float) -> None:
+    """ValueError where more than the share ``most`` of the examples had to be skipped; nothing to skip of nothing is fine."""
+    if total and skipped / total > most:
+        raise ValueError(f"{skipped} of {total} examples skipped, more than {most:.1%}")
+
+
+def training_steps(n: Column, micro: int, accumulate: int, epochs: int) -> Column:
+    """Optimizer steps: whole batches of micro * accumulate examples, the last one of an epoch counted, times the epochs."""
+    return (F.ceil(n / float(micro * accumulate)) * epochs).cast("bigint")
+
+
+def training_cost(steps: Column, seconds_per_step: float, hourly_rate: float) -> Column:
+    """Money for the steps at a rate per hour."""
+    return F.round(steps * seconds_per_step / 3600.0 * hourly_rate, 2)
+
+
+def latest_values(log: DataFrame, key: str, step: str, value: str) -> DataFrame:
+    """(key, step, value): the value at the largest step of each key; of several at one step the largest value. NaN values don't count."""
+    rows = log.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return rows.groupBy(key).agg(F.max(F.struct(step, value)).alias("m")).select(key, f"m.{step}", f"m.{value}")

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import squeeze, to_kg
-from millrace.functions.json_answers import FIELDS, FLAGS, flags_of, target, version_of
+from millrace.functions.json_answers import FIELDS, answer_flags, target, version_of
 from millrace.operators import conditions as co
 
 # Tolerance of weights, ratios that a mistaken unit makes, the fields that must all be right.
@@ -89,23 +88,6 @@ def scalar_errors(gold: Column, answer: Column) -> list[Column]:
     ]
 
 
-def read_pair(gold: Column, answer: Column, version: str) -> Column:
-    """struct(g, a): how each text reads, in one pass; a gold text is read once per batch however often it comes."""
-    shape = version_of(version)
-
-    @F.pandas_udf(f"g string, {FLAGS}")
-    def judge(golds: pd.Series, answers: pd.Series) -> pd.DataFrame:
-        seen: dict[str | None, str | None] = {}
-        rows = []
-        for g, a in zip(golds, answers, strict=True):
-            if g not in seen:
-                seen[g] = flags_of(g, shape)[4]
-            rows.append((seen[g], *flags_of(a, shape)))
-        return pd.DataFrame(rows, columns=["g", "json_parsed", "schema_valid", "json_parsed_lenient", "stage", "body"])
-
-    return judge(gold, answer)
-
-
 def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_short") -> DataFrame:
     """Case scores of one version: ``gold`` (record_id, gold_text, slices...), ``predictions`` (record_id, output, error), one row each.
 
@@ -114,11 +96,13 @@ def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_sh
     """
     v = version_of(version)
     scalars = [f for f in v.fields if f != "special_conditions"]
-    p = predictions.select("record_id", "output", "error", F.lit(True).alias("_there"))
-    j = gold.join(p, "record_id", "left").withColumn("_f", read_pair(F.col("gold_text"), F.col("output"), version))
-    j = j.withColumn("_g", target(F.col("_f.g"))).withColumn("_a", target(F.col("_f.body"))).filter("_g is not null")
+    # Each text is read once where it lies, before the join moves it.
+    p = predictions.select("record_id", "error", F.lit(True).alias("_there"), answer_flags(F.col("output"), version).alias("_f"))
+    read = gold.withColumn("_gold", answer_flags(F.col("gold_text"), version)["body"]).drop("gold_text")
+    j = read.filter("_gold is not null").join(p, "record_id", "left")
+    j = j.withColumn("_g", target(F.col("_gold"))).withColumn("_a", target(F.col("_f.body")))
     error = F.when(F.col("_there").isNull(), F.lit("no answer")).otherwise(F.col("error"))
-    failed = error.isNotNull() | ~F.col("_f.json_parsed_lenient")
+    failed = error.isNotNull() | ~known(F.col("_f.json_parsed_lenient"))
     g, a, gc, ac = F.col("_g"), F.col("_a"), F.col("_g.card"), F.col("_a.card")
     names = F.array().cast("array<string>")
     gm, am = F.array_distinct(g["missing_fields"]), F.array_distinct(F.coalesce(a["missing_fields"], names))
@@ -138,15 +122,18 @@ def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_sh
     labels = [F.when(missed, F.lit("missed_conflict")), F.when(F.size(F.array_intersect(invented, gm)) > 0, F.lit("hallucinated_required_field")), *scalar_errors(gc, ac)]
     kinds_g = kinds_a = F.lit(None).cast("array<string>")
     by_kind = F.lit(None).cast("map<string, boolean>")
+    more = names
     if "special_conditions" in v.fields:
-        c = co.compared(gc["special_conditions"], ac["special_conditions"], gm, failed)
+        j, c = co.compared(j, gc["special_conditions"], ac["special_conditions"], gm, failed)
         kinds_g, kinds_a, by_kind = c.gold_kinds, F.when(failed, names).otherwise(c.answer_kinds), F.create_map(*[x for k in co.KINDS for x in (F.lit(k), c.correct[k])])
         wrong = reduce(Column.__or__, [known(~c.correct[k]) for k in co.KINDS])
         some = (F.size(c.gold_kinds) > 0) | (F.size(c.answer_kinds) > 0)
         flags["special_conditions"] = F.when(failed, F.when(F.size(c.gold_kinds) > 0, F.lit(False))).otherwise(F.when(some, ~wrong))
         invented = F.when(c.invented, F.concat(invented, F.array(F.lit("special_conditions")))).otherwise(invented)
-        labels += c.labels
-    mass_g, mass_a = stated_mass(gc), stated_mass(ac)
+        more = c.labels
+    j = j.select("*", *[c.alias(f"_r_{f}") for f, c in flags.items()], invented.alias("_invented"), F.array_compact(F.array(*labels)).alias("_labels"), stated_mass(gc).alias("_mg"), stated_mass(ac).alias("_ma"))
+    flags = {f: F.col(f"_r_{f}") for f in flags}
+    invented, mass_g, mass_a = F.col("_invented"), F.col("_mg"), F.col("_ma")
     applies = reduce(Column.__and__, [gc[f].isNotNull() for f in KEY_FIELDS]) & mass_g.isNotNull()
     right = reduce(Column.__and__, [known(flags[f]) for f in KEY_FIELDS]) & known(F.abs(mass_g - mass_a) <= TOLERANCE_KG)
     if "special_conditions" in v.fields:
@@ -154,7 +141,7 @@ def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_sh
     ok = lambda value: F.when(~failed, value)
     return j.select(
         *gold.drop("gold_text").columns, F.lit(version).alias("schema_version"),
-        F.col("_f.json_parsed").alias("json_parsed"), F.col("_f.schema_valid").alias("schema_valid"), (~failed).alias("json_parsed_lenient"),
+        known(F.col("_f.json_parsed")).alias("json_parsed"), known(F.col("_f.schema_valid")).alias("schema_valid"), (~failed).alias("json_parsed_lenient"),
         error.alias("generation_error"), failed.alias("failed"),
         F.create_map(*[x for f in FIELDS for x in (F.lit(f), flags.get(f, F.lit(None).cast("boolean")))]).alias("field_correct"),
         F.when(applies, right & ~failed).alias("key_fields_correct"),
@@ -162,7 +149,7 @@ def score_cases(gold: DataFrame, predictions: DataFrame, version: str = "card_sh
         F.coalesce(ok(F.size(F.array_except(gm, am))), F.size(gm)).alias("missing_fn"), F.coalesce(ok(F.array_sort(gm) == F.array_sort(am)), F.lit(False)).alias("missing_exact"),
         F.when(F.size(conflicting) > 0, F.coalesce(ok(F.size(F.array_except(conflicting, stated)) == 0), F.lit(False))).alias("conflict_detected"),
         F.coalesce(ok(invented), names).alias("hallucinated_fields"),
-        F.coalesce(ok(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))), names).alias("critical_errors"),
+        F.coalesce(ok(F.array_sort(F.array_distinct(F.concat("_labels", more)))), names).alias("critical_errors"),
         F.coalesce(ok(F.array_compact(F.array(F.when(note, F.lit("computed_weight_total"))))), names).alias("notes"),
         kinds_g.alias("conditions_gold"), kinds_a.alias("conditions_answer"), by_kind.alias("condition_correct"),
     )

@@ -9,12 +9,14 @@ from millrace.functions import exprs as E
 from millrace.functions import json_answers as ja
 from millrace.operators import metrics as m
 from millrace.operators import stats as st
+from millrace.operators import logs as lg
+from millrace.operators.backends import assemble_results, state_changes
 from millrace.operators.logs import area_under
 from millrace.operators.scoring import last_predictions, score_cases
 from millrace.operators.validate import first_rows, message_of
 from millrace.plans import profiling as pr
 from millrace.plans import sqltext as S
-from millrace.session import table
+from millrace.session import cut, table
 from millrace.sources.artifacts import lineage
 from millrace.streaming.logs import sessions, windowed_counts
 
@@ -47,10 +49,10 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_cases(_gold(spark, sf), answers)
 
 
-def _flat_scores(scores: DataFrame) -> DataFrame:
+def _flat_scores(scores: DataFrame, *more) -> DataFrame:
     return scores.select(
         "record_id", "json_parsed", "schema_valid", "failed", F.col("key_fields_correct").cast("string").alias("key_fields_correct"), "missing_tp", "missing_fp", "missing_fn", "missing_exact",
-        F.array_join("critical_errors", ",").alias("critical_errors"), F.array_join("hallucinated_fields", ",").alias("hallucinated_fields"),
+        F.array_join("critical_errors", ",").alias("critical_errors"), F.array_join("hallucinated_fields", ",").alias("hallucinated_fields"), *more,
     )
 
 
@@ -85,7 +87,7 @@ def q_worst_cases(spark: SparkSession, sf: str) -> DataFrame:
 def q_critical_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     """Critical errors by overlapping kinds of cases, on the made answers that have them."""
     hard = F.col("kind").isin("missing", "hard")
-    return m.crosstab(_made_scores(spark, sf), m.CRITICAL, {"n_all": F.lit(True), "n_clean": F.col("kind") == "clean", "n_conditions": F.col("kind") == "conditions", "n_missing_or_hard": hard})
+    return m.crosstab(cut(_made_scores(spark, sf).select("critical_errors", "kind")), m.CRITICAL, {"n_all": F.lit(True), "n_clean": F.col("kind") == "clean", "n_conditions": F.col("kind") == "conditions", "n_missing_or_hard": hard})
 
 
 #: Ways in which the made answers differ from their gold; which one a load has follows from its number alone.
@@ -96,6 +98,8 @@ def _made(spark: SparkSession, sf: str) -> DataFrame:
     """(record_id, kind, gold_text, output, how): a card of the second version for each load with a usable row, and an answer that differs from it in a known way."""
     one = pr._one(spark, sf, "loads", "load_id").filter("weight_lbs > 0 and pieces between 1 and 99 and load_date is not null")
     number = F.regexp_replace("load_id", "[^0-9]", "").cast("bigint")
+    # A fixed number of partitions: the cards are written in Python, and few bytes would end in one task.
+    one = one.repartition(spark.sparkContext.defaultParallelism, "load_id")
     l = one.select("load_id", "pieces", "load_date", F.col("weight_lbs").cast("bigint").alias("w"), number.alias("x")).filter("x is not null")  # noqa: E741
     how = F.element_at(F.array(*[F.lit(h) for h in MUTATIONS]), (F.pmod("x", F.lit(len(MUTATIONS))) + 1).cast("int"))
     l = l.withColumn("how", how).withColumn("cold", F.pmod("x", F.lit(5)) < 2)  # noqa: E741
@@ -132,14 +136,15 @@ def _made(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _made_scores(spark: SparkSession, sf: str) -> DataFrame:
-    made = _made(spark, sf)
+    made = cut(_made(spark, sf))
     return score_cases(made.drop("output"), made.select("record_id", "output", F.lit(None).cast("string").alias("error")), "card_v2")
 
 
 def q_scores_v2(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of cards with conditions whose answers differ from the gold in twelve known ways."""
     s = _made_scores(spark, sf)
-    return _flat_scores(s).join(s.select("record_id", "how", *[F.col(f"condition_correct.{k}").cast("string").alias(k) for k in ("temperature", "securing")], F.col("field_correct.weight_total").cast("string").alias("weight")), "record_id")
+    kinds = [F.col(f"condition_correct.{k}").cast("string").alias(k) for k in ("temperature", "securing")]
+    return _flat_scores(s, "how", *kinds, F.col("field_correct.weight_total").cast("string").alias("weight"))
 
 
 def q_metrics_v2(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,6 +206,40 @@ def q_token_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_token_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Token limit of 1,024 by model: what is too long, and the share of tokens that are answers."""
+    return lg.token_audit(table(spark, sf, "generation_results"), "model_id", "prompt_tokens", "completion_tokens", 1024)
+
+
+def q_training_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps and cost of three epochs over the records of each split."""
+    n = table(spark, sf, "sft_records").groupBy("split").agg(F.countDistinct("id").alias("n"))
+    steps = lg.training_steps(F.col("n"), 2, 8, 3)
+    return n.select("split", "n", steps.alias("steps"), lg.training_cost(steps, 9.5, 368.18).alias("cost"))
+
+
+def q_latest_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Last value of each user in the event log."""
+    last = lg.latest_values(table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), "user_id", "at", "value")
+    return last.select("user_id", "at", "value")
+
+
+def q_state_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose model changed between their first and second answer."""
+    g = table(spark, sf, "generation_results").filter("record_id is not null")
+    state = lambda n: g.filter(F.col("attempt") == n).groupBy(F.col("record_id").alias("key")).agg(F.min("model_id").alias("value"))
+    return state_changes(state(1), state(2))
+
+
+def q_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answer to an extraction record as a result: status, weight in kilograms, what was assumed."""
+    g = table(spark, sf, "generation_results").filter("record_id is not null and result_id is not null")
+    r = table(spark, sf, "sft_records").filter("task = 'shipment_extraction'").select(F.col("id").alias("record_id")).distinct()
+    answers = g.join(r, "record_id", "left_semi").groupBy(F.col("result_id").alias("id")).agg(F.max("text").alias("output"), F.max("error").alias("error"))
+    out = assemble_results(answers, "card_short")
+    return out.select("id", "status", F.round("weight_kg", 6).alias("weight_kg"), "pieces", F.array_join("assumptions", ",").alias("assumptions"), F.array_join("warnings", ",").alias("warnings"))
+
+
 def q_latency(spark: SparkSession, sf: str) -> DataFrame:
     return pr.q.quantiles_nearest_rank(table(spark, sf, "generation_results"), "model_id", "latency_s")
 
@@ -352,7 +391,7 @@ def _by(slices: dict[str, str], metrics: dict[str, str], source: str = "scored")
 _MADE = """WITH l AS (SELECT load_id AS record_id, CAST(regexp_replace(load_id, '[^0-9]', '', 'g') AS BIGINT) x, CAST(weight_lbs AS BIGINT) w, pieces FROM {one} WHERE weight_lbs > 0 AND pieces BETWEEN 1 AND 99 AND load_date IS NOT NULL AND regexp_matches(load_id, '[0-9]')),
 h AS (SELECT *, [{how}][x % {n} + 1] how, x % 5 < 2 cold FROM l),
 s AS (SELECT record_id, how, cold, CASE WHEN cold THEN 'conditions' ELSE 'clean' END kind, how = 'cut' AS failed, how NOT IN ('cut', 'fenced', 'spaced') AS json_parsed, how NOT IN ('cut', 'fenced', 'spaced') AS schema_valid,
-  how NOT IN ('cut', 'turned', 'pieces_as_weight', 'no_pieces', 'added_condition') AND NOT (how = 'dropped_condition' AND cold) AND NOT (how = 'pounds_as_kg' AND abs(w - w * 0.45359237::DOUBLE) > 0.5) AS key_fields_correct,
+  how NOT IN ('cut', 'turned', 'no_pieces', 'added_condition') AND NOT (how = 'pieces_as_weight' AND w <> pieces) AND NOT (how = 'dropped_condition' AND cold) AND NOT (how = 'pounds_as_kg' AND abs(w - w * 0.45359237::DOUBLE) > 0.5) AS key_fields_correct,
   0 AS missing_tp, CASE WHEN how = 'no_pieces' THEN 1 ELSE 0 END AS missing_fp, 0 AS missing_fn, how NOT IN ('no_pieces', 'cut') AS missing_exact,
   CASE how WHEN 'turned' THEN 'origin_destination_swap' WHEN 'pieces_as_weight' THEN CASE WHEN w <> pieces THEN 'pieces_weight_swap' ELSE '' END WHEN 'added_condition' THEN 'hallucinated_condition' WHEN 'dropped_condition' THEN CASE WHEN cold THEN 'missed_condition' ELSE '' END
     WHEN 'pounds_as_kg' THEN CASE WHEN abs(w - w * 0.45359237::DOUBLE) > 0.5 THEN 'wrong_unit_magnitude' ELSE '' END ELSE '' END AS critical_errors,
@@ -388,6 +427,15 @@ ORACLE = {
 c AS (SELECT count(*) n_pairs, count(*) FILTER (NOT x AND y) fixed, count(*) FILTER (x AND NOT y) broken FROM j)
 SELECT n_pairs, fixed, broken, round(CASE WHEN fixed + broken = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(fixed, broken) + 1), lambda i: exp(lgamma(fixed + broken + 1.0) - lgamma(i + 1.0) - lgamma(fixed + broken - i + 1.0) - (fixed + broken) * ln(2))))) END, 9) AS p_value FROM c""",
     "q_token_stats": "SELECT model_id, count(*) AS n, count(*) FILTER (completion_tokens <= 255) AS n_fit, count(*) FILTER (completion_tokens > 255) AS n_skipped, (sum(completion_tokens) FILTER (completion_tokens <= 255))::BIGINT AS tokens, max(prompt_tokens) AS max_prompt, round(avg(prompt_tokens), 6) AS mean_prompt, round(sum(completion_tokens) / sum(latency_s) FILTER (completion_tokens IS NOT NULL), 6) AS tokens_per_s FROM generation_results GROUP BY 1",
+    "q_token_audit": "SELECT model_id, count(*) AS n, count(*) FILTER (w > 1024) AS n_too_long, round(avg(CAST(w > 1024 AS INT)), 6) AS too_long_rate, round((sum(completion_tokens) FILTER (w <= 1024))::DOUBLE / sum(w) FILTER (w <= 1024), 6) AS trainable_share FROM (SELECT *, prompt_tokens + completion_tokens w FROM generation_results) WHERE w IS NOT NULL GROUP BY 1",
+    "q_training_plan": "SELECT split, n, steps, round(steps * 9.5 / 3600.0::DOUBLE * 368.18::DOUBLE, 2) AS cost FROM (SELECT split, count(DISTINCT id) n, CAST(ceil(count(DISTINCT id) / 16.0) * 3 AS BIGINT) steps FROM sft_records GROUP BY 1)",
+    "q_latest_values": "SELECT user_id, epoch_us(ts) AS at, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) r FROM events WHERE value IS NOT NULL AND NOT isnan(value)) WHERE r = 1",
+    "q_state_changes": "WITH s AS (SELECT record_id, attempt, min(model_id) m FROM generation_results WHERE record_id IS NOT NULL GROUP BY ALL) SELECT coalesce(a.record_id, b.record_id) AS key, a.m AS before, b.m AS after FROM (FROM s WHERE attempt = 1) a FULL JOIN (FROM s WHERE attempt = 2) b USING (record_id) WHERE a.m IS DISTINCT FROM b.m",
+    "q_results": f"""WITH g AS (SELECT result_id id, max(text) x0, max(error) error FROM generation_results WHERE record_id IN (SELECT id FROM sft_records WHERE task = 'shipment_extraction') AND result_id IS NOT NULL GROUP BY 1),
+u AS (SELECT id, x0, error, {_UNWRAPPED.replace("(x,", "(x0,")} x FROM g), v AS (SELECT *, CASE WHEN json_valid(x) AND x = {_BARE} AND NOT starts_with(x, '```') THEN x END t FROM u), w AS (SELECT *, CASE WHEN {_FITS} THEN t END f FROM v),
+s AS (SELECT id, CASE WHEN error IS NOT NULL OR x0 IS NULL THEN 'backend_error' WHEN f IS NULL THEN 'invalid_output' ELSE 'ok' END status, f FROM w)
+SELECT id, status, CASE WHEN status = 'ok' THEN round({_KG('f')}, 6) END AS weight_kg, CASE WHEN status = 'ok' THEN CAST(json_extract(f, '$.card.pieces') AS BIGINT) END AS pieces, CASE WHEN status = 'ok' AND json_type(f, '$.card.pieces') = 'NULL' THEN 'pieces=1' ELSE '' END AS assumptions,
+  CASE WHEN status = 'ok' AND {_KG('f')} > 25000 THEN 'weight_implausible' ELSE '' END AS warnings FROM s""",
     "q_latency": "SELECT model_id, count(latency_s) AS n, min(latency_s) AS min_value, quantile_disc(latency_s, 0.5) AS p50, quantile_disc(latency_s, 0.95) AS p95, max(latency_s) AS max_value FROM generation_results GROUP BY 1",
     "q_extraction_status": "SELECT model_id, status, count(*) AS n, count(derived.weight_total_kg) AS n_weights, round(avg(derived.pieces), 6) AS mean_pieces FROM extractions GROUP BY 1, 2",
     "q_weight_spelling": f"""WITH l AS (SELECT load_id, weight_lbs::HUGEINT * 45359237 n, weight_lbs w, pieces FROM {_ONE} WHERE weight_lbs > 0 AND pieces > 0)

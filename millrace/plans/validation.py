@@ -12,7 +12,7 @@ from millrace.operators import validate as v
 from millrace.functions import json_answers as ja
 from millrace.functions.keys import canonical_key, canonical_key_sql
 from millrace.operators.facts import assign_conditions, build_facts, completeness
-from millrace.operators.render import render_requests
+from millrace.operators.render import lost_fields, render_conditioned, render_requests, self_check
 from millrace.operators.sampling import group_split, sample_plan
 from millrace.plans import profiling as pr
 from millrace.plans import sqltext as S
@@ -242,6 +242,32 @@ def q_rendered(spark: SparkSession, sf: str) -> DataFrame:
     return render_requests(facts).select("id", "language", "template_family", "hard_case", "text", F.col("gold.weight").alias("weight"), F.col("gold.unit").alias("unit"))
 
 
+def _rendered_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return render_conditioned(_conditioned(spark, sf).filter("equipment_type <> 'dry_van'"))
+
+
+def q_rendered_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with equipment and conditions in words, and their gold answers."""
+    return _rendered_v2(spark, sf)
+
+
+def q_lost_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that a request drops though its gold states them: its last sentence of dates is cut off here for every seventh load."""
+    r = _rendered_v2(spark, sf)
+    seventh = F.regexp_replace("load_id", "[^0-9]", "").cast("bigint") % 7 == 0
+    return lost_fields(r.withColumn("text", F.when(seventh, F.regexp_replace("text", r"(Забрать|Pick up) [0-9-]+, (доставить|deliver) [0-9-]+\.", "")).otherwise(F.col("text")))).select("record_id", "code", "message")
+
+
+def q_self_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rendered requests read back by the extractor: how many were checked, and in how many it reads a field otherwise than the gold."""
+    r = _rendered_v2(spark, sf)
+    cities = pr._places(spark, sf).select("city").filter("city is not null").distinct()
+    g = ex.Gazetteer({r["city"]: r["city"] for r in cities.toLocalIterator()})
+    wrong = self_check(r, g).groupBy("field").agg(F.count(F.lit(1)).alias("n_wrong"))
+    fields = spark.createDataFrame([(f,) for f in ("pieces", "equipment_type", "weight", "origin", "destination", "pickup_date", "delivery_date", "conditions")], "field string")
+    return fields.join(wrong, "field", "left").select("field", F.lit(r.count()).cast("bigint").alias("n_checked"), F.coalesce("n_wrong", F.lit(0)).cast("bigint").alias("n_wrong"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _USER = S.user_text()
@@ -292,8 +318,8 @@ _RECORD_CHECKS = _checks(f"SELECT id, split, task, schema_version, {_GOLD} answe
 
 
 def _class(classes: dict[str, str]) -> str:
-    """Class with most stems, the earlier of equal ones."""
-    votes = [" + ".join(f"CAST(regexp_matches(low, '{ex.stem_pattern(w.replace(' ', '_'))}') AS INT)" for w in ex.stems(ws)) for ws in classes.values()]
+    """Class named most often, the earlier of equal ones."""
+    votes = [f"len(regexp_extract_all(low, '{ex.stem_pattern(ws)}'))" for ws in classes.values()]
     names = ", ".join(f"'{n}'" for n in classes)
     return f"(SELECT CASE WHEN list_max(n) > 0 THEN [{names}][list_position(n, list_max(n))] END FROM (SELECT [{', '.join(votes)}] n))"
 
@@ -320,6 +346,8 @@ ORACLE = {
     "q_holdout_mismatch": f"""WITH h AS (SELECT DISTINCT plan, {_K("route_id")} v FROM holdout_routes WHERE plan IS NOT NULL AND {_K("route_id")} IS NOT NULL), n AS (SELECT count(DISTINCT plan) n FROM h)
 SELECT '<manifests>' AS record_id, NULL::VARCHAR AS split, 'HOLDOUT_MISMATCH' AS code, v || ' held out by ' || count(*) || ' of ' || n || ' plans' AS message FROM h, n GROUP BY v, n HAVING count(*) < n""",
     "q_conditions_assigned": _CONDITIONED + "SELECT load_id, profile, equipment_type, pieces, kinds, listed, length, width FROM d",
+    "q_lost_fields": _CONDITIONED + """SELECT 'rv-' || d.load_id AS record_id, 'LOST_FIELD' AS code, unnest(CASE WHEN f.pickup_date IS NULL THEN [] ELSE ['pickup_date', 'delivery_date'] END) AS message FROM d JOIN f USING (load_id) WHERE d.equipment_type <> 'dry_van' AND CAST(regexp_replace(d.load_id, '[^0-9]', '', 'g') AS BIGINT) % 7 = 0""",
+    "q_self_check": _CONDITIONED + "SELECT unnest(['pieces', 'equipment_type', 'weight', 'origin', 'destination', 'pickup_date', 'delivery_date', 'conditions']) AS field, n AS n_checked, 0::BIGINT AS n_wrong FROM (SELECT count(*) n FROM d WHERE equipment_type <> 'dry_van')",
     "q_incomplete_facts": _CONDITIONED + "SELECT load_id AS record_id, 'MISSING' AS code, 'missing special_conditions.temperature' AS message FROM d WHERE profile = 'plain' OR (profile = 'none' AND equipment_type = 'reefer')",
     "q_sample_plan_sizes": f"""WITH l AS (SELECT {_K("route_id")} IN (SELECT {_K("route_id")} FROM holdout_routes WHERE {_K("route_id")} IS NOT NULL) held FROM {pr._L} WHERE route_id IS NOT NULL), n AS (SELECT count(*) FILTER (coalesce(held, false)) h FROM l)
 SELECT * FROM (SELECT unnest(['train', 'val', 'test', 'test_ood', 'test_ood', 'test_ood']) AS split, unnest([NULL, NULL, NULL, 'family', 'route', 'both']) AS ood_reason, unnest([120, 12, 16, 10, (least(h, 20) + 1) // 2, least(h, 20) // 2])::BIGINT AS n, unnest([120, 12, 16, 10, (least(h, 20) + 1) // 2, least(h, 20) // 2])::BIGINT AS n_loads,

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.schemas import RECORD, columns, parse
+from millrace.schemas import RECORD, columns, parse, schema_of
 
 _READ = "ok boolean, id string, code string, message string"
 _FIELDS = columns(RECORD)
@@ -64,3 +64,26 @@ def parse_gauges(lines: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Lines of comma-separated gauges as doubles; a bad cell is null, a line with another number of cells is dropped."""
     cells = F.split(F.col(column), ",")
     return lines.filter(F.size(cells) == len(names)).select(*[F.trim(cells[i]).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def refuse(issues: DataFrame, what: str) -> None:
+    """ValueError naming how many issues there are and the first three, where there are any: a batch is taken whole or not at all."""
+    first = issues.orderBy("record_id", "code").limit(3).collect()
+    if first:
+        said = "; ".join(f"{r['record_id']}: {r['code']} {r['message']}" for r in first)
+        raise ValueError(f"{what}: {issues.count()} issues, e.g. {said}")
+
+
+def save_facts(facts: DataFrame, path: str) -> None:
+    """JSON lines, nulls kept, ordered by load_id over all files."""
+    facts.repartitionByRange("load_id").sortWithinPartitions("load_id").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_facts(spark: SparkSession, path: str, version: str = "facts_v1") -> DataFrame:
+    """Facts of JSON lines; ValueError naming a file and its line where one does not read."""
+    schema = schema_of("facts", version)
+    df = spark.read.schema(schema.add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path).withColumn("_file", F.input_file_name())
+    bad = df.select("_bad", "_file", "load_id").filter("_bad is not null or load_id is null").orderBy("_file").first()
+    if bad:
+        raise ValueError(f"{bad['_file']}: no fact of {version}: {(bad['_bad'] or 'load_id is missing')[:80]}")
+    return df.drop("_bad", "_file")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from pathlib import Path
 
@@ -88,3 +89,20 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     cells = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
     return "\n".join([cells(df.columns), cells(["-"] * len(df.columns)), *map(cells, rows)])
+
+
+def json_report(path: str, sections: dict[str, DataFrame], limit: int = 1000) -> None:
+    """Small results as one JSON file, a list of rows per section; ValueError where a section has more than ``limit`` rows."""
+    out = {}
+    for name, df in sections.items():
+        rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+        if len(rows) > limit:
+            raise ValueError(f"{name} has more than {limit} rows: a table, not a report")
+        out[name] = rows
+    write_text(path, json.dumps(out, ensure_ascii=False, indent=1, default=str) + "\n")
+
+
+def write_review(df: DataFrame, path: str) -> None:
+    """Candidates (id, text) for people to judge: one CSV with an empty verdict and comment, ordered by id, quoted throughout."""
+    sheet = df.select("id", "text", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("comment"))
+    sheet.coalesce(1).sortWithinPartitions("id").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

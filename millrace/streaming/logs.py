@@ -11,23 +11,58 @@ def log_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json") -
     return spark.readStream.format(fmt).schema(schema).load(path)
 
 
-def upsert_last(stream: DataFrame, target: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last row per key in the table at ``target``: each batch is merged and written beside the old table, which is then replaced.
+def upsert_last(stream: DataFrame, target: str, key: str, order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the last row per key in the table at ``target``: a batch rewrites only the buckets of keys it touches.
 
-    A repeated batch gives the same table, so a restart loses and doubles nothing.
+    Each batch writes its merged buckets as a new epoch beside the old ones; the
+    table is the newest epoch of every bucket (``last_epoch``). A repeated batch
+    gives the same table, so a restart loses and doubles nothing. Of each
+    bucket the epoch before the newest is kept, older ones are removed.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = f"{target}/epoch={epoch - 1}"
-        old = spark.read.parquet(last) if epoch and _exists(spark, last) else None
-        rows = batch if old is None else old.unionByName(batch.select(*old.columns))
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        newest = _newest(spark, target, epoch)
+        if newest is not None:
+            known = {r["bucket"]: r["epoch"] for r in newest.collect() if r["bucket"] in touched}
+            old = _table(spark, target, newest).filter(F.col("bucket").isin(*touched)).drop("epoch")
+            rows = old.select(*rows.columns).unionByName(rows)
         w = Window.partitionBy(key).orderBy(F.col(order).desc())
-        rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/epoch={epoch}")
+        if newest is not None:
+            _prune(spark, target, known)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """(bucket, epoch): the newest epoch of every bucket, of those before ``before``; one row per bucket."""
+    if not _exists(spark, target):
+        return None
+    df = spark.read.parquet(target)
+    return (df if before is None else df.filter(F.col("epoch") < before)).groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+
+
+def _table(spark: SparkSession, target: str, newest: DataFrame) -> DataFrame:
+    return spark.read.parquet(target).join(F.broadcast(newest), ["bucket", "epoch"])
+
+
+def _prune(spark: SparkSession, target: str, kept: dict[int, int]) -> None:
+    """Removes the epochs of each bucket before the kept one."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("epoch="):
+            for bucket, epoch in kept.items():
+                if int(name[6:]) < epoch:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), f"bucket={bucket}"), True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
@@ -35,9 +70,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def last_epoch(spark: SparkSession, target: str) -> DataFrame:
     """The table as of the last finished batch."""
-    df = spark.read.parquet(target)
-    newest = df.agg(F.max("epoch")).first()[0]
-    return df.filter(F.col("epoch") == newest).drop("epoch")
+    return _table(spark, target, _newest(spark, target)).drop("epoch", "bucket")
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: list[str], value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

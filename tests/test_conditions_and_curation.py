@@ -18,8 +18,8 @@ def cond(kind, lo=None, hi=None, methods=None, length=None):
 
 def compared(spark, rows, missing=()):
     df = spark.createDataFrame(rows, ROW).withColumn("m", F.array(*[F.lit(x) for x in missing]) if missing else F.array().cast("array<string>"))
-    got = c.compared(F.col("gold"), F.col("answer"), F.col("m"), F.lit(False))
-    labels = F.array_compact(F.array(*got.labels))
+    df, got = c.compared(df, F.col("gold"), F.col("answer"), F.col("m"), F.lit(False))
+    labels = got.labels
     return {r["id"]: r for r in df.select("id", F.create_map(*[x for k in c.KINDS for x in (F.lit(k), got.correct[k])]).alias("ok"), labels.alias("labels"), got.invented.alias("invented"), got.gold_kinds.alias("g"), got.answer_kinds.alias("a")).collect()}
 
 

@@ -103,6 +103,22 @@ def test_stream_upsert(spark, tmp_path):
     assert {(r["id"], r["n"]) for r in last_epoch(spark, out).collect()} == {("a", 2), ("b", 1), ("c", 1)}
 
 
+def test_stream_upsert_of_many_batches(spark, tmp_path):
+    """Batches touch some buckets each; the table is the last row of every key, and only two epochs of a bucket remain."""
+    import os
+
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    want = {}
+    for n in range(5):
+        rows = [(f"k{i}", 10 * n + i) for i in range(n, n + 6)]
+        want.update(rows)
+        spark.createDataFrame(rows, "id string, n int").coalesce(1).write.mode("append").json(src)
+        upsert_last(log_stream(spark, src, "id string, n int"), out, "id", "n", ck, buckets=4).awaitTermination()
+    assert {(r["id"], r["n"]) for r in last_epoch(spark, out).collect()} == set(want.items())
+    held = [b for e in os.listdir(out) if e.startswith("epoch=") for b in os.listdir(f"{out}/{e}") if b.startswith("bucket=")]
+    assert max(held.count(b) for b in set(held)) <= 2
+
+
 def test_stream_windows_as_batch(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, h, m), "x" if m else "y", float(h)) for h in range(6) for m in (0, 30)]
     df = spark.createDataFrame(rows, "ts timestamp, k string, v double")
