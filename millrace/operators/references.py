@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import canonical_key
-from millrace.session import hot_keys, salted_join
+from millrace.session import hot_keys, salted_join, written
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,8 @@ def broken_references(
     Empty tables: no parents make all references missing, no children give no
     rows. Extra columns are not read.
     """
-    refs = reduce(DataFrame.unionByName, [child_references(c) for c in children])
+    # Both the search for hot keys and the join read them: the children are aggregated once.
+    refs = written(reduce(DataFrame.unionByName, [child_references(c) for c in children]))
     rows = sum(c.df.count() * len(c.refs) for c in children)
     hot = hot_keys(refs, ["parent_table", "ref_key"], rows, hot_share)
     merged = salted_join(refs, parent_intervals(parents, tombstones), ["parent_table", "ref_key"], hot, "child_id")
