@@ -71,8 +71,10 @@ def q_family_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_holdout_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes that only some plans hold out."""
-    return v.holdout_mismatch(table(spark, sf, "holdout_routes"), "plan", "route_id")
+    """Routes held out by the plan but not by the sample, or the other way round: the sample's are those of its loads that are out of distribution by route."""
+    plan = table(spark, sf, "sample_plan").filter("ood_reason in ('route', 'both')").select(canonical_key("load_id").alias("k")).filter("k is not null").distinct()
+    used = table(spark, sf, "loads").select(canonical_key("load_id").alias("k"), "route_id").join(plan, "k", "left_semi")
+    return v.holdout_mismatch(table(spark, sf, "holdout_routes").select("plan", "route_id").unionByName(used.select(F.lit("sample").alias("plan"), "route_id")), "plan", "route_id")
 
 
 #: Profiles of the condition assignment, by category.
@@ -343,7 +345,8 @@ ORACLE = {
     "q_record_checks": _RECORD_CHECKS,
     "q_answer_checks": "SELECT code, count(*) AS n_issues FROM (" + _checks("SELECT DISTINCT CAST(result_id AS VARCHAR) id, NULL::VARCHAR split, 'shipment_extraction' task, 'card_v1' schema_version, text answer FROM generation_results WHERE record_id IN (SELECT id FROM sft_records WHERE task = 'shipment_extraction')") + ") GROUP BY 1",
     "q_family_leaks": "SELECT DISTINCT id AS record_id, split, 'OOD_FAMILY_LEAK' AS code, 'held-out family T8' AS message FROM sft_records WHERE template_family = 'T8' AND split IN ('train', 'val', 'test')",
-    "q_holdout_mismatch": f"""WITH h AS (SELECT DISTINCT plan, {_K("route_id")} v FROM holdout_routes WHERE plan IS NOT NULL AND {_K("route_id")} IS NOT NULL), n AS (SELECT count(DISTINCT plan) n FROM h)
+    "q_holdout_mismatch": f"""WITH h AS (SELECT DISTINCT plan, {_K("route_id")} v FROM (SELECT plan, route_id FROM holdout_routes UNION ALL
+  SELECT 'sample', route_id FROM loads WHERE {_K("load_id")} IN (SELECT {_K("load_id")} FROM sample_plan WHERE ood_reason IN ('route', 'both') AND {_K("load_id")} IS NOT NULL)) WHERE plan IS NOT NULL AND {_K("route_id")} IS NOT NULL), n AS (SELECT count(DISTINCT plan) n FROM h)
 SELECT '<manifests>' AS record_id, NULL::VARCHAR AS split, 'HOLDOUT_MISMATCH' AS code, v || ' held out by ' || count(*) || ' of ' || n || ' plans' AS message FROM h, n GROUP BY v, n HAVING count(*) < n""",
     "q_conditions_assigned": _CONDITIONED + "SELECT load_id, profile, equipment_type, pieces, kinds, listed, length, width FROM d",
     "q_lost_fields": _CONDITIONED + """SELECT 'rv-' || d.load_id AS record_id, 'LOST_FIELD' AS code, unnest(CASE WHEN f.pickup_date IS NULL THEN [] ELSE ['pickup_date', 'delivery_date'] END) AS message FROM d JOIN f USING (load_id) WHERE d.equipment_type <> 'dry_van' AND CAST(regexp_replace(d.load_id, '[^0-9]', '', 'g') AS BIGINT) % 7 = 0""",
