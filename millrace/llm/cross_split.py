@@ -5,14 +5,18 @@
    least one of them stands unchanged in every partner. Which pieces are cut
    only decides the cost: those that are rarest by the counts of words and
    word pairs over all training texts (a shortest path over the text).
-2. The pieces are sharded by hash. A training text is sent only to the shards
-   of pieces it holds: its own word runs are looked up in a bitmap of all
-   pieces, whose size is fixed, so a text without any goes nowhere.
-3. In each shard one automaton over the pieces scans the training texts sent
-   there. A pair with a piece at a place that ``k`` edits allow is verified by
-   bit-parallel edit distance over the words themselves; the matched intervals
-   of the pair are kept and merge into the coverage of the evaluation record.
-   Shards with many texts are divided into a grid of their own.
+2. The pieces are sharded by hash. Of a training text only the runs of words
+   that may be pieces go to the shards of those pieces, as codes of the words
+   with a sketch of the whole text and never with its body: the runs are looked
+   up in a bitmap of all pieces, so a text without any goes nowhere. Shards
+   with many texts are divided into a grid of cells.
+3. In each cell one automaton over the pieces scans the runs sent there. A pair
+   with a piece at a place that ``k`` edits allow is kept if the sketches,
+   parities of the words at fixed places, can be that many edits apart: an edit
+   changes two places at most, so no near pair is lost.
+4. The bodies of the pairs kept are joined and decide by bit-parallel edit
+   distance over the words themselves; the matched intervals of the pair merge
+   into the coverage of the evaluation record.
 """
 
 from __future__ import annotations
@@ -30,15 +34,20 @@ from millrace.functions.keys import canonical_key
 from millrace.session import cut, hot_keys, salted_join, written
 
 #: Pieces in one shard and texts of one side in one cell: both bound a task's memory, neither what is compared.
-SHARD_PIECES = 800_000
-CELL_TEXTS = 100_000
+SHARD_PIECES = 300_000
+CELL_TEXTS = 2_000_000
+#: Pairs compared by their sketches at a time, stretches of words scanned at a time.
+PAIRS_AT_ONCE = 1_000_000
+STRETCHES_AT_ONCE = 200_000
 #: Words of a text that are cut into pieces together, and the lengths of pieces (one word only for texts of one word).
 BLOCK_WORDS = 80
 SIZES = (2, 4)
 #: Words and pairs in at least one of so many training texts are counted, which bounds how many counts there are.
 COUNTED_IN = 10_000
-#: Bits of the bitmap of pieces: 64 per piece, at most 2^28 (32 MB, broadcast); a fuller one only sends more texts.
-MOST_BITS = 28
+#: Bits of the bitmap of pieces, of which each sets two: 64 per piece, at most 2^29 (64 MB, broadcast); a fuller one only sends more texts.
+MOST_BITS = 29
+#: 64-bit words of a sketch.
+LANES = 2
 #: Rows from which a text or load is spread over tasks in the last joins.
 HOT_ROWS = 200_000
 EVAL_SPLITS = ("val", "test", "test_ood", "bench")
@@ -142,6 +151,25 @@ def whole(sizes: np.ndarray, size: int) -> np.ndarray:
     return np.arange(total - size + 1) + size <= ends[: total - size + 1]
 
 
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, LANES): parity of the words at each of 64 * LANES places. A word edit changes two places at most."""
+    place = ((flat * _MIX) >> np.uint64(40)) % np.uint64(64 * LANES)
+    bit, begin = np.uint64(1) << (place & np.uint64(63)), np.cumsum(sizes) - sizes
+    return np.stack([np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == np.uint64(k), bit, np.uint64(0)), begin) for k in range(LANES)], axis=1)
+
+
+def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each slice, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def first_of(*keys: np.ndarray) -> np.ndarray:
+    """Positions at which a new combination of sorted keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([np.ones(1, bool), np.logical_or.reduce([np.diff(k) != 0 for k in keys])]))
+
+
 def short(hashes: np.ndarray) -> np.ndarray:
     """31 bits of a hash: enough for estimates."""
     return (hashes & np.int64(0x7FFFFFFF)).astype(np.int32)
@@ -222,7 +250,7 @@ def _cheapest(costs: dict[int, np.ndarray], starts: np.ndarray, length: int, pie
 
 
 def cut_pieces(flat: np.ndarray, sizes: np.ndarray, rarity: Rarity, share: float) -> pd.DataFrame:
-    """(text, at, size, h): k + 1 disjoint pieces of each text, k being the most word edits towards any partner.
+    """(text, at, size, h, cost): k + 1 disjoint pieces of each text, k being the most word edits towards any partner.
 
     A partner of m words has at most share * m edits and n >= m - share * m.
     """
@@ -244,8 +272,13 @@ def cut_pieces(flat: np.ndarray, sizes: np.ndarray, rarity: Rarity, share: float
         at.append((first + starts[:, None]).ravel())
         size.append(width.ravel())
     if not text:
-        return pd.DataFrame({"text": [], "at": [], "size": [], "h": []}).astype("int64")
+        return pd.DataFrame({"text": [], "at": [], "size": [], "h": [], "cost": []}).astype("int64")
     out = pd.DataFrame({"text": np.concatenate(text), "at": np.concatenate(at), "size": np.concatenate(size)})
+    out["cost"] = 0
+    for s in (1, *SIZES):
+        mine = (out["size"] == s).to_numpy()
+        if mine.any():
+            out.loc[mine, "cost"] = np.ceil(np.minimum(costs[s][out.loc[mine, "at"].to_numpy()], 2e9)).astype(np.int64)
     out["h"] = 0
     for s in (1, *SIZES):
         mine = (out["size"] == s).to_numpy()
@@ -255,10 +288,10 @@ def cut_pieces(flat: np.ndarray, sizes: np.ndarray, rarity: Rarity, share: float
     return out
 
 
-def bitmap_of(pieces: DataFrame, bits: int, column: str = "h") -> np.ndarray:
-    """Bit h mod 2^bits of every hash, as bytes: aggregated by the tasks in parts of 4 KB, 2^bits / 8 bytes at most in all."""
+def bitmap_of(numbers: DataFrame, bits: int, column: str = "h") -> np.ndarray:
+    """Bit h mod 2^bits of every number, as bytes: aggregated by the tasks in parts of 4 KB, 2^bits / 8 bytes at most in all."""
     bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    parts = pieces.select((bit / 32768).cast("int").alias("part"), (bit % 32768).alias("pos")).groupBy("part").agg(F.expr("bitmap_construct_agg(pos)").alias("map"))
+    parts = numbers.select((bit / 32768).cast("int").alias("part"), (bit % 32768).alias("pos")).groupBy("part").agg(F.expr("bitmap_construct_agg(pos)").alias("map"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in parts.toLocalIterator():
         got = np.frombuffer(r["map"], np.uint8)
@@ -271,6 +304,13 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0
 
 
+def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of a hash are set, the second being the first of the upper half of the hash."""
+    out = in_bitmap(bitmap, h)
+    out[out] = in_bitmap(bitmap, h[out] >> np.int64(32))
+    return out
+
+
 def held_pieces(flat: np.ndarray, sizes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, first word, words) of the runs of words of the texts that are in the bitmap, in order of the texts."""
     owner, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
@@ -279,7 +319,8 @@ def held_pieces(flat: np.ndarray, sizes: np.ndarray, bitmap: np.ndarray) -> tupl
         h, ok = runs_of(flat, s), whole(sizes, s)
         if s == 1:
             ok = ok & (np.repeat(sizes, sizes) == 1)  # single words are pieces of texts of one word, whose partners have one too
-        at = np.flatnonzero(ok & in_bitmap(bitmap, h))
+        at = np.flatnonzero(ok)
+        at = at[in_filter(bitmap, h[at])]
         parts.append((owner[at], h[at], at - begin[owner[at]], np.full(len(at), s)))
     text, h, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(text, kind="stable")
@@ -299,20 +340,20 @@ def matched_spans(mine: list[str], other: set[tuple[str, str]]) -> list[int]:
 
 
 class WordAutomaton:
-    """Aho-Corasick over words: an automaton over characters would search the letters of every word one by one.
+    """Aho-Corasick over codes of words: an automaton over characters would search the letters of every word one by one.
 
     States are numbers; the step from a state by a word is one look-up.
     """
 
-    def __init__(self, pieces: dict[tuple[str, ...], list[tuple[int, int]]]):
-        self.ids: dict[str, int] = {}
+    def __init__(self, pieces: dict[tuple[int, ...], int]):
+        self.ids: dict[int, int] = {}
         for piece in pieces:
             for w in piece:
                 self.ids.setdefault(w, len(self.ids))
         self.base, self.step = max(1, len(self.ids)), {}
         parent, by, states = [0], [0], 1
-        ends: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
-        for piece, places in pieces.items():
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for piece, number in pieces.items():
             at = 0
             for w in piece:
                 edge = at * self.base + self.ids[w]
@@ -322,7 +363,7 @@ class WordAutomaton:
                     parent.append(edge // self.base)
                     by.append(self.ids[w])
                     states += 1
-            ends.setdefault(at, []).append((len(piece), places))
+            ends.setdefault(at, []).append((len(piece), number))
         self.fall, depth = [0] * states, [0] * states
         layers: dict[int, list[int]] = {}
         for n in range(1, states):  # parents have smaller numbers
@@ -338,9 +379,10 @@ class WordAutomaton:
                     ends[n] = ends.get(n, []) + ends[self.fall[n]]
         self.ends = ends
 
-    def find(self, words: list[str]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(first word, places of the piece) of every piece in ``words``."""
-        at, ids, step, base = 0, self.ids, self.step, self.base
+    def find(self, words: list[int]) -> tuple[list[int], list[int]]:
+        """First word and number of every piece in ``words``."""
+        at, ids, step, base, ends = 0, self.ids, self.step, self.base, self.ends
+        begins, numbers = [], []
         for n, w in enumerate(words):
             i = ids.get(w)
             if i is None:
@@ -351,77 +393,127 @@ class WordAutomaton:
                 at = self.fall[at]
                 to = step.get(at * base + i)
             at = to or 0
-            if at in self.ends:
-                for size, places in self.ends[at]:
-                    yield n + 1 - size, places
-
-
-def stretches(marks: list[int]) -> list[tuple[int, int]]:
-    """Merged (first word, beyond the last) of marks, each first word * 8 + words: where a text can hold pieces at all."""
-    out: list[tuple[int, int]] = []
-    for mark in sorted(marks):
-        first, last = mark >> 3, (mark >> 3) + (mark & 7)
-        if out and first <= out[-1][1]:
-            if last > out[-1][1]:
-                out[-1] = (out[-1][0], last)
-        else:
-            out.append((first, last))
+            if at in ends:
+                for size, number in ends[at]:
+                    begins.append(n + 1 - size)
+                    numbers.append(number)
+        return begins, numbers
+
+
+#: Columns of the texts of one side in a cell, each the bytes of an array: per text, per run of words, per word.
+_ROUTED = {"id": np.int64, "sketch": np.uint64, "n": np.int32, "runs": np.int32, "mark": np.int32, "code": np.int32}
+_BLOBS = ", ".join(f"{c} binary" for c in _ROUTED)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second and so on: those of small numbers are zeros, which the shuffle compresses away."""
+    return np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(parts: Iterable[bytes], kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).reshape(-1).view(kind) for x in parts])
+
+
+def routed(ids: np.ndarray, sketch: np.ndarray, n: np.ndarray, codes: np.ndarray, cell: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """A row per cell with the texts sent there: runs of words (sorted by cell and text) go without the rest of their text.
+
+    ``start`` is where a run begins in ``codes``.
+    """
+    out = []
+    cuts = first_of(cell)
+    for a, b in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
+        first = first_of(text[a:b])
+        of, runs = text[a:b][first], np.diff(np.append(first, b - a))
+        mark = at[a:b] * 8 + size[a:b]
+        parts = (ids[of], sketch[of], n[of], runs, mark, codes[slices(start[a:b], size[a:b])])
+        out.append([int(cell[a]), *(planes(x.astype(t, copy=False)) for x, t in zip(parts, _ROUTED.values(), strict=True))])
+    return pd.DataFrame(out, columns=["cell", *_ROUTED])
+
+
+def _unpacked(side: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The arrays of all rows of a cell, with ``text``, the number of the text of each run."""
+    out = {c: from_planes(side[c], t) for c, t in _ROUTED.items()}
+    out["sketch"] = out["sketch"].reshape(-1, LANES)
+    out["text"] = np.repeat(np.arange(len(out["id"])), out["runs"])
     return out
 
 
 def _scan(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
-    """Pairs of one cell: the automaton over the pieces of ``evals`` scans ``trains``; distances are over the words."""
+    """Pairs of one cell that may be near: the automaton over the pieces of ``evals`` scans the runs of ``trains``."""
     gc.disable()  # nothing here is cyclic, and walking the automaton again and again takes longer than the search
     try:
-        return _pairs_of(evals, trains, share)
+        return _candidates(evals, trains, share)
     finally:
         gc.enable()
 
 
-def _pairs_of(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
-    columns = ["eval_key", "train_key", "distance", "spans"]
+def _candidates(evals: pd.DataFrame, trains: pd.DataFrame, share: float) -> pd.DataFrame:
     if not len(evals) or not len(trains):
-        return pd.DataFrame(columns=columns)
-    keys, bodies = evals["eval_key"].tolist(), evals["eval_body"].tolist()
-    lengths = [b.count(" ") + 1 for b in bodies]
-    own = [int(share * n + 1e-9) for n in lengths]
-    pieces: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-    for n, places in enumerate(evals["places"]):
-        words = bodies[n].split(" ")
-        for p in places.tolist():
-            pieces.setdefault(tuple(words[p >> 3 : (p >> 3) + (p & 7)]), []).append((n, p >> 3))
-    machine = WordAutomaton(pieces)
-    bags: dict[int, frozenset[str]] = {}
-    shared: dict[str, str] = {}  # one object per word, which keeps the bags small
+        return pd.DataFrame({"eval_id": np.empty(0, np.int64), "train_id": np.empty(0, np.int64)})
+    e, t = _unpacked(evals), _unpacked(trains)
+    del evals, trains
+    numbers: dict[tuple[int, ...], int] = {}
+    codes, at, number_of = e["code"].tolist(), 0, np.empty(len(e["mark"]), np.int64)
+    for i, size in enumerate((e["mark"] & 7).tolist()):
+        number_of[i] = numbers.setdefault(tuple(codes[at : at + size]), len(numbers))
+        at += size
+    del codes
+    machine = WordAutomaton(numbers)
+    order = np.argsort(number_of, kind="stable")
+    places = np.cumsum(np.bincount(number_of, minlength=len(numbers) + 1)) - np.bincount(number_of, minlength=len(numbers) + 1)
+    e_text, e_at = e["text"][order], (e["mark"] >> 3)[order].astype(np.int64)
+    e_most, t_most = (np.floor(share * x["n"] + 1e-9).astype(np.int64) for x in (e, t))
+    e_n, t_n = e["n"].astype(np.int64), t["n"].astype(np.int64)
+    t_size, t_at = (t["mark"] & 7).astype(np.int64), (t["mark"] >> 3).astype(np.int64)
+    t_end = np.cumsum(t_size)
+    found = []
+
+    def compare(hit_text: np.ndarray, hit_at: np.ndarray, low: np.ndarray, count: np.ndarray) -> None:
+        """Keep the pairs of a hit and the places of its piece which the allowed edits can bring about."""
+        i = slices(low, count)
+        a, b, begin = e_text[i], np.repeat(hit_text, count), np.repeat(hit_at, count)
+        most = np.maximum(e_most[a], t_most[b])
+        # As many edits as are allowed can shift a word, no more.
+        ok = (np.abs(begin - e_at[i]) <= most) & (np.abs(e_n[a] - t_n[b]) <= most)
+        a, b, most = a[ok], b[ok], most[ok]
+        ok = np.bitwise_count(e["sketch"][a] ^ t["sketch"][b]).sum(axis=1) <= 2 * most
+        found.append(np.unique(a[ok] * len(t_n) + b[ok]))
+
+    for r in range(0, len(t_size), STRETCHES_AT_ONCE):
+        size = t_size[r : r + STRETCHES_AT_ONCE]
+        # A word that no piece has ends each stretch.
+        words = np.full(int(size.sum()) + len(size), 1 << 40, np.int64)
+        starts = np.cumsum(size + 1) - (size + 1)
+        words[slices(starts, size)] = t["code"][t_end[r] - t_size[r] : t_end[r + len(size) - 1]]
+        begins, hits = (np.array(x, np.int64) for x in machine.find(words.tolist()))
+        if not len(hits):
+            continue
+        of = np.searchsorted(starts, begins, "right") - 1
+        hit_text, hit_at = t["text"][r + of], t_at[r + of] + begins - starts[of]
+        low, count = places[hits], places[hits + 1] - places[hits]
+        group = np.cumsum(count) // PAIRS_AT_ONCE
+        cuts = first_of(group)
+        for x, y in zip(cuts, np.append(cuts[1:], len(hits)), strict=True):
+            compare(hit_text[x:y], hit_at[x:y], low[x:y], count[x:y])
+        if len(found) > 50:
+            found = [np.unique(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pd.DataFrame({"eval_id": e["id"][pairs // len(t_n)], "train_id": t["id"][pairs % len(t_n)]})
+
+
+def _verified(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
+    """The near pairs of (eval_key, eval_body, train_key, train_body), by the words themselves."""
     out = []
-    for key, body, marks in zip(trains["train_key"], trains["train_body"], trains["marks"], strict=True):
-        x = body.split(" ")
-        m = len(x)
-        mine = int(share * m + 1e-9)
-        near: set[int] = set()
-        for first, last in stretches(marks.tolist()):
-            for begin, places in machine.find(x[first:last]):
-                for n, at in places:
-                    # As many edits as are allowed can shift a word, no more.
-                    most = mine if mine > own[n] else own[n]
-                    if -most <= begin + first - at <= most and -most <= lengths[n] - m <= most:
-                        near.add(n)
-        if not near:
+    for e_key, e_body, t_key, t_body in zip(*(pdf[c] for c in ("eval_key", "eval_body", "train_key", "train_body")), strict=True):
+        text, x = e_body.split(" "), t_body.split(" ")
+        most = int(share * max(len(text), len(x)) + 1e-9)
+        if len(set(x) & (other := set(text))) < max(len(text), len(x)) - most - (len(text) - len(other)):
             continue
-        bag, pairs = set(x), None
-        for n in near:
-            other = bags.get(n)
-            if other is None:
-                other = bags[n] = frozenset([shared.setdefault(w, w) for w in bodies[n].split(" ")])
-            most, length = max(mine, own[n]), lengths[n]
-            if len(bag & other) < max(length, m) - most - (length - len(other)):
-                continue
-            text = bodies[n].split(" ")
-            d = word_distance(text, x, most)
-            if d <= most:
-                pairs = pairs or set(zip(x, x[1:]))
-                out.append((keys[n], key, d, matched_spans(text, pairs)))
-    return pd.DataFrame(out, columns=columns)
+        d = word_distance(text, x, most)
+        if d <= most:
+            out.append((e_key, t_key, d, matched_spans(text, set(zip(x, x[1:])))))
+    return pd.DataFrame(out, columns=["eval_key", "train_key", "distance", "spans"])
 
 
 def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataFrame:
@@ -429,8 +521,7 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
 
     Inputs: (key, body) with distinct keys, body being words with one space
     between. spans are the merged intervals of words of the evaluation text
-    whose pairs stand in the training text. Empty texts match nothing. A pair
-    may come several times, with the same values.
+    whose pairs stand in the training text. Empty texts match nothing.
     """
     kind = evals.schema["key"].dataType.simpleString()
     sc = evals.sparkSession.sparkContext
@@ -448,81 +539,93 @@ def near_texts(evals: DataFrame, trains: DataFrame, share: float = 0.2) -> DataF
     # Each is in one of COUNTED_IN texts at least: no more than twice COUNTED_IN times the mean number of words come to the driver.
     frequent = counted.filter(F.col("n") >= max(3, total // COUNTED_IN)).toPandas()
     known = sc.broadcast((frequent["h"].to_numpy(np.int32), frequent["n"].to_numpy(np.int64)))
+    # Digests stand for keys until pairs are verified; two keys of one digest are verified both.
+    digest = F.xxhash64("key").alias("id")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rarity, memo = Rarity(*known.value, total), {}
         for pdf in batches:
-            out = cut_pieces(*word_hashes(pdf["body"], memo), rarity, share).sort_values("text", kind="stable")
+            flat, sizes = word_hashes(pdf["body"], memo)
+            out = cut_pieces(flat, sizes, rarity, share).sort_values("text", kind="stable")
             bounds = np.searchsorted(out["text"].to_numpy(), np.arange(1, len(pdf)))
-            parts = {"h": out["h"].to_numpy(np.int64), "place": (out["at"] * 8 + out["size"]).to_numpy(np.int32)}
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(dtype=object), "body": pdf["body"].to_numpy(dtype=object), **{c: pd.Series(np.split(x, bounds), dtype=object) for c, x in parts.items()}})
-
-    chosen = written(evals.select("key", "body").mapInPandas(choose, f"key {kind}, body string, h array<bigint>, place array<int>"))
+            size = out["size"].to_numpy()
+            start = (np.cumsum(sizes) - sizes)[out["text"].to_numpy()] + out["at"].to_numpy()
+            code = flat[slices(start, size)].astype(np.uint32).view(np.int32)
+            parts = {c: np.split(x, bounds) for c, x in (("h", out["h"].to_numpy(np.int64)), ("place", (out["at"] * 8 + out["size"]).to_numpy(np.int32)), ("expected", out["cost"].to_numpy(np.int32)))} | {"code": np.split(code, np.append(0, np.cumsum(size))[bounds])}
+            yield pd.DataFrame({"id": pdf["id"], "n": sizes.astype(np.int32), "sketch": [x.tobytes() for x in sketches(flat, sizes)], **{c: pd.Series(x, dtype=object) for c, x in parts.items()}})
+
+    schema = "id bigint, n int, sketch binary, h array<bigint>, place array<int>, expected array<int>, code array<int>"
+    chosen = written(evals.select(digest, "body").mapInPandas(choose, schema), "zstd")
     pieces = int(chosen.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0)
     bits, shards = min(MOST_BITS, max(18, (64 * pieces).bit_length())), max(1, -(-pieces // SHARD_PIECES))
-    of_evals = sc.broadcast(bitmap_of(chosen.select(F.explode("h").alias("h")), bits))
-    shard_of = lambda h: F.pmod(h, F.lit(shards)).cast("int")
-
-    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The different hashes of a batch that are pieces, and how many of its texts have one in each shard."""
-        memo: dict[str, int] = {}
-        for pdf in batches:
-            text, h, _, _ = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
-            shard, n = np.unique(np.unique(np.stack([h % shards, text]), axis=1)[0] if len(h) else h, return_counts=True)
-            h = np.unique(h)
-            yield pd.DataFrame({"h": np.concatenate([h, shard]), "n": np.concatenate([np.zeros(len(h), np.int64), n])})
+    of_evals = sc.broadcast(bitmap_of(chosen.select(F.explode("h").alias("h")).select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h")), bits))
 
-    held = cut(trains.select("body").mapInPandas(hold, "h bigint, n bigint"))
-    of_trains = sc.broadcast(bitmap_of(held.filter("n = 0"), bits))
+    # A shard is a grid of cells by the texts of either side to be expected; there is one shard per SHARD_PIECES pieces, so few rows come to the driver.
+    shard_of = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
+    left_rows = {r["shard"]: r["n"] for r in chosen.select(F.explode("h").alias("h")).groupBy(shard_of).agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot = chosen.select(F.explode(F.arrays_zip("h", "expected")).alias("x")).select("x.h", F.col("x.expected").alias("n")).filter(F.col("n") >= max(1, CELL_TEXTS // 100))
+    hot_rows = {r["shard"]: r["n"] for r in hot.groupBy("h").agg(F.max("n").alias("n")).groupBy(shard_of).agg(F.sum("n").alias("n")).collect()}
+    rows = np.array([-(-left_rows.get(k, 0) // CELL_TEXTS) or 1 for k in range(shards)], np.int64)
+    cols = np.array([-(-min(total, hot_rows.get(k, 0) + 32 * total // shards) // CELL_TEXTS) or 1 for k in range(shards)], np.int64)
+    base = np.cumsum(rows * cols) - rows * cols
 
     def route_evals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each text with its pieces of one shard that some training text holds."""
         for pdf in batches:
-            sizes = np.array([len(x) for x in pdf["h"]], np.int64)
-            if not sizes.sum():
+            runs = np.array([len(x) for x in pdf["h"]], np.int64)
+            if not runs.sum():
                 continue
-            h, place = (np.concatenate(pdf[c].tolist()) for c in ("h", "place"))
-            text, shard = np.repeat(np.arange(len(sizes)), sizes), h % shards
-            order = np.lexsort((shard, text))
-            order = order[in_bitmap(of_trains.value, h[order])]
-            if not len(order):
-                continue
-            text, shard, places = text[order], shard[order], place[order].astype(np.int32)
-            first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(text) != 0) | (np.diff(shard) != 0)]))
-            of = text[first]
-            yield pd.DataFrame({
-                "shard": shard[first].astype(np.int32), "eval_key": pdf["key"].to_numpy(dtype=object)[of], "eval_body": pdf["body"].to_numpy(dtype=object)[of],
-                "places": pd.Series(np.split(places, first[1:]), dtype=object),
-            })
+            h, place, code = (np.concatenate(pdf[c].tolist()) for c in ("h", "place", "code"))
+            text, shard, size = np.repeat(np.arange(len(runs)), runs), h % shards, (place & 7).astype(np.int64)
+            start, ids = np.cumsum(size) - size, pdf["id"].to_numpy(np.int64)
+            # Every cell of the row.
+            again = cols[shard]
+            cell = slices(base[shard] + ids[text] % rows[shard] * cols[shard], again)
+            text, place, size, start = (np.repeat(x, again) for x in (text, place, size, start))
+            o = np.lexsort((text, cell))
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, LANES)
+            yield routed(ids, sketch, pdf["n"].to_numpy(), code, cell[o], text[o], (place >> 3)[o].astype(np.int64), size[o], start[o])
 
     def route_trains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The runs of words that may be pieces, to the shards of the pieces."""
         memo: dict[str, int] = {}
         for pdf in batches:
-            text, h, at, size = held_pieces(*word_hashes(pdf["body"], memo), of_evals.value)
+            flat, sizes = word_hashes(pdf["body"], memo)
+            text, h, at, size = held_pieces(flat, sizes, of_evals.value)
             if not len(text):
                 continue
-            shard = h % shards
-            order = np.lexsort((shard, text))
-            text, shard, marks = text[order], shard[order], (at * 8 + size)[order].astype(np.int32)
-            first = np.flatnonzero(np.concatenate([np.ones(1, bool), (np.diff(text) != 0) | (np.diff(shard) != 0)]))
-            of = text[first]
-            yield pd.DataFrame({
-                "shard": shard[first].astype(np.int32), "train_key": pdf["key"].to_numpy(dtype=object)[of], "train_body": pdf["body"].to_numpy(dtype=object)[of],
-                "marks": pd.Series(np.split(marks, first[1:]), dtype=object),
-            })
-
-    left = chosen.mapInPandas(route_evals, f"shard int, eval_key {kind}, eval_body string, places array<int>")
-    right = trains.select("key", "body").mapInPandas(route_trains, f"shard int, train_key {kind}, train_body string, marks array<int>")
-    # A shard is a grid of cells by the number of its texts; there is one shard per SHARD_PIECES pieces, so few rows are counted and broadcast.
-    cells = lambda df, n, name: df.groupBy("shard").agg(F.ceil(F.sum(n) / CELL_TEXTS).cast("int").alias(name))
-    of_left = chosen.select(F.explode(F.array_distinct(F.transform("h", shard_of))).alias("shard"))
-    grid = F.broadcast(cells(of_left, F.lit(1), "n_left").join(cells(held.filter("n > 0").withColumn("shard", F.col("h").cast("int")), F.col("n"), "n_right"), "shard"))
-    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    by = ["shard", "row", "col"]
-    left = left.join(grid, "shard").withColumn("row", spread("eval_key", "n_left")).select("shard", "row", every("n_right").alias("col"), "eval_key", "eval_body", "places")
-    right = right.join(grid, "shard").withColumn("col", spread("train_key", "n_right")).select("shard", every("n_left").alias("row"), "col", "train_key", "train_body", "marks")
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _scan(a, b, share), f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
+            shard, ids = h % shards, pdf["id"].to_numpy(np.int64)
+            # Every cell of the column.
+            again = rows[shard]
+            row = slices(np.zeros(len(shard), np.int64), again)
+            text, shard, at, size = (np.repeat(x, again) for x in (text, shard, at, size))
+            cell = base[shard] + row * cols[shard] + ids[text] % cols[shard]
+            o = np.lexsort((text, cell))
+            yield routed(ids, sketches(flat, sizes), sizes, flat.astype(np.uint32).view(np.int32), cell[o], text[o], at[o], size[o], (np.cumsum(sizes) - sizes)[text[o]] + at[o])
+
+    left = chosen.mapInPandas(route_evals, f"cell int, {_BLOBS}")
+    right = trains.select(digest, "body").mapInPandas(route_trains, f"cell int, {_BLOBS}")
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(lambda a, b: _scan(a, b, share), "eval_id bigint, train_id bigint")
+    found = written(found.distinct(), "zstd")
+    found_rows = found.count()
+
+    def bodies(texts: DataFrame, side: str) -> DataFrame:
+        """Keys and texts of the pairs found, few of all: a bitmap spares moving the others."""
+        some = found.select(F.col(f"{side}_id").alias("h"))
+        wanted = sc.broadcast(bitmap_of(some, min(MOST_BITS, max(18, (64 * found_rows).bit_length()))))
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf[in_bitmap(wanted.value, pdf[f"{side}_id"].to_numpy(np.int64))]
+
+        named = texts.select(digest.alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), F.col("body").alias(f"{side}_body"))
+        return named.mapInPandas(pick, named.schema)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _verified(pdf, share)
+
+    both = found.join(bodies(evals, "eval"), "eval_id").join(bodies(trains, "train"), "train_id").select("eval_key", "eval_body", "train_key", "train_body")
+    return both.mapInPandas(verify, f"eval_key {kind}, train_key {kind}, distance int, spans array<int>")
 
 
 def _user_text() -> Column:
@@ -544,7 +647,7 @@ def placed_records(records: DataFrame, plan: DataFrame) -> DataFrame:
         F.array_distinct(F.array_compact(F.array(load_of("group_id"), load_of("source_id")))).alias("loads"),
         text_key(_user_text()).alias("text_key"),
     )
-    base = written(base.distinct())
+    base = written(base.distinct(), "zstd")
     planned = plan.select(canonical_key("load_id").alias("load"), F.trim("split").alias("plan_split")).filter("load is not null and plan_split <> ''").distinct()
     lost = base.filter("split is null").withColumn("load", F.explode("loads")).join(planned, "load").withColumn("split", F.col("plan_split")).drop("load", "plan_split")
     return base.filter("split is not null").unionByName(lost.distinct())
@@ -571,7 +674,7 @@ def _matched(records: DataFrame, plan: DataFrame, share: float) -> tuple[DataFra
     sides = ids.filter(is_eval | is_train).groupBy("text_key").agg(F.bool_or(is_eval).alias("evals"), F.bool_or(is_train).alias("trains"))
     # Different texts once, with the sides they are on.
     read = with_body(records.filter("id is not null").select(text_key(_user_text()).alias("text_key"), _user_text().alias("text")))
-    texts = written(read.groupBy("text_key").agg(F.max("body").alias("body")).join(sides, "text_key").withColumnRenamed("text_key", "key"))
+    texts = written(read.groupBy("text_key").agg(F.max("body").alias("body")).join(sides, "text_key").withColumnRenamed("text_key", "key"), "zstd")
     near = near_texts(texts.filter("evals").select("key", "body"), texts.filter("trains").select("key", "body"), share)
     e = ids.filter(is_eval).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "source", F.col("text_key").alias("eval_key"), F.col("loads").alias("eval_loads"))
     t = ids.filter(is_train).select(F.col("id").alias("train_id"), F.col("text_key").alias("train_key"), F.col("loads").alias("train_loads")).distinct()

@@ -54,10 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a compressed columnar table and read again: for wide rows that several passes read."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder as a compressed columnar table and read again: for wide rows that several passes read.
+
+    ``codec`` takes the place of the session's codec where space counts more than time.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -110,3 +110,35 @@ def test_hot_texts_and_loads(spark, monkeypatch):
     table, plan = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], PLAN)
     got = {(r["id_a"], r["id_b"]) for r in cross_split_pairs(table, plan).collect()}
     assert got == {(f"t{i:02}", f"v{j}") for i in range(24) for j in range(8)}
+
+
+def shuffled_bytes(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_not_copied_to_every_shard(spark, monkeypatch):
+    """With many shards and cells only the runs that may match are sent to each, so what is moved stays near the size of the texts."""
+    import millrace.llm.cross_split as m
+
+    monkeypatch.setattr(m, "SHARD_PIECES", 100)
+    rnd = random.Random(5)
+    base = [[f"{rnd.getrandbits(40):x}" for _ in range(400)] for _ in range(30)]
+    rows = []
+    for n in range(120):
+        ws = list(base[n % 30])
+        for _ in range(20):
+            ws[rnd.randrange(len(ws))] = f"{rnd.getrandbits(40):x}"
+        rows.append(rec(f"r{n:03}", "val" if n < 30 else "train", None, "Date: 1\n" + " ".join(ws)))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        before = shuffled_bytes(spark)
+        got = {(r["id_a"], r["id_b"]) for r in cross_split_pairs(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], PLAN)).collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == {(f"r{n % 30:03}", f"r{n:03}") for n in range(30, 120)}
+    size = sum(len(r[4][1][1]) for r in rows)
+    assert moved < 4 * size
